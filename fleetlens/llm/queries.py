@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.html_extract import op2_html_extract
+from fleetlens.llm.jaccard import op3_jaccard
+from fleetlens.llm.langid import op1_langid
+from fleetlens.llm.quality import op7_quality
 from fleetlens.llm.sharding import op9_sharding
 from fleetlens.llm.topk import op10_topk
 from fleetlens.llm.warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
+    "op2_html_extract": op2_html_extract,
+    "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
+    "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import shared_path
+from fleetlens.llm.common import landed, shared_path
 
 SEGMENT_BYTES = 8192
 CHUNK = 4096
@@ -163,64 +163,84 @@ def _gunzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
                 yield got
 
 
-RAW = "record_id string, type string, page_id long, uri string, digest string, refers_to string, origin string, number int, total long, block binary"
+RAW = "record_id string, type string, page_id long, uri string, digest string, refers_to string, number int, total long, block binary, payload_bytes long, payload binary"
+META = ("record_id", "type", "page_id", "uri", "digest", "refers_to")
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(block: bytes, said: str | None) -> bytes:
+    payload = http_payload(block)
+    if said != f"sha1:{base32_sha1(payload)}":
+        raise ValueError(f"payload does not have the digest {said}")
+    return payload
+
+
+def _parse(with_payload: bool):
+    """Records of archive files; whole responses are decoded and checked at once, segments keep their blocks."""
     names = [x.split()[0] for x in RAW.split(", ")]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    for b in batches:
-        for content in b.column(0):
-            rows, size = [], 0
-            for f, block in parsed_records(_gunzipped(content.as_py())):
-                number = lambda k, f=f: int(f[k]) if k in f else None
-                rows.append((f["warc-record-id"], f["warc-type"], number("x-page-id"), f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"), f.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"), block))
-                size += len(block)
-                if size > 4_000_000:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                rows, size = [], 0
+                for f, block in parsed_records(_gunzipped(content.as_py())):
+                    number = lambda k, f=f: int(f[k]) if k in f else None
+                    kind, part, payload = f["warc-type"], number("warc-segment-number"), None
+                    if kind == "response" and part is None:
+                        payload = _checked(block, f.get("warc-payload-digest"))
+                    rows.append((
+                        f.get("warc-segment-origin-id", f["warc-record-id"]), kind, number("x-page-id"), f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"), part, number("warc-segment-total-length"),
+                        block if part else None, None if payload is None else len(payload), payload if with_payload else None,
+                    ))
+                    size += len(block)
+                    if size > 4_000_000:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
                     yield batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch(rows)
 
+    return run
+
+
+def _decode(with_payload: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            payloads = [_checked(block, said) for said, block in zip(b.column(4).to_pylist(), b.column(6).to_pylist(), strict=True)]
+            sizes = pa.array([len(p) for p in payloads], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], sizes, pa.array(payloads if with_payload else [None] * len(payloads), pa.binary())], [*META, "payload_bytes", "payload"])
 
-def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        payloads = [None if kind == "revisit" else http_payload(block) for kind, block in zip(b.column(1).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-        for p, said in zip(payloads, b.column(4).to_pylist(), strict=True):
-            if p is not None and said != f"sha1:{base32_sha1(p)}":
-                raise ValueError(f"payload does not have the digest {said}")
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(payloads, pa.binary())], [*b.schema.names[:-1], "payload"])
+    return run
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the gzipped WARC files under ``path``: record_id, type, page_id, uri, digest, refers_to, payload.
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The records of the gzipped WARC files under ``path``: record_id, type, page_id, uri, digest, refers_to,
+    payload_bytes, payload (null without ``with_payload``, and for revisits).
 
     Continuations are grouped by origin identifier and put in order of segment number. A missing or repeated number, or
     a length other than the last segment's total, raises an error; so do broken chunk framing and a payload that does
-    not have its digest. One group holds one record's segments. Revisits have a null payload."""
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RAW)
-    plain = raw.filter("number is null").select("record_id", "type", "page_id", "uri", "digest", "refers_to", "block")
-    parts = raw.filter("number is not null").groupBy(F.coalesce("origin", "record_id").alias("record_id")).agg(
-        *(F.max(F.when(F.col("origin").isNull(), F.col(c))).alias(c) for c in ("type", "page_id", "uri", "digest", "refers_to")),
-        F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts"),
+    not have its digest. One group holds one record's segments."""
+    raw = landed(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse(with_payload), RAW), "warc-records")
+    plain = raw.filter("number is null").select(*META, "payload_bytes", "payload")
+    first = F.col("type") != "continuation"
+    parts = raw.filter("number is not null").groupBy("record_id").agg(
+        *(F.max(F.when(first, F.col(c))).alias(c) for c in META[1:]), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("number", "block"))).alias("parts")
     )
-    whole = F.expr("array_join(transform(parts, x -> hex(x.block)), '')")
-    joined = parts.withColumn("block", F.unhex(whole))
-    sound = (F.expr("transform(parts, x -> x.number) = sequence(1, size(parts))")) & (F.octet_length("block") == F.col("total"))
-    joined = joined.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments are missing or do not add up: "), F.col("record_id")))))
-    both = plain.unionByName(joined.select(*plain.columns))
-    return both.mapInArrow(_decode, "record_id string, type string, page_id long, uri string, digest string, refers_to string, payload binary")
+    joined = parts.withColumn("block", F.unhex(F.expr("array_join(transform(parts, x -> hex(x.block)), '')")))
+    sound = F.expr("transform(parts, x -> x.number) = sequence(1, size(parts))") & (F.octet_length("block") == F.col("total"))
+    fault = F.raise_error(F.concat(F.lit("segments are missing or do not add up: "), F.col("record_id")))
+    joined = joined.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), F.col("block")).otherwise(fault))
+    kinds = "record_id string, type string, page_id long, uri string, digest string, refers_to string, payload_bytes long, payload binary"
+    return plain.unionByName(joined.select(*META, "block").mapInArrow(_decode(with_payload), kinds))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the pages as archives, read them back and resolve revisits to the responses they refer to."""
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    got = read_archives(spark, path).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload", "uri")
+    got = landed(read_archives(spark, path, with_payload=False).drop("payload", "uri"), "warc-read")
     responses = got.filter("type = 'response'")
     again = got.filter("type = 'revisit'").withColumn("salt", F.coalesce(F.pmod(F.col("page_id"), F.lit(SALTS)), F.lit(0)).cast("int"))
     to = again.select("refers_to").distinct().join(responses.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes")), "refers_to")
