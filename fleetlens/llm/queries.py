@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.decontaminate import ORACLE as LEAKS_ORACLE
+from fleetlens.llm.decontaminate import op6_decontaminate
 from fleetlens.llm.html_extract import op2_html_extract
 from fleetlens.llm.jaccard import op3_jaccard
 from fleetlens.llm.langid import op1_langid
 from fleetlens.llm.quality import op7_quality
 from fleetlens.llm.sharding import op9_sharding
+from fleetlens.llm.suffix_dedup import op8_suffix_dedup
 from fleetlens.llm.topk import op10_topk
 from fleetlens.llm.warc import op4_warc
 
@@ -19,12 +22,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
+    "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_decontaminate": LEAKS_ORACLE,
     "op10_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
