@@ -125,12 +125,10 @@ def _scan_fragments(n: int, heavy: np.ndarray):
                     seen.add(sid[d])
                     at, to = firsts[d], firsts[d + 1]
                     cuts = at + np.searchsorted(part[at:to], np.arange(FRAGMENTS + 2))
-                    for f in range(FRAGMENTS + 1):
-                        if cuts[f + 1] > cuts[f]:
-                            rows.append(i + d)
-                            fragments.append(f)
-                            starts.append(cuts[f])
-                            ends.append(cuts[f + 1])
+                    rows += [i + d] * (FRAGMENTS + 1)
+                    fragments += range(FRAGMENTS + 1)
+                    starts += cuts[:-1].tolist()
+                    ends += cuts[1:].tolist()
                 if not rows:
                     continue
                 grams = pa.array([gram[s:e].view(np.int64) for s, e in zip(starts, ends, strict=True)], pa.list_(pa.int64()))
@@ -140,8 +138,8 @@ def _scan_fragments(n: int, heavy: np.ndarray):
     return run
 
 
-def _verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets reach the threshold: overlaps are counted fragment by fragment and summed."""
+def _by_fragment(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, heavy: np.ndarray) -> DataFrame:
+    """(a, b, fragment, grams of b, center_grams of a) for every pair (a, b) and fragment of the global order."""
     members = pairs.groupBy(F.col("b").alias("sid")).agg(F.collect_set("a").alias("centers"))
     centers = pairs.select(F.col("a").alias("sid")).distinct().withColumn("center", F.lit(True))
     want = members.join(centers, "sid", "full").join(keys, "sid").select("key", "sid", F.coalesce("center", F.lit(False)).alias("center"), F.coalesce("centers", F.array().cast("array<bigint>")).alias("centers"))
@@ -149,9 +147,13 @@ def _verified(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, perce
     fragments = held.mapInArrow(_scan_fragments(n, heavy), "sid long, center boolean, centers array<long>, fragment int, grams array<long>")
     left = fragments.select(F.explode("centers").alias("a"), F.col("sid").alias("b"), "fragment", "grams")
     right = fragments.filter("center").select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("center_grams"))
-    partial = left.join(right.hint("merge"), ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("grams", "center_grams")).alias("overlap"))
-    summed = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return pairs.join(summed, ["a", "b"]).filter((100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    return left.join(right.hint("merge"), ["a", "fragment"])
+
+
+def _overlaps(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, heavy: np.ndarray) -> DataFrame:
+    """pairs with their overlap: counted fragment by fragment and summed."""
+    partial = _by_fragment(texts, keys, pairs, n, heavy).select("a", "b", F.size(F.array_intersect("grams", "center_grams")).alias("overlap"))
+    return pairs.join(partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")), ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,11 +164,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     1. Rows of equal sets are one node. 2. The global order of n-grams is by hash, the HEAVY_MOST most frequent ones
     last. 3. Nodes that reach the threshold share an n-gram of their prefixes in that order, and share at least as many
-    as `need` says. Each n-gram's nodes are first paired with one of them only (a star); what is linked so becomes
-    components. 4. Then every pair of nodes that shares a prefix n-gram, lies in different components and meets `need`
-    is checked too, so no link between components is lost, while a group of m near copies costs m pairs and not m * m.
-    5. Pairs are checked by vertical partitioning: the order is cut into fragments, each fragment's overlap is counted
-    by itself and the counts are summed.
+    as `fits` says. Each n-gram's nodes are first paired with its hub only: the node whose prefix is shared most (the
+    original of near copies, as a rule). Each node is checked against the hub it shares most with; what is linked so
+    becomes components. 4. Two nodes x and y of one hub h that are in different components: one, say x, does not reach
+    the threshold with h. If both share nothing of what sets them apart from h (n-grams of h that both lack, n-grams
+    of both that h lacks), J(x, y) <= J(x, h), so they are not linked. Otherwise |x & y| = |h| - |h - x| - |h - y| + the
+    number of n-grams that they share so; joining the differences gives it. 5. Pairs of different hubs and components
+    that share prefix n-grams and fit are checked like step 3. So no link between components is lost, while a group of
+    m near copies costs m pairs and not m * m. 6. Pairs are checked by vertical partitioning: the order is cut into
+    fragments, each fragment's overlap is counted by itself and the counts are summed.
 
     Null ids are rows like any other (component_id null if no linked row has an id); repeated ids and rows are
     allowed; component_id is the smallest id reached. Other columns are ignored. An empty table gives no rows."""
@@ -178,11 +184,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     prefixes = texts.select("text").mapInArrow(_scan_prefixes(n, percent, heavy), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
     grams = prefixes.select("sid", "n", F.explode("prefix").alias("g"))
     light, common = grams.filter("g >= 0"), landed(grams.filter("g < 0"), "heavy")
-    by_gram = Window.partitionBy("g")
-    light = light.withColumn("size", F.count("*").over(by_gram)).withColumn("hub", F.min(F.struct("sid", "n")).over(by_gram)).filter("size > 1").drop("size")
-    hubs = common.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct("sid", "n")).alias("hub")).filter("size > 1").drop("size")
-    common = common.join(F.broadcast(hubs), "g")  # one row for each of at most HEAVY_MOST n-grams
+    light = light.withColumn("size", F.count("*").over(Window.partitionBy("g"))).filter("size > 1")
+    sizes = common.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+    common = common.join(F.broadcast(sizes), "g")  # one row for each of at most HEAVY_MOST n-grams
     shared = landed(light.unionByName(common.select(*light.columns)), "shared")
+    rank = shared.groupBy("sid").agg(F.sum("size").alias("rank"))
+    hubs = shared.join(rank, "sid").groupBy("g").agg(F.max(F.struct("rank", "sid", "n")).alias("hub"))
 
     length = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100).cast("long") + 1
     rest = lambda c: F.col(c) - length(c)
@@ -190,7 +197,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("met") >= required - F.greatest(rest("na"), rest("nb")))
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        return landed(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(fits).select("a", "b", "na", "nb"), "pairs")
+        return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(fits)
 
     key = F.coalesce(F.col("id"), F.xxhash64("text"))
     nodes = rows.filter("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("key"))
@@ -198,25 +205,52 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         nodes = texts.select(key.alias("id"), "text").mapInArrow(_scan_sets(n), "id long, n long, sid long, common array<struct<g: long, n: long>>").filter("n > 0").groupBy("sid").agg(F.min("id").alias("key"))
     keyed = texts.select(key.alias("key"), "text")
 
-    star = candidates(shared.filter("sid <> hub.sid").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
-    links = landed(_verified(keyed, nodes, star, n, percent, heavy), "links")
-    found = components(links)
-
-    placed = shared.select("g", "sid", "n").join(found.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    parts = placed.groupBy("g", "label").agg(F.count("*").alias("size"))
-    mixed_grams = parts.groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("g", "main")
-    open_rows = landed(placed.join(mixed_grams, "g"), "open")
-    minor = open_rows.filter("label <> main").select("g", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    both = minor.join(open_rows.select("g", "sid", "n", "label", (F.col("label") == F.col("main")).alias("major")), "g")
-    both = both.filter((F.col("lx") != F.col("label")) & (F.col("major") | (F.col("x") < F.col("sid"))) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")))
+    star = candidates(shared.join(hubs, "g").filter("sid <> hub.sid").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
+    star = landed(star.groupBy("b").agg(F.max(F.struct("met", F.col("a"), "na", "nb")).alias("best")).select("best.a", "b", "best.na", "best.nb"), "pairs")
+    linked = (100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))
+    star = landed(_overlaps(keyed, nodes, star, n, heavy), "star")
+    links = landed(star.filter(linked).select("a", "b"), "links")
+    found = components(links).withColumnRenamed("node", "sid")
+
+    # pairs of one hub, by what sets them apart from it
+    here = star.join(found.withColumnRenamed("sid", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    here = here.join(found.select(F.col("sid").alias("a"), F.col("label").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
+    loose = here.filter("label <> main").select("a").distinct()
+    crowd = landed(here.join(loose, "a").select("a", "b", "na", "nb", "label", (F.col("label") != F.col("main")).alias("minor")), "crowd")
+    apart = [F.transform(F.array_except(*c), f) for c, f in (
+        (("center_grams", "grams"), lambda g: F.struct(F.lit(True).alias("lacks"), g.alias("g"))),
+        (("grams", "center_grams"), lambda g: F.struct(F.lit(False).alias("lacks"), g.alias("g"))),
+    )]
+    differ = _by_fragment(keyed, nodes, crowd.select("a", "b"), n, heavy).select("a", "b", F.explode(F.concat(*apart)).alias("d")).select("a", "b", "d.lacks", "d.g")
+    differ = landed(differ.join(crowd, ["a", "b"]), "differ")
+    lacking = differ.filter("lacks").groupBy("a", "b").agg(F.count("*").alias("lacking"))
+    one = differ.filter("minor").select("a", "lacks", "g", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"))
+    two = differ.select("a", "lacks", "g", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("label").alias("ly"), "minor", "na")
+    same = one.join(two, ["a", "lacks", "g"]).filter((F.col("lx") != F.col("ly")) & (~F.col("minor") | (F.col("x") < F.col("y")))).groupBy("a", "na", "x", "y", "nx", "ny").agg(F.count("*").alias("same"))
+    same = same.join(lacking.select("a", F.col("b").alias("x"), F.col("lacking").alias("dx")), ["a", "x"], "left").join(lacking.select("a", F.col("b").alias("y"), F.col("lacking").alias("dy")), ["a", "y"], "left")
+    both = F.col("na") - F.coalesce("dx", F.lit(0)) - F.coalesce("dy", F.lit(0)) + F.col("same")
+    cousins = landed(same.filter((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    if cousins.limit(1).count():
+        links = landed(links.unionByName(cousins), "links")
+        found = components(links).withColumnRenamed("node", "sid")
+
+    # pairs of different hubs, by the prefix n-grams they share
+    hub_of = star.select(F.col("b").alias("sid"), F.col("a").alias("hub"))
+    placed = shared.join(found, "sid", "left").join(hub_of, "sid", "left").withColumn("label", F.coalesce("label", "sid")).withColumn("hub", F.coalesce("hub", "sid"))
+    parts = placed.groupBy("g", "label").agg(F.count("*").alias("size"), F.min("hub").alias("low"), F.max("hub").alias("high"))
+    split = parts.groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high")).filter("parts > 1 and low <> high").select("g", "main")
+    open_rows = landed(placed.join(split, "g"), "open")
+    minor = open_rows.filter("label <> main").select("g", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("hub").alias("hx"))
+    pairs = minor.join(open_rows.select("g", "sid", "n", "label", "hub", (F.col("label") == F.col("main")).alias("major")), "g")
+    pairs = pairs.filter((F.col("lx") != F.col("label")) & (F.col("hx") != F.col("hub")) & (F.col("major") | (F.col("x") < F.col("sid"))) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")))
     first = F.col("x") < F.col("sid")
-    pairs = both.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"))
-    remaining = candidates(pairs)
-    more = landed(_verified(keyed, nodes, remaining, n, percent, heavy), "links")
+    pairs = pairs.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"))
+    remaining = landed(candidates(pairs).select("a", "b", "na", "nb"), "pairs")
+    more = landed(_overlaps(keyed, nodes, remaining, n, heavy).filter(linked).select("a", "b"), "links")
     if more.limit(1).count():
-        found = components(links.unionByName(more))
+        found = components(links.unionByName(more)).withColumnRenamed("node", "sid")
 
-    least = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("first"), F.count("*").alias("copies")).join(found.withColumnRenamed("node", "sid"), "sid", "left")
+    least = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("first"), F.count("*").alias("copies")).join(found, "sid", "left")
     least = least.filter("copies > 1 or label is not null").withColumn("label", F.coalesce("label", "sid"))
     smallest = least.groupBy("label").agg(F.min("first").alias("component_id"))
     to = least.join(smallest, "label").select("sid", "component_id")
