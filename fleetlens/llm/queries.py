@@ -12,6 +12,7 @@ from fleetlens.llm.html_extract import op2_html_extract
 from fleetlens.llm.jaccard import op3_jaccard
 from fleetlens.llm.langid import op1_langid
 from fleetlens.llm.quality import op7_quality
+from fleetlens.llm.sentencepiece_fst import op5_sentencepiece
 from fleetlens.llm.sharding import op9_sharding
 from fleetlens.llm.suffix_dedup import op8_suffix_dedup
 from fleetlens.llm.topk import op10_topk
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_extract": op2_html_extract,
     "op3_jaccard": op3_jaccard,
     "op4_warc": op4_warc,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
     "op8_suffix_dedup": op8_suffix_dedup,
