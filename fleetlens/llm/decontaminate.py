@@ -39,8 +39,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     A passage is WINDOW aligned words of an item of which at least LEAST are equal in the document, so substituted words
     are tolerated; a shorter item must be there as a whole, and one of under SHORTEST words counts as no passage. Both
-    sides are hashed under the masks, which ignore fixed positions; equal hashes are hits, and the words around a hit
-    are compared. Seeds and hits are broadcast up to ``broadcast_seeds`` rows and joined by shuffle beyond that.
+    sides are hashed under the masks, which ignore fixed positions; equal hashes are hits, and the words along a hit's
+    diagonal are compared. Seeds and hits are broadcast up to ``broadcast_seeds`` rows and joined by shuffle beyond that.
 
     Null ids are left out; null and blank texts hold nothing and leak nothing. Repeated items and rows give the same answer once for each
     (id, item). Very long texts are scanned whole. Empty tables give no rows; other columns are ignored."""
@@ -52,16 +52,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     if seeds.count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
     held = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
-    hits = landed(_placed(held, masks, "id").join(seeds, ["mask", "seed"]).filter("id is not null").select("id", "i", "item", "j").distinct(), "hits")
-    local = hits.join(items.select("item", F.col("words").alias("item_words")), "item")
-    local = F.broadcast(local) if hits.count() <= broadcast_seeds else local
-    reach = WINDOW - 1
-    around = F.slice("words", F.greatest(F.lit(1), F.col("i") + 1 - reach), 2 * reach + SPAN)
-    hits = held.filter("words is not null").join(local, "id").select("id", "item", "item_words", "j", around.alias("near"), F.least(F.col("i"), F.lit(reach)).alias("at"))
-    equal = F.expr(f"transform(sequence({-reach}, {SPAN - 1 + reach}), k -> coalesce(int(get(near, at + k) = get(item_words, j + k)), -100))")
-    best = F.expr(f"array_max(transform(sequence(1, {SPAN + reach}), s -> aggregate(slice(equal, s, {WINDOW}), 0, (a, x) -> a + x)))")
-    whole = F.expr("if(forall(sequence(0, size(item_words) - 1), m -> coalesce(get(near, at - j + m) = item_words[m], false)), size(item_words), 0)")
-    checked = hits.withColumn("equal", equal).withColumn("matched", F.when(F.size("item_words") >= WINDOW, best).otherwise(whole))
+    found = _placed(held, masks, "id").join(seeds, ["mask", "seed"]).filter("id is not null")
+    hits = landed(found.select("id", "item", (F.col("i") - F.col("j")).alias("diagonal")).distinct(), "hits")
+    small = hits.count() <= broadcast_seeds
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    near = texts.join(F.broadcast(hits) if small else hits, "id").join(items.select("item", F.col("words").alias("item_words")), "item").select("id", "item", "item_words", "diagonal", words(F.col("text")).alias("words"))
+    equal = F.expr("transform(item_words, (w, m) -> coalesce(int(get(words, diagonal + m) = w), -100))")
+    best = F.expr(f"array_max(transform(sequence(1, size(equal) - {WINDOW - 1}), s -> aggregate(slice(equal, s, {WINDOW}), 0, (a, x) -> a + x)))")
+    whole = F.expr("if(forall(equal, x -> x = 1), size(item_words), 0)")
+    checked = near.filter("words is not null").withColumn("equal", equal).withColumn("matched", F.when(F.size("item_words") >= WINDOW, best).otherwise(whole))
     enough = F.when(F.size("item_words") >= WINDOW, F.col("matched") >= LEAST).otherwise(F.col("matched") > 0)
     return checked.filter(enough).groupBy("id", "item").agg(F.max("matched").cast("int").alias("matched")).withColumnsRenamed({"id": id_col, "item": item_col})
 
