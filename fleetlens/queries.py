@@ -1,4 +1,292 @@
-"""Registered telemetry queries and the DuckDB SQL they equal."""
+"""Registered telemetry queries. Each derives its relations from whole tables and applies one operator; instants are
+given as epoch seconds and paths as text, so that other engines' results compare."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetlens.functions import format as fmt
+from fleetlens.functions import text as txt
+from fleetlens.operators import deltas as D
+from fleetlens.operators import health as H
+from fleetlens.operators import issues as I
+from fleetlens.operators import load as A
+from fleetlens.operators import locks as L
+from fleetlens.operators import mdl as M
+from fleetlens.oracles import ORACLES as ORACLES
+from fleetlens.plans import explain as E
+from fleetlens.sources import assembly as S
+from fleetlens.sources.adapters import relation
+from fleetlens.streaming import streams as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+AS_OF = "2024-01-30 23:59:59"
+
+
+class Fleet:
+    """The telemetry relations of one folder, by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return relation(self.spark, self.sf_dir, name)
+
+    def derived(self) -> DataFrame:
+        return D.digest_deltas(self.good_polls, self.digest_polls)
+
+    def samples(self) -> DataFrame:
+        return D.executing_sessions(self.session_ticks)
+
+    def cpu(self) -> DataFrame:
+        return D.cpu_samples(self.session_ticks, self.session_ticks)
+
+    def issues(self) -> DataFrame:
+        return I.all_issues(I.long_transactions(self.transactions), I.ddl_conflicts(self.processes, self.transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), self.processes)))
+
+    def deadlock_reports(self) -> DataFrame:
+        first = self.processes.groupBy("server_id", "snapshot_ts").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+        report = F.when(F.col("lo") % 3 != 0, F.concat(F.lit("t"), F.floor(F.col("lo") / 1000).cast("string")))
+        return first.select("server_id", "snapshot_ts", report.alias("deadlock_ts"), F.array((F.col("lo") + F.when(F.col("lo") % 2 == 0, 0).otherwise(1)).alias("a"), F.col("hi") + 1).alias("participants"))
+
+    def snapshots(self) -> DataFrame:
+        return self.processes.select("server_id", "snapshot_ts").distinct()
+
+    def as_of(self):
+        return F.lit(AS_OF).cast("timestamp")
+
+
+def portable(df: DataFrame) -> DataFrame:
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        out.append((F.unix_seconds(c) if kind == "timestamp" else F.array_join(c.cast("array<string>"), ">") if kind == "array<bigint>" else c.cast("long") if kind.startswith("decimal") else c).alias(name))
+    return df.select(*out)
+
+
+def query(f: Callable[[Fleet], DataFrame]) -> Callable[[Fleet], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: portable(f(Fleet(spark, sf_dir)))
+    return f
+
+
+def add(name: str, f: Callable[[Fleet], DataFrame]) -> None:
+    f.__name__ = name
+    query(f)
+
+
+def scalar(name: str, **columns) -> None:
+    """A query over all SQL texts or events that applies column expressions."""
+    add(name, lambda t: t.sql_texts.select("id", *(c.alias(k) for k, c in columns.items())))
+
+
+# scans and assembly
+add("digest_scan", lambda t: S.digest_scan(t.digest_polls))
+add("wait_scan", lambda t: S.wait_scan(t.wait_polls))
+
+
+@query
+def session_ticks(t: Fleet) -> DataFrame:
+    base = t.session_ticks.withColumn("thread_id", F.col("processlist_id") + 7)
+    threads = base.select("server_id", "tick_ts", "thread_id", F.when(F.col("processlist_id") % 17 != 0, F.col("processlist_id")).alias("processlist_id"), F.when(F.col("processlist_id") % 13 == 0, "BACKGROUND").otherwise("FOREGROUND").alias("type"), "user_name", "host")
+    statements = base.filter("processlist_id % 6 <> 0").select("server_id", "tick_ts", "thread_id", F.col("processlist_id").alias("event_id"), F.when(~F.col("executing"), F.col("processlist_id")).alias("end_event_id"), "schema_name", "digest", "sql_text")
+    waits = base.select("server_id", "tick_ts", "thread_id", F.lit(1).alias("event_id"), F.col("current_wait").alias("event_name")).unionByName(base.filter("processlist_id % 2 = 0").select("server_id", "tick_ts", "thread_id", F.lit(2).alias("event_id"), F.lit("wait/io/file/late").alias("event_name")))
+    attributes = base.filter("program_name <> ''").select("server_id", "tick_ts", "processlist_id", F.lit("program_name").alias("attr_name"), F.col("program_name").alias("attr_value"))
+    return S.session_ticks(threads, statements, waits, attributes)
+
+
+@query
+def recent_example(t: Fleet) -> DataFrame:
+    return E.recent_example(t.session_ticks.withColumn("timer_end", F.col("processlist_id")))
+
+
+@query
+def transactions(t: Fleet) -> DataFrame:
+    raw = t.transactions
+    at = ["server_id", "snapshot_ts", "pid"]
+    trx = raw.filter("pid % 3 <> 0").select(*at, "trx_id", "trx_state", F.when(F.col("pid") % 5 != 0, F.timestamp_seconds(F.unix_seconds("snapshot_ts") - F.col("age_s"))).alias("trx_started"), F.col("query").alias("trx_query"))
+    threads = raw.filter("pid % 7 <> 0").select(*at, (F.col("pid") + 50).alias("thread_id"))
+    statements = raw.select("server_id", "snapshot_ts", (F.col("pid") + 50).alias("thread_id"), "digest_text")
+    return S.transactions(raw.select(*at, "user_name", "host", "db", "command", "time_s", "state"), trx, threads, statements)
+
+
+@query
+def lock_waits(t: Fleet) -> DataFrame:
+    edges = t.lock_waits.withColumn("snapshot_ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    at = ["server_id", "snapshot_ts"]
+    waits = edges.select(*at, F.concat(F.lit("t"), "waiting_pid").alias("waiting_trx_id"), F.concat(F.lit("t"), "blocking_pid").alias("blocking_trx_id"), F.concat(F.lit("l"), "blocking_pid").alias("blocking_lock_id"))
+    nodes = edges.select(*at, F.col("waiting_pid").alias("pid"), "wait_ms").unionByName(edges.select(*at, F.col("blocking_pid").alias("pid"), F.lit(0).cast("long").alias("wait_ms"))).groupBy(*at, "pid").agg(F.max("wait_ms").alias("wait_ms"))
+    trx = nodes.select(*at, F.concat(F.lit("t"), "pid").alias("trx_id"), "pid", F.when(F.col("pid") % 2 == 0, F.concat(F.lit("UPDATE t"), "pid")).alias("trx_query"), F.timestamp_millis(F.lit(1_700_000_000_000) - F.col("wait_ms")).alias("wait_started"))
+    locks = nodes.select(*at, F.concat(F.lit("l"), "pid").alias("lock_id"), F.lit("shop").alias("lock_schema"), F.concat(F.lit("t"), F.col("pid") % 3).alias("lock_name"))
+    procs = nodes.filter("pid % 5 <> 0").select(*at, "pid", F.concat(F.lit("u"), F.col("pid") % 4).alias("user_name"), F.lit("h").alias("host"), F.concat(F.lit("q"), "pid").alias("info"))
+    return S.lock_waits(waits, trx, locks, procs)
+
+
+add("processes", lambda t: S.processes(t.processes))
+add("metadata_locks", lambda t: S.metadata_locks(t.metadata_locks, t.metadata_locks.filter("pid % 4 <> 0").select("server_id", "snapshot_ts", "thread_id", "pid")))
+add("health_vitals", lambda t: H.health_vitals(t.status_vars))
+
+
+def _replicas(t: Fleet) -> DataFrame:
+    pairs = {"Replica_IO_Running": "new_io", "Slave_IO_Running": "old_io", "Replica_SQL_Running": "new_sql", "Seconds_Behind_Source": "lag"}
+    status = F.map_from_arrays(F.array(*(F.lit(k) for k in pairs)), F.array(*pairs.values()))
+    return t.replica_rows.select("server_id", "poll_s", F.when(F.col("poll_s") % 6 != 0, status).alias("status"))
+
+
+add("replica_status", lambda t: H.replica_status(_replicas(t)))
+add("replication_health", lambda t: H.replication_health(H.replica_status(_replicas(t))))
+add("innodb_status_metrics", lambda t: S.innodb_status_metrics(t.status_texts))
+
+
+@query
+def deadlock_participants(t: Fleet) -> DataFrame:
+    o = t.status_texts.select("server_id", "snapshot")
+    block = lambda n, add: F.concat(F.lit(f"*** ({n}) TRANSACTION:\nTRANSACTION "), (F.col("snapshot") + add).cast("string"), F.lit(", ACTIVE 3 sec starting index read\nMySQL thread id "), (F.col("snapshot") % 1000 + add).cast("string"), F.lit(", OS thread handle 12, query id 9 localhost root updating\nUPDATE t SET a = "), (F.col("snapshot") + add).cast("string"), F.lit("\nRECORD LOCKS space id 1 page no 2 n bits 72 index PRIMARY of table `shop`.`t` trx id 5 lock_mode X locks rec\n"))
+    text = F.concat(F.lit("------------------------\nLATEST DETECTED DEADLOCK\n------------------------\n2024-01-02 03:04:05 0x7f\n"), block(1, 1), block(2, 2), F.lit("*** WE ROLL BACK TRANSACTION (1)\n------------\nTRANSACTIONS\n"))
+    return S.deadlock_participants(o.withColumn("status_text", text))
+
+
+add("server_info", lambda t: S.server_info(t.servers))
+add("capability_audit", lambda t: S.capability_audit(t.setup_consumers).withColumn("warnings", F.array_join("warnings", "; ")))
+add("cloud_metrics_latest", lambda t: S.cloud_metrics_latest(t.cloud_metrics.select("instance", "is_aurora", "metric_name", "value", F.timestamp_seconds(F.col("event_id")).alias("ts")), F.timestamp_seconds(F.lit(9_900)), 3_600))
+add("rds_target", lambda t: S.rds_target(t.servers))
+
+# deltas and samples
+add("digest_deltas", lambda t: t.derived())
+add("digest_poll_audit", lambda t: D.digest_poll_audit(t.good_polls, t.digest_polls))
+add("wait_deltas", lambda t: D.wait_deltas(t.wait_polls))
+add("wait_poll_audit", lambda t: D.wait_poll_audit(t.wait_polls))
+add("aborted_clients_delta", lambda t: D.aborted_clients_delta(H.health_vitals(t.status_vars)).select("server_id", "poll_ts", "aborted_clients", "aborted_delta"))
+add("cpu_samples", lambda t: D.cpu_samples(t.session_ticks, t.session_ticks))
+add("executing_sessions", lambda t: t.samples())
+add("session_samples", lambda t: t.samples().select("server_id", "ts", "processlist_id", "app_tag", "user_name", "host", "event_name"))
+add("cpu_eligible", lambda t: t.session_ticks.filter(txt.is_cpu_wait(F.col("current_wait"))).select("server_id", "tick_ts", "processlist_id"))
+add("retained_samples", lambda t: D.retained_samples(t.derived(), list(D.DIGEST_KEY), t.as_of(), 10 * 86400, 50).select(*D.DIGEST_KEY, "poll_ts", "exec_delta"))
+add("latest_sample", lambda t: D.latest_sample(t.derived(), list(D.DIGEST_KEY)).select(*D.DIGEST_KEY, "poll_ts", "exec_delta", "timer_delta"))
+add("tracked_digests", lambda t: D.tracked_digests(t.derived(), 3, 30, t.as_of()).select(*D.DIGEST_KEY, "load", "first_seen", "kept", "evicted"))
+add("poll_error_counts", lambda t: D.poll_error_counts(t.polls))
+
+# load
+for _name, _sort in (("top_sql", "aas"), ("top_sql_by_calls", "calls"), ("top_sql_by_latency", "latency"), ("top_sql_by_rows", "rows")):
+    add(_name, lambda t, sort=_sort: A.top_sql(t.derived(), sort))
+add("top_sql_by_app", lambda t: A.top_sql(t.derived(), sessions=t.samples().filter("processlist_id % 4 = 0 and ts < timestamp'2024-01-02'"), app="checkout"))
+add("rows_examined_per_sent", lambda t: A.statement_load(t.derived()).select("server_id", "digest", F.round(F.try_divide(F.col("rows_examined"), F.col("rows_sent")), 6).alias("ratio")))
+add("top_sql_report", lambda t: A.top_sql(t.derived()).select("server_id", "rank", "digest", "calls", "aas", fmt.div(F.col("avg_latency_ns"), 1_000_000).alias("avg_latency_ms")))
+for _group in ("user_name", "host", "schema_name"):
+    add("load_by_" + _group.removesuffix("_name"), lambda t, g=_group: A.load_by_group(t.samples(), g))
+add("load_by_class", lambda t: A.load_by_class(D.wait_deltas(t.wait_polls), t.cpu(), t.good_polls))
+
+
+@query
+def load_report(t: Fleet) -> DataFrame:
+    rows = A.load_by_class(D.wait_deltas(t.wait_polls), t.cpu(), t.good_polls)
+    entry = F.concat("class", F.lit("="), F.format_number("aas", 4))
+    return rows.groupBy("server_id", "total").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("e")))), lambda x: x["e"]), ",").alias("classes"))
+
+
+add("load_trail", lambda t: A.load_trail(D.wait_deltas(t.wait_polls), t.cpu()))
+add("busiest_tables", lambda t: A.busiest_tables(t.derived()))
+add("top_users_share", lambda t: A.top_users_share(t.samples()))
+add("digest_app_samples", lambda t: A.digest_app_samples(t.samples()))
+add("class_app_load", lambda t: t.samples().groupBy("server_id", txt.wait_class(F.col("event_name")).alias("class"), "app_tag").agg(F.count("*").alias("observations")))
+
+# health
+add("health_ratios", lambda t: H.health_ratios(H.health_vitals(t.status_vars)).select("server_id", "poll_ts", "bp_hit", "running_ratio"))
+
+
+@query
+def verdict(t: Fleet) -> DataFrame:
+    gauges = H.health_ratios(D.aborted_clients_delta(H.health_vitals(t.status_vars)))
+    rows = gauges.select("server_id", "poll_ts", "running_ratio", (F.col("uptime_s") * 20_000).alias("history_length"), F.when(F.col("bp_reads") % 3 != 0, F.col("bp_reads") % 40).alias("replica_lag_s"), "aborted_delta", (F.col("bp_pages_total") % 100).cast("double").alias("cloud_cpu"), (F.col("bp_pages_dirty") % 3).cast("int").alias("max_severity"))
+    return H.verdict(rows).select("server_id", "poll_ts", "level", "verdict", "driver")
+
+
+# locks
+add("lock_chains", lambda t: L.lock_chains(t.lock_waits))
+add("lock_cycles", lambda t: L.lock_cycles(t.lock_rings))
+add("lock_tree", lambda t: L.lock_tree(t.lock_waits))
+add("lock_tree_top_waiters", lambda t: L.top_waiters(t.lock_waits, 1))
+
+
+@query
+def chain_text(t: Fleet) -> DataFrame:
+    who = t.lock_waits.select("server_id", F.col("waiting_pid").alias("pid"), F.col("waiting_user").alias("user_name"), F.col("waiting_host").alias("host"), "lock_table", F.col("waiting_query").alias("query"))
+    return L.chain_text(L.lock_chains(t.lock_waits).select("server_id", "path"), who).select("server_id", "path", "chain_text")
+
+
+# metadata locks
+@query
+def mdl_tables(t: Fleet) -> DataFrame:
+    return M.mdl_tables(t.metadata_locks).withColumn("pending_types", F.array_join(F.transform("pending_types", lambda x: F.concat(x["lock_type"], F.lit("="), x["n"])), ","))
+
+
+add("lock_type_buckets", lambda t: M.mdl_tables(t.metadata_locks).select(*M.TABLE_KEY, fmt.lock_type_buckets(F.col("pending_types")).alias("buckets")))
+add("mdl_queue_position", lambda t: M.queue_positions(t.metadata_locks))
+add("mdl_holders", lambda t: M.holders(t.metadata_locks))
+add("mdl_blockers", lambda t: M.mdl_blockers(t.metadata_locks))
+add("mdl_table_detail", lambda t: M.queue_positions(t.metadata_locks).filter("object_name = '1-URGENT'").select(*M.TABLE_KEY, "pid", "lock_type", "position", "depth"))
+
+# issues
+add("long_transactions", lambda t: I.long_transactions(t.transactions).withColumn("details", F.to_json("details")).select("server_id", "snapshot_ts", "severity", "title", F.get_json_object("details", "$.thread_id").alias("thread_id"), F.get_json_object("details", "$.query").alias("query")))
+add("ddl_blocked", lambda t: I.ddl_blocked(t.processes, t.transactions).select("server_id", "snapshot_ts", "pid", "blockers", "severity"))
+add("ddl_blockers", lambda t: I.ddl_blocked(t.processes, t.transactions).select("server_id", "snapshot_ts", "pid", "db", "blockers"))
+add("dml_blocked_by_ddl", lambda t: I.dml_blocked_by_ddl(t.processes).select("server_id", "snapshot_ts", "db", "blocked_pid", "ddl_pid", "severity"))
+add("deadlocks", lambda t: I.deadlocks(t.deadlock_reports(), t.processes))
+add("all_issues", lambda t: t.issues().groupBy("server_id", "snapshot_ts", "ordinal", "detector", "severity").agg(F.count("*").alias("issues")))
+add("issue_rows", lambda t: I.issue_rows(t.issues(), t.processes).select("server_id", "snapshot_ts", "detector", "severity", "n", "pid", "user_name", "query", "table_name", "age_s"))
+add("issues_per_table", lambda t: I.issues_per_table(I.issue_rows(t.issues(), t.processes)))
+add("issues_by_table", lambda t: I.issue_rows(t.issues(), t.processes).filter("table_name = 'shop.t1'").select("server_id", "snapshot_ts", "detector", "pid", "age_s"))
+add("max_severity", lambda t: I.max_severity(t.snapshots(), t.issues()))
+add("snapshot_counts", lambda t: I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions, metadata_locks=t.metadata_locks, issues=t.issues()))
+
+
+@query
+def snapshot_report(t: Fleet) -> DataFrame:
+    counts = I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions)
+    return I.snapshot_report(counts, t.issues()).select("server_id", "snapshot_ts", "processes", "transactions", "max_severity", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"))
+
+
+add("kill_eligibility", lambda t: I.kill_eligibility(t.processes, [1, 2]).select("server_id", "snapshot_ts", "pid", "reason", "safe"))
+add("long_open_transactions", lambda t: I.long_open_transactions(t.processes))
+
+# plans
+add("plan_nodes", lambda t: E.plan_nodes(t.plans).select("digest", "ts", "path", "kind"))
+add("plan_red_flags", lambda t: E.plan_red_flags(t.plans))
+add("plan_hash", lambda t: E.plan_hash(t.plans))
+add("plan_flips", lambda t: E.plan_flips(E.plan_hash(t.plans)))
+add("explain_candidates", lambda t: E.explain_candidates(t.digest_polls, t.session_ticks.filter("digest <> 'view'").withColumn("timer_end", F.col("processlist_id"))))
+
+# scalar functions
+_sql = F.col("sql_text")
+scalar("strip_sql_comments", stripped=txt.strip_sql_comments(_sql))
+scalar("query_label", label=txt.query_label(F.col("digest_text"), _sql))
+scalar("table_from_sql", table_name=txt.table_from_sql(_sql))
+scalar("untableable_bucket", bucket=txt.untableable_bucket(_sql))
+scalar("explain_safe", safe=txt.explain_safe(_sql), verb=txt.statement_verb(_sql))
+scalar("is_ddl", ddl=txt.is_ddl(_sql))
+scalar("app_tag", app_tag=txt.app_tag(_sql, F.col("digest_text")))
+scalar("sql_comment_map", pairs=F.array_join(F.transform(F.array_sort(F.map_entries(txt.sql_comment_map(_sql))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&"))
+scalar("truncate_text", cut=fmt.truncate_text(_sql, 20), flat=fmt.collapse_ws(_sql))
+scalar("collapse_ws", flat=fmt.collapse_ws(_sql))
+_id = F.col("id")
+_ms = _id * 7919
+scalar("human_duration", text=fmt.human_duration(_ms))
+scalar("format_duration", text=fmt.format_duration(_ms))
+scalar("parse_duration", seconds=fmt.parse_duration(fmt.format_duration(_ms)), bad=fmt.parse_duration(F.concat(_id.cast("string"), F.lit("x"))))
+scalar("human_uptime", text=fmt.human_uptime(_ms))
+scalar("format_latency", text=fmt.format_latency(_ms * _ms))
+scalar("format_big_count", text=fmt.format_big_count(_ms * _id))
+scalar("format_rate", text=fmt.format_rate(_id.cast("double")))
+scalar("format_bytes", text=fmt.format_bytes(_ms * _id))
+scalar("ps_to_ns", ns=fmt.ps_to_ns(_ms))
+scalar("severity_label", label=fmt.severity_label(_id % 3))
+scalar("issue_kind", kind=fmt.issue_kind(F.element_at(F.array(*(F.lit(x) for x in (*fmt.KINDS, "other"))), (_id % 5 + 1).cast("int"))))
+add("wait_class", lambda t: t.wait_polls.groupBy("event_name", txt.wait_class(F.col("event_name")).alias("class")).agg(F.count("*").alias("n")))
+add("strip_port", lambda t: t.processes.select("pid", fmt.strip_port(F.col("host")).alias("host")))
+add("compact_version", lambda t: t.servers.select("server_id", fmt.compact_version(F.col("version")).alias("version")))
+
+# streams, run to the end of what has landed
+for _name, _stream in R.STREAMS.items():
+    add(_name, lambda t, f=_stream: f(t))
