@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from fleetlens.llm.common import U64, chunks, landed, mixed, utf8, word_hashes
 from fleetlens.llm.graph import components
 
-FRAGMENTS = 4
+FRAGMENTS = 5
 HEAVY_AT_LEAST = 8
 HEAVY_MOST = 2**17
 TOP = U64(1) << U64(63)
@@ -55,46 +55,71 @@ def _set_ids(gram: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return mixed((total[firsts[1:]] - total[firsts[:-1]]) * U64(31) + np.diff(firsts).astype(np.uint64)).view(np.int64)
 
 
-def _ordered(gram: np.ndarray, firsts: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The sets in the global order: by hash, the heavy n-grams after all others (their top bit is set)."""
-    if len(heavy):
-        at = np.minimum(np.searchsorted(heavy, gram), len(heavy) - 1)
-        gram = np.where(heavy[at] == gram, gram | TOP, gram)
+class GlobalOrder:
+    """The global order of n-grams: counted and rare ones by hash, then the frequent ones by frequency, then the rest.
+
+    Counted is the part of the hash range that prefixes come from: a prefix has about (100 - percent) % of a set, and
+    half as much again covers what frequent n-grams leave free. Frequent n-grams carry the top bit."""
+
+    def __init__(self, percent: int):
+        self.counted = np.uint64(min(1.0, 1.5 * (100 - percent) / 100 + 0.03) * 2.0**63)
+        self.heavy, self.level = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def with_heavy(self, grams: np.ndarray, counts: np.ndarray) -> GlobalOrder:
+        order = np.argsort(grams)
+        self.heavy, self.level = grams[order].astype(np.uint64), 1 + np.log2(np.maximum(counts[order], 1)).astype(np.int64)
+        return self
+
+    def __call__(self, gram: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams of each set in the order, their fragments: 0 rare, 1 frequent, then equal ranges of the rest)."""
+        level = np.where(gram < self.counted, 0, 100)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, gram), len(self.heavy) - 1)
+            known = self.heavy[at] == gram
+            level = np.where(known, self.level[at], level)
         doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        gram = gram[np.lexsort((gram, doc))]
-    return gram
+        order = np.lexsort((gram, level, doc))
+        gram, level = gram[order], level[order]
+        ranges = (gram >> U64(43)) * U64(FRAGMENTS - 2) >> U64(20)
+        part = np.where(level == 0, 0, np.where(level < 100, 1, 2 + ranges.astype(np.int64)))
+        return np.where((level > 0) & (level < 100), gram | TOP, gram), part
 
 
 def _scan_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(1))
-            sizes, ids, grams = [], [], []
             for i, j in chunks(offsets):
                 gram, firsts = gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-                sizes.append(np.diff(firsts))
-                ids.append(_set_ids(gram, firsts))
-                grams.append(gram)
-            common = [[]] * b.num_rows
-            if b.num_rows:
-                value, count = np.unique(np.concatenate(grams), return_counts=True)
-                often = count >= 4
-                common[0] = [{"g": g, "n": c} for g, c in zip(value[often].astype(np.int64).tolist(), count[often].tolist(), strict=True)]
-                sizes, ids = np.concatenate(sizes), np.concatenate(ids)
-            kind = pa.list_(pa.struct([("g", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(common, kind)], ["id", "n", "sid", "common"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(firsts), pa.int64()), pa.array(_set_ids(gram, firsts))], ["id", "n", "sid"])
 
     return run
 
 
-def _scan_prefixes(n: int, percent: int, heavy: np.ndarray):
+def _scan_counts(n: int, most: np.uint64):
+    """(g, n): in how many of a batch's texts each n-gram of the counted range occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(0))
+            grams = [np.zeros(0, np.uint64)]
+            for i, j in chunks(offsets):
+                gram, _ = gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
+                grams.append(gram[gram < most])
+            value, count = np.unique(np.concatenate(grams), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(count.astype(np.int32))], ["g", "n"])
+
+    return run
+
+
+def _scan_prefixes(n: int, percent: int, order: GlobalOrder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(0))
             for i, j in chunks(offsets):
                 gram, firsts = gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 sid, size = _set_ids(gram, firsts), np.diff(firsts)
-                gram = _ordered(gram, firsts, heavy)
+                gram, _ = order(gram, firsts)
                 length = np.where(size > 0, size - (percent * size + 99) // 100 + 1, 0)
                 take = np.arange(len(gram)) - np.repeat(firsts[:-1], size) < np.repeat(length, size)
                 lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]), pa.array(gram[take].view(np.int64)))
@@ -103,7 +128,7 @@ def _scan_prefixes(n: int, percent: int, heavy: np.ndarray):
     return run
 
 
-def _scan_fragments(n: int, heavy: np.ndarray):
+def _scan_fragments(n: int, order: GlobalOrder):
     """(sid, want, centers, fragment, grams) of the wanted sets; rows that repeat one after another count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +139,7 @@ def _scan_fragments(n: int, heavy: np.ndarray):
             for i, j in chunks(offsets):
                 gram, firsts = gram_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
                 sid = _set_ids(gram, firsts)
-                gram = _ordered(gram, firsts, heavy)
-                part = np.where(gram >= TOP, FRAGMENTS, gram >> U64(63 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
+                gram, part = order(gram, firsts)
                 rows, fragments, starts, ends = [], [], [], []
                 for d in range(j - i):
                     if keys[i + d] != last:
@@ -124,9 +148,9 @@ def _scan_fragments(n: int, heavy: np.ndarray):
                         continue
                     seen.add(sid[d])
                     at, to = firsts[d], firsts[d + 1]
-                    cuts = at + np.searchsorted(part[at:to], np.arange(FRAGMENTS + 2))
-                    rows += [i + d] * (FRAGMENTS + 1)
-                    fragments += range(FRAGMENTS + 1)
+                    cuts = at + np.searchsorted(part[at:to], np.arange(FRAGMENTS + 1))
+                    rows += [i + d] * FRAGMENTS
+                    fragments += range(FRAGMENTS)
                     starts += cuts[:-1].tolist()
                     ends += cuts[1:].tolist()
                 if not rows:
@@ -138,21 +162,21 @@ def _scan_fragments(n: int, heavy: np.ndarray):
     return run
 
 
-def _by_fragment(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, heavy: np.ndarray) -> DataFrame:
+def _by_fragment(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, order: GlobalOrder) -> DataFrame:
     """(a, b, fragment, grams of b, center_grams of a) for every pair (a, b) and fragment of the global order."""
     members = pairs.groupBy(F.col("b").alias("sid")).agg(F.collect_set("a").alias("centers"))
     centers = pairs.select(F.col("a").alias("sid")).distinct().withColumn("center", F.lit(True))
     want = members.join(centers, "sid", "full").join(keys, "sid").select("key", "sid", F.coalesce("center", F.lit(False)).alias("center"), F.coalesce("centers", F.array().cast("array<bigint>")).alias("centers"))
     held = texts.join(want.hint("merge"), "key").select("key", "text", "sid", "center", "centers")
-    fragments = held.mapInArrow(_scan_fragments(n, heavy), "sid long, center boolean, centers array<long>, fragment int, grams array<long>")
+    fragments = held.mapInArrow(_scan_fragments(n, order), "sid long, center boolean, centers array<long>, fragment int, grams array<long>")
     left = fragments.select(F.explode("centers").alias("a"), F.col("sid").alias("b"), "fragment", "grams")
     right = fragments.filter("center").select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("center_grams"))
     return left.join(right.hint("merge"), ["a", "fragment"])
 
 
-def _overlaps(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, heavy: np.ndarray) -> DataFrame:
+def _overlaps(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, order: GlobalOrder) -> DataFrame:
     """pairs with their overlap: counted fragment by fragment and summed."""
-    partial = _by_fragment(texts, keys, pairs, n, heavy).select("a", "b", F.size(F.array_intersect("grams", "center_grams")).alias("overlap"))
+    partial = _by_fragment(texts, keys, pairs, n, order).select("a", "b", F.size(F.array_intersect("grams", "center_grams")).alias("overlap"))
     return pairs.join(partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")), ["a", "b"])
 
 
@@ -162,14 +186,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     A set is the distinct word n-grams (ASCII lower case, words between white-space bytes); with fewer words it is the
     whole sequence as one n-gram, without words or text it is empty and linked with nothing. N-grams are 63-bit hashes.
 
-    1. Rows of equal sets are one node. 2. The global order of n-grams is by hash, the HEAVY_MOST most frequent ones
-    last. 3. Nodes that reach the threshold share an n-gram of their prefixes in that order, and share at least as many
+    1. Rows of equal sets are one node. 2. The global order of n-grams has rare ones first; the HEAVY_MOST most
+    frequent ones are known by their exact counts over all texts (see GlobalOrder). 3. Nodes that reach the threshold share an n-gram of their prefixes in that order, and share at least as many
     as `fits` says. Each n-gram's nodes are first paired with its hub only: the node whose prefix is shared most (the
-    original of near copies, as a rule). Each node is checked against the hub it shares most with; what is linked so
+    original of near copies, as a rule). Each node is checked against the hub of highest rank that it is like; what is linked so
     becomes components. 4. Two nodes x and y of one hub h that are in different components: one, say x, does not reach
     the threshold with h. If both share nothing of what sets them apart from h (n-grams of h that both lack, n-grams
-    of both that h lacks), J(x, y) <= J(x, h), so they are not linked. Otherwise |x & y| = |h| - |h - x| - |h - y| + the
-    number of n-grams that they share so; joining the differences gives it. 5. Pairs of different hubs and components
+    of both that h lacks), J(x, y) <= J(x, h), so they are not linked. What sets x and y apart is the symmetric
+    difference of these two sets of differences, and linked nodes differ in at most n (1 - t) / t n-grams; so linked
+    nodes share one of that many, and one more, of each node's rarest differences, at places that leave enough. Pairs that do are checked like
+    step 3, where hubs need not reach the threshold. 5. Pairs of different hubs and components
     that share prefix n-grams and fit are checked like step 3. So no link between components is lost, while a group of
     m near copies costs m pairs and not m * m. 6. Pairs are checked by vertical partitioning: the order is cut into
     fragments, each fragment's overlap is counted by itself and the counts are summed.
@@ -177,21 +203,23 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     Null ids are rows like any other (component_id null if no linked row has an id); repeated ids and rows are
     allowed; component_id is the smallest id reached. Other columns are ignored. An empty table gives no rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = landed(texts.mapInArrow(_scan_sets(n), "id long, n long, sid long, common array<struct<g: long, n: long>>"), "sets")
-    often = rows.select(F.explode("common").alias("c")).groupBy("c.g").agg(F.sum("c.n").alias("n")).filter(F.col("n") >= HEAVY_AT_LEAST).orderBy(F.desc("n"), "g").limit(HEAVY_MOST)
-    heavy = np.sort(np.array(often.select("g").toPandas()["g"], np.int64)).view(np.uint64)  # at most HEAVY_MOST numbers
+    rows = landed(texts.mapInArrow(_scan_sets(n), "id long, n long, sid long"), "sets")
+    order = GlobalOrder(percent)
+    often = texts.select("text").mapInArrow(_scan_counts(n, order.counted), "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_AT_LEAST).orderBy(F.desc("n"), "g").limit(HEAVY_MOST)
+    frequent = often.toPandas()  # at most HEAVY_MOST pairs of numbers
+    order.with_heavy(frequent["g"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
 
-    prefixes = texts.select("text").mapInArrow(_scan_prefixes(n, percent, heavy), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
+    length = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100).cast("long") + 1
+    prefixes = texts.select("text").mapInArrow(_scan_prefixes(n, percent, order), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
     grams = prefixes.select("sid", "n", F.explode("prefix").alias("g"))
     light, common = grams.filter("g >= 0"), landed(grams.filter("g < 0"), "heavy")
     light = light.withColumn("size", F.count("*").over(Window.partitionBy("g"))).filter("size > 1")
     sizes = common.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
     common = common.join(F.broadcast(sizes), "g")  # one row for each of at most HEAVY_MOST n-grams
     shared = landed(light.unionByName(common.select(*light.columns)), "shared")
-    rank = shared.groupBy("sid").agg(F.sum("size").alias("rank"))
+    rank = shared.groupBy("sid", "n").agg(F.sum("size").alias("rank")).select("sid", (F.col("rank") / length("n")).alias("rank"))
     hubs = shared.join(rank, "sid").groupBy("g").agg(F.max(F.struct("rank", "sid", "n")).alias("hub"))
 
-    length = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100).cast("long") + 1
     rest = lambda c: F.col(c) - length(c)
     required = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / (100 + percent)).cast("long")
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("met") >= required - F.greatest(rest("na"), rest("nb")))
@@ -202,13 +230,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     key = F.coalesce(F.col("id"), F.xxhash64("text"))
     nodes = rows.filter("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("key"))
     if rows.filter("id is null and n > 0").limit(1).count():
-        nodes = texts.select(key.alias("id"), "text").mapInArrow(_scan_sets(n), "id long, n long, sid long, common array<struct<g: long, n: long>>").filter("n > 0").groupBy("sid").agg(F.min("id").alias("key"))
+        nodes = texts.select(key.alias("id"), "text").mapInArrow(_scan_sets(n), "id long, n long, sid long").filter("n > 0").groupBy("sid").agg(F.min("id").alias("key"))
     keyed = texts.select(key.alias("key"), "text")
 
-    star = candidates(shared.join(hubs, "g").filter("sid <> hub.sid").select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
-    star = landed(star.groupBy("b").agg(F.max(F.struct("met", F.col("a"), "na", "nb")).alias("best")).select("best.a", "b", "best.na", "best.nb"), "pairs")
+    star = shared.join(hubs, "g").filter("sid <> hub.sid").groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"), F.max("hub.rank").alias("rank"))
+    star = star.filter((4 * F.col("met") >= F.least(length("na"), length("nb"))) & (2 * F.least("na", "nb") >= F.greatest("na", "nb")))
+    star = star.withColumn("like", F.floor(4 * F.col("met") / F.least(length("na"), length("nb"))))
+    star = landed(star.groupBy("b").agg(F.max(F.struct("like", "rank", F.col("a"), "na", "nb")).alias("best")).select("best.a", "b", "best.na", "best.nb"), "pairs")
     linked = (100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))
-    star = landed(_overlaps(keyed, nodes, star, n, heavy), "star")
+    star = landed(_overlaps(keyed, nodes, star, n, order).filter(2 * F.col("overlap") >= F.greatest("na", "nb")), "star")
     links = landed(star.filter(linked).select("a", "b"), "links")
     found = components(links).withColumnRenamed("node", "sid")
 
@@ -221,15 +251,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         (("center_grams", "grams"), lambda g: F.struct(F.lit(True).alias("lacks"), g.alias("g"))),
         (("grams", "center_grams"), lambda g: F.struct(F.lit(False).alias("lacks"), g.alias("g"))),
     )]
-    differ = _by_fragment(keyed, nodes, crowd.select("a", "b"), n, heavy).select("a", "b", F.explode(F.concat(*apart)).alias("d")).select("a", "b", "d.lacks", "d.g")
+    differ = _by_fragment(keyed, nodes, crowd.select("a", "b"), n, order).select("a", "b", F.explode(F.concat(*apart)).alias("d")).select("a", "b", "d.lacks", "d.g")
     differ = landed(differ.join(crowd, ["a", "b"]), "differ")
-    lacking = differ.filter("lacks").groupBy("a", "b").agg(F.count("*").alias("lacking"))
-    one = differ.filter("minor").select("a", "lacks", "g", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"))
-    two = differ.select("a", "lacks", "g", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("label").alias("ly"), "minor", "na")
-    same = one.join(two, ["a", "lacks", "g"]).filter((F.col("lx") != F.col("ly")) & (~F.col("minor") | (F.col("x") < F.col("y")))).groupBy("a", "na", "x", "y", "nx", "ny").agg(F.count("*").alias("same"))
-    same = same.join(lacking.select("a", F.col("b").alias("x"), F.col("lacking").alias("dx")), ["a", "x"], "left").join(lacking.select("a", F.col("b").alias("y"), F.col("lacking").alias("dy")), ["a", "y"], "left")
-    both = F.col("na") - F.coalesce("dx", F.lit(0)) - F.coalesce("dy", F.lit(0)) + F.col("same")
-    cousins = landed(same.filter((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    by_node = Window.partitionBy("a", "b")
+    apart_at_most = lambda m, n: F.floor((m + n) * (100 - percent) / (100 + percent))
+    largest = F.least(F.max("nb").over(Window.partitionBy("a")), F.floor(F.col("nb") * 100 / percent))
+    crowd_most = crowd.select("a", "b", (apart_at_most(F.col("nb"), largest) + 1).alias("most"))
+    often = differ.groupBy("a", "lacks", "g").agg(F.count("*").alias("often")).filter("often > 1")
+    rare = differ.join(often, ["a", "lacks", "g"], "left").withColumns({"place": F.row_number().over(by_node.orderBy("often", "lacks", "g")), "apart": F.count("*").over(by_node)})
+    rare = rare.filter("often is not null").join(crowd_most, ["a", "b"]).filter("place <= most")
+    one = rare.filter("minor").select("a", "lacks", "g", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"), F.col("place").alias("px"), F.col("apart").alias("dx"))
+    two = rare.select("a", "lacks", "g", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("label").alias("ly"), "minor", F.col("place").alias("py"), F.col("apart").alias("dy"))
+    enough = 2 * (1 + F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))) >= F.col("dx") + F.col("dy") - apart_at_most(F.col("nx"), F.col("ny"))
+    same = one.join(two, ["a", "lacks", "g"]).filter((F.col("lx") != F.col("ly")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & enough)
+    same = landed(same.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct(), "same")
+    cousins = landed(_overlaps(keyed, nodes, same, n, order).filter(linked).select("a", "b"), "links")
     if cousins.limit(1).count():
         links = landed(links.unionByName(cousins), "links")
         found = components(links).withColumnRenamed("node", "sid")
@@ -246,7 +282,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     first = F.col("x") < F.col("sid")
     pairs = pairs.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"))
     remaining = landed(candidates(pairs).select("a", "b", "na", "nb"), "pairs")
-    more = landed(_overlaps(keyed, nodes, remaining, n, heavy).filter(linked).select("a", "b"), "links")
+    more = landed(_overlaps(keyed, nodes, remaining, n, order).filter(linked).select("a", "b"), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more)).withColumnRenamed("node", "sid")
 
