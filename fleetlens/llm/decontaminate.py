@@ -23,6 +23,11 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, WHITE))
 
 
+def once(column: Column) -> Column:
+    """The column through a generator, so that expressions over it do not take in its making and repeat it."""
+    return F.explode(F.array(column))
+
+
 def _placed(rows: DataFrame, masks: list[tuple[int, ...]], *also: str) -> DataFrame:
     """(also, i, mask, seed): a hash of the words under each mask at each place where the mask fits.
 
@@ -51,12 +56,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     seeds = _placed(items, masks, "item").withColumnRenamed("i", "j")
     if seeds.count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
-    held = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("words"))
+    held = docs.select(F.col(id_col).alias("id"), once(words(F.col(text_col))).alias("words"))
     found = _placed(held, masks, "id").join(seeds, ["mask", "seed"]).filter("id is not null")
     hits = landed(found.select("id", "item", (F.col("i") - F.col("j")).alias("diagonal")).distinct(), "hits")
     small = hits.count() <= broadcast_seeds
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    near = texts.join(F.broadcast(hits) if small else hits, "id").join(items.select("item", F.col("words").alias("item_words")), "item").select("id", "item", "item_words", "diagonal", words(F.col("text")).alias("words"))
+    near = texts.join(F.broadcast(hits) if small else hits, "id").join(items.select("item", F.col("words").alias("item_words")), "item").select("id", "item", "item_words", "diagonal", once(words(F.col("text"))).alias("words"))
     equal = F.expr("transform(item_words, (w, m) -> coalesce(int(get(words, diagonal + m) = w), -100))")
     best = F.expr(f"array_max(transform(sequence(1, size(equal) - {WINDOW - 1}), s -> aggregate(slice(equal, s, {WINDOW}), 0, (a, x) -> a + x)))")
     whole = F.expr("if(forall(equal, x -> x = 1), size(item_words), 0)")
