@@ -82,7 +82,7 @@ _ROLE = "server_id, poll_s, CASE WHEN poll_s % 6 <> 0 THEN 'replica' ELSE 'stand
 oracle("replica_status", f"SELECT {_ROLE} FROM replica_rows", "replica_rows")
 oracle("replication_health", f"SELECT *, CASE WHEN lag_s > 30 THEN 2 WHEN lag_s > 5 OR NOT io_running OR NOT sql_running THEN 1 ELSE 0 END AS severity, lag_s >= 0 AS lag_known FROM (SELECT {_ROLE} FROM replica_rows) WHERE role = 'replica'", "replica_rows")
 oracle("innodb_status_metrics", "SELECT server_id, snapshot, CAST(regexp_extract(status_text, 'History list length (\\d+)', 1) AS BIGINT) AS history_length, CASE WHEN snapshot % 2 = 0 THEN 2 ELSE 1 END AS active, CASE WHEN snapshot % 2 = 0 THEN 1 ELSE 0 END AS lock_waits, snapshot * 10 AS trx_id_counter FROM status_texts", "status_texts")
-oracle("deadlock_participants", """SELECT server_id, snapshot, '2024-01-02 03:04:05' AS deadlock_ts, CAST(n AS INTEGER) AS n, CAST(snapshot + n AS VARCHAR) AS trx_id, snapshot % 1000 + n AS thread_id, 'localhost' AS host, 'root' AS user_name, '`shop`.`t`' AS table_name, 'PRIMARY' AS index_name, 'X' AS lock_mode,
+oracle("deadlock_participants", """SELECT server_id, snapshot, '2024-01-02 03:04:05' AS deadlock_ts, CAST(n AS INTEGER) AS n, CAST(snapshot + n AS VARCHAR) AS trx_id, snapshot % 1000 + n AS thread_id, 'localhost' AS host, 'root' AS user_name, 'shop.t' AS table_name, 'PRIMARY' AS index_name, 'X' AS lock_mode,
     'UPDATE t SET a = ' || CAST(snapshot + n AS VARCHAR) AS query FROM status_texts CROSS JOIN range(1, 3) r(n)""", "status_texts")
 oracle("server_info", "SELECT server_id, version, CASE WHEN version = '5.7.44' THEN 50744 WHEN version LIKE '8.0.45%' THEN 80045 WHEN version LIKE '10.6.1%' THEN 100601 ELSE 0 END AS version_number, version LIKE '%MariaDB%' AS is_mariadb, version LIKE '%aurora%' AS is_aurora, has_rds_kill AND version NOT LIKE '%MariaDB%' AS is_rds FROM servers", "servers")
 oracle("capability_audit", """SELECT server_id, digest, waits, history_long, concat_ws('; ', CASE WHEN NOT digest THEN 'statement digests are off' END, CASE WHEN NOT waits THEN 'wait events are off' END, CASE WHEN NOT history_long THEN 'long statement history is off' END) AS warnings FROM (
@@ -190,8 +190,8 @@ oracle("format_latency", "SELECT id, CASE WHEN ns = 0 THEN '-' WHEN ns >= 100000
 oracle("ps_to_ns", "SELECT id, ms // 1000 AS ns FROM num", "num")
 oracle("severity_label", "SELECT id, ['INFO', 'WARNING', 'CRITICAL'][id % 3 + 1] AS label FROM num", "num")
 oracle("issue_kind", "SELECT id, ['long-trx', 'lock-chain', 'ddl', 'deadlock', 'other'][id % 5 + 1] AS kind FROM num", "num")
-oracle("format_big_count", "SELECT id, CASE WHEN n >= 1000000000 THEN printf('%.1fB', n / 1e9) WHEN n >= 1000000 THEN printf('%.1fM', n / 1e6) WHEN n >= 1000 THEN printf('%.1fk', n / 1e3) ELSE CAST(n AS VARCHAR) END AS text FROM (SELECT id, ms * id AS n FROM num)", "num")
-oracle("format_rate", "SELECT id, CASE WHEN id >= 1000 THEN printf('%.1fk', id / 1000) ELSE CAST(id AS VARCHAR) END AS text FROM num", "num")
+oracle("format_big_count", "SELECT id, CASE WHEN n >= 1000000000 THEN printf('%.1fB', round(n / 1e9, 1)) WHEN n >= 1000000 THEN printf('%.1fM', round(n / 1e6, 1)) WHEN n >= 1000 THEN printf('%.1fk', round(n / 1e3, 1)) ELSE CAST(n AS VARCHAR) END AS text FROM (SELECT id, ms * id AS n FROM num)", "num")
+oracle("format_rate", "SELECT id, CASE WHEN id >= 1000 THEN printf('%.1fk', round(id / 1000, 1)) ELSE CAST(id AS VARCHAR) END AS text FROM num", "num")
 oracle("wait_class", f"SELECT event_name, {_CLASS.format(e='event_name')} AS class, count(*) AS n FROM wait_polls GROUP BY 1, 2", "wait_polls")
 oracle("strip_port", "SELECT pid, split_part(host, ':', 1) AS host FROM processes", "processes")
 oracle("compact_version", "SELECT server_id, split_part(version, '-', 1) AS version FROM servers", "servers")
@@ -200,3 +200,25 @@ oracle("stream_digest_deltas", f"SELECT {_KEYS}, {_s('poll_ts')} AS poll_ts, int
 oracle("stream_wait_load", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, class, interval_ns, count_delta, timer_delta_ps FROM wd", "wd")
 oracle("stream_cpu", f"SELECT server_id, {_s('ts')} AS ts, CAST(cpu_observations AS BIGINT) AS cpu_observations, cpu_ticks FROM cpu", "cpu")
 oracle("stream_load_window", f"SELECT server_id, {_s('ts')} - 3600 * k AS window_start, count(*) AS observations FROM ss CROSS JOIN range(0, 6) r(k) GROUP BY 1, 2", "ss")
+
+_IDS = "1700000000000 - coalesce((SELECT max(w.wait_ms) FROM lock_waits w WHERE w.waiting_pid = e.waiting_pid), 0)"
+oracle("lock_waits", """SELECT 0 AS server_id, 1700000000 AS snapshot_ts, 't' || waiting_pid AS waiting_trx_id, waiting_pid, CASE WHEN waiting_pid % 2 = 0 THEN 'UPDATE t' || waiting_pid ELSE '' END AS waiting_query, 't' || blocking_pid AS blocking_trx_id, blocking_pid,
+    CASE WHEN blocking_pid % 2 = 0 THEN 'UPDATE t' || blocking_pid WHEN blocking_pid % 5 <> 0 THEN 'q' || blocking_pid ELSE '' END AS blocking_query, 'shop.t' || (blocking_pid % 3) AS lock_table, wait_ms, CASE WHEN waiting_pid % 5 <> 0 THEN 'u' || (waiting_pid % 4) ELSE '' END AS waiting_user, CASE WHEN waiting_pid % 5 <> 0 THEN 'h' ELSE '' END AS waiting_host,
+    CASE WHEN blocking_pid % 5 <> 0 THEN 'u' || (blocking_pid % 4) ELSE '' END AS blocking_user, CASE WHEN blocking_pid % 5 <> 0 THEN 'h' ELSE '' END AS blocking_host FROM lock_waits""", "lock_waits")
+oracle("chain_text", """SELECT server_id, array_to_string(path, '>') AS path, list_aggregate(list_transform(path, lambda x: 'PID:' || x || CASE WHEN x = 1 THEN '' ELSE '(w' || (x % 5) || '@h1) shop.t' || (x % 3) || ' [UPDATE t]' END), 'string_agg', ' -> ') AS chain_text FROM chains WHERE depth >= 2 AND path[-1] NOT IN (SELECT blocking_pid FROM lock_waits)""", "chains")
+oracle("load_report", f"SELECT server_id, round(whole, 6) AS total, string_agg(class || '=' || printf('%.4f', round(round(raw, 6), 4)), ',' ORDER BY ordinal) AS classes FROM ({_LOAD}) GROUP BY server_id, whole", "wd", "cpu", "good_polls")
+_SNAPS = "SELECT DISTINCT server_id, snapshot_ts FROM processes"
+_REPORTS = "SELECT server_id, snapshot_ts, CASE WHEN lo % 3 <> 0 THEN 't' || (lo // 1000) END AS deadlock_ts, [lo + CASE WHEN lo % 2 = 0 THEN 0 ELSE 1 END, hi + 1] AS participants FROM (SELECT server_id, snapshot_ts, min(pid) AS lo, max(pid) AS hi FROM processes GROUP BY 1, 2)"
+_DEAD = f"SELECT * FROM (SELECT *, last_value(deadlock_ts IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY snapshot_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ts, EXISTS (SELECT 1 FROM processes p WHERE p.server_id = r.server_id AND p.snapshot_ts = r.snapshot_ts AND list_contains(r.participants, p.pid)) AS alive FROM ({_REPORTS}) r) WHERE deadlock_ts IS NOT NULL AND (last_ts IS NULL OR last_ts <> deadlock_ts OR alive)"
+oracle("deadlocks", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, deadlock_ts, array_to_string(participants, '>') AS participants, 2 AS severity FROM ({_DEAD})", "processes")
+oracle("stream_deadlocks", f"SELECT DISTINCT server_id, deadlock_ts FROM ({_REPORTS}) WHERE deadlock_ts IS NOT NULL", "processes")
+_ISSUES = f"""SELECT server_id, snapshot_ts, 0 AS ordinal, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity FROM transactions WHERE age_s >= 30
+    UNION ALL SELECT server_id, snapshot_ts, 1, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'
+    UNION ALL SELECT a.server_id, a.snapshot_ts, 1, 'ddl_conflict', CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'
+    UNION ALL SELECT server_id, snapshot_ts, 2, 'deadlock', 2 FROM ({_DEAD})"""
+oracle("all_issues", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, ordinal, detector, severity, count(*) AS issues FROM ({_ISSUES}) i GROUP BY server_id, i.snapshot_ts, ordinal, detector, severity", "pw", "transactions")
+oracle("max_severity", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) AS severity FROM ({_SNAPS}) s", "pw", "transactions")
+_COUNT = "(SELECT count(*) FROM {t} x WHERE x.server_id = s.server_id AND x.snapshot_ts = s.snapshot_ts) AS {n}"
+oracle("snapshot_counts", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'metadata_locks'))}, {_COUNT.format(t='(' + _ISSUES + ')', n='issues')} FROM ({_SNAPS}) s", "pw", "transactions", "metadata_locks")
+oracle("snapshot_report", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions'))}, ['INFO', 'WARNING', 'CRITICAL'][coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) + 1] AS max_severity, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='issues').replace(' AS issues', '')} AS INTEGER) AS issues FROM ({_SNAPS}) s", "pw", "transactions")
+oracle("format_bytes", "SELECT id, CASE WHEN n >= 1073741824 THEN printf('%.1fGB', round(n / 1073741824, 1)) WHEN n >= 1048576 THEN printf('%.0fMB', round(n / 1048576)) WHEN n >= 1024 THEN printf('%.0fKB', round(n / 1024)) ELSE n || 'B' END AS text FROM (SELECT id, ms * id AS n FROM num)", "num")

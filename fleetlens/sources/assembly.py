@@ -82,7 +82,7 @@ def deadlock_participants(texts: DataFrame) -> DataFrame:
     origin = part(r"(?:MySQL|MariaDB) thread id \d+, OS thread handle \S+, query id \d+ ([^\n]*)")
     return rows.select(
         *keep, "deadlock_ts", (F.col("n") + 1).alias("n"), part(r"TRANSACTION (\w+), ").alias("trx_id"), F.coalesce(part(r"thread id (\d+)").try_cast("bigint"), F.lit(0)).alias("thread_id"),
-        F.split_part(origin, F.lit(" "), F.lit(1)).alias("host"), F.regexp_extract(origin, r"^\S+(?: \d+\.\d+\.\d+\.\d+)? (\S+)", 1).alias("user_name"), part(r"of table `?([\w.`]+)`? ").alias("table_name"), part(r"index (\S+) of table").alias("index_name"), part(r"lock_mode (\w+)").alias("lock_mode"), part(r"thread id [^\n]*\n([^\n]*)").alias("query"),
+        F.split_part(origin, F.lit(" "), F.lit(1)).alias("host"), F.regexp_extract(origin, r"^\S+(?: \d+\.\d+\.\d+\.\d+)? (\S+)", 1).alias("user_name"), F.replace(part(r"of table (\S+) "), F.lit("`"), F.lit("")).alias("table_name"), part(r"index (\S+) of table").alias("index_name"), part(r"lock_mode (\w+)").alias("lock_mode"), part(r"thread id [^\n]*\n([^\n]*)").alias("query"),
     )
 
 
