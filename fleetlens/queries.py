@@ -77,11 +77,6 @@ def add(name: str, f: Callable[[Fleet], DataFrame]) -> None:
     query(f)
 
 
-def scalar(name: str, **columns) -> None:
-    """A query over all SQL texts or events that applies column expressions."""
-    add(name, lambda t: t.sql_texts.select("id", *(c.alias(k) for k, c in columns.items())))
-
-
 # scans and assembly
 add("digest_scan", lambda t: S.digest_scan(t.digest_polls))
 add("wait_scan", lambda t: S.wait_scan(t.wait_polls))
@@ -258,31 +253,42 @@ add("plan_hash", lambda t: E.plan_hash(t.plans))
 add("plan_flips", lambda t: E.plan_flips(E.plan_hash(t.plans)))
 add("explain_candidates", lambda t: E.explain_candidates(t.digest_polls, t.session_ticks.filter("digest <> 'view'").withColumn("timer_end", F.col("processlist_id"))))
 
-# scalar functions
-_sql = F.col("sql_text")
-scalar("strip_sql_comments", stripped=txt.strip_sql_comments(_sql))
-scalar("query_label", label=txt.query_label(F.col("digest_text"), _sql))
-scalar("table_from_sql", table_name=txt.table_from_sql(_sql))
-scalar("untableable_bucket", bucket=txt.untableable_bucket(_sql))
-scalar("explain_safe", safe=txt.explain_safe(_sql), verb=txt.statement_verb(_sql))
-scalar("is_ddl", ddl=txt.is_ddl(_sql))
-scalar("app_tag", app_tag=txt.app_tag(_sql, F.col("digest_text")))
-scalar("sql_comment_map", pairs=F.array_join(F.transform(F.array_sort(F.map_entries(txt.sql_comment_map(_sql))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&"))
-scalar("truncate_text", cut=fmt.truncate_text(_sql, 20), flat=fmt.collapse_ws(_sql))
-scalar("collapse_ws", flat=fmt.collapse_ws(_sql))
-_id = F.col("id")
-_ms = _id * 7919
-scalar("human_duration", text=fmt.human_duration(_ms))
-scalar("format_duration", text=fmt.format_duration(_ms))
-scalar("parse_duration", seconds=fmt.parse_duration(fmt.format_duration(_ms)), bad=fmt.parse_duration(F.concat(_id.cast("string"), F.lit("x"))))
-scalar("human_uptime", text=fmt.human_uptime(_ms))
-scalar("format_latency", text=fmt.format_latency(_ms * _ms))
-scalar("format_big_count", text=fmt.format_big_count(_ms * _id))
-scalar("format_rate", text=fmt.format_rate(_id.cast("double")))
-scalar("format_bytes", text=fmt.format_bytes(_ms * _id))
-scalar("ps_to_ns", ns=fmt.ps_to_ns(_ms))
-scalar("severity_label", label=fmt.severity_label(_id % 3))
-scalar("issue_kind", kind=fmt.issue_kind(F.element_at(F.array(*(F.lit(x) for x in (*fmt.KINDS, "other"))), (_id % 5 + 1).cast("int"))))
+# scalar functions, each over all SQL texts or ids
+SCALARS = (
+    "strip_sql_comments", "query_label", "table_from_sql", "untableable_bucket", "explain_safe", "is_ddl", "app_tag", "sql_comment_map", "truncate_text", "collapse_ws", "human_duration", "format_duration", "parse_duration", "human_uptime", "format_latency", "format_big_count", "format_rate", "format_bytes", "ps_to_ns", "severity_label", "issue_kind",
+)
+
+
+def scalars() -> dict[str, dict]:
+    sql, i = F.col("sql_text"), F.col("id")
+    ms = i * 7919
+    return {
+        "strip_sql_comments": dict(stripped=txt.strip_sql_comments(sql)),
+        "query_label": dict(label=txt.query_label(F.col("digest_text"), sql)),
+        "table_from_sql": dict(table_name=txt.table_from_sql(sql)),
+        "untableable_bucket": dict(bucket=txt.untableable_bucket(sql)),
+        "explain_safe": dict(safe=txt.explain_safe(sql), verb=txt.statement_verb(sql)),
+        "is_ddl": dict(ddl=txt.is_ddl(sql)),
+        "app_tag": dict(app_tag=txt.app_tag(sql, F.col("digest_text"))),
+        "sql_comment_map": dict(pairs=F.array_join(F.transform(F.array_sort(F.map_entries(txt.sql_comment_map(sql))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")),
+        "truncate_text": dict(cut=fmt.truncate_text(sql, 20), flat=fmt.collapse_ws(sql)),
+        "collapse_ws": dict(flat=fmt.collapse_ws(sql)),
+        "human_duration": dict(text=fmt.human_duration(ms)),
+        "format_duration": dict(text=fmt.format_duration(ms)),
+        "parse_duration": dict(seconds=fmt.parse_duration(fmt.format_duration(ms)), bad=fmt.parse_duration(F.concat(i.cast("string"), F.lit("x")))),
+        "human_uptime": dict(text=fmt.human_uptime(ms)),
+        "format_latency": dict(text=fmt.format_latency(ms * ms)),
+        "format_big_count": dict(text=fmt.format_big_count(ms * i)),
+        "format_rate": dict(text=fmt.format_rate(i.cast("double"))),
+        "format_bytes": dict(text=fmt.format_bytes(ms * i)),
+        "ps_to_ns": dict(ns=fmt.ps_to_ns(ms)),
+        "severity_label": dict(label=fmt.severity_label(i % 3)),
+        "issue_kind": dict(kind=fmt.issue_kind(F.element_at(F.array(*(F.lit(x) for x in (*fmt.KINDS, "other"))), (i % 5 + 1).cast("int")))),
+    }
+
+
+for _name in SCALARS:
+    add(_name, lambda t, n=_name: t.sql_texts.select("id", *(c.alias(k) for k, c in scalars()[n].items())))
 add("wait_class", lambda t: t.wait_polls.groupBy("event_name", txt.wait_class(F.col("event_name")).alias("class")).agg(F.count("*").alias("n")))
 add("strip_port", lambda t: t.processes.select("pid", fmt.strip_port(F.col("host")).alias("host")))
 add("compact_version", lambda t: t.servers.select("server_id", fmt.compact_version(F.col("version")).alias("version")))
