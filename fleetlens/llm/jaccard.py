@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -187,8 +187,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     whole sequence as one n-gram, without words or text it is empty and linked with nothing. N-grams are 63-bit hashes.
 
     1. Rows of equal sets are one node. 2. The global order of n-grams has rare ones first; the HEAVY_MOST most
-    frequent ones are known by their exact counts over all texts (see GlobalOrder). 3. Nodes that reach the threshold share an n-gram of their prefixes in that order, and share at least as many
-    as `fits` says. Each n-gram's nodes are first paired with its hub only: the node whose prefix is shared most (the
+    frequent ones are known by their exact counts over all texts (see GlobalOrder). 3. Nodes that reach the threshold share an n-gram of their prefixes in that order, and share more of
+    them the longer the prefixes are (see `slack`). Each n-gram's nodes are first paired with its hub only: the node whose prefix is shared most (the
     original of near copies, as a rule). Each node is checked against the hub of highest rank that it is like; what is linked so
     becomes components. 4. Two nodes x and y of one hub h that are in different components: one, say x, does not reach
     the threshold with h. If both share nothing of what sets them apart from h (n-grams of h that both lack, n-grams
@@ -211,7 +211,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     length = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100).cast("long") + 1
     prefixes = texts.select("text").mapInArrow(_scan_prefixes(n, percent, order), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
-    grams = prefixes.select("sid", "n", F.explode("prefix").alias("g"))
+    grams = prefixes.select("sid", "n", F.posexplode("prefix").alias("place", "g"))
     light, common = grams.filter("g >= 0"), landed(grams.filter("g < 0"), "heavy")
     light = light.withColumn("size", F.count("*").over(Window.partitionBy("g"))).filter("size > 1")
     sizes = common.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
@@ -220,12 +220,17 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     rank = shared.groupBy("sid", "n").agg(F.sum("size").alias("rank")).select("sid", (F.col("rank") / length("n")).alias("rank"))
     hubs = shared.join(rank, "sid").groupBy("g").agg(F.max(F.struct("rank", "sid", "n")).alias("hub"))
 
-    rest = lambda c: F.col(c) - length(c)
-    required = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / (100 + percent)).cast("long")
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("met") >= required - F.greatest(rest("na"), rest("nb")))
+    required = lambda m, n: F.floor((percent * (m + n) + 99 + percent) / (100 + percent)).cast("long")
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(fits)
+    def slack(m: Column, n: Column) -> Column:
+        """Two sets of these sizes that reach the threshold share one n-gram of their first size - required + 1, and
+        k + 1 of their first size - required + 1 + k; a third of what the longer prefix has beyond that is taken as k."""
+        longest = F.greatest(m - F.floor((percent * m + 99) / 100), n - F.floor((percent * n + 99) / 100))
+        return F.floor(F.greatest(longest - F.greatest(m, n) + required(m, n), F.lit(0)) / 3).cast("long")
+
+    def early(place: str, size: str, other: str) -> Column:
+        m, n = F.col(size), F.col(other)
+        return F.col(place) <= m - required(m, n) + slack(m, n)
 
     key = F.coalesce(F.col("id"), F.xxhash64("text"))
     nodes = rows.filter("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("key"))
@@ -276,12 +281,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     parts = placed.groupBy("g", "label").agg(F.count("*").alias("size"), F.min("hub").alias("low"), F.max("hub").alias("high"))
     split = parts.groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high")).filter("parts > 1 and low <> high").select("g", "main")
     open_rows = landed(placed.join(split, "g"), "open")
-    minor = open_rows.filter("label <> main").select("g", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("hub").alias("hx"))
-    pairs = minor.join(open_rows.select("g", "sid", "n", "label", "hub", (F.col("label") == F.col("main")).alias("major")), "g")
-    pairs = pairs.filter((F.col("lx") != F.col("label")) & (F.col("hx") != F.col("hub")) & (F.col("major") | (F.col("x") < F.col("sid"))) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")))
+    minor = open_rows.filter("label <> main").select("g", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("hub").alias("hx"), F.col("place").alias("px"))
+    pairs = minor.join(open_rows.select("g", "sid", "n", "label", "hub", "place", (F.col("label") == F.col("main")).alias("major")), "g")
+    like = (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")) & early("px", "nx", "n") & early("place", "n", "nx")
+    pairs = pairs.filter((F.col("lx") != F.col("label")) & (F.col("hx") != F.col("hub")) & (F.col("major") | (F.col("x") < F.col("sid"))) & like)
     first = F.col("x") < F.col("sid")
     pairs = pairs.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"))
-    remaining = landed(candidates(pairs).select("a", "b", "na", "nb"), "pairs")
+    enough = F.col("met") >= slack(F.col("na"), F.col("nb")) + 1
+    remaining = landed(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(enough).select("a", "b", "na", "nb"), "pairs")
     more = landed(_overlaps(keyed, nodes, remaining, n, order).filter(linked).select("a", "b"), "links")
     if more.limit(1).count():
         found = components(links.unionByName(more)).withColumnRenamed("node", "sid")
