@@ -208,7 +208,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     1. Windows are grouped by anchor; an anchor that occurs once has no repeated window. 2. Equal fragments are one
     document of the collection with a count; a fragment that occurs twice is repeated as a whole. 3. The other
     fragments of an anchor are compared by the column rounds. 4. Repeated starts go back to all places of a fragment."""
-    found = landed(texts.mapInArrow(_scan(length), "k1 long, k2 long, start long, width int, off int, anchor long, f1 long, f2 long"), "anchors")
+    # scanned twice: what a scan finds is half the input's size, more than the shuffle that both uses need
+    found = texts.mapInArrow(_scan(length), "k1 long, k2 long, start long, width int, off int, anchor long, f1 long, f2 long")
     twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     shared = landed(found.join(twice, "anchor"), "shared-anchors")
     distinct = landed(
