@@ -82,8 +82,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class SpanHash:
     """64-bit hashes of any spans of a byte array, from one running sum.
 
-    Each byte stands for a random 64-bit value and each place for a power of an odd base modulo 2**64, so a span's
-    hash is a difference of two running sums times an inverse power."""
+    Each byte stands for a random 64-bit value (64-bit items, as hashes of words, for themselves) and each place for a
+    power of an odd base modulo 2**64, so a span's hash is a difference of two running sums times an inverse power."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -102,7 +102,7 @@ class SpanHash:
                 self._powers[seed] = held
         self._inverse = held[1]
         self._sums = np.zeros(n, np.uint64)
-        np.cumsum(table[data] * held[0][: n - 1], out=self._sums[1:])
+        np.cumsum((data if data.dtype == np.uint64 else table[data]) * held[0][: n - 1], out=self._sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self._sums[end] - self._sums[start]) * self._inverse[start])

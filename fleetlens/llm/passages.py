@@ -1,0 +1,90 @@
+"""Passages of a number of words that occur more than once, whatever their length in bytes."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.llm.common import SpanHash, chunks, landed, utf8, word_spans
+from fleetlens.llm.suffix_dedup import anchored_runs
+
+WORDS_PIECE = 1_000_000
+
+
+def word_runs(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document, first byte, size in bytes, anchor's hash, two hashes of the fragment's bytes).
+
+    As `anchored_runs`, with words for bytes: white space between words does not count in anchors and windows."""
+    start, end, doc = word_spans(data, offsets)
+    for at in range(0, len(start) - words + 1, WORDS_PIECE):  # overlapping pieces: a cut only splits runs
+        s, e, d = (x[at : at + WORDS_PIECE + words - 1] for x in (start, end, doc))
+        own = data[s[0] : e[-1]]
+        one, two = SpanHash(own, 1), SpanHash(own, 2)
+        ids = np.flatnonzero(np.diff(d, prepend=-1))
+        run, first, more, _, anchor, _, _ = anchored_runs(one.spans(s - s[0], e - s[0]), np.append(ids, len(d)), words)
+        if len(run):
+            a, z = s[first], e[first + more + words - 1]
+            yield d[first], a - offsets[d[first]], z - a, anchor, one.spans(a - s[0], z - s[0]), two.spans(a - s[0], z - s[0])
+
+
+def _scan(words: int):
+    names = ["k1", "k2", "start", "size", "anchor", "f1", "f2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column(2))
+            k1, k2 = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for i, j in chunks(offsets):
+                for doc, start, size, anchor, f1, f2 in word_runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[i + doc]), pa.array(k2[i + doc]), pa.array(start), pa.array(size.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (anchor, f1, f2))], names)
+
+    return run
+
+
+def _windows(words: int):
+    """Every window of the wanted fragments, by a hash that is independent of the anchor's."""
+    names = ["anchor", "h", "f1", "f2", "n", "first", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, wanted = b.column(0).cast(pa.binary()), b.column(1)
+            for i in range(b.num_rows):
+                text, rows = texts[i].as_py(), wanted[i].as_py()
+                parts = [text[w["start"] : w["start"] + w["size"]] for w in rows]
+                offsets = np.cumsum([0, *map(len, parts)])
+                data = np.frombuffer(b"".join(parts), np.uint8)
+                start, end, doc = word_spans(data, offsets)
+                at = np.flatnonzero(doc[: len(doc) - words + 1] == doc[words - 1 :])
+                h = SpanHash(SpanHash(data, 2).spans(start, end), 2).spans(at, at + words)
+                d = doc[at]
+                of = {k: np.array([w[k] for w in rows], np.int64)[d] for k in ("anchor", "f1", "f2", "n")}
+                first, last = start[at] - offsets[d], end[at + words - 1] - offsets[d]
+                yield pa.RecordBatch.from_arrays([pa.array(of["anchor"]), pa.array(h.view(np.int64)), *(pa.array(of[k]) for k in ("f1", "f2", "n")), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names)
+
+    return run
+
+
+def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
+    """(k1, k2, spans) of the texts (k1, k2, text) with bytes covered by ``words`` words that start elsewhere too.
+
+    Fragments are found as in `suffix_dedup.repeated_spans`; those that differ at one anchor are compared by the hashes
+    of their windows, which are dealt out by window, not by anchor. All windows of a fragment hold its anchor, so the
+    repeated ones cover one span of it."""
+    found = texts.mapInArrow(_scan(words), "k1 long, k2 long, start long, size int, anchor long, f1 long, f2 long")
+    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    shared = landed(found.join(twice, "anchor"), "shared-passages")
+    distinct = landed(shared.groupBy("anchor", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at")), "passages")
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("n").alias("least")).filter("parts > 1 and least = 1").select("anchor")
+    wanted = distinct.join(groups, "anchor").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("anchor", "f1", "f2", "n", "at.start", "at.size")).alias("wanted"))
+    held = texts.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted")
+    windows = landed(held.mapInArrow(_windows(words), "anchor long, h long, f1 long, f2 long, n long, first int, end int"), "passage-windows")
+    again = landed(windows.groupBy("anchor", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "h"), "repeated-windows")
+    runs = windows.filter("n = 1").join(again, ["anchor", "h"]).groupBy("f1", "f2").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    whole = distinct.filter("n > 1").select("f1", "f2", F.lit(0).alias("first"), F.col("at.size").alias("end"))
+    places = shared.select("k1", "k2", "start", "f1", "f2").distinct().join(whole.unionByName(runs), ["f1", "f2"])
+    spans = places.select("k1", "k2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end"))
+    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "end")).alias("spans"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -255,18 +255,22 @@ def _kept(text: bytes, spans: list[dict] | None, whole_characters: bool) -> tupl
     return b"".join(parts), removed, len(merged)
 
 
-def without_repeats(docs: DataFrame, length: int = MIN_BYTES, text_col: str = "text", with_text: bool = True, whole_characters: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = MIN_BYTES, text_col: str = "text", with_text: bool = True, whole_characters: bool = True, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add n_bytes, n_removed, n_spans, kept_sha256 and (``with_text``) kept_text to ``docs``.
 
     Removed is every byte of the UTF-8 text that is covered by a string of ``length`` bytes that also starts anywhere
     else in the table, the same text included; matches never cross texts. With ``whole_characters`` the removed runs
     shrink to whole characters, so that what is left is text. Null texts are empty. Repeated rows are copies of each
-    other; every row gets a row. Columns of these names are replaced. An empty table gives no rows."""
+    other; every row gets a row. Columns of these names are replaced. An empty table gives no rows. The spans that
+    ``also`` finds in the texts (k1, k2, text) are removed too."""
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])]
     kept = [c for c in docs.columns if c not in names]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keys = F.xxhash64(text).alias("k1"), (F.crc32(text.cast("binary")) + F.octet_length(text).cast("long") * F.lit(2**32)).alias("k2")
-    spans = repeated_spans(docs.select(*keys, text.alias("text")), length)
+    texts = docs.select(*keys, text.alias("text"))
+    spans = repeated_spans(texts, length)
+    if also:
+        spans = spans.unionByName(also(texts)).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     rows = docs.select(*kept, *(k.alias(f"__{n}") for k, n in zip(keys, ("k1", "k2"), strict=True)), text.alias("__text"))
     joined = rows.join(spans.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "spans": "__spans"}).hint("merge"), ["__k1", "__k2"], "left").select(*kept, "__text", "__spans")
 
