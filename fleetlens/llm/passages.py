@@ -75,7 +75,8 @@ def repeated_passages(texts: DataFrame, words: int) -> DataFrame:
     of their windows, which are dealt out by window, not by anchor. All windows of a fragment hold its anchor, so the
     repeated ones cover one span of it."""
     found = texts.mapInArrow(_scan(words), "k1 long, k2 long, start long, size int, anchor long, f1 long, f2 long")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # landed, so that the join has a shuffle on either side and a hot anchor's rows can be dealt out
+    twice = landed(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
     shared = landed(found.join(twice, "anchor"), "shared-passages")
     distinct = landed(shared.groupBy("anchor", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "size")).alias("at")), "passages")
     groups = distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("n").alias("least")).filter("parts > 1 and least = 1").select("anchor")

@@ -18,6 +18,7 @@ PIECE = 8_000_000
 PLACE_BITS = 24
 ROUND_ROWS = 20_000
 FILE_OVER = 64_000_000
+HOT_PARTS = 20_000
 PAD_LEFT, PAD_RIGHT = 257, 256
 
 
@@ -182,14 +183,23 @@ def _sort_columns(length: int):
     return run
 
 
+def _wanted(b: pa.RecordBatch, last: list[tuple]) -> Iterator[tuple[bytes, list[dict]]]:
+    """(text, wanted fragments) of the rows (k1, k2, text, wanted), sorted by key; a text that comes again is left out."""
+    texts = b.column(2).cast(pa.binary())
+    for i in range(b.num_rows):
+        key = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+        if key != last[0]:
+            last[0] = key
+            yield texts[i].as_py() or b"", b.column(3)[i].as_py()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted fragments' bytes; a text that comes again is cut once."""
+    """The wanted fragments' bytes."""
+    last = [()]
     for b in batches:
-        texts, wanted = b.column(0).cast(pa.binary()), b.column(1)
         rows, size = [], 0
-        for i in range(b.num_rows):
-            text = texts[i].as_py() or b""
-            for w in wanted[i].as_py():
+        for text, wanted in _wanted(b, last):
+            for w in wanted:
                 rows.append({k: w[k] for k in ("anchor", "f1", "f2", "off", "width")} | {"bytes": text[w["start"] : w["start"] + w["size"]]})
                 size += w["size"]
             if size > 4_000_000:
@@ -199,6 +209,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, _FRAGMENT)
 
 
+def _hot_windows(length: int):
+    """Every window of the wanted fragments, by two hashes."""
+    names = ["h1", "h2", "f1", "f2", "n", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [()]
+        for b in batches:
+            for text, wanted in _wanted(b, last):
+                for w in wanted:
+                    data = np.frombuffer(text, np.uint8, w["size"], w["start"])
+                    start = np.arange(w["width"] + 1)
+                    h = [pa.array(SpanHash(data, seed).spans(start, start + length).view(np.int64)) for seed in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([*h, *(pa.array(np.full(len(start), w[k], np.int64)) for k in ("f1", "f2", "n")), pa.array(start.astype(np.int32))], names)
+
+    return run
+
+
+def _hot_runs(held: DataFrame, length: int) -> DataFrame:
+    """(f1, f2, runs) of the fragments of anchors that have too many for one task: windows are dealt out by their hashes.
+
+    All windows of a fragment hold its anchor, so its repeated ones cover one span, given as one run."""
+    windows = landed(held.mapInArrow(_hot_windows(length), "h1 long, h2 long, f1 long, f2 long, n long, start int"), "hot-windows")
+    again = landed(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"), "hot-repeats")
+    found = windows.filter("n = 1").join(again, ["h1", "h2"]).groupBy("f1", "f2").agg(F.min("start").alias("first"), F.max("start").alias("last"))
+    return found.select("f1", "f2", F.array(F.struct("first", "last")).alias("runs"))
+
+
 _FRAGMENT = pa.schema([("anchor", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("off", pa.int32()), ("width", pa.int32()), ("bytes", pa.binary())])
 
 
@@ -207,22 +244,30 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     1. Windows are grouped by anchor; an anchor that occurs once has no repeated window. 2. Equal fragments are one
     document of the collection with a count; a fragment that occurs twice is repeated as a whole. 3. The other
-    fragments of an anchor are compared by the column rounds. 4. Repeated starts go back to all places of a fragment."""
+    fragments of an anchor are compared by the column rounds, those of an anchor with more than HOT_PARTS by the hashes
+    of their windows. 4. Repeated starts go back to all places of a fragment."""
     # scanned twice: what a scan finds is half the input's size, more than the shuffle that both uses need
     found = texts.mapInArrow(_scan(length), "k1 long, k2 long, start long, width int, off int, anchor long, f1 long, f2 long")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # landed, so that the join has a shuffle on either side and a hot anchor's rows can be dealt out
+    twice = landed(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
     shared = landed(found.join(twice, "anchor"), "shared-anchors")
     distinct = landed(
         shared.groupBy("anchor", "f1", "f2").agg(F.count("*").alias("n"), F.min("off").alias("off"), F.min("width").alias("width"), F.min(F.struct("k1", "k2", "start")).alias("at")), "fragments"
     )
-    groups = distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("n").alias("least")).filter("parts > 1 and least = 1").select("anchor")
-    compared = distinct.join(groups, "anchor")
-    wanted = compared.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("anchor", "f1", "f2", "off", "width", F.col("at.start").alias("start"), (F.col("width") + length).alias("size"))).alias("wanted"))
-    held = texts.join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted")
-    fragments = held.mapInArrow(_cut, "anchor long, f1 long, f2 long, off int, width int, bytes binary")
+    groups = distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("n").alias("least")).filter("parts > 1 and least = 1")
+    hot = F.col("parts") > HOT_PARTS
+
+    def held(anchors: DataFrame) -> DataFrame:
+        compared = distinct.join(anchors.select("anchor"), "anchor")
+        wanted = compared.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("anchor", "f1", "f2", "n", "off", "width", F.col("at.start").alias("start"), (F.col("width") + length).alias("size"))).alias("wanted"))
+        return texts.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
+
+    fragments = held(groups.filter(~hot)).mapInArrow(_cut, "anchor long, f1 long, f2 long, off int, width int, bytes binary")
     fragments = fragments.repartition("anchor").sortWithinPartitions("anchor", "f1", "f2")
     fragments = fragments.select("anchor", "f1", "f2", "off", "width", "bytes")
     runs = fragments.mapInArrow(_sort_columns(length), "f1 long, f2 long, runs array<struct<first: int, last: int>>").filter("size(runs) > 0")
+    if groups.filter(hot).limit(1).count():
+        runs = runs.unionByName(_hot_runs(held(groups.filter(hot)), length))
     runs = runs.groupBy("f1", "f2").agg(F.max("runs").alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("width").alias("last")))
     repeated = distinct.select("f1", "f2", "n", "width").join(runs, ["f1", "f2"], "left")
