@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +17,62 @@ BITS = 16
 GRAMS = (2, 4)
 SWITCH_PENALTY = 12.0
 FIT_ROWS = 40_000
+SCORED_BYTES = 256_000
+LABELLED_BYTES = 2_000_000
 UNKNOWN = "und"
 BARRED = -30.0
 
-#: Scripts by the first byte of a UTF-8 sequence (0: no letter, or a byte that continues one).
+#: Scripts by the first byte of a UTF-8 letter (letters of other first bytes are of script "other").
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian_hebrew", "arabic", "indic_thai", "other", "kana", "han", "hangul")
-SCRIPT_OF = np.zeros(256, np.uint8)
-for first, last, script in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC3, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD7, 4), (0xD8, 0xDD, 5), (0xE0, 0xE0, 6), (0xE1, 0xE1, 7), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF0, 9)):
+SCRIPT_OF = np.full(256, SCRIPTS.index("other"), np.uint8)
+for first, last, script in ((0x41, 0x5A, 1), (0x61, 0x7A, 1), (0xC2, 0xCA, 1), (0xCD, 0xCF, 2), (0xD0, 0xD4, 3), (0xD5, 0xD7, 4), (0xD8, 0xDD, 5), (0xE0, 0xE0, 6), (0xE3, 0xE3, 8), (0xE4, 0xE9, 9), (0xEA, 0xED, 10), (0xF0, 0xF0, 9)):
     SCRIPT_OF[first : last + 1] = script
 
+CODE_POINTS = 0x32400  # no letter lies beyond
+MARK, LETTER = 1, 2
+
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = 32
 _PLAIN[97:123] = np.arange(97, 123)
 _PLAIN[65:91] = np.arange(97, 123)
 
 
-def plain(data: np.ndarray) -> np.ndarray:
-    """Letters in lower case, every other ASCII byte a space."""
-    out = _PLAIN[data]
-    if len(out) > 1:
-        upper = np.flatnonzero((out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97) & (out[:-1] == 0xC3)) + 1
-        out[upper] += 0x20
-    return out
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """(LETTER, MARK or 0 by code point; the lower case of each code point of two bytes)."""
+    kinds = np.zeros(CODE_POINTS + 1, np.uint8)
+    kinds[:CODE_POINTS] = [{"L": LETTER, "M": MARK}.get(unicodedata.category(chr(c))[0], 0) for c in range(CODE_POINTS)]
+    lower = np.arange(0x800)
+    for c in range(0x80, 0x800):
+        low = chr(c).lower()
+        if len(low) == 1 and 0x80 <= ord(low) < 0x800:
+            lower[c] = ord(low)
+    return kinds, lower
+
+
+def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lower-case text in which every byte of what is neither a letter nor a mark is a space, each letter's script at
+    its first byte and 0 elsewhere) of UTF-8 bytes that start and end between characters."""
+    kinds, lower = _characters()
+    text = _PLAIN[data]
+    scripts = ((text != 32) & (data < 0x80)).astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead]
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = (first & (0x7F >> size)).astype(np.int64)
+        for k in (1, 2, 3):
+            longer = size > k
+            point[longer] = point[longer] << 6 | data[np.minimum(lead[longer] + k, len(data) - 1)] & 0x3F
+        kind = kinds[np.minimum(point, CODE_POINTS)]
+        for k in range(4):
+            at = lead[(kind == 0) & (size > k)] + k
+            text[at[at < len(text)]] = 32
+        scripts[lead[kind == LETTER]] = SCRIPT_OF[first[kind == LETTER]]
+        two = (size == 2) & (kind > 0) & (lead + 1 < len(data))
+        low = lower[point[two]]
+        text[lead[two]], text[lead[two] + 1] = 0xC0 | low >> 6, 0x80 | low & 0x3F
+    return text, scripts
 
 
 def gram_ids(data: np.ndarray, width: int, bits: int = BITS) -> np.ndarray:
@@ -68,11 +103,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def word_scores(data: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scores by word and language, document, letters' bytes): log odds of a word's n-grams, with its two borders,
-    for the languages that write the word's script; words of a script that no language has, and words without letters,
-    are left out."""
-    text = plain(data)
+    for the languages that write the word's script (for all, if none does); words without letters are left out."""
+    text, scripts = letters(data)
     start, end, doc = words_of(text, offsets)
-    scripts = SCRIPT_OF[text]
     first = np.zeros(len(start), np.uint8)
     if len(start):
         first = np.maximum.reduceat(scripts, np.stack([start, np.minimum(end, len(text) - 1)], 1).ravel())[::2]
@@ -94,6 +127,27 @@ def word_scores(data: np.ndarray, offsets: np.ndarray, model: dict) -> tuple[np.
     return scores, doc, (end - start)
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = SCORED_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, first document) in pieces of about ``limit`` bytes. A longer text comes in several, cut at
+    an ASCII byte that is no letter and that both sides keep, so that its words and their borders are the same; a run of
+    over ``limit`` bytes without one is cut between characters."""
+    for i, j in chunks(offsets, limit):
+        at, to = int(offsets[i]), int(offsets[j])
+        if j > i + 1 or to - at <= limit:
+            yield data[at:to], offsets[i : j + 1] - at, i
+            continue
+        while at < to:
+            end = min(to, at + limit)
+            if end < to:
+                space = np.flatnonzero(_PLAIN[data[at + 1 : end]] == 32)
+                if len(space):
+                    end = at + 2 + int(space[-1])
+                while data[end] & 0xC0 == 0x80 and end > at + 1:
+                    end -= 1
+            yield data[at:end], np.array([0, end - at]), i
+            at = end - 1 if end < to and _PLAIN[data[end - 1]] == 32 and end - 1 > at else end
+
+
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each word, documents one after another with ``counts`` words; a change of label costs ``penalty``.
 
@@ -144,16 +198,16 @@ def fit(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col:
         for b in batches:
             data, offsets = utf8(b.column(1))
             langs = np.array(b.column(0).to_pylist(), object)
-            for i, j in chunks(offsets):
-                own = offsets[i : j + 1] - offsets[i]
-                text = plain(data[offsets[i] : offsets[j]])
-                for lang in set(langs[i:j]):
+            for part, own, i in pieces(data, offsets):
+                text, scripts = letters(part)
+                here = langs[i : i + len(own) - 1]
+                for lang in set(here):
                     held = total.setdefault(lang, np.zeros(width, np.int64))
-                    mask = np.repeat(langs[i:j] == lang, np.diff(own))
+                    mask = np.repeat(here == lang, np.diff(own))
                     for g, w in enumerate(GRAMS):
                         at = gram_ids(text, w)
                         held[g * 2**BITS : (g + 1) * 2**BITS] += np.bincount(at[mask[: len(at)]], minlength=2**BITS)
-                    held[-256:] += np.bincount(SCRIPT_OF[text[mask]], minlength=256)
+                    held[-256:] += np.bincount(scripts[mask], minlength=256)
         for lang, held in total.items():
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "at": at, "n": held[at]})
@@ -174,60 +228,60 @@ def fit(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col:
     return {"langs": langs, "tables": tables, "writes": writes}
 
 
-def labelled(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """Add lang_pred, score and lang_spans to ``docs``.
+def _labels(data: np.ndarray, offsets: np.ndarray, model: dict, penalty: float, with_spans: bool) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+    """(language, score, spans) of each text."""
+    langs, n = model["langs"], len(offsets) - 1
+    spans: list[list[dict]] = [[] for _ in range(n)]
+    k = len(langs)
+    if not k:
+        return [UNKNOWN] * n, np.zeros(n), spans
+    parts = [(np.zeros((0, k), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for part, own, i in pieces(data, offsets):
+        s, d, size = word_scores(part, own, model)
+        parts.append((s, d + i, size))
+    s, d, size = (np.concatenate([p[x] for p in parts]) for x in range(3))
+    label = viterbi(s, np.bincount(d, minlength=n), penalty)
+    weight = np.bincount(d * k + label, weights=size, minlength=n * k).reshape(n, k)
+    best, whole = weight.argmax(axis=1), weight.sum(axis=1)
+    score = np.where(whole > 0, weight[np.arange(n), best] / np.maximum(whole, 1), 0.0)
+    if with_spans and len(d):
+        new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (label[1:] != label[:-1])]))
+        words, sizes = np.diff(np.append(new, len(d))), np.add.reduceat(size, new)
+        for at, lang, w, z in zip(d[new].tolist(), label[new].tolist(), words.tolist(), sizes.tolist(), strict=True):
+            spans[at].append({"lang": langs[lang], "words": w, "bytes": z})
+    return [langs[p] if w else UNKNOWN for p, w in zip(best.tolist(), whole.tolist(), strict=True)], score, spans
+
+
+def labelled(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = SWITCH_PENALTY, with_spans: bool = True) -> DataFrame:
+    """Add lang_pred, score and (``with_spans``) lang_spans to ``docs``.
 
     ``lang_spans`` lists (lang, words, bytes) of each span in order; ``lang_pred`` is the language with the most
-    letters' bytes over all spans (ties: first by name) and ``score`` its share of them, 0 to 1. Null and empty texts, and texts
-    without a letter, give 'und', 0.0 and no spans; a text whose letters no script range covers gives the first
-    language with score 0. Every row gets a row; columns of these names are replaced. Very long texts are scored in
-    pieces of the n-gram scan but labelled whole."""
-    names = ["lang_pred", "score", "lang_spans"]
+    letters' bytes over all spans (ties: first by name) and ``score`` its share of them, 0 to 1. Null and empty texts,
+    and texts without a letter (digits, marks and symbols of any script are none), give 'und', 0.0 and no spans; so
+    does everything if the model has no language. Every row gets a row, repeated rows the same; columns of these names
+    are replaced; an empty table gives no rows. Very long texts are scored in pieces but labelled whole."""
+    names = ["lang_pred", "score", *(["lang_spans"] if with_spans else [])]
     kept = [c for c in docs.columns if c not in names]
-    langs = model["langs"]
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("bytes", pa.int64())]))
+    given = docs.select(*kept)
+    if text_col not in kept or docs.schema[text_col].dataType.simpleString() != "string":
+        given = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
+    place = given.columns.index("__text" if len(given.columns) > len(kept) else text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(b.num_columns - 1)
-            data, offsets = utf8(column)
-            n, k = len(column), len(langs)
-            pred, score = np.zeros(n, np.int64), np.zeros(n)
-            spans = [[]] * n
-            if k and n:
-                parts = []
-                for i, j in chunks(offsets):
-                    s, d, size = word_scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model)
-                    parts.append((s, d + i, size))
-                s, d, size = (np.concatenate([p[x] for p in parts]) for x in range(3))
-                counts = np.bincount(d, minlength=n)
-                label = viterbi(s, counts, penalty)
-                weight = np.bincount(d * k + label, weights=size, minlength=n * k).reshape(n, k)
-                pred = weight.argmax(axis=1)
-                whole = weight.sum(axis=1)
-                score = np.where(whole > 0, weight[np.arange(n), pred] / np.maximum(whole, 1), 0.0)
-                if len(d):
-                    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (label[1:] != label[:-1])]))
-                    words, sizes = np.diff(np.append(new, len(d))), np.add.reduceat(size, new)
-                    spans = [[] for _ in range(n)]
-                    for at, lang, w, z in zip(d[new].tolist(), label[new].tolist(), words.tolist(), sizes.tolist(), strict=True):
-                        spans[at].append({"lang": langs[lang], "words": w, "bytes": z})
-                few = np.flatnonzero(counts < 3)
-            else:
-                few = np.arange(n)
-            out = [langs[p] if k else UNKNOWN for p in pred]
-            for i in few.tolist():
-                text = column[i].as_py()
-                if not k or not text or not any(c.isalpha() for c in text):
-                    out[i], score[i], spans[i] = UNKNOWN, 0.0, []
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("bytes", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], [*b.schema.names[:-1], *names])
-
-    given = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
-    return given.mapInArrow(run, head + "lang_pred string, score double, lang_spans array<struct<lang: string, words: long, bytes: long>>")
+            data, offsets = utf8(b.column(place))
+            for i, j in chunks(offsets, LABELLED_BYTES):
+                pred, score, spans = _labels(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model, penalty, with_spans)
+                made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), *([pa.array(spans, kind)] if with_spans else [])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[: len(kept)]), *made], [*b.schema.names[: len(kept)], *names])
+
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[: len(kept)])
+    return given.mapInArrow(run, head + "lang_pred string, score double" + (", lang_spans array<struct<lang: string, words: long, bytes: long>>" if with_spans else ""))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document. Null ids count as '' for the fold and null texts are 'und'; see `labelled`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     model = fit(docs, fold != 0)
