@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; ``lang`` becomes the predicted one. Null texts, texts without letters and texts of
     which no language has LEAST_SCORE of the letters go."""
     model = fit(docs, F.lit(True))
-    found = labelled(docs.select(*COLUMNS), model)
+    found = labelled(docs.select(*COLUMNS), model, with_spans=False)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
