@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +181,57 @@ def _overlaps(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, order
     return pairs.join(partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap")), ["a", "b"])
 
 
+def _cousins(crowd: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of one hub and different components, which join all such components that are linked.
+
+    ``crowd`` has hub a, node b, its size nb, its label and the hub's (main), and the n-grams that either of a and b
+    has alone (apart). What two nodes share of these gives their exact overlap, so no text is read again. In each group
+    of nodes with one rare difference all are first held against one of them, the second hub, round by round while that
+    joins components; only what is then still of different components meets pairwise."""
+    apart_at_most = lambda m, n: F.floor((m + n) * (100 - percent) / (100 + percent))
+    each = crowd.select("a", "b", "nb", F.size("apart").alias("d"), F.explode("apart").alias("g"))
+    often = each.groupBy("a", "g").agg(F.count("*").alias("often")).filter("often > 1")
+    rarest = F.row_number().over(Window.partitionBy("a", "b").orderBy("often", "g"))
+    most = apart_at_most(F.col("nb"), F.floor(F.col("nb") * 100 / percent)) + 1
+    rare = landed(each.join(often, ["a", "g"], "left").withColumn("place", rarest).filter((F.col("place") <= most) & F.col("often").isNotNull()).drop("often"), "rare")
+    labels = landed(crowd.select("a", "b", "label", "main"), "crowd-labels")
+    names = ("b", "nb", "d", "place", "label")
+    side = lambda rows, s: rows.withColumnsRenamed({c: f"{c}_{s}" for c in names})
+    enough = 2 * (1 + F.least(F.col("d_x") - F.col("place_x"), F.col("d_y") - F.col("place_y"))) >= F.col("d_x") + F.col("d_y") - apart_at_most(F.col("nb_x"), F.col("nb_y"))
+    fit = (F.col("label_x") != F.col("label_y")) & (100 * F.least("nb_x", "nb_y") >= percent * F.greatest("nb_x", "nb_y")) & enough
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("b_x", "b_y", "nb_x", "nb_y", "label_x", "label_y").distinct()
+        own = lambda s: crowd.select(F.col("b").alias(f"b_{s}"), F.col("apart").alias(f"apart_{s}"))
+        both = pairs.join(own("x"), "b_x").join(own("y"), "b_y")
+        differ = F.size("apart_x") + F.size("apart_y") - 2 * F.size(F.array_intersect("apart_x", "apart_y"))
+        total = F.col("nb_x") + F.col("nb_y")
+        return both.filter((100 + percent) * (total - differ) >= 2 * percent * total).select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), "label_x", "label_y")
+
+    links = []
+    while True:
+        at = rare.join(labels, ["a", "b"])
+        mixed_groups = at.groupBy("a", "g").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("a", "g")
+        live = landed(at.join(mixed_groups, ["a", "g"]), "crowd-live")
+        second = live.groupBy("a", "g").agg(F.min(F.struct(F.col("d").alias("near"), F.col("place").alias("early"), *names)).alias("hub")).select("a", "g", *(F.col(f"hub.{c}").alias(f"{c}_y") for c in names))
+        got = landed(linked(side(live.drop("main"), "x").join(second, ["a", "g"]).filter(fit)), "cousins")
+        before = live.select("label").distinct().count()
+        if not got.limit(1).count():
+            break
+        links.append(got.select("a", "b"))
+        joined = landed(components(got, "label_x", "label_y").select(F.col("node").alias("label"), F.col("label").alias("to")), "joined-labels")
+        for c in ("label", "main"):
+            labels = labels.join(joined.withColumnRenamed("label", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        labels = landed(labels.select("a", "b", "label", "main"), "crowd-labels")
+        if 10 * joined.filter("label <> to").count() < before:
+            live = landed(rare.join(labels, ["a", "b"]), "crowd-live")
+            break
+    minor = side(live.filter("label <> main").drop("main"), "x")
+    major = F.col("label_y") == F.col("main")
+    rest = linked(minor.join(side(live, "y"), ["a", "g"]).filter(fit & (major | (F.col("b_x") < F.col("b_y")))))
+    return reduce(DataFrame.unionByName, links, rest.select("a", "b"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id of every row: the components of links 100 * intersection >= percent * union.
 
@@ -194,8 +246,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     the threshold with h. If both share nothing of what sets them apart from h (n-grams of h that both lack, n-grams
     of both that h lacks), J(x, y) <= J(x, h), so they are not linked. What sets x and y apart is the symmetric
     difference of these two sets of differences, and linked nodes differ in at most n (1 - t) / t n-grams; so linked
-    nodes share one of that many, and one more, of each node's rarest differences, at places that leave enough. Pairs that do are checked like
-    step 3, where hubs need not reach the threshold. 5. Pairs of different hubs and components
+    nodes share one of that many, and one more, of each node's rarest differences, at places that leave enough. Groups
+    of nodes with one such difference get a second hub each, as in step 3 (see `_cousins`). 5. Pairs of different hubs and components
     that share prefix n-grams and fit are checked like step 3. So no link between components is lost, while a group of
     m near copies costs m pairs and not m * m. 6. Pairs are checked by vertical partitioning: the order is cut into
     fragments, each fragment's overlap is counted by itself and the counts are summed.
@@ -251,26 +303,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     here = star.join(found.withColumnRenamed("sid", "b"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     here = here.join(found.select(F.col("sid").alias("a"), F.col("label").alias("main")), "a", "left").withColumn("main", F.coalesce("main", "a"))
     loose = here.filter("label <> main").select("a").distinct()
-    crowd = landed(here.join(loose, "a").select("a", "b", "na", "nb", "label", (F.col("label") != F.col("main")).alias("minor")), "crowd")
-    apart = [F.transform(F.array_except(*c), f) for c, f in (
-        (("center_grams", "grams"), lambda g: F.struct(F.lit(True).alias("lacks"), g.alias("g"))),
-        (("grams", "center_grams"), lambda g: F.struct(F.lit(False).alias("lacks"), g.alias("g"))),
-    )]
-    differ = _by_fragment(keyed, nodes, crowd.select("a", "b"), n, order).select("a", "b", F.explode(F.concat(*apart)).alias("d")).select("a", "b", "d.lacks", "d.g")
-    differ = landed(differ.join(crowd, ["a", "b"]), "differ")
-    by_node = Window.partitionBy("a", "b")
-    apart_at_most = lambda m, n: F.floor((m + n) * (100 - percent) / (100 + percent))
-    largest = F.least(F.max("nb").over(Window.partitionBy("a")), F.floor(F.col("nb") * 100 / percent))
-    crowd_most = crowd.select("a", "b", (apart_at_most(F.col("nb"), largest) + 1).alias("most"))
-    often = differ.groupBy("a", "lacks", "g").agg(F.count("*").alias("often")).filter("often > 1")
-    rare = differ.join(often, ["a", "lacks", "g"], "left").withColumns({"place": F.row_number().over(by_node.orderBy("often", "lacks", "g")), "apart": F.count("*").over(by_node)})
-    rare = rare.filter("often is not null").join(crowd_most, ["a", "b"]).filter("place <= most")
-    one = rare.filter("minor").select("a", "lacks", "g", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("label").alias("lx"), F.col("place").alias("px"), F.col("apart").alias("dx"))
-    two = rare.select("a", "lacks", "g", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("label").alias("ly"), "minor", F.col("place").alias("py"), F.col("apart").alias("dy"))
-    enough = 2 * (1 + F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))) >= F.col("dx") + F.col("dy") - apart_at_most(F.col("nx"), F.col("ny"))
-    same = one.join(two, ["a", "lacks", "g"]).filter((F.col("lx") != F.col("ly")) & (~F.col("minor") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & enough)
-    same = landed(same.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct(), "same")
-    cousins = landed(_overlaps(keyed, nodes, same, n, order).filter(linked).select("a", "b"), "links")
+    crowd = here.join(loose, "a").select("a", "b", "nb", "label", "main")
+    apart = F.concat(F.array_except("center_grams", "grams"), F.array_except("grams", "center_grams"))
+    apart = _by_fragment(keyed, nodes, crowd.select("a", "b"), n, order).groupBy("a", "b").agg(F.flatten(F.collect_list(apart)).alias("apart"))
+    crowd = landed(crowd.join(apart, ["a", "b"]), "crowd")
+    cousins = landed(_cousins(crowd, percent), "links")
     if cousins.limit(1).count():
         links = landed(links.unionByName(cousins), "links")
         found = components(links).withColumnRenamed("node", "sid")
