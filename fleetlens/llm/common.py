@@ -44,7 +44,17 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.landed_at = path
+    return out
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove landed tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs: it does
+    so when the driver's JVM collects their owners, which else may not happen before the disks are full."""
+    for t in tables:
+        _remove(spark, t.landed_at)
+    spark._jvm.System.gc()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -17,8 +17,8 @@ def test_hot_anchors_equal_brute_force(spark, monkeypatch):
     tasks = spark.sparkContext.accumulator(0)
     plain = suffix_dedup._sort_columns
 
-    def counted(length):
-        inner = plain(length)
+    def counted(length, unit):
+        inner = plain(length, unit)
 
         def run(batches):
             n = 0
@@ -42,4 +42,4 @@ def test_hot_anchors_equal_brute_force(spark, monkeypatch):
 def test_a_text_that_comes_again_is_cut_once():
     wanted = [{"anchor": 1, "f1": 2, "f2": 3, "n": 2, "off": 0, "width": 1, "start": 0, "size": 4}]
     b = pa.RecordBatch.from_pydict({"k1": [7, 7, 8], "k2": [1, 1, 1], "text": ["abcdef"] * 3, "wanted": [wanted] * 3})
-    assert sum(x.num_rows for x in suffix_dedup._cut(iter([b, b.slice(2)]))) == 2
+    assert sum(x.num_rows for x in suffix_dedup._cut("byte")(iter([b, b.slice(2)]))) == 2

@@ -5,7 +5,8 @@ import re
 import corpus_pipeline
 from fleetlens.llm import queries
 from fleetlens.llm.common import landed
-from tests.llm.test_operators import brute_components, brute_leaks, brute_repeats
+from tests.llm.test_operators import ODD, brute_components, brute_leaks
+from tests.llm.test_passages import brute_passages
 
 
 def test_stages(spark, data):
@@ -18,9 +19,9 @@ def test_stages(spark, data):
     assert sorted(r.doc_id for r in b.collect()) == sorted(d for d, _, c in brute_components(rows, 5, 80) if d == c)
     c = landed(three(spark, b, data), "c")
     before = sorted((r.doc_id, r.text) for r in b.collect())
-    removed = {d: x for (d, _), x in zip(before, brute_repeats([t.encode() for _, t in before], 400), strict=True)}
-    for r in c.collect():
-        assert (removed[r.doc_id][1] == 0) == (r.text == dict(before)[r.doc_id])
+    covers = {d: c for (d, _), c in zip(before, brute_passages([t.encode() for _, t in before], 51), strict=True)}
+    left = {d: bytes(x for x, gone in zip(t.encode(), covers[d], strict=True) if not gone).decode() for d, t in before}
+    assert {r.doc_id: r.text for r in c.collect()} == {d: t for d, t in left.items() if t.strip(" ") or not covers[d].any()}
     d = landed(four(spark, c, data), "d")
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     kept = [(r.doc_id, re.sub(r"\s+", " ", r.text)) for r in c.collect()]
@@ -30,5 +31,27 @@ def test_stages(spark, data):
     assert corpus_pipeline.run(spark, data).count() == e.count()
 
 
+def test_odd_documents(spark, data, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows and ids, columns with clashing names."""
+    good = spark.read.parquet(f"{data}/documents.parquet").limit(40)
+    rows = [(i, t, None, None, None) for i, t in ODD]
+    odd = good.unionByName(spark.createDataFrame(rows, good.schema)).unionByName(good.limit(2)).selectExpr("*", "'clash' as label", "'clash' as k1", "1 as score", "'x' as spans", "'y' as __text")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = landed(stage(spark, docs, str(tmp_path)), "odd")
+        assert docs.columns == corpus_pipeline.COLUMNS, name
+        assert docs.filter("text is null or text = ''").count() == 0
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert out.count() == docs.count() > 20 and docs.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+
+
+def test_no_documents(spark, data, tmp_path):
+    spark.read.parquet(f"{data}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
