@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import passages
 from fleetlens.llm.common import landed
 from fleetlens.llm.decontaminate import without_leaks
 from fleetlens.llm.jaccard import jaccard_components
 from fleetlens.llm.langid import UNKNOWN, fit, labelled
 from fleetlens.llm.sentencepiece_fst import encoded, model_bytes
-from fleetlens.llm.suffix_dedup import MIN_BYTES, without_repeats
+from fleetlens.llm.suffix_dedup import PASSAGE_WORDS, WORD, without_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5
-LEAST_WORDS = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of LEAST_WORDS words, or of MIN_BYTES bytes, that occur more than once; a document
-    that was nothing else goes."""
-    found = without_repeats(docs.select(*COLUMNS), MIN_BYTES, also=lambda texts: passages.repeated_passages(texts, LEAST_WORDS))
+    """Documents without the passages of over 50 words that occur more than once; a document that was nothing else goes."""
+    found = without_repeats(docs.select(*COLUMNS), PASSAGE_WORDS, WORD)
     left = found.filter((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
     return left.select("doc_id", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", "n_removed", "n_chars").withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
