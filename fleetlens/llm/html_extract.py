@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import short_batches
+
 # Fixed values of the HTML standard: elements without content, elements whose content is not markup, inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -233,6 +235,7 @@ def main_text(pages: DataFrame, html_col: str = "html", scores: tuple[dict[str,
     that a closing one-word paragraph stays. Elements that are boilerplate by kind, role or name give no words.
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line end.
     Null, empty or wordless html gives ''. Repeated rows give repeated results; a column named ``text`` is replaced."""
+    short_batches(pages.sparkSession)
     tags, other = scores or learned_tag_scores(pages, html_col)
     kept = [c for c in pages.columns if c != "text"]
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import U64, chunks, landed, mixed, utf8, word_hashes
+from fleetlens.llm.common import U64, chunks, landed, mixed, short_batches, utf8, word_hashes
 from fleetlens.llm.graph import components
 
 FRAGMENTS = 5
@@ -254,6 +254,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     Null ids are rows like any other (component_id null if no linked row has an id); repeated ids and rows are
     allowed; component_id is the smallest id reached. Other columns are ignored. An empty table gives no rows."""
+    short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = landed(texts.mapInArrow(_scan_sets(n), "id long, n long, sid long"), "sets")
     order = GlobalOrder(percent)

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, utf8
+from fleetlens.llm.common import chunks, short_batches, utf8
 
 BITS = 16
 GRAMS = (2, 4)
 SWITCH_PENALTY = 12.0
 FIT_ROWS = 40_000
 SCORED_BYTES = 256_000
-LABELLED_BYTES = 2_000_000
+LABELLED_BYTES = 1_500_000
 UNKNOWN = "und"
 BARRED = -30.0
 
@@ -187,6 +187,7 @@ def fit(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col:
 
     Counting is by task and summed by (language, slice of the table); the driver gets the tables, whose size is
     languages * 2**BITS * len(GRAMS) whatever the input."""
+    short_batches(docs.sparkSession)
     rows = docs.filter(is_training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
     share = int(min(1.0, fit_rows / max(n, 1)) * 2**32)
@@ -260,6 +261,7 @@ def labelled(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
     and texts without a letter (digits, marks and symbols of any script are none), give 'und', 0.0 and no spans; so
     does everything if the model has no language. Every row gets a row, repeated rows the same; columns of these names
     are replaced; an empty table gives no rows. Very long texts are scored in pieces but labelled whole."""
+    short_batches(docs.sparkSession)
     names = ["lang_pred", "score", *(["lang_spans"] if with_spans else [])]
     kept = [c for c in docs.columns if c not in names]
     kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64()), ("bytes", pa.int64())]))

@@ -13,14 +13,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.common import short_batches
+
 MODEL = os.environ.get("FLEETLENS_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bounds of what a worker keeps; the first ones stay, which have the frequent words.
-CACHED_UNITS = 700_000
-CACHED_PAIRS = 600_000
+CACHED_UNITS = 150_000
+CACHED_PAIRS = 100_000
+CACHED_MERGES = 50_000
 
 
 def _fields(b: bytes) -> Iterator[tuple[int, int | float | bytes]]:
@@ -111,7 +114,9 @@ class Transducer:
                 i = -best[1]
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
                 steps.append((best[0], parts[0], parts[-1]))
-            got = self.merges[piece] = steps, parts == [piece]
+            got = steps, parts == [piece]
+            if len(self.merges) < CACHED_MERGES:
+                self.merges[piece] = got
         return got
 
     def _may_follow(self, x: str, y: str) -> bool:
@@ -236,6 +241,7 @@ def encoded(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
 
     Null and empty texts have no tokens and round-trip. A text with a literal SPACE character does not round-trip, as
     in any such model. Every row gets a row; columns of these names are replaced; texts of any length are encoded whole."""
+    short_batches(docs.sparkSession)
     names = ["token_ids", "n_tokens", "round_trip"]
     kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import CHUNK_BYTES, SPACE, U64, SpanHash, chunks, landed, mixed, released, utf8, word_spans
+from fleetlens.llm.common import CHUNK_BYTES, SPACE, U64, SpanHash, chunks, landed, mixed, released, short_batches, utf8, word_spans
 
 MIN_BYTES = 400
 PASSAGE_WORDS = 51
-PIECE = 2_000_000
+PIECE = 1_000_000
 PLACE_BITS = 24
 ROUND_ROWS = 20_000
 HOT_PARTS = 20_000
@@ -353,6 +353,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_BYTES, unit: str = BYTE,
     text. With ``passage_words`` the column n_passage_bytes counts the bytes that passages of so many words cover which
     start elsewhere too; they are not removed. Null texts are empty. Repeated rows are copies of each other; every row
     gets a row. Columns of these names are replaced. An empty table gives no rows."""
+    short_batches(docs.sparkSession)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else []), *(["n_passage_bytes"] if passage_words else [])]
     kept = [c for c in docs.columns if c not in names]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
