@@ -93,10 +93,10 @@ def aborted_clients_delta(vitals: DataFrame) -> DataFrame:
 def retained_samples(samples: DataFrame, series: list[str], as_of: Column, window_s: int, newest: int, ts: str = "poll_ts") -> DataFrame:
     """The newest ``newest`` samples of each series that lie in the window up to ``as_of`` (0: no lower bound)."""
     rank = F.row_number().over(Window.partitionBy(*series).orderBy(F.desc(ts)))
-    inside = F.col(ts) <= as_of
+    samples = samples.filter(F.col(ts) <= as_of)
     if window_s:
-        inside = inside & (F.unix_micros(ts) >= F.unix_micros(as_of) - window_s * 1_000_000)
-    return samples.withColumn("__rank", rank).filter(F.col("__rank") <= newest).drop("__rank").filter(inside)
+        samples = samples.filter(F.unix_micros(ts) >= F.unix_micros(as_of) - window_s * 1_000_000)
+    return samples.withColumn("__rank", rank).filter(F.col("__rank") <= newest).drop("__rank")
 
 
 def latest_sample(samples: DataFrame, series: list[str], ts: str = "poll_ts") -> DataFrame:

@@ -86,7 +86,15 @@ def deadlock_issues(found: DataFrame) -> DataFrame:
 
 
 def chain_issues(chains: DataFrame) -> DataFrame:
-    return chains.select(*SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock chain of %d", "depth").alias("title"), details(root_blocker=F.col("root_blocker"), depth=F.col("depth")).alias("details"))
+    """One issue per chain; ``chains`` has what `locks.chain_text` adds."""
+    return chains.select(
+        *SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock chain detected (depth %d)", "depth").alias("title"),
+        details(chain_depth=F.col("depth"), root_blocker=F.col("root_blocker"), chain=F.col("chain_text"), root_query=F.col("root_query"), blocked_queries=F.col("blocked_queries"), lock_table=F.col("lock_table")).alias("details"),
+    )
+
+
+def cycle_issues(cycles: DataFrame) -> DataFrame:
+    return cycles.select(*SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock cycle detected (%d participants)", "participants").alias("title"), details(cycle_size=F.col("participants")).alias("details"))
 
 
 def all_issues(*parts: DataFrame) -> DataFrame:

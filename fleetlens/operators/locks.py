@@ -1,83 +1,140 @@
-"""Lock-wait chains, cycles and trees over edge tables (server_id, blocking_pid, waiting_pid, ...)."""
+"""Lock-wait chains, cycles and trees over edge tables (server_id, snapshot_ts, blocking_pid, waiting_pid, ...).
+
+One snapshot of one server is one group: its edges are between sessions that are connected at that instant, so a task
+holds no more than a server has connections; chains and cycles are as many as the graph has."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.format import truncate_text
 
-MAX_DEPTH = 100
+SNAPSHOT = ["server_id", "snapshot_ts"]
+Graph = dict[int, list[tuple[int, int]]]
 
 
 def edges_of(lock_waits: DataFrame) -> DataFrame:
-    return lock_waits.select("server_id", F.col("blocking_pid").alias("a"), F.col("waiting_pid").alias("b"), *([F.col("wait_ms")] if "wait_ms" in lock_waits.columns else [F.lit(0).cast("long").alias("wait_ms")])).groupBy("server_id", "a", "b").agg(F.max("wait_ms").alias("wait_ms"))
-
-
-def _paths(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """Every path from the starts (server_id, node) to where it ends; a repeated node ends a path and is in it."""
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE p(server_id, path, node, longest, closed) AS (
-            SELECT server_id, array(node), node, CAST(0 AS BIGINT), false FROM {{starts}}
-            UNION ALL
-            SELECT p.server_id, concat(p.path, array(e.b)), e.b, greatest(p.longest, e.wait_ms), array_contains(p.path, e.b)
-            FROM p JOIN {{edges}} e ON p.server_id = e.server_id AND p.node = e.a WHERE NOT p.closed AND size(p.path) < {max_depth})
-        SELECT * FROM p""",
-        edges=edges, starts=starts,
-    )
+    """(server_id, snapshot_ts, a, b, wait_ms): who blocks whom, each once with its longest wait (0 if there is none)."""
+    wait = F.col("wait_ms") if "wait_ms" in lock_waits.columns else F.lit(0)
+    rows = lock_waits.select(*SNAPSHOT, F.col("blocking_pid").cast("long").alias("a"), F.col("waiting_pid").cast("long").alias("b"), F.coalesce(wait, F.lit(0)).cast("long").alias("wait_ms"))
+    return rows.filter("a is not null and b is not null").groupBy(*SNAPSHOT, "a", "b").agg(F.max("wait_ms").alias("wait_ms"))
 
 
-def lock_chains(lock_waits: DataFrame, wait_threshold_ms: int = 10_000, critical_nodes: int = 4, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Root-to-leaf paths of two or more nodes: CRITICAL from ``critical_nodes`` on or with a wait over the threshold."""
-    edges = edges_of(lock_waits)
-    waiting = edges.select("server_id", F.col("b").alias("a")).distinct()
-    roots = edges.join(waiting, ["server_id", "a"], "left_anti").select("server_id", F.col("a").cast("long").alias("node")).distinct()
-    edges = edges.withColumn("a", F.col("a").cast("long")).withColumn("b", F.col("b").cast("long"))
-    paths = _paths(edges, roots, max_depth)
-    blocking = edges.select("server_id", F.col("a").alias("node")).distinct()
-    ends = paths.filter("closed").unionByName(paths.filter("not closed").join(blocking, ["server_id", "node"], "left_anti").select(*paths.columns))
-    severity = F.when((F.size("path") >= critical_nodes) | (F.col("longest") > wait_threshold_ms), 2).otherwise(1)
-    return ends.filter(F.size("path") >= 2).select("server_id", F.col("path")[0].alias("root_blocker"), "path", F.size("path").alias("depth"), F.col("longest").alias("max_wait_ms"), severity.alias("severity"))
-
-
-def lock_cycles(lock_waits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Each elementary cycle once, from its smallest node."""
-    edges = edges_of(lock_waits).withColumn("a", F.col("a").cast("long")).withColumn("b", F.col("b").cast("long"))
-    spark = edges.sparkSession
-    return spark.sql(
-        f"""WITH RECURSIVE c(server_id, start, node, path, closed) AS (
-            SELECT server_id, a, b, array(a), a = b FROM {{edges}} WHERE b >= a
-            UNION ALL
-            SELECT c.server_id, c.start, e.b, concat(c.path, array(e.a)), e.b = c.start FROM c JOIN {{edges}} e ON c.server_id = e.server_id AND c.node = e.a
-            WHERE NOT c.closed AND e.b >= c.start AND NOT array_contains(c.path, e.a) AND size(c.path) < {max_depth})
-        SELECT server_id, start, path, size(path) AS participants, 2 AS severity FROM c WHERE closed""",
-        edges=edges,
-    )
+def _by_snapshot(lock_waits: DataFrame, walk: Callable[[Graph], Iterator[tuple]], columns: str) -> DataFrame:
+    """The rows that ``walk`` makes of each snapshot's graph: waiters with their waits by blocker, in order of id."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        graph: Graph = defaultdict(list)
+        for a, b, w in sorted(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["wait_ms"].tolist(), strict=True)):
+            graph[a].append((b, w))
+        out = pd.DataFrame(list(walk(dict(graph))), columns=names)
+        out.insert(0, "server_id", key[0])
+        out.insert(1, "snapshot_ts", key[1])
+        return out
 
-def chain_text(chains: DataFrame, waiters: DataFrame) -> DataFrame:
-    """'PID:1(u@h) table [query] -> ...': ``waiters`` has server_id, pid, user_name, host, lock_table, query."""
+    edges = edges_of(lock_waits)
+    return edges.groupBy(*SNAPSHOT).applyInPandas(run, f"server_id {edges.schema['server_id'].dataType.simpleString()}, snapshot_ts {edges.schema['snapshot_ts'].dataType.simpleString()}, {columns}")
+
+
+def _roots(graph: Graph) -> list[int]:
+    return sorted(set(graph) - {b for waits in graph.values() for b, _ in waits})
+
+
+def _chains(graph: Graph) -> Iterator[tuple]:
+    stack = [([root], 0) for root in reversed(_roots(graph))]
+    while stack:
+        path, longest = stack.pop()
+        for b, wait in reversed(graph.get(path[-1], [])):
+            longer = [*path, b], max(longest, wait)
+            if b in path:
+                yield longer
+            else:
+                stack.append(longer)
+        if path[-1] not in graph:
+            yield path, longest
+
+
+def _cycles(graph: Graph) -> Iterator[tuple]:
+    for start in sorted(graph):
+        stack = [[start]]
+        while stack:
+            path = stack.pop()
+            for b, _ in reversed(graph.get(path[-1], [])):
+                if b == start:
+                    yield start, path
+                elif b > start and b not in path:
+                    stack.append([*path, b])
+
+
+def _tree(graph: Graph) -> Iterator[tuple]:
+    longest: dict[int, int] = defaultdict(int)
+    for waits in graph.values():
+        for b, wait in waits:
+            longest[b] = max(longest[b], wait)
+    level = {root: [root] for root in _roots(graph)}
+    seen = set(level)
+    while level:
+        following: dict[int, list[int]] = {}
+        for pid in sorted(level, key=level.__getitem__):
+            path = level[pid]
+            yield pid, len(path) - 1, path[0], path, longest[pid]
+            for b, _ in graph.get(pid, []):
+                if b not in seen and b not in following:
+                    following[b] = [*path, b]
+        seen |= set(following)
+        level = following
+
+
+def lock_chains(lock_waits: DataFrame, wait_threshold_ms: int = 10_000, critical_nodes: int = 4) -> DataFrame:
+    """Every path of a snapshot from a root (blocks, does not wait) to where it ends, of any length; a repeated node
+    ends a path and is in it. CRITICAL from ``critical_nodes`` on or with a wait over the threshold."""
+    paths = _by_snapshot(lock_waits, _chains, "path array<bigint>, max_wait_ms bigint")
+    severity = F.when((F.size("path") >= critical_nodes) | (F.col("max_wait_ms") > wait_threshold_ms), 2).otherwise(1)
+    return paths.select(*SNAPSHOT, F.col("path")[0].alias("root_blocker"), "path", F.size("path").alias("depth"), "max_wait_ms", severity.alias("severity"))
+
+
+def lock_cycles(lock_waits: DataFrame) -> DataFrame:
+    """Each elementary cycle of a snapshot once, from its smallest node."""
+    return _by_snapshot(lock_waits, _cycles, "start bigint, path array<bigint>").select(*SNAPSHOT, "start", "path", F.size("path").alias("participants"), F.lit(2).alias("severity"))
+
+
+def sessions_of(lock_waits: DataFrame) -> DataFrame:
+    """(server_id, snapshot_ts, pid, user_name, host, lock_table, query) of every session in the graph: as a waiter, or,
+    if it waits for nothing, as a blocker. Of several edges of a session the one with the greatest values counts."""
+    side = lambda p, waits: lock_waits.select(*SNAPSHOT, F.col(f"{p}_pid").alias("pid"), F.struct(F.lit(waits).alias("waits"), F.col(f"{p}_user").alias("user_name"), F.col(f"{p}_host").alias("host"), "lock_table", F.col(f"{p}_query").alias("query")).alias("s"))
+    return side("waiting", 1).unionByName(side("blocking", 0)).groupBy(*SNAPSHOT, "pid").agg(F.max("s").alias("s")).select(*SNAPSHOT, "pid", "s.user_name", "s.host", "s.lock_table", "s.query")
+
+
+def chain_text(chains: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Add chain_text, 'PID:1(u@h) table [query] -> ...', root_query, blocked_queries and the first waiter's lock_table.
+    ``sessions`` has server_id, snapshot_ts, pid, user_name, host, lock_table, query."""
     who = F.when((F.coalesce("user_name", F.lit("")) != "") | (F.coalesce("host", F.lit("")) != ""), F.format_string("(%s@%s)", "user_name", "host")).otherwise("")
-    label = F.concat(F.lit("PID:"), F.col("pid").cast("string"), who, F.coalesce(F.concat(F.lit(" "), "lock_table"), F.lit("")), F.coalesce(F.concat(F.lit(" ["), truncate_text(F.col("query"), 50), F.lit("]")), F.lit("")))
-    steps = chains.select("server_id", "path", F.posexplode("path").alias("n", "pid")).join(waiters, ["server_id", "pid"], "left").withColumn("label", label)
-    texts = steps.groupBy("server_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "label"))), lambda x: x["label"]), " -> ").alias("chain_text"))
-    return chains.join(texts, ["server_id", "path"])
+    query = truncate_text(F.col("query"), 50)
+    label = F.concat(F.lit("PID:"), F.col("pid").cast("string"), who, F.coalesce(F.concat(F.lit(" "), "lock_table"), F.lit("")), F.coalesce(F.concat(F.lit(" ["), query, F.lit("]")), F.lit("")))
+    steps = chains.select(*SNAPSHOT, "path", F.posexplode("path").alias("n", "pid")).join(sessions, [*SNAPSHOT, "pid"], "left")
+    parts = steps.groupBy(*SNAPSHOT, "path").agg(F.array_sort(F.collect_list(F.struct("n", label.alias("label"), F.coalesce(query, F.lit("")).alias("query"), F.coalesce("lock_table", F.lit("")).alias("lock_table")))).alias("s"))
+    later = F.slice(F.col("s"), F.lit(2), F.size("s"))
+    texts = parts.select(
+        *SNAPSHOT, "path", F.array_join(F.transform("s", lambda x: x["label"]), " -> ").alias("chain_text"), F.col("s")[0]["query"].alias("root_query"),
+        F.array_join(F.filter(F.transform(later, lambda x: x["query"]), lambda q: q != ""), ", ").alias("blocked_queries"), F.try_element_at("s", F.lit(2))["lock_table"].alias("lock_table"),
+    )
+    return chains.join(texts, [*SNAPSHOT, "path"])
 
 
-def lock_tree(lock_waits: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Each pid once, at its least depth below a root, by its least path; the longest wait over its edges."""
-    edges = edges_of(lock_waits).withColumn("a", F.col("a").cast("long")).withColumn("b", F.col("b").cast("long"))
-    roots = edges.select("server_id", F.col("a").alias("node")).distinct().join(edges.select("server_id", F.col("b").alias("node")).distinct(), ["server_id", "node"], "left_anti")
-    paths = _paths(edges, roots, max_depth + 1).filter("not closed")
-    best = paths.groupBy("server_id", F.col("node").alias("pid")).agg(F.min(F.struct((F.size("path") - 1).alias("depth"), "path")).alias("p"))
-    waits = edges.groupBy("server_id", F.col("b").alias("pid")).agg(F.max("wait_ms").alias("wait_ms"))
-    return best.join(waits, ["server_id", "pid"], "left").select("server_id", "pid", "p.depth", F.col("p.path")[0].alias("root"), "p.path", F.coalesce("wait_ms", F.lit(0)).alias("wait_ms"))
+def lock_tree(lock_waits: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Each pid of a snapshot once, at its least depth below a root, by its least path; the longest wait over its edges."""
+    rows = _by_snapshot(lock_waits, _tree, "pid bigint, depth int, root bigint, path array<bigint>, wait_ms bigint")
+    return rows if max_depth is None else rows.filter(F.col("depth") <= max_depth)
 
 
 def top_waiters(lock_waits: DataFrame, shown: int = 5) -> DataFrame:
     """The first waiters of each blocker and how many more there are."""
-    edges = edges_of(lock_waits)
-    by = Window.partitionBy("server_id", "a")
-    rows = edges.withColumn("place", F.row_number().over(by.orderBy(F.desc("wait_ms"), "b"))).withColumn("more", F.greatest(F.count("*").over(by) - shown, F.lit(0)))
-    return rows.filter(F.col("place") <= shown).select("server_id", F.col("a").alias("blocking_pid"), F.col("b").alias("waiting_pid"), "wait_ms", "place", "more")
+    by = Window.partitionBy(*SNAPSHOT, "a")
+    rows = edges_of(lock_waits).withColumn("place", F.row_number().over(by.orderBy(F.desc("wait_ms"), "b"))).withColumn("more", F.greatest(F.count("*").over(by) - shown, F.lit(0)))
+    return rows.filter(F.col("place") <= shown).select(*SNAPSHOT, F.col("a").alias("blocking_pid"), F.col("b").alias("waiting_pid"), "wait_ms", "place", "more")

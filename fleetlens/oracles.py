@@ -38,8 +38,11 @@ DERIVED = {
     "st": (("dd",), "SELECT server_id, schema_name, digest, max(digest_text) AS digest_text, CAST(sum(exec_delta) AS BIGINT) AS calls, CAST(sum(timer_delta) AS BIGINT) AS timer_ps, CAST(sum(rows_examined_delta) AS BIGINT) AS rows_examined, CAST(sum(rows_sent_delta) AS BIGINT) AS rows_sent, sum(no_index_delta) > 0 AS no_idx, sum(interval_ns) / 1e9 AS seconds FROM dd GROUP BY 1, 2, 3 HAVING sum(exec_delta) > 0", ()),
     "sl": (("st",), "SELECT server_id, schema_name, digest, digest_text, calls, (timer_ps // calls) // 1000 AS avg_latency_ns, round(timer_ps / 1e12 / seconds, 6) AS aas, round(calls / seconds, 6) AS calls_per_s, round(rows_examined / calls, 6) AS rows_per_call, rows_examined, rows_sent, no_idx FROM st", ()),
     "pw": ((), "SELECT *, upper(trim(info)) LIKE 'ALTER %' AS ddl FROM processes", ("processes",)),
-    "chains": ((), """SELECT server_id, path, depth, longest FROM (WITH RECURSIVE p(server_id, path, node, longest) AS (SELECT 0, [CAST(1 AS BIGINT)], CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
-        SELECT p.server_id, list_append(p.path, e.waiting_pid), e.waiting_pid, greatest(p.longest, e.wait_ms) FROM p JOIN lock_waits e ON e.blocking_pid = p.node) SELECT server_id, path, node, longest, len(path) AS depth FROM p)""", ("lock_waits",)),
+    "chains": ((), """SELECT server_id, snapshot_ts, path, depth, longest FROM (WITH RECURSIVE p(server_id, snapshot_ts, path, node, longest) AS (SELECT DISTINCT server_id, snapshot_ts, [blocking_pid], blocking_pid, CAST(0 AS BIGINT) FROM lock_waits WHERE blocking_pid NOT IN (SELECT waiting_pid FROM lock_waits) UNION ALL
+        SELECT p.server_id, p.snapshot_ts, list_append(p.path, e.waiting_pid), e.waiting_pid, greatest(p.longest, e.wait_ms) FROM p JOIN lock_waits e ON e.blocking_pid = p.node) SELECT server_id, snapshot_ts, path, node, longest, len(path) AS depth FROM p)""", ("lock_waits",)),
+    "leaves": (("chains",), "SELECT server_id, snapshot_ts, path, depth, longest, CASE WHEN depth >= 4 OR longest > 10000 THEN 2 ELSE 1 END AS severity FROM chains WHERE path[-1] NOT IN (SELECT blocking_pid FROM lock_waits)", ()),
+    "rings": ((), """SELECT server_id, snapshot_ts, start, path FROM (WITH RECURSIVE c(server_id, snapshot_ts, start, node, path, closed) AS (SELECT server_id, snapshot_ts, blocking_pid, waiting_pid, [blocking_pid], blocking_pid = waiting_pid FROM lock_rings UNION ALL
+        SELECT c.server_id, c.snapshot_ts, c.start, e.waiting_pid, list_append(c.path, e.blocking_pid), e.waiting_pid = c.start FROM c JOIN lock_rings e ON e.blocking_pid = c.node WHERE NOT closed AND NOT list_contains(c.path, e.blocking_pid)) SELECT * FROM c WHERE closed AND start = list_min(path))""", ("lock_rings",)),
     "queue": ((), "SELECT server_id, snapshot_ts, object_schema, object_name, pid, thread_id, lock_type, time_s, CAST(row_number() OVER (PARTITION BY server_id, snapshot_ts, object_schema, object_name ORDER BY time_s DESC, thread_id) AS INTEGER) AS position, count(*) OVER (PARTITION BY server_id, snapshot_ts, object_schema, object_name) AS depth FROM metadata_locks WHERE lock_status = 'PENDING'", ("metadata_locks",)),
     "clean": ((), r"SELECT id, sql_text, digest_text, CASE WHEN c LIKE '/*%' OR c LIKE '--%' OR c LIKE '#%' THEN '' ELSE c END AS c FROM (SELECT *, regexp_replace(sql_text, '^(?:\s+|/\*[\s\S]*?\*/|--[^\n]*\n|#[^\n]*\n)+', '') AS c FROM sql_texts)", ("sql_texts",)),
     "tab": (("clean",), r"SELECT *, regexp_extract(c, '(?i)(?:FROM|INTO|UPDATE|JOIN|TABLE)\s+`?(\w+)`?(?:\s*\.\s*`?(\w+)`?)?', 1) AS t1, regexp_extract(c, '(?i)(?:FROM|INTO|UPDATE|JOIN|TABLE)\s+`?(\w+)`?(?:\s*\.\s*`?(\w+)`?)?', 2) AS t2, upper(trim(c)) AS u FROM clean", ()),
@@ -88,7 +91,7 @@ oracle("server_info", "SELECT server_id, version, CASE WHEN version = '5.7.44' T
 oracle("capability_audit", """SELECT server_id, digest, waits, history_long, concat_ws('; ', CASE WHEN NOT digest THEN 'statement digests are off' END, CASE WHEN NOT waits THEN 'wait events are off' END, CASE WHEN NOT history_long THEN 'long statement history is off' END) AS warnings FROM (
     SELECT server_id, bool_or(name = 'statements_digest' AND enabled = 'YES') AND bool_or(name = 'global_instrumentation' AND enabled = 'YES') AS digest, bool_or(name IN ('events_waits_current', 'global_instrumentation') AND enabled = 'YES') AS waits, bool_or(name = 'events_statements_history_long' AND enabled = 'YES') AS history_long FROM setup_consumers GROUP BY 1)""", "setup_consumers")
 _M = {"CPUUtilization": ("cpu_percent", 1), "DatabaseConnections": ("connections", 1), "FreeableMemory": ("free_memory_bytes", 1), "ReadIOPS": ("read_iops", 1), "WriteIOPS": ("write_iops", 1), "ReadLatency": ("read_latency_ns", 10**9), "WriteLatency": ("write_latency_ns", 10**9), "DiskQueueDepth": ("queue_depth", 1), "AuroraReplicaLag": ("replica_lag_ns", 10**6), "BufferCacheHitRatio": ("cache_hit_percent", 1), "Deadlocks": ("deadlocks_per_s", 1), "VolumeBytesUsed": ("volume_bytes", 1)}
-oracle("cloud_metrics_latest", "SELECT instance, is_aurora, " + ", ".join(f"round(greatest(coalesce(max(v) FILTER (metric_name = '{k}'), 0), 0) * {f}, 4) AS {n}" for k, (n, f) in _M.items()) + " FROM (SELECT instance, is_aurora, metric_name, arg_max(value, event_id) AS v FROM cloud_metrics WHERE event_id > 6300 AND event_id <= 9900 AND (is_aurora OR metric_name NOT IN ('AuroraReplicaLag', 'BufferCacheHitRatio', 'Deadlocks', 'VolumeBytesUsed')) GROUP BY 1, 2, 3) GROUP BY 1, 2", "cloud_metrics")
+oracle("cloud_metrics_latest", "SELECT instance, is_aurora, " + ", ".join(f"round(greatest(coalesce(max(v) FILTER (metric_name = '{k}'), 0), 0) * {f}, 4) AS {n}" for k, (n, f) in _M.items()) + " FROM (SELECT instance, is_aurora, metric_name, arg_max(value, (ts, value)) AS v FROM cloud_metrics WHERE ts > TIMESTAMP '2024-01-30 23:59:59' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-30 23:59:59' AND (is_aurora OR metric_name NOT IN ('AuroraReplicaLag', 'BufferCacheHitRatio', 'Deadlocks', 'VolumeBytesUsed')) GROUP BY 1, 2, 3) GROUP BY 1, 2", "cloud_metrics")
 oracle("rds_target", "SELECT server_id, host, CASE WHEN server_id % 2 = 0 THEN split_part(host, '.', 1) ELSE '' END AS instance, CASE WHEN server_id % 2 = 0 THEN 'us-east-1' ELSE '' END AS region, server_id % 2 = 0 AS ok, CASE WHEN server_id % 2 = 0 THEN '' ELSE 'host is not an RDS endpoint' END AS reason FROM servers", "servers")
 
 oracle("digest_deltas", f"SELECT {_KEYS}, {_s('poll_ts')} AS poll_ts, digest_text, interval_ns, {', '.join(_COUNTERS.values())} FROM dd", "dd")
@@ -100,7 +103,7 @@ oracle("cpu_samples", f"SELECT server_id, {_s('ts')} AS ts, cpu_observations, cp
 oracle("executing_sessions", f"SELECT server_id, {_s('ts')} AS ts, processlist_id, digest, schema_name, app_tag, user_name, host, event_name, executing FROM ss", "ss")
 oracle("session_samples", f"SELECT server_id, {_s('ts')} AS ts, processlist_id, app_tag, user_name, host, event_name FROM ss", "ss")
 oracle("cpu_eligible", f"SELECT server_id, {_s('tick_ts')} AS tick_ts, processlist_id FROM session_ticks WHERE current_wait IN ('', 'idle')", "session_ticks")
-oracle("retained_samples", f"SELECT {_KEYS}, {_s('poll_ts')} AS poll_ts, exec_delta FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY poll_ts DESC) AS r FROM dd) d WHERE r <= 50 AND d.poll_ts <= TIMESTAMP '2024-01-30 23:59:59' AND d.poll_ts >= TIMESTAMP '2024-01-20 23:59:59'", "dd")
+oracle("retained_samples", f"SELECT {_KEYS}, {_s('poll_ts')} AS poll_ts, exec_delta FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY poll_ts DESC) AS r FROM dd WHERE poll_ts <= TIMESTAMP '2024-01-30 23:59:59' AND poll_ts >= TIMESTAMP '2024-01-20 23:59:59') d WHERE r <= 50", "dd")
 oracle("latest_sample", f"SELECT {_KEYS}, CAST(epoch(max(poll_ts)) AS BIGINT) AS poll_ts, arg_max(exec_delta, dd.poll_ts) AS exec_delta, arg_max(timer_delta, dd.poll_ts) AS timer_delta FROM dd GROUP BY {_KEYS}", "dd")
 oracle("tracked_digests", f"""SELECT {_KEYS}, load, first_seen, place <= 3 AS kept, CAST(sum(CASE WHEN place > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY server_id) AS BIGINT) AS evicted FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY load DESC, schema_name, digest) AS place
     FROM (SELECT {_KEYS}, CAST(sum(timer_delta) AS BIGINT) AS load, CAST(epoch(min(poll_ts)) AS BIGINT) AS first_seen FROM dd GROUP BY {_KEYS}))""", "dd")
@@ -108,7 +111,7 @@ oracle("poll_error_counts", "SELECT server_id, collector, count(*) AS polls, cou
 
 for _name, _by in (("top_sql", "aas"), ("top_sql_by_calls", "calls"), ("top_sql_by_latency", "avg_latency_ns"), ("top_sql_by_rows", "rows_examined")):
     oracle(_name, f"SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY {_by} DESC, schema_name, digest) AS INTEGER) AS rank FROM sl QUALIFY rank <= 20", "sl")
-oracle("top_sql_by_app", "SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY aas DESC, schema_name, digest) AS INTEGER) AS rank FROM sl WHERE (server_id, digest) IN (SELECT (server_id, digest) FROM ss WHERE app_tag = 'checkout' AND processlist_id % 4 = 0 AND ts < TIMESTAMP '2024-01-02') QUALIFY rank <= 20", "sl", "ss")
+oracle("top_sql_by_app", "SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY aas DESC, schema_name, digest) AS INTEGER) AS rank FROM sl WHERE (server_id, digest) IN (SELECT (server_id, digest) FROM ss WHERE app_tag = 'checkout') QUALIFY rank <= 20", "sl", "ss")
 oracle("rows_examined_per_sent", "SELECT server_id, digest, CASE WHEN rows_sent <> 0 THEN round(rows_examined / rows_sent, 6) END AS ratio FROM sl", "sl")
 oracle("top_sql_report", "SELECT server_id, CAST(row_number() OVER (PARTITION BY server_id ORDER BY aas DESC, schema_name, digest) AS INTEGER) AS rank, digest, calls, aas, avg_latency_ns // 1000000 AS avg_latency_ms FROM sl QUALIFY rank <= 20", "sl")
 for _g in ("user_name", "host", "schema_name"):
@@ -130,11 +133,10 @@ oracle("verdict", f"""SELECT server_id, poll_ts, level, ['HEALTHY', 'WARN', 'PAG
     CASE WHEN uptime_s * 20000 > 5000000 THEN 2 WHEN uptime_s * 20000 > 1000000 THEN 1 ELSE 0 END AS b, CASE WHEN bp_reads % 3 = 0 THEN 0 WHEN bp_reads % 40 > 30 THEN 2 WHEN bp_reads % 40 > 5 THEN 1 ELSE 0 END AS c,
     CASE WHEN aborted_clients > lag(aborted_clients, 1, 0) OVER (PARTITION BY server_id ORDER BY hv.poll_ts) THEN 1 ELSE 0 END AS d, CASE WHEN bp_pages_total % 100 > 95 THEN 2 WHEN bp_pages_total % 100 > 80 THEN 1 ELSE 0 END AS e, CAST(bp_pages_dirty % 3 AS INTEGER) AS f FROM hv))""", "hv")
 
-oracle("lock_chains", "SELECT server_id, path[1] AS root_blocker, array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth, longest AS max_wait_ms, CASE WHEN depth >= 4 OR longest > 10000 THEN 2 ELSE 1 END AS severity FROM chains WHERE depth >= 2 AND path[-1] NOT IN (SELECT blocking_pid FROM lock_waits)", "chains")
-oracle("lock_tree", "SELECT server_id, path[-1] AS pid, CAST(depth - 1 AS INTEGER) AS depth, path[1] AS root, array_to_string(path, '>') AS path, coalesce((SELECT max(wait_ms) FROM lock_waits w WHERE w.waiting_pid = path[-1]), 0) AS wait_ms FROM chains", "chains")
-oracle("lock_tree_top_waiters", "SELECT server_id, blocking_pid, waiting_pid, wait_ms, CAST(place AS INTEGER) AS place, greatest(n - 1, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY blocking_pid ORDER BY wait_ms DESC, waiting_pid) AS place, count(*) OVER (PARTITION BY blocking_pid) AS n FROM lock_waits) WHERE place <= 1", "lock_waits")
-oracle("lock_cycles", """SELECT 0 AS server_id, start, array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS participants, 2 AS severity FROM (WITH RECURSIVE c(start, node, path, closed) AS (SELECT CAST(blocking_pid AS BIGINT), CAST(waiting_pid AS BIGINT), [CAST(blocking_pid AS BIGINT)], blocking_pid = waiting_pid FROM lock_rings UNION ALL
-    SELECT c.start, CAST(e.waiting_pid AS BIGINT), list_append(c.path, CAST(e.blocking_pid AS BIGINT)), e.waiting_pid = c.start FROM c JOIN lock_rings e ON e.blocking_pid = c.node WHERE NOT closed AND NOT list_contains(c.path, CAST(e.blocking_pid AS BIGINT))) SELECT * FROM c WHERE closed AND start = list_min(path))""", "lock_rings")
+oracle("lock_chains", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, path[1] AS root_blocker, array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth, longest AS max_wait_ms, severity FROM leaves", "leaves")
+oracle("lock_tree", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, path[-1] AS pid, CAST(depth - 1 AS INTEGER) AS depth, path[1] AS root, array_to_string(path, '>') AS path, coalesce((SELECT max(wait_ms) FROM lock_waits w WHERE w.waiting_pid = path[-1]), 0) AS wait_ms FROM chains", "chains")
+oracle("lock_tree_top_waiters", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, blocking_pid, waiting_pid, wait_ms, CAST(place AS INTEGER) AS place, greatest(n - 1, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY blocking_pid ORDER BY wait_ms DESC, waiting_pid) AS place, count(*) OVER (PARTITION BY blocking_pid) AS n FROM lock_waits) WHERE place <= 1", "lock_waits")
+oracle("lock_cycles", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, start, array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS participants, 2 AS severity FROM rings", "rings")
 
 _T = "server_id, snapshot_ts, object_schema, object_name"
 _TS = f"server_id, {_s('snapshot_ts')} AS snapshot_ts, object_schema, object_name"
@@ -202,23 +204,26 @@ oracle("stream_cpu", f"SELECT server_id, {_s('ts')} AS ts, CAST(cpu_observations
 oracle("stream_load_window", f"SELECT server_id, {_s('ts')} - 3600 * k AS window_start, count(*) AS observations FROM ss CROSS JOIN range(0, 6) r(k) GROUP BY 1, 2", "ss")
 
 _IDS = "1700000000000 - coalesce((SELECT max(w.wait_ms) FROM lock_waits w WHERE w.waiting_pid = e.waiting_pid), 0)"
-oracle("lock_waits", """SELECT 0 AS server_id, 1700000000 AS snapshot_ts, 't' || waiting_pid AS waiting_trx_id, waiting_pid, CASE WHEN waiting_pid % 2 = 0 THEN 'UPDATE t' || waiting_pid ELSE '' END AS waiting_query, 't' || blocking_pid AS blocking_trx_id, blocking_pid,
+oracle("lock_waits", """SELECT server_id, CAST(epoch(lock_waits.snapshot_ts) AS BIGINT) AS snapshot_ts, 't' || waiting_pid AS waiting_trx_id, waiting_pid, CASE WHEN waiting_pid % 2 = 0 THEN 'UPDATE t' || waiting_pid ELSE '' END AS waiting_query, 't' || blocking_pid AS blocking_trx_id, blocking_pid,
     CASE WHEN blocking_pid % 2 = 0 THEN 'UPDATE t' || blocking_pid WHEN blocking_pid % 5 <> 0 THEN 'q' || blocking_pid ELSE '' END AS blocking_query, 'shop.t' || (blocking_pid % 3) AS lock_table, wait_ms, CASE WHEN waiting_pid % 5 <> 0 THEN 'u' || (waiting_pid % 4) ELSE '' END AS waiting_user, CASE WHEN waiting_pid % 5 <> 0 THEN 'h' ELSE '' END AS waiting_host,
     CASE WHEN blocking_pid % 5 <> 0 THEN 'u' || (blocking_pid % 4) ELSE '' END AS blocking_user, CASE WHEN blocking_pid % 5 <> 0 THEN 'h' ELSE '' END AS blocking_host FROM lock_waits""", "lock_waits")
-oracle("chain_text", """SELECT server_id, array_to_string(path, '>') AS path, list_aggregate(list_transform(path, lambda x: 'PID:' || x || CASE WHEN x = 1 THEN '' ELSE '(w' || (x % 5) || '@h1) shop.t' || (x % 3) || ' [UPDATE t]' END), 'string_agg', ' -> ') AS chain_text FROM chains WHERE depth >= 2 AND path[-1] NOT IN (SELECT blocking_pid FROM lock_waits)""", "chains")
+oracle("chain_text", """SELECT l.server_id, CAST(epoch(l.snapshot_ts) AS BIGINT) AS snapshot_ts, array_to_string(path, '>') AS path, root_label || ' -> ' || list_aggregate(list_transform(path[2:], lambda x: 'PID:' || x || '(w' || (x % 5) || '@h1) shop.t' || (x % 3) || ' [UPDATE t]'), 'string_agg', ' -> ') AS chain_text, 'DELETE t' AS root_query,
+    array_to_string(list_transform(path[2:], lambda x: 'UPDATE t'), ', ') AS blocked_queries, 'shop.t' || (path[2] % 3) AS lock_table
+    FROM leaves l JOIN (SELECT blocking_pid, arg_max('PID:' || blocking_pid || '(' || blocking_user || '@h2) ' || lock_table || ' [DELETE t]', blocking_user || lock_table) AS root_label FROM lock_waits GROUP BY 1) r ON r.blocking_pid = l.path[1]""", "leaves")
 oracle("load_report", f"SELECT server_id, round(whole, 6) AS total, string_agg(class || '=' || printf('%.4f', round(round(raw, 6), 4)), ',' ORDER BY ordinal) AS classes FROM ({_LOAD}) GROUP BY server_id, whole", "wd", "cpu", "good_polls")
-_SNAPS = "SELECT DISTINCT server_id, snapshot_ts FROM processes"
+_SNAPS = "SELECT server_id, snapshot_ts FROM processes UNION SELECT server_id, snapshot_ts FROM lock_waits UNION SELECT server_id, snapshot_ts FROM lock_rings"
 _REPORTS = "SELECT server_id, snapshot_ts, CASE WHEN lo % 3 <> 0 THEN 't' || (lo // 1000) END AS deadlock_ts, [lo + CASE WHEN lo % 2 = 0 THEN 0 ELSE 1 END, hi + 1] AS participants FROM (SELECT server_id, snapshot_ts, min(pid) AS lo, max(pid) AS hi FROM processes GROUP BY 1, 2)"
 _DEAD = f"SELECT * FROM (SELECT *, last_value(deadlock_ts IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY snapshot_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ts, EXISTS (SELECT 1 FROM processes p WHERE p.server_id = r.server_id AND p.snapshot_ts = r.snapshot_ts AND list_contains(r.participants, p.pid)) AS alive FROM ({_REPORTS}) r) WHERE deadlock_ts IS NOT NULL AND (last_ts IS NULL OR last_ts <> deadlock_ts OR alive)"
 oracle("deadlocks", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, deadlock_ts, array_to_string(participants, '>') AS participants, 2 AS severity FROM ({_DEAD})", "processes")
 oracle("stream_deadlocks", f"SELECT DISTINCT server_id, deadlock_ts FROM ({_REPORTS}) WHERE deadlock_ts IS NOT NULL", "processes")
 _ISSUES = f"""SELECT server_id, snapshot_ts, 0 AS ordinal, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity FROM transactions WHERE age_s >= 30
-    UNION ALL SELECT server_id, snapshot_ts, 1, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'
-    UNION ALL SELECT a.server_id, a.snapshot_ts, 1, 'ddl_conflict', CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'
-    UNION ALL SELECT server_id, snapshot_ts, 2, 'deadlock', 2 FROM ({_DEAD})"""
-oracle("all_issues", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, ordinal, detector, severity, count(*) AS issues FROM ({_ISSUES}) i GROUP BY server_id, i.snapshot_ts, ordinal, detector, severity", "pw", "transactions")
-oracle("max_severity", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) AS severity FROM ({_SNAPS}) s", "pw", "transactions")
+    UNION ALL SELECT server_id, snapshot_ts, 1, 'lock_chain', severity FROM leaves UNION ALL SELECT server_id, snapshot_ts, 1, 'lock_chain', 2 FROM rings
+    UNION ALL SELECT server_id, snapshot_ts, 2, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'
+    UNION ALL SELECT a.server_id, a.snapshot_ts, 2, 'ddl_conflict', CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'
+    UNION ALL SELECT server_id, snapshot_ts, 3, 'deadlock', 2 FROM ({_DEAD})"""
+oracle("all_issues", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, ordinal, detector, severity, count(*) AS issues FROM ({_ISSUES}) i GROUP BY server_id, i.snapshot_ts, ordinal, detector, severity", "pw", "transactions", "leaves", "rings")
+oracle("max_severity", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) AS severity FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings")
 _COUNT = "(SELECT count(*) FROM {t} x WHERE x.server_id = s.server_id AND x.snapshot_ts = s.snapshot_ts) AS {n}"
-oracle("snapshot_counts", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'metadata_locks'))}, {_COUNT.format(t='(' + _ISSUES + ')', n='issues')} FROM ({_SNAPS}) s", "pw", "transactions", "metadata_locks")
-oracle("snapshot_report", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions'))}, ['INFO', 'WARNING', 'CRITICAL'][coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) + 1] AS max_severity, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='issues').replace(' AS issues', '')} AS INTEGER) AS issues FROM ({_SNAPS}) s", "pw", "transactions")
+oracle("snapshot_counts", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'metadata_locks', 'lock_waits'))}, {_COUNT.format(t='(' + _ISSUES + ')', n='issues')}, {_COUNT.format(t='(' + _DEAD + ')', n='deadlocks')} FROM ({_SNAPS}) s", "pw", "transactions", "metadata_locks", "leaves", "rings")
+oracle("snapshot_report", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'lock_waits'))}, ['INFO', 'WARNING', 'CRITICAL'][coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) + 1] AS max_severity, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='issues').replace(' AS issues', '')} AS INTEGER) AS issues FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings")
 oracle("format_bytes", "SELECT id, CASE WHEN n >= 1073741824 THEN printf('%.1fGB', round(n / 1073741824, 1)) WHEN n >= 1048576 THEN printf('%.0fMB', round(n / 1048576)) WHEN n >= 1024 THEN printf('%.0fKB', round(n / 1024)) ELSE n || 'B' END AS text FROM (SELECT id, ms * id AS n FROM num)", "num")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import explain_safe, statement_verb
+from fleetlens.sources.landing import landed
 
 # The children of a plan node, and the keys that make its skeleton.
 CHILDREN = ("table", "nested_loop", "query_specifications", "ordering_operation", "grouping_operation", "duplicates_removal", "windowing")
@@ -15,22 +18,35 @@ CANONICAL = (
 ).split()
 
 
+KEY = ("server_id", "digest", "ts")
+
+
+def _key(df: DataFrame) -> list[str]:
+    """What tells plans apart: server (where the table has one), digest and time."""
+    return [c for c in KEY if c in df.columns]
+
+
 def plan_nodes(plans: DataFrame) -> DataFrame:
-    """(digest, ts, path, kind, node): every node of each plan, from query_block or else the document down.
+    """(server_id, digest, ts, path, kind, node): every node of each plan, from query_block or else the document down.
 
     A path part of a list is its zero-padded place; below a table nothing is entered. Text that is no JSON object has no
-    nodes."""
-    names = ", ".join(f"'{c}'" for c in CHILDREN)
-    return plans.sparkSession.sql(
-        f"""WITH RECURSIVE docs AS (SELECT digest, ts, try_parse_json(plan_json) AS doc FROM {{plans}}),
-        n(digest, ts, path, kind, node) AS (
-            SELECT digest, ts, 'query_block', 'query_block', coalesce(try_variant_get(doc, '$.query_block', 'variant'), doc) FROM docs WHERE doc IS NOT NULL AND startswith(schema_of_variant(doc), 'OBJECT')
-            UNION ALL
-            SELECT n.digest, n.ts, concat(n.path, '/', coalesce(e.key, lpad(CAST(e.pos AS STRING), 4, '0'))), coalesce(e.key, 'item'), e.value
-            FROM n, LATERAL variant_explode(n.node) AS e WHERE n.kind <> 'table' AND (e.key IS NULL OR e.key IN ({names})))
-        SELECT * FROM n""",
+    nodes. One round a level, each landed, as deep as the deepest plan."""
+    names, keys = ", ".join(f"'{c}'" for c in CHILDREN), ", ".join(_key(plans))
+    spark = plans.sparkSession
+    levels = [spark.sql(
+        f"""SELECT {keys}, 'query_block' AS path, 'query_block' AS kind, coalesce(try_variant_get(doc, '$.query_block', 'variant'), doc) AS node
+            FROM (SELECT {keys}, try_parse_json(plan_json) AS doc FROM {{plans}}) WHERE doc IS NOT NULL AND startswith(schema_of_variant(doc), 'OBJECT')""",
         plans=plans,
-    )
+    )]
+    while True:
+        below = landed(spark.sql(
+            f"""SELECT {keys}, concat(n.path, '/', coalesce(e.key, lpad(CAST(e.pos AS STRING), 4, '0'))) AS path, coalesce(e.key, 'item') AS kind, e.value AS node
+                FROM {{level}} AS n, LATERAL variant_explode(n.node) AS e WHERE n.kind <> 'table' AND (e.key IS NULL OR e.key IN ({names}))""",
+            level=levels[-1],
+        ), "plan-level")
+        if not below.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(below)
 
 
 def plan_red_flags(plans: DataFrame, full_scan_rows: int = 1000, ratio: int = 100) -> DataFrame:
@@ -42,21 +58,22 @@ def plan_red_flags(plans: DataFrame, full_scan_rows: int = 1000, ratio: int = 10
         F.when(table & (F.col("access") == "ALL") & (F.col("examined") >= full_scan_rows), "FULL_SCAN"), F.when(table & (F.col("produced") > 0) & (F.col("examined") >= F.col("produced") * ratio), "BIG_SCAN_RATIO"),
         F.when(true("using_filesort"), "FILESORT"), F.when(true("using_temporary_table"), "TEMP_TABLE"),
     ))
-    return rows.select("digest", "ts", "path", "table_name", "examined", "produced", F.explode(flags).alias("flag"))
+    return rows.select(*_key(plans), "path", "table_name", "examined", "produced", F.explode(flags).alias("flag"))
 
 
 def plan_hash(plans: DataFrame) -> DataFrame:
     """SHA-256 of a plan's skeleton: its nodes and their canonical keys, without costs and row estimates."""
     keys = F.array_compact(F.array(*(F.when(F.try_variant_get("node", f"$.{k}", "variant").isNotNull(), F.concat(F.lit(k + "="), F.to_json(F.try_variant_get("node", f"$.{k}", "variant")))) for k in sorted(CANONICAL))))
     text = F.concat(F.col("path"), F.lit("{"), F.array_join(F.when(F.col("kind") == "item", F.array().cast("array<string>")).otherwise(keys), ";"), F.lit("}"))
-    rows = plan_nodes(plans).select("digest", "ts", F.struct("path", text.alias("text")).alias("x"))
-    return rows.groupBy("digest", "ts").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n"), 256).alias("plan_hash"))
+    rows = plan_nodes(plans).select(*_key(plans), F.struct("path", text.alias("text")).alias("x"))
+    return rows.groupBy(*_key(plans)).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n"), 256).alias("plan_hash"))
 
 
 def plan_flips(hashes: DataFrame) -> DataFrame:
-    """Where a digest's plan hash differs from the one before."""
-    before = F.lag("plan_hash").over(Window.partitionBy("digest").orderBy("ts"))
-    return hashes.withColumn("prior_hash", before).filter("prior_hash is not null and prior_hash <> plan_hash").select("digest", "ts", "prior_hash", F.col("plan_hash").alias("new_hash"))
+    """Where a digest's plan hash on one server differs from the one before."""
+    keys = _key(hashes)
+    before = F.lag("plan_hash").over(Window.partitionBy(*keys[:-1]).orderBy("ts"))
+    return hashes.withColumn("prior_hash", before).filter("prior_hash is not null and prior_hash <> plan_hash").select(*keys, "prior_hash", F.col("plan_hash").alias("new_hash"))
 
 
 def recent_example(history: DataFrame) -> DataFrame:

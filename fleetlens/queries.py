@@ -4,6 +4,7 @@ given as epoch seconds and paths as text, so that other engines' results compare
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ class Fleet:
         return D.cpu_samples(self.session_ticks, self.session_ticks)
 
     def issues(self) -> DataFrame:
-        return I.all_issues(I.long_transactions(self.transactions), I.ddl_conflicts(self.processes, self.transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), self.processes)))
+        chains = L.chain_text(L.lock_chains(self.lock_waits), L.sessions_of(self.lock_waits))
+        locks = I.chain_issues(chains).unionByName(I.cycle_issues(L.lock_cycles(self.lock_rings)))
+        return I.all_issues(I.long_transactions(self.transactions), locks, I.ddl_conflicts(self.processes, self.transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), self.processes)))
 
     def deadlock_reports(self) -> DataFrame:
         first = self.processes.groupBy("server_id", "snapshot_ts").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
@@ -53,7 +56,8 @@ class Fleet:
         return first.select("server_id", "snapshot_ts", report.alias("deadlock_ts"), F.array((F.col("lo") + F.when(F.col("lo") % 2 == 0, 0).otherwise(1)).alias("a"), F.col("hi") + 1).alias("participants"))
 
     def snapshots(self) -> DataFrame:
-        return self.processes.select("server_id", "snapshot_ts").distinct()
+        """Every snapshot that any relation of sessions and locks has."""
+        return reduce(DataFrame.unionByName, (x.select("server_id", "snapshot_ts") for x in (self.processes, self.lock_waits, self.lock_rings))).distinct()
 
     def as_of(self):
         return F.lit(AS_OF).cast("timestamp")
@@ -109,11 +113,11 @@ def transactions(t: Fleet) -> DataFrame:
 
 @query
 def lock_waits(t: Fleet) -> DataFrame:
-    edges = t.lock_waits.withColumn("snapshot_ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    edges = t.lock_waits
     at = ["server_id", "snapshot_ts"]
     waits = edges.select(*at, F.concat(F.lit("t"), "waiting_pid").alias("waiting_trx_id"), F.concat(F.lit("t"), "blocking_pid").alias("blocking_trx_id"), F.concat(F.lit("l"), "blocking_pid").alias("blocking_lock_id"))
     nodes = edges.select(*at, F.col("waiting_pid").alias("pid"), "wait_ms").unionByName(edges.select(*at, F.col("blocking_pid").alias("pid"), F.lit(0).cast("long").alias("wait_ms"))).groupBy(*at, "pid").agg(F.max("wait_ms").alias("wait_ms"))
-    trx = nodes.select(*at, F.concat(F.lit("t"), "pid").alias("trx_id"), "pid", F.when(F.col("pid") % 2 == 0, F.concat(F.lit("UPDATE t"), "pid")).alias("trx_query"), F.timestamp_millis(F.lit(1_700_000_000_000) - F.col("wait_ms")).alias("wait_started"))
+    trx = nodes.select(*at, F.concat(F.lit("t"), "pid").alias("trx_id"), "pid", F.when(F.col("pid") % 2 == 0, F.concat(F.lit("UPDATE t"), "pid")).alias("trx_query"), F.timestamp_millis(F.unix_millis("snapshot_ts") - F.col("wait_ms")).alias("wait_started"))
     locks = nodes.select(*at, F.concat(F.lit("l"), "pid").alias("lock_id"), F.lit("shop").alias("lock_schema"), F.concat(F.lit("t"), F.col("pid") % 3).alias("lock_name"))
     procs = nodes.filter("pid % 5 <> 0").select(*at, "pid", F.concat(F.lit("u"), F.col("pid") % 4).alias("user_name"), F.lit("h").alias("host"), F.concat(F.lit("q"), "pid").alias("info"))
     return S.lock_waits(waits, trx, locks, procs)
@@ -145,7 +149,7 @@ def deadlock_participants(t: Fleet) -> DataFrame:
 
 add("server_info", lambda t: S.server_info(t.servers))
 add("capability_audit", lambda t: S.capability_audit(t.setup_consumers).withColumn("warnings", F.array_join("warnings", "; ")))
-add("cloud_metrics_latest", lambda t: S.cloud_metrics_latest(t.cloud_metrics.select("instance", "is_aurora", "metric_name", "value", F.timestamp_seconds(F.col("event_id")).alias("ts")), F.timestamp_seconds(F.lit(9_900)), 3_600))
+add("cloud_metrics_latest", lambda t: S.cloud_metrics_latest(t.cloud_metrics.select("instance", "is_aurora", "metric_name", "value", "ts"), t.as_of(), 30 * 86_400))
 add("rds_target", lambda t: S.rds_target(t.servers))
 
 # deltas and samples
@@ -166,7 +170,7 @@ add("poll_error_counts", lambda t: D.poll_error_counts(t.polls))
 # load
 for _name, _sort in (("top_sql", "aas"), ("top_sql_by_calls", "calls"), ("top_sql_by_latency", "latency"), ("top_sql_by_rows", "rows")):
     add(_name, lambda t, sort=_sort: A.top_sql(t.derived(), sort))
-add("top_sql_by_app", lambda t: A.top_sql(t.derived(), sessions=t.samples().filter("processlist_id % 4 = 0 and ts < timestamp'2024-01-02'"), app="checkout"))
+add("top_sql_by_app", lambda t: A.top_sql(t.derived(), sessions=t.samples(), app="checkout"))
 add("rows_examined_per_sent", lambda t: A.statement_load(t.derived()).select("server_id", "digest", F.round(F.try_divide(F.col("rows_examined"), F.col("rows_sent")), 6).alias("ratio")))
 add("top_sql_report", lambda t: A.top_sql(t.derived()).select("server_id", "rank", "digest", "calls", "aas", fmt.div(F.col("avg_latency_ns"), 1_000_000).alias("avg_latency_ms")))
 for _group in ("user_name", "host", "schema_name"):
@@ -207,8 +211,8 @@ add("lock_tree_top_waiters", lambda t: L.top_waiters(t.lock_waits, 1))
 
 @query
 def chain_text(t: Fleet) -> DataFrame:
-    who = t.lock_waits.select("server_id", F.col("waiting_pid").alias("pid"), F.col("waiting_user").alias("user_name"), F.col("waiting_host").alias("host"), "lock_table", F.col("waiting_query").alias("query"))
-    return L.chain_text(L.lock_chains(t.lock_waits).select("server_id", "path"), who).select("server_id", "path", "chain_text")
+    chains = L.lock_chains(t.lock_waits).select("server_id", "snapshot_ts", "path")
+    return L.chain_text(chains, L.sessions_of(t.lock_waits)).select("server_id", "snapshot_ts", "path", "chain_text", "root_query", "blocked_queries", "lock_table")
 
 
 # metadata locks
@@ -234,13 +238,13 @@ add("issue_rows", lambda t: I.issue_rows(t.issues(), t.processes).select("server
 add("issues_per_table", lambda t: I.issues_per_table(I.issue_rows(t.issues(), t.processes)))
 add("issues_by_table", lambda t: I.issue_rows(t.issues(), t.processes).filter("table_name = 'shop.t1'").select("server_id", "snapshot_ts", "detector", "pid", "age_s"))
 add("max_severity", lambda t: I.max_severity(t.snapshots(), t.issues()))
-add("snapshot_counts", lambda t: I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions, metadata_locks=t.metadata_locks, issues=t.issues()))
+add("snapshot_counts", lambda t: I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions, metadata_locks=t.metadata_locks, lock_waits=t.lock_waits, issues=t.issues(), deadlocks=t.issues().filter("detector = 'deadlock'")))
 
 
 @query
 def snapshot_report(t: Fleet) -> DataFrame:
-    counts = I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions)
-    return I.snapshot_report(counts, t.issues()).select("server_id", "snapshot_ts", "processes", "transactions", "max_severity", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"))
+    counts = I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions, lock_waits=t.lock_waits)
+    return I.snapshot_report(counts, t.issues()).select("server_id", "snapshot_ts", "processes", "transactions", "lock_waits", "max_severity", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"))
 
 
 add("kill_eligibility", lambda t: I.kill_eligibility(t.processes, [1, 2]).select("server_id", "snapshot_ts", "pid", "reason", "safe"))

@@ -56,16 +56,17 @@ RELATIONS: dict[str, str] = {
     "transactions": """SELECT o_custkey % 4 AS server_id, date_trunc('year', o_orderdate) AS snapshot_ts, o_orderkey AS pid, 'app' || CAST(o_custkey % 5 AS VARCHAR(10)) AS user_name, '10.0.0.' || CAST(o_custkey % 7 AS VARCHAR(10)) AS host, o_orderstatus AS db,
         'Query' AS command, o_orderkey % 60 AS time_s, 'executing' AS state, 'UPDATE shop.t' || CAST(o_orderkey % 3 AS VARCHAR(10)) || ' SET a = 1' AS query, CASE WHEN o_orderkey % 2 = 0 THEN 'UPDATE shop . t SET a = ?' ELSE '' END AS digest_text,
         CAST(o_orderkey AS VARCHAR(20)) AS trx_id, 'RUNNING' AS trx_state, o_orderkey % 600 AS age_s FROM orders""",
-    "lock_waits": """SELECT c_custkey % 1 AS server_id, c_custkey AS waiting_pid, CAST(floor(c_custkey / 2) AS BIGINT) AS blocking_pid, (c_custkey * 37) % 20000 AS wait_ms, 'shop.t' || CAST(c_custkey % 3 AS VARCHAR(10)) AS lock_table, 'UPDATE t' AS waiting_query, 'DELETE t' AS blocking_query,
-        'w' || CAST(c_custkey % 5 AS VARCHAR(10)) AS waiting_user, 'h1' AS waiting_host, 'b' || CAST(c_custkey % 5 AS VARCHAR(10)) AS blocking_user, 'h2' AS blocking_host FROM customer WHERE c_custkey >= 2""",
-    "lock_rings": "SELECT 0 AS server_id, n_nationkey AS waiting_pid, (3 * n_nationkey + 1) % 25 AS blocking_pid FROM nation",
+    # a snapshot has a binary tree of 999 sessions that wait, or a ring of up to 25; the first session of a tree waits for none
+    "lock_waits": """SELECT s % 4 AS server_id, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL '1' SECOND * s AS snapshot_ts, k AS waiting_pid, s * 1000 + CAST(floor((k % 1000) / 2) AS BIGINT) AS blocking_pid, (k * 37) % 20000 AS wait_ms, 'shop.t' || CAST(k % 3 AS VARCHAR(10)) AS lock_table, 'UPDATE t' AS waiting_query, 'DELETE t' AS blocking_query,
+        'w' || CAST(k % 5 AS VARCHAR(10)) AS waiting_user, 'h1' AS waiting_host, 'b' || CAST(k % 5 AS VARCHAR(10)) AS blocking_user, 'h2' AS blocking_host FROM (SELECT c_custkey AS k, CAST(floor(c_custkey / 1000) AS BIGINT) AS s FROM customer) AS c WHERE k % 1000 >= 2""",
+    "lock_rings": "SELECT s % 4 AS server_id, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL '1' SECOND * s AS snapshot_ts, k AS waiting_pid, s * 25 + (3 * (k % 25) + 1) % 25 AS blocking_pid FROM (SELECT s_suppkey AS k, CAST(floor(s_suppkey / 25) AS BIGINT) AS s FROM supplier) AS c",
     "metadata_locks": f"""SELECT o_custkey % 4 AS server_id, date_trunc('year', o_orderdate) AS snapshot_ts, o_orderkey AS pid, o_orderkey + 100000 AS thread_id, 'app' AS user_name, 'h' AS host, {_LOCK} AS lock_type,
         CASE o_custkey % 5 WHEN 0 THEN 'PENDING' WHEN 4 THEN 'VICTIM' ELSE 'GRANTED' END AS lock_status, 'TABLE' AS object_type, 'shop' AS object_schema, o_orderpriority AS object_name, o_orderkey % 97 AS time_s FROM orders""",
     "plans": """SELECT p_type AS digest, p_partkey AS ts, '{"query_block":{"select_id":1,"cost_info":{"query_cost":"' || CAST(p_size AS VARCHAR(10)) || '"},"ordering_operation":{"using_filesort":' || CASE WHEN p_partkey % 4 = 0 THEN 'true' ELSE 'false' END || ',"nested_loop":[{"table":{"table_name":"' || p_brand || '","access_type":"'
         || CASE WHEN p_partkey % 3 = 0 THEN 'ALL' ELSE 'ref' END || '","rows_examined_per_scan":' || CAST(p_size * 100 AS VARCHAR(10)) || ',"rows_produced_per_join":' || CAST(p_partkey % 50 AS VARCHAR(10)) || '}},{"table":{"table_name":"dim","access_type":"eq_ref","rows_examined_per_scan":"1","rows_produced_per_join":1}}]}}}' AS plan_json FROM part""",
     "status_vars": "SELECT server_id, poll_ts, CASE k " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_VARS)) + " END AS variable_name, CAST(max(v) AS VARCHAR(20)) AS value FROM (SELECT user_id % 4 AS server_id, date_trunc('day', ts) AS poll_ts, event_id % 8 AS k, CAST(floor(value) AS BIGINT) AS v FROM events) GROUP BY 1, 2, 3",
     "replica_rows": "SELECT s_suppkey % 4 AS server_id, s_suppkey AS poll_s, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS new_io, CASE WHEN s_suppkey % 5 = 0 THEN 'YES' ELSE '' END AS old_io, CASE WHEN s_suppkey % 3 = 0 THEN 'No' ELSE 'yes' END AS new_sql, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey % 45 AS VARCHAR(10)) END AS lag FROM supplier",
-    "cloud_metrics": "SELECT 'db-' || CAST(user_id % 4 AS VARCHAR(10)) AS instance, user_id % 2 = 0 AS is_aurora, CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_METRICS)) + " END AS metric_name, date_trunc('day', ts) AS day, event_id, value FROM events",
+    "cloud_metrics": "SELECT 'db-' || CAST(user_id % 4 AS VARCHAR(10)) AS instance, user_id % 2 = 0 AS is_aurora, CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(_METRICS)) + " END AS metric_name, ts, event_id, value FROM events",
     "status_texts": """SELECT o_custkey % 4 AS server_id, o_orderkey AS snapshot, 'TRANSACTIONS' || chr(10) || '------------' || chr(10) || 'Trx id counter ' || CAST(o_orderkey * 10 AS VARCHAR(20)) || chr(10) || 'History list length ' || CAST(o_custkey AS VARCHAR(20)) || chr(10)
         || '---TRANSACTION 1, ACTIVE 5 sec' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '---TRANSACTION 2, ACTIVE 9 sec' || chr(10) || 'LOCK WAIT 2 lock struct(s)' || chr(10) ELSE '' END || '--------' || chr(10) || 'FILE I/O' || chr(10) AS status_text FROM orders""",
     "servers": """SELECT n_nationkey AS server_id, CASE n_nationkey % 4 WHEN 0 THEN '5.7.44' WHEN 1 THEN '8.0.45-aurora' WHEN 2 THEN '10.6.1-MariaDB' ELSE '8.4' END AS version,

@@ -52,6 +52,7 @@ def test_aborted_clients_and_retention(spark):
     assert [r.aborted_delta for r in deltas.aborted_clients_delta(df).orderBy("poll_ts").collect()] == [100, 5, 5, 0]
     ten = spark.createDataFrame([(1, at(i)) for i in range(10)], "server_id long, poll_ts timestamp")
     assert deltas.retained_samples(ten, ["server_id"], F.lit(at(9)), 4, 100).count() == 5
+    assert values(deltas.retained_samples(ten, ["server_id"], F.lit(at(4)), 0, 3), "poll_ts") == [(at(2),), (at(3),), (at(4),)]
 
 
 def test_statement_load(spark):
@@ -63,9 +64,37 @@ def test_statement_load(spark):
     assert load.top_sql(df, sessions=app, app="checkout").count() == 1 and load.top_sql(df, sessions=app.limit(0), app="checkout").count() == 0
 
 
+LOCKS = "server_id long, snapshot_ts timestamp, blocking_pid long, waiting_pid long, wait_ms long"
+
+
+def test_long_chain_and_snapshots_apart(spark):
+    chain = [(1, T0, i, i + 1, 5) for i in range(1000)]
+    apart = [(1, at(1), 1, 2, 5), (1, at(2), 2, 3, 5), (2, at(1), 2, 3, 5), (1, at(3), None, 3, 5), (1, at(4), 7, 7, None)]
+    df = spark.createDataFrame(chain + apart, LOCKS)
+    got = locks.lock_chains(df).collect()
+    assert sorted(len(r.path) for r in got) == [2, 2, 2, 1001] and max(r.max_wait_ms for r in got) == 5
+    tree = locks.lock_tree(df).filter(F.col("snapshot_ts") == T0)
+    assert tree.count() == 1001 and tree.agg(F.max("depth")).first()[0] == 1000 and locks.lock_tree(df, 2).filter(F.col("snapshot_ts") == T0).count() == 3
+    assert [r.path for r in locks.lock_cycles(df).collect()] == [[7]]
+    ring = spark.createDataFrame([(1, T0, i, (i + 1) % 300, 1) for i in range(300)], LOCKS)
+    assert [r.participants for r in locks.lock_cycles(ring).collect()] == [300] and locks.lock_chains(ring).count() == 0
+
+
+def test_chain_issues(spark):
+    edge = lambda s, a, b, t: (1, at(s), a, b, 20_000, t, f"q{b}", f"q{a}", f"u{b}", "h", f"u{a}", "h")
+    row = LOCKS + ", lock_table string, waiting_query string, blocking_query string, waiting_user string, waiting_host string, blocking_user string, blocking_host string"
+    df = spark.createDataFrame([edge(0, 1, 2, "s.t"), edge(0, 2, 3, "s.x"), edge(1, 3, 4, None)], row)
+    chains = locks.chain_text(locks.lock_chains(df), locks.sessions_of(df))
+    got = issues.chain_issues(chains).unionByName(issues.cycle_issues(locks.lock_cycles(df))).orderBy("snapshot_ts").collect()
+    assert [r.title for r in got] == ["Lock chain detected (depth 3)", "Lock chain detected (depth 2)"] and {r.severity for r in got} == {2}
+    d = got[0].details
+    assert d["chain"] == "PID:1(u1@h) s.t [q1] -> PID:2(u2@h) s.t [q2] -> PID:3(u3@h) s.x [q3]" and d["lock_table"] == "s.t"
+    assert d["root_query"] == "q1" and d["blocked_queries"] == "q2, q3" and d["root_blocker"] == "1"
+
+
 @pytest.mark.parametrize(("edges", "chains", "cycles"), [([(1, 2), (2, 3)], [[1, 2, 3]], []), ([(1, 2), (1, 3)], [[1, 2], [1, 3]], []), ([(1, 2), (2, 1)], [], [[1, 2]]), ([], [], [])])
 def test_lock_paths(spark, edges, chains, cycles):
-    df = spark.createDataFrame([(1, a, b, 30_000) for a, b in edges], "server_id long, blocking_pid long, waiting_pid long, wait_ms long")
+    df = spark.createDataFrame([(1, T0, a, b, 30_000) for a, b in edges], LOCKS)
     got = locks.lock_chains(df).collect()
     assert sorted(r.path for r in got) == chains and all(r.severity == 2 for r in got)
     assert sorted(r.path for r in locks.lock_cycles(df).collect()) == cycles
@@ -116,6 +145,10 @@ def test_plan_hash_ignores_costs(spark):
     df = spark.createDataFrame([("d", 1, plan % (1, "ALL", 10)), ("d", 2, plan % (9, "ALL", 11)), ("d", 3, plan % (9, "ref", 11)), ("d", 4, "broken {")], "digest string, ts long, plan_json string")
     hashes = explain.plan_hash(df)
     assert values(explain.plan_flips(hashes), "ts") == [(3,)] and hashes.count() == 3
+    servers = hashes.withColumn("server_id", F.when(F.col("ts") == 2, 1).otherwise(2))
+    assert values(explain.plan_flips(servers), "server_id", "ts") == [(2, 3)]
+    deep = '{"query_block":' + '{"ordering_operation":{"nested_loop":[' * 60 + '{"table":{"table_name":"t"}}' + "]}}" * 60 + "}"
+    assert explain.plan_nodes(spark.createDataFrame([("d", 1, deep)], df.schema)).count() == 1 + 3 * 60 + 1
     assert values(explain.plan_red_flags(df), "ts", "flag") == [(1, "BIG_SCAN_RATIO"), (1, "FULL_SCAN"), (2, "BIG_SCAN_RATIO"), (2, "FULL_SCAN"), (3, "BIG_SCAN_RATIO")]
 
 
