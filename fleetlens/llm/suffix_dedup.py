@@ -304,11 +304,12 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = BYTE) -> DataFrame
     runs = runs.groupBy("f1", "f2").agg(F.max("runs").alias("runs"))
     whole = F.array(F.struct(F.lit(0).alias("first"), F.col("width").alias("last")))
     repeated = distinct.select("f1", "f2", "n", "width").join(runs, ["f1", "f2"], "left")
-    repeated = repeated.select("f1", "f2", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).filter("runs is not null")
+    # landed, so that a hot fragment's places can be dealt out
+    repeated = landed(repeated.select("f1", "f2", F.when(F.col("n") > 1, whole).otherwise(F.col("runs")).alias("runs")).filter("runs is not null"), "repeated-fragments")
     places = shared.select("k1", "k2", "start", "f1", "f2").distinct().join(repeated, ["f1", "f2"]).select("k1", "k2", "start", F.explode("runs").alias("run"))
     spans = places.select("k1", "k2", (F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.last") + length).alias("end"))
     out = landed(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
-    released(texts.sparkSession, shared, distinct, groups, cut)
+    released(texts.sparkSession, shared, distinct, groups, cut, repeated)
     return out
 
 
