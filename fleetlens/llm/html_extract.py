@@ -35,7 +35,9 @@ NAMES = frozenset(
     comment comments commentlist reply replies respond discussion disqus feedback reactions
     copyright legal disclaimer skip hidden""".split()
 )
-KEEPERS = frozenset({"article", "main", "body", "html"})
+# Words in names that say where a box is or what it is made of, and words that name the article itself.
+LAYOUT = frozenset("area bar block bottom box button buttons card center col column container content group icon inner item items left link links list outer page panel right row section site slot small strip text title top unit user wrap wrapper zone".split())
+CONTENT = frozenset("article articles body content entry main post posts story text".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -48,6 +50,18 @@ DEFAULT_TAG = -1.0
 DROPPED_SCORE = -4.0
 
 
+def names_boilerplate(value: str) -> bool:
+    """Whether a class or id names boilerplate: one of its names is made of NAMES and words of layout alone, and none
+    names content. "ad-box" and "widget-left" do, "legal-news", "popular-science story" and "widget article-body" do not."""
+    found = False
+    for name in value.split():
+        parts = [x for x in NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if not x.isdigit() and len(x) > 1]
+        if CONTENT.intersection(parts) and not NAMES.intersection(parts):
+            return False
+        found = found or (any(x in NAMES for x in parts) and all(x in NAMES or x in LAYOUT or x in CONTENT for x in parts))
+    return found
+
+
 @lru_cache(4096)
 def is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element is boilerplate by its kind, role, names or being hidden."""
@@ -56,8 +70,9 @@ def is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     if not attributes or tag in ("html", "body"):
         return False
     for m in ATTR.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and any(n in NAMES for n in NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())):
+        raw = m[2] or m[3] or m[4] or ""
+        key, value = m[1].lower(), raw.lower()
+        if key in ("class", "id") and names_boilerplate(raw):
             if tag not in ("article", "main") or "comment" in value:
                 return True
         elif (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):

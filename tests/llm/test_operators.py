@@ -253,6 +253,22 @@ def test_html(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("name", "kept"), [
+    ("legal-news", True), ("popular-science story", True), ("share-prices", True), ("widget article-body", True), ("content", True), ("advice", True),
+    ("ad", False), ("ad-box", False), ("sidebarLeft", False), ("top_banner", False), ("post-comments", False), ("x related-posts", False), ("cookie-notice-2", False), ("main-nav", False),
+])
+def test_names_in_html(name, kept):
+    words = " ".join(f"word{i}" for i in range(40))
+    page = f"<body><p>Lead of some words here.</p><div class='{name}'><p>{words}</p></div><div class=x>short</div></body>"
+    assert (words in html_extract.extract(page)) == kept
+
+
+def test_html_repeated_rows(spark):
+    rows = [(1, "u", "<article><p>same words here</p></article>")] * 3
+    got = html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["same words here"] * 3
+
+
 def test_languages_held_out(spark, data, odd, empty):
     got = langid.op1_langid(spark, data).join(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.col("lang").alias("truth")), "doc_id").filter("held_out").toPandas()
     assert (got["lang_pred"] == got["truth"]).mean() > 0.95 and got["score"].between(0, 1).all()
