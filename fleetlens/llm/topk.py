@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import landed
+from fleetlens.llm.common import landed, shared_path
 
 ROUNDS = (1 / 16, 1 / 4, 1.0)
 
 
-def sorted_access_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def sorted_access_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places in ``rows``, scores) of the k best rows of each query, itself left out; ties go to the smaller id.
 
     Every component has one list of rows sorted by value, read from its high end by queries with a positive component
@@ -22,7 +22,9 @@ def sorted_access_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndar
     bound is the sum of what was read of it plus the worst value still possible in each list it was not met in (the
     list's far end); its upper bound takes the value at the reading head instead. A row that was met nowhere is bounded
     by the heads alone. A query stops when no row outside its k best can still reach the k-th lower bound; the rows
-    that remain get their final scores. All sums are of integers below 2**53, so they are exact."""
+    that remain get their final scores. ``floor`` has a score for each query that its k best reach already: rows that
+    cannot reach it are outsiders too, and if the list heads alone stay below it, nothing is read for the query.
+    All sums are of integers below 2**53, so they are exact."""
     n, dims = rows.shape
     low_first = np.argsort(rows, axis=0, kind="stable")
     rank_low = np.empty((n, dims), np.int64)
@@ -31,9 +33,13 @@ def sorted_access_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndar
     rank_high = n - 1 - rank_low
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     worst = plus @ ordered[0] + minus @ ordered[-1]
-    live = np.arange(len(queries))
+    floor = np.full(len(queries), -np.inf) if floor is None else floor
+    none = np.zeros(0, np.int64), np.zeros(0)
+    live = np.flatnonzero(plus @ ordered[-1] + minus @ ordered[0] >= floor)
     lower = np.repeat(worst[:, None], n, axis=1)
-    out: list = [None] * len(queries)
+    out: list = [none] * len(queries)
+    if not len(live):
+        return out
     read = 0
     base = rows - ordered[0], rows - ordered[-1]
     for part in ROUNDS:
@@ -46,7 +52,7 @@ def sorted_access_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndar
         for j, q in enumerate(live):
             own = row_ids == query_ids[q]
             sure = np.where(own, -np.inf, lower[q])
-            kth = np.partition(sure, n - k)[n - k] if n > k else -np.inf
+            kth = max(floor[q], np.partition(sure, n - k)[n - k] if n > k else -np.inf)
             may = np.flatnonzero((lower[q] + gap[j] >= kth) & ~own)
             if depth == n or len(may) <= max(4 * k, n // 64):
                 scores = rows[may] @ queries[q]
@@ -59,7 +65,7 @@ def sorted_access_topk(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndar
     return out
 
 
-def _blocks(rows_per_block: int, kind: str):
+def _blocks(rows_per_block: int):
     """Pack (id, v) rows into blocks of whole matrices, one output row for each."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,50 +104,70 @@ def _blocks(rows_per_block: int, kind: str):
     return pack
 
 
-def _pair_topk(k: int):
+def _search(dims: int, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """The k best rows of each query in a task's blocks; what the best so far reach bounds the search of the next block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.full((len(queries), k), np.iinfo(np.int64).max), np.full((len(queries), k), -np.inf)
+        wanted = queries.astype(float)
         for b in batches:
-            for row in b.to_pylist():
-                d = row["dims"]
-                qi, ri = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, r = np.frombuffer(row["q_vectors"], np.int64).reshape(-1, d).astype(float), np.frombuffer(row["vectors"], np.int64).reshape(-1, d).astype(float)
-                found = sorted_access_topk(q, qi, r, ri, k)
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": np.repeat(qi, [len(f[0]) for f in found]),
-                    "vec_id": np.concatenate([ri[f[0]] for f in found]).astype(np.int64),
-                    "score": np.concatenate([f[1] for f in found]).astype(np.int64),
-                })
+            for row in range(b.num_rows):
+                if b.column(0)[row].as_py() != dims:
+                    continue
+                own = np.frombuffer(b.column(1)[row].as_buffer(), np.int64)
+                vectors = np.frombuffer(b.column(2)[row].as_buffer(), np.int64).reshape(-1, dims).astype(float)
+                for q, (at, found) in enumerate(sorted_access_topk(wanted, query_ids, vectors, own, k, scores[:, -1])):
+                    if len(at):
+                        all_ids, all_scores = np.concatenate([ids[q], own[at]]), np.concatenate([scores[q], found])
+                        best = np.lexsort((all_ids, -all_scores))[:k]
+                        ids[q], scores[q] = all_ids[best], all_scores[best]
+        q, place = np.nonzero(np.isfinite(scores))
+        yield pa.RecordBatch.from_pydict({"query_id": query_ids[q], "vec_id": ids[q, place], "score": scores[q, place].astype(np.int64)})
 
     return run
 
 
-def topk_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "id", vector_col: str = "v", rows_per_block: int = 8192, queries_per_block: int = 256) -> DataFrame:
+def _batches(asked: DataFrame, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, ids, vectors) of at most ``most`` queries each; the driver holds a batch and one partition's blocks."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for row in asked.toLocalIterator():
+        dims = row["dims"]
+        mine = held.setdefault(dims, [])
+        mine.append((np.frombuffer(bytes(row["ids"]), np.int64), np.frombuffer(bytes(row["vectors"]), np.int64).reshape(-1, dims)))
+        if sum(len(x[0]) for x in mine) > most - most // 4:
+            yield dims, np.concatenate([x[0] for x in mine]), np.concatenate([x[1] for x in mine])
+            del held[dims]
+    for dims, mine in held.items():
+        yield dims, np.concatenate([x[0] for x in mine]), np.concatenate([x[1] for x in mine])
+
+
+def topk_inner_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "id", vector_col: str = "v", rows_per_block: int = 8192, queries_per_batch: int = 1024) -> DataFrame:
     """The k rows of highest inner product for every query row, over all rows but the query's own.
 
-    ``vectors`` has a long id and an array<long>; rows and queries are cut into blocks and every pair of blocks is one
-    row of work. Within a pair the search is exact, so the k best of all pairs are the answer. Null ids or vectors take
-    no part; vectors only meet vectors of their own length; an empty table gives no rows; a query with fewer than k
-    partners gets all. A repeated id never answers its own query. Returns query_id, rank, vec_id, score."""
-    use = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("is_q")).filter("id is not null and v is not null and size(v) > 0")
+    ``vectors`` has a long id and an array<long>. Rows are cut into blocks, which stay where they are; the queries come
+    in batches of at most ``queries_per_batch``, each sent to all blocks (so many vectors is all that a task or the
+    driver holds of them). A task reads its blocks one after another and carries each query's bound from block to
+    block. Within a block the search is exact, so the k best of all tasks are the answer; what is shuffled is k rows a
+    query and task. Null ids or vectors take no part; vectors only meet vectors of their own length; an empty table
+    gives no rows; a query with fewer than k partners gets all. A repeated id never answers its own query, and repeated
+    query rows get one answer. Other columns are ignored. Returns query_id, rank, vec_id, score."""
+    spark = vectors.sparkSession
+    use = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("v"), is_query.alias("is_q")).filter("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
     schema = "dims int, ids binary, vectors binary"
-    data = landed(use.select("id", "v").mapInArrow(_blocks(rows_per_block, "row"), schema), "topk-rows")
-    asked = landed(use.filter("is_q").select("id", "v").repartition(4, "id").mapInArrow(_blocks(queries_per_block, "query"), schema), "topk-queries")
-    nd, nq = data.count(), asked.count()
-    key = F.xxhash64("ids", "vectors")
-
-    def numbered(blocks: DataFrame, name: str) -> DataFrame:
-        keys = blocks.select(key.alias("key")).distinct().withColumn(name, F.row_number().over(Window.orderBy("key")) - 1)  # one number a block
-        return blocks.withColumn("key", key).join(keys, "key").drop("key")
-
-    left = numbered(data, "db").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, nq - 1)))))
-    right = numbered(asked, "qb").withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(max(0, nd - 1)))))
-    right = right.select("qb", "db", "dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    found = left.join(right, ["qb", "db", "dims"]).select("dims", "ids", "vectors", "q_ids", "q_vectors").mapInArrow(_pair_topk(k), "query_id long, vec_id long, score long")
+    data = landed(use.select("id", "v").mapInArrow(_blocks(rows_per_block), schema), "topk-rows")
+    asked = landed(use.filter("is_q").select("id", "v").distinct().mapInArrow(_blocks(queries_per_batch // 4), schema), "topk-queries")
+    path = shared_path(spark, "topk-found")
+    kinds = "query_id long, vec_id long, score long"
+    spark.createDataFrame([], kinds).write.parquet(path)
+    for dims, ids, batch in _batches(asked, queries_per_batch):
+        data.mapInArrow(_search(dims, ids, batch, k), kinds).write.mode("append").parquet(path)
+    found = spark.read.schema(kinds).parquet(path)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best partners of every vector whose vec_id is divisible by 50."""
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     sound = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     scaled = table.filter(sound).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("v"))

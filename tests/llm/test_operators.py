@@ -208,7 +208,7 @@ def test_topk_equals_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (None, [1] * 16), (950, [1, 2])]
     df = spark.createDataFrame(rows, "id long, v array<long>")
     got = {}
-    for r in topk.topk_inner_products(df, F.col("id") % 50 == 0, 5, rows_per_block=90, queries_per_block=3).collect():
+    for r in topk.topk_inner_products(df, F.col("id") % 50 == 0, 5, rows_per_block=90, queries_per_batch=4).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     s = x @ x.T
     for q in range(0, 400, 50):
@@ -218,6 +218,24 @@ def test_topk_equals_brute_force(spark):
     assert topk.topk_inner_products(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_odd_rows(spark):
+    rows = [(0, [1, 2], "x", 9), (0, [1, 2], "x", 9), (1, [1, None], "x", 9), (2, [3, 3], "x", 9), (2, [3, 3], "x", 9), (3, [-1, -1], "x", 9), (50, [1, 0, 0], "x", 9), (100, [0, 0], "x", 9)]
+    df = spark.createDataFrame(rows, "id long, v array<long>, score string, rank long")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.topk_inner_products(df, F.col("id") % 50 == 0, 3).collect())
+    assert got == [(0, 1, 2, 9), (0, 2, 2, 9), (0, 3, 100, 0), (100, 1, 0, 0), (100, 2, 0, 0), (100, 3, 2, 0)]
+
+
+def test_bounds_skip_blocks():
+    rng = np.random.default_rng(3)
+    queries, rows = rng.integers(-50, 50, (4, 8)).astype(float), rng.integers(-50, 50, (60, 8)).astype(float)
+    ids = np.arange(60)
+    free = topk.sorted_access_topk(queries, np.full(4, -1), rows, ids, 3)
+    best = np.array([f[1][-1] for f in free])
+    same = topk.sorted_access_topk(queries, np.full(4, -1), rows, ids, 3, best)
+    assert all((a[0] == b[0]).all() for a, b in zip(free, same, strict=True))
+    assert all(not len(f[0]) for f in topk.sorted_access_topk(queries, np.full(4, -1), rows, ids, 3, np.full(4, 1e9)))
+
+
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "<p>one</p>"), (2, "http://b", "x" * 30_000 + "é漢\r\n\r\nWARC/1.1"), (3, "http://c\r\nX: y", "<p>one</p>"), (4, None, None), (5, "u", ""), (None, "n", "solo"), (7, "r", "twice"), (7, "r", "twice")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
