@@ -90,8 +90,9 @@ def _blocks(rows_per_block: int):
             starts = np.concatenate([[0], np.cumsum(sizes)])
             for d in np.unique(sizes):
                 pick = np.flatnonzero(sizes == d)
-                if width not in (None, d) and count:
-                    yield from blocks(True)
+                if width not in (None, d):
+                    if count:
+                        yield from blocks(True)
                     held, count = [], 0
                 width = d
                 held.append((ids[pick], flat[starts[pick][:, None] + np.arange(d)].reshape(len(pick), d)))
