@@ -52,13 +52,15 @@ def lock_waits(waits: DataFrame, trx: DataFrame, locks: DataFrame, processes: Da
 
 
 def processes(rows: DataFrame) -> DataFrame:
-    return rows.select("server_id", "snapshot_ts", "pid", *(F.coalesce(c, F.lit("")).alias(c) for c in ("user_name", "host", "db", "command", "state", "info")), F.coalesce("time_s", F.lit(0)).alias("time_s")).orderBy(F.desc("time_s"), "pid")
+    """The process list without nulls; a report sorts it by time_s downwards and pid."""
+    return rows.select("server_id", "snapshot_ts", "pid", *(F.coalesce(c, F.lit("")).alias(c) for c in ("user_name", "host", "db", "command", "state", "info")), F.coalesce("time_s", F.lit(0)).alias("time_s"))
 
 
 def metadata_locks(locks: DataFrame, threads: DataFrame) -> DataFrame:
-    """TABLE-scope locks with the thread that owns them; unknown states sort first, then GRANTED, then PENDING."""
+    """TABLE-scope locks with the thread that owns them; a report sorts them by schema, name, state_order (unknown
+    states, GRANTED, PENDING), time_s downwards and thread."""
     rows = locks.filter("object_type = 'TABLE'").join(threads.select("server_id", "snapshot_ts", "thread_id", F.col("pid").alias("owner_pid")), ["server_id", "snapshot_ts", "thread_id"], "left")
-    return rows.withColumn("state_order", F.when(F.col("lock_status") == "GRANTED", 1).when(F.col("lock_status") == "PENDING", 2).otherwise(0)).orderBy("object_schema", "object_name", "state_order", F.desc("time_s"), "thread_id")
+    return rows.withColumn("state_order", F.when(F.col("lock_status") == "GRANTED", 1).when(F.col("lock_status") == "PENDING", 2).otherwise(0))
 
 
 def innodb_status_metrics(texts: DataFrame) -> DataFrame:
