@@ -227,3 +227,22 @@ _COUNT = "(SELECT count(*) FROM {t} x WHERE x.server_id = s.server_id AND x.snap
 oracle("snapshot_counts", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'metadata_locks', 'lock_waits'))}, {_COUNT.format(t='(' + _ISSUES + ')', n='issues')}, {_COUNT.format(t='(' + _DEAD + ')', n='deadlocks')} FROM ({_SNAPS}) s", "pw", "transactions", "metadata_locks", "leaves", "rings")
 oracle("snapshot_report", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'lock_waits'))}, ['INFO', 'WARNING', 'CRITICAL'][coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) + 1] AS max_severity, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='issues').replace(' AS issues', '')} AS INTEGER) AS issues FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings")
 oracle("format_bytes", "SELECT id, CASE WHEN n >= 1073741824 THEN printf('%.1fGB', round(n / 1073741824, 1)) WHEN n >= 1048576 THEN printf('%.0fMB', round(n / 1048576)) WHEN n >= 1024 THEN printf('%.0fKB', round(n / 1024)) ELSE n || 'B' END AS text FROM (SELECT id, ms * id AS n FROM num)", "num")
+
+_PLAN = """concat('query_block{select_id=1}', chr(10), 'query_block/ordering_operation{using_filesort=', CASE WHEN p_partkey % 4 = 0 THEN 'true' ELSE 'false' END, '}', chr(10), 'query_block/ordering_operation/nested_loop{}', chr(10), 'query_block/ordering_operation/nested_loop/0000{}', chr(10),
+    'query_block/ordering_operation/nested_loop/0000/table{access_type="', CASE WHEN p_partkey % 3 = 0 THEN 'ALL' ELSE 'ref' END, '";table_name="', p_brand, '"}', chr(10), 'query_block/ordering_operation/nested_loop/0001{}', chr(10), 'query_block/ordering_operation/nested_loop/0001/table{access_type="eq_ref";table_name="dim"}')"""
+ORACLES["plan_hash"] = f"SELECT p_type AS digest, p_partkey AS ts, sha256({_PLAN}) AS plan_hash FROM part"
+ORACLES["plan_flips"] = ORACLES["stream_plan_flips"] = f"SELECT digest, ts, prior_hash, new_hash FROM (SELECT digest, ts, plan_hash AS new_hash, lag(plan_hash) OVER (PARTITION BY digest ORDER BY ts) AS prior_hash FROM ({ORACLES['plan_hash']})) WHERE prior_hash <> new_hash"
+
+_TABLE = r"(?i)(?:FROM|JOIN|INTO|UPDATE|TABLE)\s+`?(\w+)`?(?:\s*[.]\s*`?(\w+)`?)?"
+_NAMED = f"CASE WHEN regexp_extract(q, '{_TABLE}', 2) <> '' THEN regexp_extract(q, '{_TABLE}', 1) || '.' || regexp_extract(q, '{_TABLE}', 2) ELSE regexp_extract(q, '{_TABLE}', 1) END"
+_ROWS = f"""SELECT server_id, snapshot_ts, detector, severity, n, nullif(pid, 0) AS pid, u AS user_name, q AS query, CASE WHEN t IS NOT NULL THEN t ELSE {_NAMED} END AS table_name, age_s FROM (
+    SELECT server_id, snapshot_ts, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity, 1 AS n, pid, user_name AS u, CASE WHEN digest_text <> '' THEN digest_text ELSE query END AS q, NULL AS t, age_s FROM transactions WHERE age_s >= 30
+    UNION ALL SELECT server_id, snapshot_ts, 'lock_chain', severity, 1, path[1], '', 'DELETE t', 'shop.t' || (path[2] % 3), 0 FROM leaves
+    UNION ALL SELECT server_id, snapshot_ts, 'lock_chain', 2, 1, NULL, '', '', NULL, 0 FROM rings
+    UNION ALL SELECT server_id, snapshot_ts, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END, 1, pid, user_name, info, NULL, time_s FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'
+    UNION ALL SELECT a.server_id, a.snapshot_ts, 'ddl_conflict', CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END, 1, a.pid, a.user_name, a.info, NULL, a.time_s FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'
+    UNION ALL SELECT d.server_id, d.snapshot_ts, 'deadlock', 2, CAST(d.n AS INTEGER), d.pid, coalesce(p.user_name, ''), coalesce(p.info, ''), NULL, 0 FROM (SELECT server_id, snapshot_ts, n, participants[n] AS pid FROM ({_DEAD}) x, (VALUES (1), (2)) AS k(n)) d LEFT JOIN processes p ON p.server_id = d.server_id AND p.snapshot_ts = d.snapshot_ts AND p.pid = d.pid)"""
+_NEED = ("pw", "transactions", "leaves", "rings")
+oracle("issue_rows", f"SELECT * REPLACE ({_s('r.snapshot_ts')} AS snapshot_ts) FROM ({_ROWS}) r", *_NEED)
+oracle("issues_by_table", f"SELECT server_id, {_s('r.snapshot_ts')} AS snapshot_ts, detector, pid, age_s FROM ({_ROWS}) r WHERE table_name = 'shop.t1'", *_NEED)
+oracle("issues_per_table", f"SELECT server_id, {_s('r.snapshot_ts')} AS snapshot_ts, CASE WHEN table_name <> '' THEN table_name ELSE '(idle: no SQL captured)' END AS bucket, count(*) AS issues, count(*) FILTER (severity = 2) AS critical, count(*) FILTER (severity = 1) AS warning, count(*) FILTER (severity = 0) AS info, max(severity) AS max_severity, max(age_s) AS oldest_s, count(DISTINCT pid) AS pids FROM ({_ROWS}) r GROUP BY server_id, r.snapshot_ts, bucket", *_NEED)
