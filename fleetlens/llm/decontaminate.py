@@ -78,6 +78,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages; nulls, repeats and empty tables as in the operator it applies."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 

@@ -265,6 +265,7 @@ def main_text(pages: DataFrame, html_col: str = "html", scores: tuple[dict[str,
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and empty html give an empty text, repeated rows repeated results."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     scores = learned_tag_scores(pages)
     out = main_text(pages, "html", scores)

@@ -340,4 +340,5 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of all documents at 3 words and 0.9; nulls, repeats and empty tables as in `jaccard_components`."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 3, 90)

@@ -157,6 +157,7 @@ def scored(docs: DataFrame, model: np.ndarray, text_col: str = "text", threshold
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; null and empty texts are scored too, see `scored`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4

@@ -280,5 +280,6 @@ def decoded(tokens: DataFrame, model: bytes, ids_col: str = "token_ids", into: s
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document; null and empty texts have none, see `encoded`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encoded(docs, model_bytes(spark)).select("doc_id", "n_tokens", "round_trip", "token_ids")

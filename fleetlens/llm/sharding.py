@@ -90,6 +90,7 @@ def _merge_bins(spark: SparkSession, bins: DataFrame, buckets: int, shards: int)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by the law `bytes`; nulls, repeats and empty tables as in `pack_shards`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = pack_shards(docs)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
