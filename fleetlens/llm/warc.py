@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -18,6 +19,9 @@ from fleetlens.llm.common import landed, shared_path
 SEGMENT_BYTES = 8192
 CHUNK = 4096
 SALTS = 16
+BUNDLE = 1 << 20
+#: A gzip member without content; it closes each bundle of members, as text lines need something between them.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 DATE = "2024-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6f9619ff-8b86-d011-b42d-00c04fc964ff")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -91,8 +95,17 @@ def page_records(page_id, url: str | None, payload: bytes, copy: int, keeper, is
         yield _head([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{own}|{n}')}>"), *common, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total), ("Content-Length", len(part))]) + part
 
 
-def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = 4000) -> None:
-    """Write one response or revisit per row of ``pages`` (page_id, url, html) as gzipped WARC files under ``path``.
+def member(record: bytes) -> bytes:
+    """A record with the two line ends that close it as a gzip member of its own, so that a reader can start at it."""
+    return gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+
+
+def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = 64 << 20) -> None:
+    """Write one response or revisit per row of ``pages`` (page_id, url, html) as WARC files under ``path``.
+
+    Each record is a gzip member. Members are written in bundles that are closed when they reach BUNDLE bytes, and a file
+    holds as many bundles as ``file_bytes`` has BUNDLEs, so its size does not depend on how long the pages are: a member is
+    a segment, so a file exceeds ``file_bytes`` by one segment a bundle at most.
 
     Of rows with equal payloads the one with the largest page_id is the response and the others revisit it. Rows that
     repeat that page_id with that payload are responses too. A null page_id is smaller than any other; if all are null,
@@ -106,19 +119,20 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     marked = marked.withColumn("copy", F.row_number().over(Window.partitionBy("digest", "salt", "page_id").orderBy("url")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle = bytearray()
         for b in batches:
-            out, size = [], 0
-            for page_id, url, payload, copy, keeper, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for r in page_records(page_id, url, payload, copy, keeper, revisit, segment_bytes):
-                    out.append(r)
-                    size += len(r)
-                if size > 4_000_000:
-                    yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
-                    out, size = [], 0
-            yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
+            for page_id, url, payload, copy, keeper, revisit in zip(*b.columns, strict=True):
+                for r in page_records(page_id.as_py(), url.as_py(), payload.as_py(), copy.as_py(), keeper.as_py(), revisit.as_py(), segment_bytes):
+                    bundle += member(r)
+                    if len(bundle) >= BUNDLE:
+                        yield pa.RecordBatch.from_pydict({"members": pa.array([bytes(bundle)], pa.binary())})
+                        bundle.clear()
+        if bundle:
+            yield pa.RecordBatch.from_pydict({"members": pa.array([bytes(bundle)], pa.binary())})
 
-    records = marked.select("page_id", "url", "payload", "copy", "keeper", "revisit").mapInArrow(pack, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    members = marked.select("page_id", "url", "payload", "copy", "keeper", "revisit").mapInArrow(pack, "members binary")
+    lines = members.select(F.col("members").cast("string")).write.option("encoding", "iso-8859-1").option("lineSep", EMPTY_MEMBER.decode("iso-8859-1"))
+    lines.option("compression", "none").option("maxRecordsPerFile", max(1, file_bytes // BUNDLE)).text(path)
 
 
 def parsed_records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -151,12 +165,13 @@ def parsed_records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], by
         held = held[end + 4 + size :]
 
 
-def _gunzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    at = 0
+def _gunzipped(content: bytes, step: int = 1 << 13) -> Iterator[bytes]:
+    """The content of gzip members; short steps, as what a step holds beyond a member's end is copied."""
+    at, view = 0, memoryview(content)
     while at < len(content):
         unzip = zlib.decompressobj(31)
         while at < len(content) and not unzip.eof:
-            part = content[at : at + step]
+            part = view[at : at + step]
             got = unzip.decompress(part)
             at += len(part) - len(unzip.unused_data)
             if got:

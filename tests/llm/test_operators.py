@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -253,6 +254,31 @@ def test_archives_round_trip(spark, tmp_path):
         warc.dechunked(b"5\r\nab")
 
 
+def test_archives_are_members_in_files_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """Each record can be read from its own gzip member, and a file's size does not follow the number of pages."""
+    monkeypatch.setattr(warc, "BUNDLE", 20_000)
+    noise = random.Random(5)
+    pages = [(i, "u", noise.randbytes(6000).hex(), "clash", 1) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string, salt int").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/w", segment_bytes=1000, file_bytes=60_000)
+    files = list((tmp_path / "w").glob("part-*"))
+    assert len(files) > 4 and max(f.stat().st_size for f in files) < 60_000 + 3 * 2_000
+    for f in files:
+        content, starts = f.read_bytes(), []
+        while content:
+            unzip = zlib.decompressobj(31)
+            starts.append(unzip.decompress(content))
+            content = unzip.unused_data
+        assert unzip.eof and all(m == b"" or m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in starts)
+    got = {r.page_id: r.payload.decode() for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert got == {p[0]: p[2] for p in pages}
+
+
+def test_archives_of_no_pages(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    assert warc.read_archives(spark, f"file://{tmp_path}/w").count() == 0
+
+
 def test_missing_segment_is_an_error(spark, tmp_path):
     records = list(warc.page_records(1, "u", b"x" * 5000, 1, None, False, 1000))
     df = spark.createDataFrame([(r.decode(),) for i, r in enumerate(records) if i != 2], "value string").coalesce(1)
