@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Status variables of the wide row, in its order.
@@ -39,6 +39,23 @@ def verdict(gauges: DataFrame) -> DataFrame:
     return gauges.withColumn("level", worst).withColumn("driver", F.when(worst > 0, by)).withColumn("verdict", F.element_at(F.array(*(F.lit(v) for v in VERDICTS)), worst + 1))
 
 
+def as_of(base: DataFrame, signals: dict[str, DataFrame], within_s: int) -> DataFrame:
+    """``base`` (server_id, poll_ts, ...) and, for each of ``signals`` (server_id, ts, value), a column with the value that
+    was the latest at poll_ts, if it was at most ``within_s`` old. Of one instant the greatest value counts.
+
+    Time is cut into spans of ``within_s`` and a signal is seen in its own and the next, so a window holds one server's
+    rows of one span and not its whole history."""
+    span = lambda ts: F.floor(F.unix_micros(ts) / (within_s * 1_000_000))
+    rows = base.select("server_id", span("poll_ts").alias("span"), F.col("poll_ts").alias("ts"), F.struct(*base.columns).alias("base"))
+    for name, df in signals.items():
+        latest = df.filter("ts is not null").groupBy("server_id", "ts").agg(F.max("value").alias("value")).withColumn("span", F.explode(F.array(span("ts"), span("ts") + 1)))
+        rows = rows.unionByName(latest.select("server_id", "span", "ts", F.struct("ts", "value").alias(name)), allowMissingColumns=True)
+    seen = Window.partitionBy("server_id", "span").orderBy("ts", F.col("base").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("base", "ts", *(F.last(name, ignorenulls=True).over(seen).alias(name) for name in signals)).filter("base is not null")
+    fresh = lambda name: F.unix_micros("ts") - F.unix_micros(F.col(name)["ts"]) <= within_s * 1_000_000
+    return rows.select("base.*", *(F.when(fresh(name), F.col(name)["value"]).alias(name) for name in signals))
+
+
 def replica_status(rows: DataFrame) -> DataFrame:
     """``status`` is the status row as a map; names differ by version, the first that is not empty counts."""
     pick = lambda *names: F.coalesce(*(F.nullif(F.try_element_at("status", F.lit(n)), F.lit("")) for n in names))

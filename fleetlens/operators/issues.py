@@ -119,9 +119,18 @@ def issue_rows(issues: DataFrame, processes: DataFrame) -> DataFrame:
     return rows.withColumn("table_name", F.coalesce("t", table_from_sql(F.col("query")))).drop("t")
 
 
+def table_or_bucket() -> Column:
+    """An issue row's table, or the bucket of statements without one."""
+    return F.when(F.col("table_name") != "", F.col("table_name")).otherwise(untableable_bucket(F.col("query")))
+
+
+def issues_of(rows: DataFrame, name: str) -> DataFrame:
+    """The issue rows of a table or of a bucket."""
+    return rows.filter(table_or_bucket() == name)
+
+
 def issues_per_table(rows: DataFrame) -> DataFrame:
-    name = F.when(F.col("table_name") != "", F.col("table_name")).otherwise(untableable_bucket(F.col("query")))
-    return rows.groupBy(*SNAPSHOT, name.alias("bucket")).agg(
+    return rows.groupBy(*SNAPSHOT, table_or_bucket().alias("bucket")).agg(
         F.count("*").alias("issues"), F.count_if(F.col("severity") == 2).alias("critical"), F.count_if(F.col("severity") == 1).alias("warning"), F.count_if(F.col("severity") == 0).alias("info"),
         F.max("severity").alias("max_severity"), F.max("age_s").alias("oldest_s"), F.count_distinct("pid").alias("pids"),
     )

@@ -246,3 +246,19 @@ _NEED = ("pw", "transactions", "leaves", "rings")
 oracle("issue_rows", f"SELECT * REPLACE ({_s('r.snapshot_ts')} AS snapshot_ts) FROM ({_ROWS}) r", *_NEED)
 oracle("issues_by_table", f"SELECT server_id, {_s('r.snapshot_ts')} AS snapshot_ts, detector, pid, age_s FROM ({_ROWS}) r WHERE table_name = 'shop.t1'", *_NEED)
 oracle("issues_per_table", f"SELECT server_id, {_s('r.snapshot_ts')} AS snapshot_ts, CASE WHEN table_name <> '' THEN table_name ELSE '(idle: no SQL captured)' END AS bucket, count(*) AS issues, count(*) FILTER (severity = 2) AS critical, count(*) FILTER (severity = 1) AS warning, count(*) FILTER (severity = 0) AS info, max(severity) AS max_severity, max(age_s) AS oldest_s, count(DISTINCT pid) AS pids FROM ({_ROWS}) r GROUP BY server_id, r.snapshot_ts, bucket", *_NEED)
+oracle("issues_by_bucket", f"SELECT server_id, {_s('r.snapshot_ts')} AS snapshot_ts, detector, pid, age_s FROM ({_ROWS}) r WHERE table_name = ''", *_NEED)
+ORACLES["stream_report_log"] = ORACLES["snapshot_report"]
+
+_SIGNALS = {
+    "b": "SELECT server_id, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL '1' MINUTE * snapshot AS ts, CAST(regexp_extract(status_text, 'History list length ([0-9]+)', 1) AS BIGINT) * 2000 AS value FROM status_texts",
+    "c": "SELECT server_id, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL '1' HOUR * poll_s AS ts, CASE WHEN poll_s % 6 <> 0 THEN CAST(lag AS BIGINT) END AS value FROM replica_rows",
+    "e": "SELECT CAST(substring(instance, 4) AS BIGINT) AS server_id, ts, max(value) AS value FROM cloud_metrics WHERE metric_name = 'CPUUtilization' GROUP BY 1, 2",
+    "f": f"SELECT server_id, snapshot_ts AS ts, coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) AS value FROM ({_SNAPS}) s",
+}
+_LIMITS = {"a": ("rr", 0.5, 0.8), "b": ("b", 1_000_000, 5_000_000), "c": ("c", 5, 30), "e": ("e", 80, 95)}
+_JOINS = " ".join(f"ASOF LEFT JOIN ({q}) {n} ON v.server_id = {n}.server_id AND v.poll_ts >= {n}.ts" for n, q in _SIGNALS.items())
+_FRESH = ", ".join(f"CASE WHEN epoch(v.poll_ts) - epoch({n}.ts) <= 172800 THEN {n}.value END AS {n}" for n in _SIGNALS)
+_LEVELS = ", ".join(f"CASE WHEN {c} > {page} THEN 2 WHEN {c} > {warn} THEN 1 ELSE 0 END AS l{n}" for n, (c, warn, page) in _LIMITS.items())
+oracle("verdict_as_of", f"""SELECT server_id, poll_ts, level, ['HEALTHY', 'WARN', 'PAGE'][level + 1] AS verdict, CASE WHEN level = 0 THEN NULL WHEN la = level THEN 'running_ratio' WHEN lb = level THEN 'history_length' WHEN lc = level THEN 'replica_lag' WHEN ld = level THEN 'aborted_clients' WHEN le = level THEN 'cloud_cpu' ELSE 'issues' END AS driver
+    FROM (SELECT *, greatest(la, lb, lc, ld, le, lf) AS level FROM (SELECT server_id, {_s('poll_ts')} AS poll_ts, {_LEVELS}, CASE WHEN d > 0 THEN 1 ELSE 0 END AS ld, CAST(coalesce(f, 0) AS INTEGER) AS lf FROM (SELECT v.server_id, v.poll_ts, v.rr, v.d, {_FRESH} FROM (
+    SELECT server_id, poll_ts, CASE WHEN threads_connected = 0 THEN 0 ELSE round(threads_running / threads_connected, 6) END AS rr, aborted_clients - lag(aborted_clients, 1, 0) OVER (PARTITION BY server_id ORDER BY poll_ts) AS d FROM hv) v {_JOINS}) g))""", "hv", "status_texts", "replica_rows", "cloud_metrics", *_NEED)

@@ -202,6 +202,22 @@ def verdict(t: Fleet) -> DataFrame:
     return H.verdict(rows).select("server_id", "poll_ts", "level", "verdict", "driver")
 
 
+@query
+def verdict_as_of(t: Fleet) -> DataFrame:
+    """The verdict at each health poll from the latest value of every other relation, at most two days old."""
+    start = F.unix_seconds(F.lit("2024-01-01").cast("timestamp"))
+    at = lambda seconds: F.timestamp_seconds(start + seconds).alias("ts")
+    lag = F.when(F.col("lag_s") >= 0, F.col("lag_s")).alias("value")
+    signals = {
+        "history_length": S.innodb_status_metrics(t.status_texts).select("server_id", at(F.col("snapshot") * 60), (F.col("history_length") * 2000).alias("value")),
+        "replica_lag_s": H.replica_status(_replicas(t)).select("server_id", at(F.col("poll_s") * 3600), lag),
+        "cloud_cpu": t.cloud_metrics.filter("metric_name = 'CPUUtilization'").select(F.expr("CAST(substring(instance, 4) AS BIGINT)").alias("server_id"), "ts", "value"),
+        "max_severity": I.max_severity(t.snapshots(), t.issues()).select("server_id", F.col("snapshot_ts").alias("ts"), F.col("severity").alias("value")),
+    }
+    gauges = H.health_ratios(D.aborted_clients_delta(H.health_vitals(t.status_vars))).select("server_id", "poll_ts", "running_ratio", "aborted_delta")
+    return H.verdict(H.as_of(gauges, signals, 2 * 86_400)).select("server_id", "poll_ts", "level", "verdict", "driver")
+
+
 # locks
 add("lock_chains", lambda t: L.lock_chains(t.lock_waits))
 add("lock_cycles", lambda t: L.lock_cycles(t.lock_rings))
@@ -236,7 +252,8 @@ add("deadlocks", lambda t: I.deadlocks(t.deadlock_reports(), t.processes))
 add("all_issues", lambda t: t.issues().groupBy("server_id", "snapshot_ts", "ordinal", "detector", "severity").agg(F.count("*").alias("issues")))
 add("issue_rows", lambda t: I.issue_rows(t.issues(), t.processes).select("server_id", "snapshot_ts", "detector", "severity", "n", "pid", "user_name", "query", "table_name", "age_s"))
 add("issues_per_table", lambda t: I.issues_per_table(I.issue_rows(t.issues(), t.processes)))
-add("issues_by_table", lambda t: I.issue_rows(t.issues(), t.processes).filter("table_name = 'shop.t1'").select("server_id", "snapshot_ts", "detector", "pid", "age_s"))
+add("issues_by_table", lambda t: I.issues_of(I.issue_rows(t.issues(), t.processes), "shop.t1").select("server_id", "snapshot_ts", "detector", "pid", "age_s"))
+add("issues_by_bucket", lambda t: I.issues_of(I.issue_rows(t.issues(), t.processes), txt.BUCKET_IDLE).select("server_id", "snapshot_ts", "detector", "pid", "age_s"))
 add("max_severity", lambda t: I.max_severity(t.snapshots(), t.issues()))
 add("snapshot_counts", lambda t: I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions, metadata_locks=t.metadata_locks, lock_waits=t.lock_waits, issues=t.issues(), deadlocks=t.issues().filter("detector = 'deadlock'")))
 
@@ -247,6 +264,7 @@ def snapshot_report(t: Fleet) -> DataFrame:
     return I.snapshot_report(counts, t.issues()).select("server_id", "snapshot_ts", "processes", "transactions", "lock_waits", "max_severity", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"))
 
 
+add("stream_report_log", lambda t: R.logged(snapshot_report(t)))
 add("kill_eligibility", lambda t: I.kill_eligibility(t.processes, [1, 2]).select("server_id", "snapshot_ts", "pid", "reason", "safe"))
 add("long_open_transactions", lambda t: I.long_open_transactions(t.processes))
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fleetlens.functions.text import is_cpu_wait, wait_class
 from fleetlens.operators.deltas import RESET_CHECKED
 from fleetlens.plans.explain import plan_hash
-from fleetlens.sources.landing import as_stream, drained
+from fleetlens.sources.landing import as_stream, drained, shared_path
 
 CHECKED = list(RESET_CHECKED)
 
@@ -113,6 +113,14 @@ def report_log(report: DataFrame, path: str, checkpoint: str):
     return rows.writeStream.format("json").partitionBy("server_id", "day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def logged(report: DataFrame) -> DataFrame:
+    """Run a report through `report_log` to the end of what has landed and read the log."""
+    spark = report.sparkSession
+    path = shared_path(spark, "report-log")
+    report_log(as_stream(report, "reports"), path, shared_path(spark, "report-log-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(report.schema.add("day", "date")).json(path).drop("day")
+
+
 def _cpu(t) -> DataFrame:
     ticks = t.session_ticks
     on_cpu = (F.col("executing") & is_cpu_wait(F.col("current_wait"))).cast("long")

@@ -121,6 +121,14 @@ def test_verdict_levels(spark):
     assert values(health.verdict(df), "verdict") == [("HEALTHY",), ("PAGE",), ("WARN",), ("WARN",)]
 
 
+def test_signals_as_of_a_poll(spark):
+    base = spark.createDataFrame([(1, at(50), "a"), (1, at(100), "b"), (1, at(250), "c"), (2, at(100), "d")], "server_id long, poll_ts timestamp, name string")
+    lags = spark.createDataFrame([(1, at(60), 5), (1, at(100), 7), (1, at(100), 9), (1, at(101), 1), (2, None, 4), (2, at(0), None)], "server_id long, ts timestamp, value long")
+    cpu = spark.createDataFrame([(1, at(149), 1.0), (1, at(150), None), (2, at(1), 3.0)], "server_id long, ts timestamp, value double")
+    got = health.as_of(base, {"lag_s": lags, "cpu": cpu}, 100).orderBy("name").collect()
+    assert [(r.name, r.lag_s, r.cpu) for r in got] == [("a", None, None), ("b", 9, None), ("c", None, None), ("d", None, 3.0)]
+
+
 @pytest.mark.parametrize(("sql", "table", "label", "safe"), [
     ("/* c */ -- d\n SELECT * FROM `shop`.`orders` FOR UPDATE", "shop.orders", "SELECT FOR UPDATE orders", True), ("update t set a=1", "t", "UPDATE t", False), ("/* open", "", "", False), ("", "", "", False),
     ("# x\nWITH q AS (SELECT 1) SELECT 2", "", "WITH", True), ("ALTER TABLE a.b ADD c INT", "a.b", "ALTER TABLE b", False),
