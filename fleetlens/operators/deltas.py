@@ -80,8 +80,9 @@ def executing_sessions(ticks: DataFrame) -> DataFrame:
 
 def cpu_samples(ticks: DataFrame, tick_log: DataFrame, every: str = "10 seconds") -> DataFrame:
     """Per flush interval: executing sessions on CPU and successful ticks; ``tick_log`` (server_id, tick_ts) has empty ticks too."""
-    on_cpu = ticks.filter(F.col("executing") & is_cpu_wait(F.col("current_wait"))).groupBy("server_id", "tick_ts").agg(F.count("*").alias("n"))
-    every_tick = tick_log.select("server_id", "tick_ts").distinct().join(on_cpu, ["server_id", "tick_ts"], "left")
+    on_cpu = ticks.filter(F.col("executing") & is_cpu_wait(F.col("current_wait"))).select("server_id", "tick_ts", F.lit(1).alias("n"), F.lit(False).alias("good"))
+    rows = on_cpu.unionByName(tick_log.select("server_id", "tick_ts", F.lit(0).alias("n"), F.lit(True).alias("good")))
+    every_tick = rows.groupBy("server_id", "tick_ts").agg(F.sum("n").alias("n"), F.bool_or("good").alias("good")).filter("good")
     return every_tick.groupBy("server_id", F.window("tick_ts", every)["start"].alias("ts")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cpu_observations"), F.count("*").alias("cpu_ticks"))
 
 

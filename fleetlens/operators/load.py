@@ -43,11 +43,10 @@ def load_by_group(samples: DataFrame, group: str) -> DataFrame:
 
 def load_by_class(waits: DataFrame, cpu: DataFrame, servers: DataFrame) -> DataFrame:
     """Six rows per server in fixed order, zero without data, and the total."""
-    spark = servers.sparkSession
-    classes = spark.createDataFrame([(c, i) for i, c in enumerate(WAIT_CLASSES)], "class string, ordinal int")
+    classes = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(i).alias("ordinal")) for i, c in enumerate(WAIT_CLASSES)))
     timed = waits.groupBy("server_id", "class").agg((F.sum("timer_delta_ps") / 1e12 / (F.sum("interval_ns") / 1e9)).alias("aas"))
     on_cpu = cpu.groupBy("server_id").agg((F.sum("cpu_observations") / F.sum("cpu_ticks")).alias("aas")).withColumn("class", F.lit("CPU"))
-    rows = servers.select("server_id").distinct().crossJoin(F.broadcast(classes)).join(timed.unionByName(on_cpu), ["server_id", "class"], "left")  # six rows a server
+    rows = servers.select("server_id").distinct().select("server_id", F.inline(classes)).join(timed.unionByName(on_cpu), ["server_id", "class"], "left")
     return rows.select("server_id", "class", "ordinal", F.round(F.coalesce("aas", F.lit(0.0)), 6).alias("aas"), F.round(F.sum(F.coalesce("aas", F.lit(0.0))).over(Window.partitionBy("server_id")), 6).alias("total"))
 
 

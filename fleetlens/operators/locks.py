@@ -133,6 +133,25 @@ def lock_tree(lock_waits: DataFrame, max_depth: int | None = None) -> DataFrame:
     return rows if max_depth is None else rows.filter(F.col("depth") <= max_depth)
 
 
+def tree_report(lock_waits: DataFrame, transactions: DataFrame, processes: DataFrame, participants: DataFrame) -> DataFrame:
+    """The lock tree as it is read: roots by the age of their transactions downwards (none last), each above what waits for
+    it, then the deadlock's ``participants`` (server_id, snapshot_ts, pid) that are not in the tree and not 0, without depth.
+
+    The query is the transaction's, else the process list's, else that of an edge it waits on, else of one it blocks; '' if none is known."""
+    key = [*SNAPSHOT, "pid"]
+    tree = lock_tree(lock_waits).select(*key, "depth", "root", "path", "wait_ms")
+    trx = transactions.groupBy(*key).agg(F.max(F.struct("age_s", F.col("query").alias("trx_query"))).alias("t")).select(*key, "t.*")
+    procs = processes.groupBy(*key).agg(F.max(F.struct("time_s", "info")).alias("p")).select(*key, "p.info")
+    side = lambda p, waits: lock_waits.select(*SNAPSHOT, F.col(f"{p}_pid").alias("pid"), F.struct(F.lit(waits).alias("waits"), F.col(f"{p}_query").alias("query")).alias("e"))
+    texts = side("waiting", 1).unionByName(side("blocking", 0)).filter("e.query <> ''").groupBy(*key).agg(F.max("e").alias("e")).select(*key, F.col("e.query").alias("edge_query"))
+    rows = tree.unionByName(participants.filter("pid <> 0").select(*key).distinct().join(tree, key, "left_anti"), allowMissingColumns=True)
+    rows = rows.join(trx.select(*SNAPSHOT, F.col("pid").alias("root"), F.col("age_s").alias("root_age_s")), [*SNAPSHOT, "root"], "left")
+    rows = rows.join(trx, key, "left").join(procs, key, "left").join(texts, key, "left")
+    query = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("trx_query", "info", "edge_query")), F.lit(""))
+    place = F.row_number().over(Window.partitionBy(*SNAPSHOT).orderBy(F.col("root").isNull(), F.desc_nulls_last("root_age_s"), "root", "path", "pid"))
+    return rows.select(*key, place.alias("place"), "depth", "root", "path", F.coalesce("wait_ms", F.lit(0).cast("long")).alias("wait_ms"), "age_s", query.alias("query"))
+
+
 def top_waiters(lock_waits: DataFrame, shown: int = 5) -> DataFrame:
     """The first waiters of each blocker and how many more there are."""
     by = Window.partitionBy(*SNAPSHOT, "a")

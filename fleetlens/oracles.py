@@ -135,6 +135,10 @@ oracle("verdict", f"""SELECT server_id, poll_ts, level, ['HEALTHY', 'WARN', 'PAG
 
 oracle("lock_chains", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, path[1] AS root_blocker, array_to_string(path, '>') AS path, CAST(depth AS INTEGER) AS depth, longest AS max_wait_ms, severity FROM leaves", "leaves")
 oracle("lock_tree", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, path[-1] AS pid, CAST(depth - 1 AS INTEGER) AS depth, path[1] AS root, array_to_string(path, '>') AS path, coalesce((SELECT max(wait_ms) FROM lock_waits w WHERE w.waiting_pid = path[-1]), 0) AS wait_ms FROM chains", "chains")
+oracle("lock_tree_report", """SELECT server_id, CAST(epoch(ts) AS BIGINT) AS snapshot_ts, pid, CAST(row_number() OVER (PARTITION BY server_id, ts ORDER BY root IS NULL, CASE WHEN root % 2 = 0 THEN root % 600 END DESC NULLS LAST, root, p, pid) AS INTEGER) AS place, depth, root, array_to_string(p, '>') AS path, wait_ms, CASE WHEN pid > 0 AND pid % 2 = 0 THEN pid % 600 END AS age_s,
+    CASE WHEN pid < 0 THEN '' WHEN pid % 2 = 0 THEN 'UPDATE t' || pid WHEN pid % 5 <> 0 THEN 'q' || pid WHEN depth = 0 THEN 'DELETE t' ELSE 'UPDATE t' END AS query FROM (
+    SELECT server_id, snapshot_ts AS ts, path[-1] AS pid, CAST(depth - 1 AS INTEGER) AS depth, path[1] AS root, path AS p, coalesce((SELECT max(wait_ms) FROM lock_waits w WHERE w.waiting_pid = path[-1]), 0) AS wait_ms FROM chains
+    UNION ALL SELECT DISTINCT server_id, snapshot_ts, -pid, NULL, NULL, NULL, 0 FROM (SELECT server_id, snapshot_ts, waiting_pid AS pid FROM lock_waits UNION SELECT server_id, snapshot_ts, blocking_pid FROM lock_waits) WHERE pid % 50 = 0 AND pid <> 0)""", "chains")
 oracle("lock_tree_top_waiters", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, blocking_pid, waiting_pid, wait_ms, CAST(place AS INTEGER) AS place, greatest(n - 1, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY blocking_pid ORDER BY wait_ms DESC, waiting_pid) AS place, count(*) OVER (PARTITION BY blocking_pid) AS n FROM lock_waits) WHERE place <= 1", "lock_waits")
 oracle("lock_cycles", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, start, array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS participants, 2 AS severity FROM rings", "rings")
 

@@ -222,6 +222,18 @@ def verdict_as_of(t: Fleet) -> DataFrame:
 add("lock_chains", lambda t: L.lock_chains(t.lock_waits))
 add("lock_cycles", lambda t: L.lock_cycles(t.lock_rings))
 add("lock_tree", lambda t: L.lock_tree(t.lock_waits))
+
+
+@query
+def lock_tree_report(t: Fleet) -> DataFrame:
+    at = ["server_id", "snapshot_ts"]
+    sides = t.lock_waits.select(*at, F.explode(F.array("waiting_pid", "blocking_pid")).alias("pid")).distinct()
+    trx = sides.filter("pid % 2 = 0").select(*at, "pid", (F.col("pid") % 600).alias("age_s"), F.concat(F.lit("UPDATE t"), "pid").alias("query"))
+    procs = sides.filter("pid % 5 <> 0").select(*at, "pid", F.lit(0).alias("time_s"), F.concat(F.lit("q"), "pid").alias("info"))
+    dead = sides.filter("pid % 50 = 0").select(*at, F.explode(F.array(F.lit(0).cast("long"), F.col("pid"), -F.col("pid"))).alias("pid"))
+    return L.tree_report(t.lock_waits, trx, procs, dead)
+
+
 add("lock_tree_top_waiters", lambda t: L.top_waiters(t.lock_waits, 1))
 
 

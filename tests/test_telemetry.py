@@ -121,6 +121,18 @@ def test_verdict_levels(spark):
     assert values(health.verdict(df), "verdict") == [("HEALTHY",), ("PAGE",), ("WARN",), ("WARN",)]
 
 
+def test_tree_as_it_is_read(spark):
+    """The older root first, texts by source, and the participants that are outside the tree."""
+    at_ = "server_id long, snapshot_ts timestamp, "
+    waits = spark.createDataFrame([(1, T0, 10, 11, 5, "edge"), (1, T0, 20, 21, 7, "edge"), (1, T0, 21, 22, 9, "edge")], at_ + "blocking_pid long, waiting_pid long, wait_ms long, blocking_query string")
+    waits = waits.selectExpr("*", "'u' blocking_user", "'h' blocking_host", "'u' waiting_user", "'h' waiting_host", "'t' lock_table", "'' waiting_query")
+    trx = spark.createDataFrame([(1, T0, 10, 30, "old"), (1, T0, 20, 90, "")], at_ + "pid long, age_s long, query string")
+    procs = spark.createDataFrame([(1, T0, 20, 1, ""), (1, T0, 22, 1, "listed")], at_ + "pid long, time_s long, info string")
+    dead = spark.createDataFrame([(1, T0, 0), (1, T0, 22), (1, T0, 99), (1, T0, 99)], at_ + "pid long")
+    got = locks.tree_report(waits, trx, procs, dead).orderBy("place").collect()
+    assert [(r.pid, r.depth, r.wait_ms, r.query) for r in got] == [(20, 0, 0, "edge"), (21, 1, 7, "edge"), (22, 2, 9, "listed"), (10, 0, 0, "old"), (11, 1, 5, ""), (99, None, 0, "")]
+
+
 def test_signals_as_of_a_poll(spark):
     base = spark.createDataFrame([(1, at(50), "a"), (1, at(100), "b"), (1, at(250), "c"), (2, at(100), "d")], "server_id long, poll_ts timestamp, name string")
     lags = spark.createDataFrame([(1, at(60), 5), (1, at(100), 7), (1, at(100), 9), (1, at(101), 1), (2, None, 4), (2, at(0), None)], "server_id long, ts timestamp, value long")
