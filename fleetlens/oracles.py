@@ -88,8 +88,11 @@ oracle("innodb_status_metrics", "SELECT server_id, snapshot, CAST(regexp_extract
 oracle("deadlock_participants", """SELECT server_id, snapshot, '2024-01-02 03:04:05' AS deadlock_ts, CAST(n AS INTEGER) AS n, CAST(snapshot + n AS VARCHAR) AS trx_id, snapshot % 1000 + n AS thread_id, 'localhost' AS host, 'root' AS user_name, 'shop.t' AS table_name, 'PRIMARY' AS index_name, 'X' AS lock_mode,
     'UPDATE t SET a = ' || CAST(snapshot + n AS VARCHAR) AS query FROM status_texts CROSS JOIN range(1, 3) r(n)""", "status_texts")
 oracle("server_info", "SELECT server_id, version, CASE WHEN version = '5.7.44' THEN 50744 WHEN version LIKE '8.0.45%' THEN 80045 WHEN version LIKE '10.6.1%' THEN 100601 ELSE 0 END AS version_number, version LIKE '%MariaDB%' AS is_mariadb, version LIKE '%aurora%' AS is_aurora, has_rds_kill AND version NOT LIKE '%MariaDB%' AS is_rds FROM servers", "servers")
-oracle("capability_audit", """SELECT server_id, digest, waits, history_long, concat_ws('; ', CASE WHEN NOT digest THEN 'statement digests are off' END, CASE WHEN NOT waits THEN 'wait events are off' END, CASE WHEN NOT history_long THEN 'long statement history is off' END) AS warnings FROM (
-    SELECT server_id, bool_or(name = 'statements_digest' AND enabled = 'YES') AND bool_or(name = 'global_instrumentation' AND enabled = 'YES') AS digest, bool_or(name IN ('events_waits_current', 'global_instrumentation') AND enabled = 'YES') AS waits, bool_or(name = 'events_statements_history_long' AND enabled = 'YES') AS history_long FROM setup_consumers GROUP BY 1)""", "setup_consumers")
+oracle("capability_audit", """SELECT server_id, digest, waits, history_long, connect_attributes, mdl, concat_ws('; ', CASE WHEN NOT global_on THEN 'no statement digests: consumer global_instrumentation is off' WHEN NOT digest THEN 'no statement digests: consumer statements_digest is off' END,
+    CASE WHEN NOT waits THEN 'no wait events: consumer global_instrumentation is off' END, CASE WHEN NOT history_long THEN 'no recent examples: consumer events_statements_history_long is off' END,
+    CASE WHEN NOT connect_attributes THEN 'no connection attributes: applications are told by comments only' END, CASE WHEN NOT mdl THEN 'no metadata locks: instrument wait/lock/metadata/sql/mdl is off' END) AS warnings FROM (
+    SELECT server_id, bool_or(name = 'global_instrumentation' AND enabled = 'YES') AS global_on, bool_or(name = 'statements_digest' AND enabled = 'YES') AND bool_or(name = 'global_instrumentation' AND enabled = 'YES') AS digest, bool_or(name IN ('events_waits_current', 'global_instrumentation') AND enabled = 'YES') AS waits,
+    bool_or(name = 'events_statements_history_long' AND enabled = 'YES') AS history_long, server_id % 4 <> 0 AS connect_attributes, server_id % 3 = 0 OR server_id % 2 = 0 AS mdl FROM setup_consumers GROUP BY 1)""", "setup_consumers")
 _M = {"CPUUtilization": ("cpu_percent", 1), "DatabaseConnections": ("connections", 1), "FreeableMemory": ("free_memory_bytes", 1), "ReadIOPS": ("read_iops", 1), "WriteIOPS": ("write_iops", 1), "ReadLatency": ("read_latency_ns", 10**9), "WriteLatency": ("write_latency_ns", 10**9), "DiskQueueDepth": ("queue_depth", 1), "AuroraReplicaLag": ("replica_lag_ns", 10**6), "BufferCacheHitRatio": ("cache_hit_percent", 1), "Deadlocks": ("deadlocks_per_s", 1), "VolumeBytesUsed": ("volume_bytes", 1)}
 oracle("cloud_metrics_latest", "SELECT instance, is_aurora, " + ", ".join(f"round(greatest(coalesce(max(v) FILTER (metric_name = '{k}'), 0), 0) * {f}, 4) AS {n}" for k, (n, f) in _M.items()) + " FROM (SELECT instance, is_aurora, metric_name, arg_max(value, (ts, value)) AS v FROM cloud_metrics WHERE ts > TIMESTAMP '2024-01-30 23:59:59' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-30 23:59:59' AND (is_aurora OR metric_name NOT IN ('AuroraReplicaLag', 'BufferCacheHitRatio', 'Deadlocks', 'VolumeBytesUsed')) GROUP BY 1, 2, 3) GROUP BY 1, 2", "cloud_metrics")
 oracle("rds_target", "SELECT server_id, host, CASE WHEN server_id % 2 = 0 THEN split_part(host, '.', 1) ELSE '' END AS instance, CASE WHEN server_id % 2 = 0 THEN 'us-east-1' ELSE '' END AS region, server_id % 2 = 0 AS ok, CASE WHEN server_id % 2 = 0 THEN '' ELSE 'host is not an RDS endpoint' END AS reason FROM servers", "servers")

@@ -148,7 +148,15 @@ def deadlock_participants(t: Fleet) -> DataFrame:
 
 
 add("server_info", lambda t: S.server_info(t.servers))
-add("capability_audit", lambda t: S.capability_audit(t.setup_consumers).withColumn("warnings", F.array_join("warnings", "; ")))
+
+
+@query
+def capability_audit(t: Fleet) -> DataFrame:
+    tables = t.servers.filter("server_id % 4 <> 0").select("server_id", F.lit("session_connect_attrs").alias("table_name"))
+    instruments = t.servers.filter("server_id % 3 <> 0").select("server_id", F.lit(S.MDL_INSTRUMENT).alias("name"), F.when(F.col("server_id") % 2 == 0, "YES").otherwise("NO").alias("enabled"))
+    return S.capability_audit(t.setup_consumers, tables, instruments).withColumn("warnings", F.array_join("warnings", "; "))
+
+
 add("cloud_metrics_latest", lambda t: S.cloud_metrics_latest(t.cloud_metrics.select("instance", "is_aurora", "metric_name", "value", "ts"), t.as_of(), 30 * 86_400))
 add("rds_target", lambda t: S.rds_target(t.servers))
 

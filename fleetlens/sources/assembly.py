@@ -10,6 +10,7 @@ METRICS = {
     "CPUUtilization": ("cpu_percent", 1), "DatabaseConnections": ("connections", 1), "FreeableMemory": ("free_memory_bytes", 1), "ReadIOPS": ("read_iops", 1), "WriteIOPS": ("write_iops", 1), "ReadLatency": ("read_latency_ns", 10**9),
     "WriteLatency": ("write_latency_ns", 10**9), "DiskQueueDepth": ("queue_depth", 1), "AuroraReplicaLag": ("replica_lag_ns", 10**6), "BufferCacheHitRatio": ("cache_hit_percent", 1), "Deadlocks": ("deadlocks_per_s", 1), "VolumeBytesUsed": ("volume_bytes", 1),
 }
+MDL_INSTRUMENT = "wait/lock/metadata/sql/mdl"
 AURORA_ONLY = ("AuroraReplicaLag", "BufferCacheHitRatio", "Deadlocks", "VolumeBytesUsed")
 
 
@@ -96,11 +97,27 @@ def server_info(servers: DataFrame) -> DataFrame:
     return servers.select("server_id", "version", F.coalesce(number, F.lit(0)).alias("version_number"), maria.alias("is_mariadb"), lower.contains("aurora").alias("is_aurora"), (F.col("has_rds_kill") & ~maria).alias("is_rds"))
 
 
-def capability_audit(consumers: DataFrame) -> DataFrame:
+def capability_audit(consumers: DataFrame, tables: DataFrame, instruments: DataFrame) -> DataFrame:
+    """What each server with ``consumers`` (server_id, name, enabled) can tell, and a warning for each thing it cannot.
+
+    ``tables`` (server_id, table_name) says who has connection attributes. A server without the metadata-lock instrument in
+    ``instruments`` (server_id, name, enabled) may call it otherwise, so it counts as able."""
     on = lambda n: F.coalesce(F.bool_or((F.col("name") == n) & (F.col("enabled") == "YES")), F.lit(False))
     rows = consumers.groupBy("server_id").agg(on("global_instrumentation").alias("global_on"), on("statements_digest").alias("digest_on"), on("events_waits_current").alias("waits_on"), on("events_statements_history_long").alias("history_long"))
-    rows = rows.select("server_id", (F.col("digest_on") & F.col("global_on")).alias("digest"), (F.col("waits_on") | F.col("global_on")).alias("waits"), "history_long")
-    return rows.withColumn("warnings", F.array_compact(F.array(F.when(~F.col("digest"), "statement digests are off"), F.when(~F.col("waits"), "wait events are off"), F.when(~F.col("history_long"), "long statement history is off"))))
+    attributes = tables.filter(F.col("table_name") == "session_connect_attrs").select("server_id").distinct().withColumn("attributes", F.lit(True))
+    mdl = instruments.filter(F.col("name") == MDL_INSTRUMENT).groupBy("server_id").agg(F.coalesce(F.bool_or(F.col("enabled") == "YES"), F.lit(False)).alias("mdl"))
+    rows = rows.join(attributes, "server_id", "left").join(mdl, "server_id", "left")
+    rows = rows.select(
+        "server_id", "global_on", (F.col("digest_on") & F.col("global_on")).alias("digest"), (F.col("waits_on") | F.col("global_on")).alias("waits"), "history_long",
+        F.coalesce("attributes", F.lit(False)).alias("connect_attributes"), F.coalesce("mdl", F.lit(True)).alias("mdl"),
+    )
+    missing = F.when(~F.col("global_on"), "global_instrumentation").otherwise("statements_digest")
+    warnings = F.array_compact(F.array(
+        F.when(~F.col("digest"), F.concat(F.lit("no statement digests: consumer "), missing, F.lit(" is off"))), F.when(~F.col("waits"), "no wait events: consumer global_instrumentation is off"),
+        F.when(~F.col("history_long"), "no recent examples: consumer events_statements_history_long is off"), F.when(~F.col("connect_attributes"), "no connection attributes: applications are told by comments only"),
+        F.when(~F.col("mdl"), f"no metadata locks: instrument {MDL_INSTRUMENT} is off"),
+    ))
+    return rows.withColumn("warnings", warnings).drop("global_on")
 
 
 def cloud_metrics_latest(points: DataFrame, as_of: Column, window_s: int = 300) -> DataFrame:
