@@ -15,6 +15,20 @@ RESET_CHECKED = ("count_star", "sum_timer_wait", "sum_rows_examined", "sum_rows_
 DIGEST_KEY = ("server_id", "schema_name", "digest")
 
 
+def with_before(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` and, as struct ``before``, the row of the same key with the next smaller poll_ts.
+
+    Windows hold one key's rows of one day; a day's first row takes the last one of the day before that has any, from a
+    window over one row a day. No key and no poll_ts may be null. The struct is the whole row and both sides share filters, so
+    that they can read one shuffle."""
+    row, by_day = F.struct(*rows.columns), [*key, "day"]
+    rows = rows.withColumn("row", row).withColumn("day", F.to_date("poll_ts")).filter("day is not null")
+    last = rows.groupBy(*by_day).agg(F.max_by("row", "poll_ts").alias("last"))
+    carried = last.select(*by_day, F.lag("last").over(Window.partitionBy(*key).orderBy("day")).alias("carried"))
+    rows = rows.withColumn("before", F.lag("row").over(Window.partitionBy(*by_day).orderBy("poll_ts"))).join(carried, by_day)
+    return rows.select("row.*", F.coalesce("before", "carried").alias("before"))
+
+
 def digest_outcomes(polls: DataFrame, digest_polls: DataFrame) -> DataFrame:
     """Every digest row of every poll with its outcome (seed, reset, idle or emit) and its deltas.
 
@@ -22,10 +36,10 @@ def digest_outcomes(polls: DataFrame, digest_polls: DataFrame) -> DataFrame:
     just before only. Rows of one key and poll are summed. Counters that are not reset-checked are clamped at 0."""
     by_server = Window.partitionBy("server_id").orderBy("poll_ts")
     log = polls.select("server_id", "poll_ts").distinct().withColumn("prev_poll_ts", F.lag("poll_ts").over(by_server))
-    rows = digest_polls.filter("digest is not null").withColumn("schema_name", F.coalesce("schema_name", F.lit("")))
+    rows = digest_polls.filter("digest is not null and server_id is not null and poll_ts is not null").withColumn("schema_name", F.coalesce("schema_name", F.lit("")))
     rows = rows.groupBy(*DIGEST_KEY, "poll_ts").agg(F.max("digest_text").alias("digest_text"), *(F.sum(c).cast("decimal(20,0)").alias(c) for c in DIGEST_COUNTERS))
-    key = Window.partitionBy(*DIGEST_KEY).orderBy("poll_ts")
-    rows = rows.withColumns({"seen_ts": F.lag("poll_ts").over(key)} | {f"prev_{c}": F.lag(c).over(key) for c in DIGEST_COUNTERS})
+    rows = with_before(rows, list(DIGEST_KEY))
+    rows = rows.withColumns({"seen_ts": F.col("before.poll_ts")} | {f"prev_{c}": F.col(f"before.{c}") for c in DIGEST_COUNTERS})
     rows = rows.join(log, ["server_id", "poll_ts"])
     reset = F.lit(False)
     for c in RESET_CHECKED:
@@ -50,9 +64,9 @@ def digest_poll_audit(polls: DataFrame, digest_polls: DataFrame) -> DataFrame:
 
 def wait_outcomes(wait_polls: DataFrame) -> DataFrame:
     """Every wait event of every poll with outcome and deltas; a delta may span polls that missed the event."""
-    key = Window.partitionBy("server_id", "event_name").orderBy("poll_ts")
     polls = wait_polls.select("server_id", "poll_ts").distinct().withColumn("prev_poll_ts", F.lag("poll_ts").over(Window.partitionBy("server_id").orderBy("poll_ts")))
-    rows = wait_polls.filter("count_star > 0").withColumns({"seen_ts": F.lag("poll_ts").over(key), "pc": F.lag("count_star").over(key), "pt": F.lag("sum_timer_wait").over(key)}).join(polls, ["server_id", "poll_ts"])
+    rows = with_before(wait_polls.filter("count_star > 0 and event_name is not null and server_id is not null and poll_ts is not null"), ["server_id", "event_name"])
+    rows = rows.withColumns({"seen_ts": F.col("before.poll_ts"), "pc": F.col("before.count_star"), "pt": F.col("before.sum_timer_wait")}).join(polls, ["server_id", "poll_ts"])
     outcome = F.when(F.col("seen_ts").isNull(), "seed").when((F.col("count_star") < F.col("pc")) | (F.col("sum_timer_wait") < F.col("pt")), "reset").otherwise("delta")
     return rows.select(
         "server_id", "poll_ts", "event_name", wait_class(F.col("event_name")).alias("class"), outcome.alias("outcome"), ((F.unix_micros("poll_ts") - F.unix_micros("prev_poll_ts")) * 1000).alias("interval_ns"),

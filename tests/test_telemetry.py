@@ -133,6 +133,14 @@ def test_tree_as_it_is_read(spark):
     assert [(r.pid, r.depth, r.wait_ms, r.query) for r in got] == [(20, 0, 0, "edge"), (21, 1, 7, "edge"), (22, 2, 9, "listed"), (10, 0, 0, "old"), (11, 1, 5, ""), (99, None, 0, "")]
 
 
+def test_the_row_before_over_days(spark):
+    """The first row of a day takes the last one of the day before that has rows, however long ago."""
+    seconds = (5, 50, 86_405, 5 * 86_400, 5 * 86_400 + 7)
+    rows = spark.createDataFrame([(k, at(s), s) for k in (1, 2) for s in seconds if k == 1 or s != 50], "server_id long, poll_ts timestamp, n int")
+    got = sorted((r.server_id, r.n, r.before.n if r.before else None) for r in deltas.with_before(rows, ["server_id"]).collect())
+    assert got == [(1, 5, None), (1, 50, 5), (1, 86_405, 50), (1, 432_000, 86_405), (1, 432_007, 432_000), (2, 5, None), (2, 86_405, 5), (2, 432_000, 86_405), (2, 432_007, 432_000)]
+
+
 def test_signals_as_of_a_poll(spark):
     base = spark.createDataFrame([(1, at(50), "a"), (1, at(100), "b"), (1, at(250), "c"), (2, at(100), "d")], "server_id long, poll_ts timestamp, name string")
     lags = spark.createDataFrame([(1, at(60), 5), (1, at(100), 7), (1, at(100), 9), (1, at(101), 1), (2, None, 4), (2, at(0), None)], "server_id long, ts timestamp, value long")
