@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm.decontaminate import ORACLE as LEAKS_ORACLE
 from fleetlens.llm.decontaminate import op6_decontaminate
+from fleetlens.llm.filter_audit import ORACLE as AUDIT_ORACLE
+from fleetlens.llm.filter_audit import op13_filter_audit
 from fleetlens.llm.html_extract import op2_html_extract
 from fleetlens.llm.jaccard import op3_jaccard
 from fleetlens.llm.langid import op1_langid
@@ -15,6 +17,7 @@ from fleetlens.llm.quality import op7_quality
 from fleetlens.llm.sentencepiece_fst import op5_sentencepiece
 from fleetlens.llm.sharding import op9_sharding
 from fleetlens.llm.suffix_dedup import op8_suffix_dedup
+from fleetlens.llm.tokenizer_alignment import op12_alignment
 from fleetlens.llm.topk import op10_topk
 from fleetlens.llm.warc import op4_warc
 
@@ -29,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op12_alignment": op12_alignment,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontaminate": LEAKS_ORACLE,
+    "op12_alignment": op12_alignment,
+    "op13_filter_audit": AUDIT_ORACLE,
     "op10_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS DOUBLE)) AS v
