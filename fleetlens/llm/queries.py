@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.llm.chat_format import ORACLE as CHAT_ORACLE
+from fleetlens.llm.chat_format import op11_chat_format
 from fleetlens.llm.decontaminate import ORACLE as LEAKS_ORACLE
 from fleetlens.llm.decontaminate import op6_decontaminate
 from fleetlens.llm.filter_audit import ORACLE as AUDIT_ORACLE
@@ -32,13 +34,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_chat_format": op11_chat_format,
     "op12_alignment": op12_alignment,
     "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontaminate": LEAKS_ORACLE,
+    "op11_chat_format": op11_chat_format,
     "op12_alignment": op12_alignment,
+    "op11_chat_format": CHAT_ORACLE,
     "op13_filter_audit": AUDIT_ORACLE,
     "op10_topk": """
         WITH v AS (
