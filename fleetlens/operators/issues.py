@@ -42,19 +42,38 @@ def _ddl_waits(processes: DataFrame) -> DataFrame:
 
 
 def ddl_blocked(processes: DataFrame, transactions: DataFrame, threshold_s: int = 10) -> DataFrame:
-    """DDL that waits for a metadata lock, with the transactions of its database that may block it."""
+    """DDL that waits for a metadata lock, with the transactions of its database that may block it.
+
+    The transactions of a database are listed once, so waiters and transactions do not meet in pairs."""
     waiting = _ddl_waits(processes).filter(F.col("ddl") & (F.col("state") == METADATA_WAIT)).select(*SNAPSHOT, "pid", "user_name", "host", "db", "time_s", "info")
-    trx = transactions.select(*SNAPSHOT, "db", F.col("pid").alias("trx_pid"))
-    found = waiting.join(trx, [*SNAPSHOT, "db"]).filter("pid <> trx_pid").groupBy(*SNAPSHOT, "pid").agg(F.array_join(F.transform(F.array_sort(F.collect_set("trx_pid")), lambda x: x.cast("string")), ", ").alias("blockers"))
-    return waiting.join(found, [*SNAPSHOT, "pid"], "left").withColumn("blockers", F.coalesce("blockers", F.lit("unknown"))).withColumn("severity", F.when(F.col("time_s") >= threshold_s, 2).otherwise(1))
+    open_ = transactions.groupBy(*SNAPSHOT, "db").agg(F.array_sort(F.collect_set("pid")).alias("open"))
+    others = F.array_join(F.transform(F.array_remove(F.col("open"), F.col("pid")), lambda x: x.cast("string")), ", ")
+    found = waiting.join(open_, [*SNAPSHOT, "db"], "left").withColumn("blockers", F.coalesce(F.nullif(others, F.lit("")), F.lit("unknown"))).drop("open")
+    return found.withColumn("severity", F.when(F.col("time_s") >= threshold_s, 2).otherwise(1))
+
+
+def ddl_by_database(processes: DataFrame) -> DataFrame:
+    """The DDL statements of each database of a snapshot: their ids, how many, and the one that runs longest."""
+    longest = F.max_by(F.struct(F.col("pid").alias("ddl_pid"), F.col("info").alias("ddl_query")), F.struct("time_s", -F.col("pid"))).alias("longest")
+    return _ddl_waits(processes).filter("ddl and db <> ''").groupBy(*SNAPSHOT, "db").agg(F.array_sort(F.collect_list("pid")).alias("ddl_pids"), F.count("*").alias("ddls"), longest).select(*SNAPSHOT, "db", "ddl_pids", "ddls", "longest.*")
+
+
+def _dml_waits(processes: DataFrame) -> DataFrame:
+    rows = _ddl_waits(processes).filter((F.col("db") != "") & ~F.col("ddl") & (F.col("state") == METADATA_WAIT))
+    return rows.select(*SNAPSHOT, "db", F.col("pid").alias("blocked_pid"), "user_name", "host", "time_s", F.col("info").alias("blocked_query"))
 
 
 def dml_blocked_by_ddl(processes: DataFrame, threshold_s: int = 10) -> DataFrame:
-    """Statements that wait for a metadata lock, with every DDL of the same database."""
-    rows = _ddl_waits(processes).filter("db <> ''")
-    waiting = rows.filter(~F.col("ddl") & (F.col("state") == METADATA_WAIT)).select(*SNAPSHOT, "db", F.col("pid").alias("blocked_pid"), "user_name", "host", "time_s", F.col("info").alias("blocked_query"))
-    ddl = rows.filter("ddl").select(*SNAPSHOT, "db", F.col("pid").alias("ddl_pid"), F.col("info").alias("ddl_query"))
-    return waiting.join(ddl, [*SNAPSHOT, "db"]).filter("blocked_pid <> ddl_pid").withColumn("severity", F.when(F.col("time_s") >= threshold_s, 2).otherwise(1))
+    """Statements that wait for a metadata lock while DDL runs in their database: one row each, with the number of the
+    DDL statements and the one that runs longest (the smaller id of equals). `ddl_by_database` lists them all, once."""
+    found = _dml_waits(processes).join(ddl_by_database(processes).drop("ddl_pids"), [*SNAPSHOT, "db"])
+    return found.withColumn("severity", F.when(F.col("time_s") >= threshold_s, 2).otherwise(1))
+
+
+def dml_ddl_pairs(processes: DataFrame, db: str) -> DataFrame:
+    """Every waiting statement of one database with every DDL statement there."""
+    rows = processes.filter(F.col("db") == db)
+    return _dml_waits(rows).join(ddl_by_database(rows).select(*SNAPSHOT, F.explode("ddl_pids").alias("ddl_pid")), SNAPSHOT)
 
 
 def ddl_conflicts(processes: DataFrame, transactions: DataFrame, threshold_s: int = 10) -> DataFrame:
@@ -62,10 +81,10 @@ def ddl_conflicts(processes: DataFrame, transactions: DataFrame, threshold_s: in
     two = dml_blocked_by_ddl(processes, threshold_s)
     return one.select(
         *SNAPSHOT, F.lit("ddl_conflict").alias("detector"), "severity", F.format_string("DDL blocked by metadata lock: %s", "info").alias("title"),
-        details(ddl_pid=F.col("pid"), user=F.col("user_name"), host=F.col("host"), query=F.col("info"), wait_seconds=F.col("time_s"), blockers=F.col("blockers")).alias("details"),
+        details(ddl_pid=F.col("pid"), user=F.col("user_name"), host=F.col("host"), database=F.col("db"), query=F.col("info"), wait_seconds=F.col("time_s"), blockers=F.col("blockers")).alias("details"),
     ).unionByName(two.select(
         *SNAPSHOT, F.lit("ddl_conflict").alias("detector"), "severity", F.format_string("DML blocked by DDL: %s", "ddl_query").alias("title"),
-        details(blocked_pid=F.col("blocked_pid"), user=F.col("user_name"), host=F.col("host"), query=F.col("blocked_query"), wait_seconds=F.col("time_s")).alias("details"),
+        details(blocked_pid=F.col("blocked_pid"), user=F.col("user_name"), host=F.col("host"), query=F.col("blocked_query"), wait_seconds=F.col("time_s"), longest_ddl=F.col("ddl_pid"), ddl_statements=F.col("ddls")).alias("details"),
     ))
 
 
@@ -86,14 +105,17 @@ def deadlock_issues(found: DataFrame) -> DataFrame:
 
 
 def chain_issues(chains: DataFrame) -> DataFrame:
-    """One issue per chain; ``chains`` has what `locks.chain_text` adds."""
+    """One issue per row of ``chains`` (`locks.chain_totals`, or `locks.lock_chains` where all paths are wanted), which has
+    what `locks.chain_text` adds."""
+    number = F.col("chains") if "chains" in chains.columns else F.lit(None).cast("string")
     return chains.select(
         *SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock chain detected (depth %d)", "depth").alias("title"),
-        details(chain_depth=F.col("depth"), root_blocker=F.col("root_blocker"), chain=F.col("chain_text"), root_query=F.col("root_query"), blocked_queries=F.col("blocked_queries"), lock_table=F.col("lock_table")).alias("details"),
+        details(chain_depth=F.col("depth"), root_blocker=F.col("root_blocker"), chain=F.col("chain_text"), root_query=F.col("root_query"), blocked_queries=F.col("blocked_queries"), lock_table=F.col("lock_table"), chains=number).alias("details"),
     )
 
 
 def cycle_issues(cycles: DataFrame) -> DataFrame:
+    """One issue per row of ``cycles`` (`locks.cycle_groups`, or `locks.lock_cycles`)."""
     return cycles.select(*SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock cycle detected (%d participants)", "participants").alias("title"), details(cycle_size=F.col("participants")).alias("details"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TABLE_KEY = ["server_id", "snapshot_ts", "object_schema", "object_name"]
@@ -45,15 +45,51 @@ def holders(locks: DataFrame) -> DataFrame:
     return table_locks(locks).filter("lock_status = 'GRANTED'").select(*TABLE_KEY, "pid", "thread_id", "lock_type", "time_s", F.row_number().over(order).alias("place"))
 
 
+def _matrix() -> Column:
+    return F.create_map(*(x for k, v in BLOCKS.items() for x in (F.lit(k), F.array(*(F.lit(t) for t in v.split())))))
+
+
+def holders_by_type(locks: DataFrame) -> DataFrame:
+    """For each table and lock type the number of holders and the one that holds longest."""
+    longest = F.max_by("pid", F.struct("time_s", -F.col("thread_id"))).alias("longest_pid")
+    return table_locks(locks).filter("lock_status = 'GRANTED'").groupBy(*TABLE_KEY, F.col("lock_type").alias("holding_type")).agg(F.count("*").alias("holders"), longest)
+
+
 def mdl_blockers(locks: DataFrame) -> DataFrame:
-    """Pending requests with the holders of the same table that block them; an unknown request is blocked by all.
-
-    The matrix is a literal map, so the only shuffle is by table; a table with many pending and granted rows gives
-    their product, which is the report itself."""
-    matrix = F.create_map(*(x for k, v in BLOCKS.items() for x in (F.lit(k), F.array(*(F.lit(t) for t in v.split())))))
-    waiting = table_locks(locks).filter("lock_status = 'PENDING'").select(*TABLE_KEY, F.col("pid").alias("waiting_pid"), F.col("thread_id").alias("wt"), F.col("lock_type").alias("waiting_type"))
-    holding = table_locks(locks).filter("lock_status = 'GRANTED'").select(*TABLE_KEY, F.col("pid").alias("blocking_pid"), F.col("thread_id").alias("bt"), F.col("lock_type").alias("holding_type"))
-    row = F.try_element_at(matrix, F.col("waiting_type"))
+    """Pending requests with what blocks them, by the holders' lock type: how many other sessions hold one, and who holds
+    the longest. An unknown request is blocked by all.
+
+    Holders are counted by table and type before they meet the requests, so a request gives at most as many rows as
+    there are lock types; a session's own locks (same process or thread) are counted apart and taken off. The names
+    behind the numbers are `blocker_pairs` of a table."""
+    rows = table_locks(locks)
+    waiting = rows.filter("lock_status = 'PENDING'").select(*TABLE_KEY, F.col("pid").alias("waiting_pid"), F.col("thread_id").alias("wt"), F.col("lock_type").alias("waiting_type"))
+    row = F.try_element_at(_matrix(), F.col("waiting_type"))
+    met = waiting.join(holders_by_type(locks), TABLE_KEY).filter(row.isNull() | F.array_contains(row, F.col("holding_type")))
+    granted = rows.filter("lock_status = 'GRANTED'").select(*TABLE_KEY, "pid", "thread_id", F.col("lock_type").alias("holding_type"))
+    of_pid = granted.groupBy(*TABLE_KEY, "holding_type", F.col("pid").alias("waiting_pid")).agg(F.count("*").alias("own"))
+    of_thread = granted.filter("thread_id <> 0").groupBy(*TABLE_KEY, "holding_type", F.col("thread_id").alias("wt"), "pid").agg(F.count("*").alias("n"))
+    # the locks of the request's thread under another process id: rows of a thread have few ids
+    threads = of_thread.groupBy(*TABLE_KEY, "holding_type", "wt").agg(F.collect_list(F.struct("pid", "n")).alias("pids"))
+    met = met.join(of_pid, [*TABLE_KEY, "holding_type", "waiting_pid"], "left").join(threads, [*TABLE_KEY, "holding_type", "wt"], "left")
+    apart = F.aggregate(F.filter(F.coalesce("pids", F.array().cast("array<struct<pid: bigint, n: bigint>>")), lambda x: x["pid"] != F.col("waiting_pid")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    met = met.withColumn("blockers", F.col("holders") - F.coalesce("own", F.lit(0)) - apart)
+    return met.filter("blockers > 0").select(*TABLE_KEY, "waiting_pid", "waiting_type", "holding_type", "blockers", "longest_pid")
+
+
+def blocker_pairs(locks: DataFrame, schema: str, name: str) -> DataFrame:
+    """Pending requests of one table with each holder that blocks them."""
+    rows = table_locks(locks).filter((F.col("object_schema") == schema) & (F.col("object_name") == name))
+    waiting = rows.filter("lock_status = 'PENDING'").select(*TABLE_KEY, F.col("pid").alias("waiting_pid"), F.col("thread_id").alias("wt"), F.col("lock_type").alias("waiting_type"))
+    holding = rows.filter("lock_status = 'GRANTED'").select(*TABLE_KEY, F.col("pid").alias("blocking_pid"), F.col("thread_id").alias("bt"), F.col("lock_type").alias("holding_type"))
+    row = F.try_element_at(_matrix(), F.col("waiting_type"))
     conflict = row.isNull() | F.array_contains(row, F.col("holding_type"))
     other = (F.col("waiting_pid") != F.col("blocking_pid")) & ((F.col("wt") == 0) | (F.col("wt") != F.col("bt")))
     return waiting.join(holding, TABLE_KEY).filter(conflict & other).drop("wt", "bt")
+
+
+def table_detail(locks: DataFrame, schema: str, name: str) -> DataFrame:
+    """The holders of one table, by time held downwards, and the requests that wait for it, in order of the queue."""
+    rows = table_locks(locks).filter((F.col("object_schema") == schema) & (F.col("object_name") == name))
+    waiting = queue_positions(rows).select(*TABLE_KEY, F.lit("PENDING").alias("lock_status"), "pid", "thread_id", "lock_type", "time_s", F.col("position").alias("place"))
+    return holders(rows).select(*TABLE_KEY, F.lit("GRANTED").alias("lock_status"), "pid", "thread_id", "lock_type", "time_s", "place").unionByName(waiting)

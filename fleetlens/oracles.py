@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetlens.functions.text import NAMED_BY
 from fleetlens.operators.mdl import BLOCKS
 from fleetlens.sources.adapters import ctes
 
@@ -19,6 +20,17 @@ def _s(c: str) -> str:
 _LAGS = ", ".join(f"lag({c}) OVER k AS p_{c}" for c in _COUNTERS)
 _DIFFS = ", ".join(f"CAST(greatest({c} - p_{c}, 0) AS BIGINT) AS {d}" for c, d in _COUNTERS.items())
 
+_AFTER = " OR ".join(f"upper(k[i]) LIKE '%{w}'" for w in NAMED_BY)
+
+
+def _named(rows: str, sql: str) -> str:
+    """``rows`` with t1 and t2, the names behind the first word of NAMED_BY in column ``sql``: its words and marks one by one."""
+    return rf"""SELECT * EXCLUDE (k, h, f), coalesce(f[1], '') AS t1, CASE WHEN f[2] = '.' AND regexp_matches(f[3], '^\w') THEN f[3] ELSE '' END AS t2 FROM (
+        SELECT *, list_filter(k[h + 2:h + 9], lambda x: x <> '`' AND NOT regexp_matches(x, '^\s')) AS f FROM (
+        SELECT *, list_filter(range(1, len(k) + 1), lambda i: ({_AFTER}) AND regexp_matches(k[i + 1], '^\s') AND (regexp_matches(k[i + 2], '^\w') OR (k[i + 2] = '`' AND regexp_matches(k[i + 3], '^\w'))))[1] AS h FROM (
+        SELECT *, regexp_extract_all({sql}, '\w+|\s+|[^\w\s]') AS k FROM ({rows}))))"""
+
+
 # derived relations: name -> (relations it needs, derived ones it needs, SQL)
 DERIVED = {
     "plog": ((), "SELECT server_id, poll_ts, lag(poll_ts) OVER (PARTITION BY server_id ORDER BY poll_ts) AS prev FROM good_polls", ("good_polls",)),
@@ -45,7 +57,7 @@ DERIVED = {
         SELECT c.server_id, c.snapshot_ts, c.start, e.waiting_pid, list_append(c.path, e.blocking_pid), e.waiting_pid = c.start FROM c JOIN lock_rings e ON e.blocking_pid = c.node WHERE NOT closed AND NOT list_contains(c.path, e.blocking_pid)) SELECT * FROM c WHERE closed AND start = list_min(path))""", ("lock_rings",)),
     "queue": ((), "SELECT server_id, snapshot_ts, object_schema, object_name, pid, thread_id, lock_type, time_s, CAST(row_number() OVER (PARTITION BY server_id, snapshot_ts, object_schema, object_name ORDER BY time_s DESC, thread_id) AS INTEGER) AS position, count(*) OVER (PARTITION BY server_id, snapshot_ts, object_schema, object_name) AS depth FROM metadata_locks WHERE lock_status = 'PENDING'", ("metadata_locks",)),
     "clean": ((), r"SELECT id, sql_text, digest_text, CASE WHEN c LIKE '/*%' OR c LIKE '--%' OR c LIKE '#%' THEN '' ELSE c END AS c FROM (SELECT *, regexp_replace(sql_text, '^(?:\s+|/\*[\s\S]*?\*/|--[^\n]*\n|#[^\n]*\n)+', '') AS c FROM sql_texts)", ("sql_texts",)),
-    "tab": (("clean",), r"SELECT *, regexp_extract(c, '(?i)(?:FROM|INTO|UPDATE|JOIN|TABLE)\s+`?(\w+)`?(?:\s*\.\s*`?(\w+)`?)?', 1) AS t1, regexp_extract(c, '(?i)(?:FROM|INTO|UPDATE|JOIN|TABLE)\s+`?(\w+)`?(?:\s*\.\s*`?(\w+)`?)?', 2) AS t2, upper(trim(c)) AS u FROM clean", ()),
+    "tab": (("clean",), f"SELECT *, upper(trim(c)) AS u FROM ({_named('SELECT * FROM clean', 'c')})", ()),
     "num": ((), "SELECT id, id * 7919 AS ms FROM sql_texts", ("sql_texts",)),
 }
 
@@ -143,6 +155,9 @@ oracle("lock_tree_report", """SELECT server_id, CAST(epoch(ts) AS BIGINT) AS sna
     SELECT server_id, snapshot_ts AS ts, path[-1] AS pid, CAST(depth - 1 AS INTEGER) AS depth, path[1] AS root, path AS p, coalesce((SELECT max(wait_ms) FROM lock_waits w WHERE w.waiting_pid = path[-1]), 0) AS wait_ms FROM chains
     UNION ALL SELECT DISTINCT server_id, snapshot_ts, -pid, NULL, NULL, NULL, 0 FROM (SELECT server_id, snapshot_ts, waiting_pid AS pid FROM lock_waits UNION SELECT server_id, snapshot_ts, blocking_pid FROM lock_waits) WHERE pid % 50 = 0 AND pid <> 0)""", "chains")
 oracle("lock_tree_top_waiters", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, blocking_pid, waiting_pid, wait_ms, CAST(place AS INTEGER) AS place, greatest(n - 1, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY blocking_pid ORDER BY wait_ms DESC, waiting_pid) AS place, count(*) OVER (PARTITION BY blocking_pid) AS n FROM lock_waits) WHERE place <= 1", "lock_waits")
+oracle("lock_chain_totals", """SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, path[1] AS root_blocker, path[len(path)] AS leaf, CAST(count(*) AS VARCHAR) AS chains, CAST(count(*) FILTER (severity = 2) AS VARCHAR) AS critical_chains,
+    array_to_string(first(path ORDER BY depth DESC), '>') AS path, CAST(max(depth) AS INTEGER) AS depth, max(longest) AS max_wait_ms, max(severity) AS severity FROM leaves GROUP BY server_id, leaves.snapshot_ts, path[1], path[len(path)]""", "leaves")
+oracle("lock_cycle_groups", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, start, CAST(len(path) AS INTEGER) AS participants, CAST(len(path) AS INTEGER) AS edges, array_to_string(path, '>') AS path, 2 AS severity FROM rings", "rings")
 oracle("lock_cycles", "SELECT server_id, CAST(epoch(snapshot_ts) AS BIGINT) AS snapshot_ts, start, array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS participants, 2 AS severity FROM rings", "rings")
 
 _T = "server_id, snapshot_ts, object_schema, object_name"
@@ -152,18 +167,26 @@ _SUMS = f"SELECT {_T}, count(*) FILTER (lock_status = 'PENDING') AS pending, cou
 oracle("mdl_tables", f"SELECT {_TS}, pending, granted, oldest_wait_s, coalesce(types, '') AS pending_types FROM ({_SUMS}) LEFT JOIN ({_KINDS}) USING ({_T})", "metadata_locks")
 oracle("lock_type_buckets", f"SELECT {_TS}, coalesce(buckets, '—') AS buckets FROM ({_SUMS}) LEFT JOIN ({_KINDS}) USING ({_T})", "metadata_locks")
 oracle("mdl_queue_position", f"SELECT * REPLACE ({_s('snapshot_ts')} AS snapshot_ts) FROM queue", "queue")
-oracle("mdl_table_detail", f"SELECT {_TS}, pid, lock_type, position, depth FROM queue WHERE object_name = '1-URGENT'", "queue")
+oracle("mdl_table_detail", f"""SELECT {_TS}, lock_status, pid, thread_id, lock_type, time_s, CAST(row_number() OVER (PARTITION BY {_T}, lock_status ORDER BY time_s DESC, thread_id) AS INTEGER) AS place
+    FROM metadata_locks WHERE object_schema = 'shop' AND object_name = '1-URGENT' AND lock_status IN ('GRANTED', 'PENDING')""", "metadata_locks")
 oracle("mdl_holders", f"SELECT {_TS}, pid, thread_id, lock_type, time_s, CAST(row_number() OVER (PARTITION BY server_id, m.snapshot_ts, object_schema, object_name ORDER BY time_s DESC, thread_id) AS INTEGER) AS place FROM metadata_locks m WHERE lock_status = 'GRANTED'", "metadata_locks")
 _PAIRS = ", ".join(f"('{k}', '{h}')" for k, v in BLOCKS.items() for h in v.split())
-oracle("mdl_blockers", f"""SELECT server_id, {_s('w.snapshot_ts')} AS snapshot_ts, object_schema, object_name, w.pid AS waiting_pid, w.lock_type AS waiting_type, h.pid AS blocking_pid, h.lock_type AS holding_type FROM metadata_locks w JOIN metadata_locks h USING ({_T})
-    WHERE w.lock_status = 'PENDING' AND h.lock_status = 'GRANTED' AND w.pid <> h.pid AND (w.lock_type = 'MYSTERY' OR (w.lock_type, h.lock_type) IN (VALUES {_PAIRS}))""", "metadata_locks")
+_MET = f"""SELECT {_T}, w.pid AS waiting_pid, w.lock_type AS waiting_type, h.pid AS blocking_pid, h.lock_type AS holding_type FROM metadata_locks w JOIN metadata_locks h USING ({_T})
+    WHERE w.lock_status = 'PENDING' AND h.lock_status = 'GRANTED' AND w.pid <> h.pid AND (w.lock_type = 'MYSTERY' OR (w.lock_type, h.lock_type) IN (VALUES {_PAIRS}))"""
+_LONGEST = f"SELECT {_T}, lock_type AS holding_type, first(pid ORDER BY time_s DESC, thread_id) AS longest_pid FROM metadata_locks WHERE lock_status = 'GRANTED' GROUP BY ALL"
+oracle("mdl_blockers", f"SELECT {_TS}, waiting_pid, waiting_type, holding_type, blockers, longest_pid FROM (SELECT {_T}, waiting_pid, waiting_type, holding_type, count(*) AS blockers FROM ({_MET}) GROUP BY ALL) JOIN ({_LONGEST}) USING ({_T}, holding_type)", "metadata_locks")
+oracle("mdl_blocker_pairs", f"SELECT * REPLACE ({_s('snapshot_ts')} AS snapshot_ts) FROM ({_MET}) WHERE object_schema = 'shop' AND object_name = '1-URGENT'", "metadata_locks")
 
 _DUR = "CASE WHEN {s} < 60 THEN {s} || 's' WHEN {s} < 3600 THEN ({s} // 60) || 'm' || ({s} % 60) || 's' ELSE ({s} // 3600) || 'h' || ({s} // 60 % 60) || 'm' END"
 oracle("long_transactions", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity, 'Transaction running for ' || {_DUR.format(s='age_s')} AS title, CAST(pid AS VARCHAR) AS thread_id, CASE WHEN digest_text <> '' THEN digest_text ELSE query END AS query FROM transactions WHERE age_s >= 30", "transactions")
 _DB = "SELECT p.server_id, p.snapshot_ts, p.pid, p.db, p.time_s, coalesce((SELECT string_agg(pid, ', ' ORDER BY pid) FROM (SELECT DISTINCT t.pid FROM transactions t WHERE t.server_id = p.server_id AND t.snapshot_ts = p.snapshot_ts AND t.db = p.db AND t.pid <> p.pid)), 'unknown') AS blockers FROM pw p WHERE ddl AND state = 'Waiting for table metadata lock'"
 oracle("ddl_blocked", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, pid, blockers, CASE WHEN time_s >= 10 THEN 2 ELSE 1 END AS severity FROM ({_DB})", "pw", "transactions")
 oracle("ddl_blockers", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, pid, db, blockers FROM ({_DB})", "pw", "transactions")
-oracle("dml_blocked_by_ddl", f"SELECT a.server_id, {_s('a.snapshot_ts')} AS snapshot_ts, a.db, a.pid AS blocked_pid, b.pid AS ddl_pid, CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END AS severity FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'", "pw")
+_DML = "SELECT a.*, b.pid AS ddl_pid, b.time_s AS ddl_s FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'"
+_DDLS = "SELECT server_id, snapshot_ts, db, count(*) AS ddls, first(pid ORDER BY time_s DESC, pid) AS ddl_pid FROM pw WHERE ddl GROUP BY ALL"
+_DML_ROWS = f"SELECT a.*, d.ddls, d.ddl_pid FROM pw a JOIN ({_DDLS}) d USING (server_id, snapshot_ts, db) WHERE NOT a.ddl AND db <> '' AND a.state = 'Waiting for table metadata lock'"
+oracle("dml_blocked_by_ddl", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, db, pid AS blocked_pid, ddls, ddl_pid, CASE WHEN time_s >= 10 THEN 2 ELSE 1 END AS severity FROM ({_DML_ROWS})", "pw")
+oracle("dml_ddl_pairs", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, pid AS blocked_pid, ddl_pid FROM ({_DML}) WHERE db = 'P'", "pw")
 oracle("kill_eligibility", f"""SELECT server_id, snapshot_ts, pid, reason, reason IS NULL AS safe FROM (SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, pid, CASE WHEN pid IN (1, 2) THEN 'own connection' WHEN lower(user_name) IN ('system user', 'event_scheduler') THEN 'system user ''' || user_name || '''' WHEN command = 'Binlog Dump' THEN 'replication thread'
     WHEN state LIKE '%Waiting for master to send event%' THEN 'replication state ''' || state || '''' END AS reason FROM processes)""", "processes")
 oracle("long_open_transactions", f"SELECT server_id, {_s('p.snapshot_ts')} AS snapshot_ts, CAST(row_number() OVER (PARTITION BY server_id, p.snapshot_ts ORDER BY time_s DESC, pid) AS INTEGER) AS rank, pid, user_name, time_s, CASE WHEN info = '' THEN '(idle in trx)' WHEN info LIKE 'ALTER%' THEN 'ALTER TABLE ' || regexp_extract(info, 'shop\\.(\\w+)', 1) ELSE 'SELECT ' || regexp_extract(info, 'FROM (\\w+)', 1) END AS label FROM processes p WHERE time_s >= 30 QUALIFY rank <= 5", "processes")
@@ -226,7 +249,7 @@ oracle("stream_deadlocks", f"SELECT DISTINCT server_id, deadlock_ts FROM ({_REPO
 _ISSUES = f"""SELECT server_id, snapshot_ts, 0 AS ordinal, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity FROM transactions WHERE age_s >= 30
     UNION ALL SELECT server_id, snapshot_ts, 1, 'lock_chain', severity FROM leaves UNION ALL SELECT server_id, snapshot_ts, 1, 'lock_chain', 2 FROM rings
     UNION ALL SELECT server_id, snapshot_ts, 2, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'
-    UNION ALL SELECT a.server_id, a.snapshot_ts, 2, 'ddl_conflict', CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'
+    UNION ALL SELECT server_id, snapshot_ts, 2, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END FROM ({_DML_ROWS})
     UNION ALL SELECT server_id, snapshot_ts, 3, 'deadlock', 2 FROM ({_DEAD})"""
 oracle("all_issues", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, ordinal, detector, severity, count(*) AS issues FROM ({_ISSUES}) i GROUP BY server_id, i.snapshot_ts, ordinal, detector, severity", "pw", "transactions", "leaves", "rings")
 oracle("max_severity", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) AS severity FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings")
@@ -240,15 +263,13 @@ _PLAN = """concat('query_block{select_id=1}', chr(10), 'query_block/ordering_ope
 ORACLES["plan_hash"] = f"SELECT p_type AS digest, p_partkey AS ts, sha256({_PLAN}) AS plan_hash FROM part"
 ORACLES["plan_flips"] = ORACLES["stream_plan_flips"] = f"SELECT digest, ts, prior_hash, new_hash FROM (SELECT digest, ts, plan_hash AS new_hash, lag(plan_hash) OVER (PARTITION BY digest ORDER BY ts) AS prior_hash FROM ({ORACLES['plan_hash']})) WHERE prior_hash <> new_hash"
 
-_TABLE = r"(?i)(?:FROM|JOIN|INTO|UPDATE|TABLE)\s+`?(\w+)`?(?:\s*[.]\s*`?(\w+)`?)?"
-_NAMED = f"CASE WHEN regexp_extract(q, '{_TABLE}', 2) <> '' THEN regexp_extract(q, '{_TABLE}', 1) || '.' || regexp_extract(q, '{_TABLE}', 2) ELSE regexp_extract(q, '{_TABLE}', 1) END"
-_ROWS = f"""SELECT server_id, snapshot_ts, detector, severity, n, nullif(pid, 0) AS pid, u AS user_name, q AS query, CASE WHEN t IS NOT NULL THEN t ELSE {_NAMED} END AS table_name, age_s FROM (
-    SELECT server_id, snapshot_ts, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity, 1 AS n, pid, user_name AS u, CASE WHEN digest_text <> '' THEN digest_text ELSE query END AS q, NULL AS t, age_s FROM transactions WHERE age_s >= 30
+_FOUND = f"""SELECT server_id, snapshot_ts, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity, 1 AS n, pid, user_name AS u, CASE WHEN digest_text <> '' THEN digest_text ELSE query END AS q, NULL AS t, age_s FROM transactions WHERE age_s >= 30
     UNION ALL SELECT server_id, snapshot_ts, 'lock_chain', severity, 1, path[1], '', 'DELETE t', 'shop.t' || (path[2] % 3), 0 FROM leaves
     UNION ALL SELECT server_id, snapshot_ts, 'lock_chain', 2, 1, NULL, '', '', NULL, 0 FROM rings
     UNION ALL SELECT server_id, snapshot_ts, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END, 1, pid, user_name, info, NULL, time_s FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'
-    UNION ALL SELECT a.server_id, a.snapshot_ts, 'ddl_conflict', CASE WHEN a.time_s >= 10 THEN 2 ELSE 1 END, 1, a.pid, a.user_name, a.info, NULL, a.time_s FROM pw a JOIN pw b ON a.server_id = b.server_id AND a.snapshot_ts = b.snapshot_ts AND a.db = b.db AND a.pid <> b.pid WHERE NOT a.ddl AND b.ddl AND a.db <> '' AND a.state = 'Waiting for table metadata lock'
-    UNION ALL SELECT d.server_id, d.snapshot_ts, 'deadlock', 2, CAST(d.n AS INTEGER), d.pid, coalesce(p.user_name, ''), coalesce(p.info, ''), NULL, 0 FROM (SELECT server_id, snapshot_ts, n, participants[n] AS pid FROM ({_DEAD}) x, (VALUES (1), (2)) AS k(n)) d LEFT JOIN processes p ON p.server_id = d.server_id AND p.snapshot_ts = d.snapshot_ts AND p.pid = d.pid)"""
+    UNION ALL SELECT server_id, snapshot_ts, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END, 1, pid, user_name, info, NULL, time_s FROM ({_DML_ROWS})
+    UNION ALL SELECT d.server_id, d.snapshot_ts, 'deadlock', 2, CAST(d.n AS INTEGER), d.pid, coalesce(p.user_name, ''), coalesce(p.info, ''), NULL, 0 FROM (SELECT server_id, snapshot_ts, n, participants[n] AS pid FROM ({_DEAD}) x, (VALUES (1), (2)) AS k(n)) d LEFT JOIN processes p ON p.server_id = d.server_id AND p.snapshot_ts = d.snapshot_ts AND p.pid = d.pid"""
+_ROWS = f"""SELECT server_id, snapshot_ts, detector, severity, n, nullif(pid, 0) AS pid, u AS user_name, q AS query, CASE WHEN t IS NOT NULL THEN t WHEN t2 <> '' THEN t1 || '.' || t2 ELSE t1 END AS table_name, age_s FROM ({_named(_FOUND, 'q')})"""
 _NEED = ("pw", "transactions", "leaves", "rings")
 oracle("issue_rows", f"SELECT * REPLACE ({_s('r.snapshot_ts')} AS snapshot_ts) FROM ({_ROWS}) r", *_NEED)
 oracle("issues_by_table", f"SELECT server_id, {_s('r.snapshot_ts')} AS snapshot_ts, detector, pid, age_s FROM ({_ROWS}) r WHERE table_name = 'shop.t1'", *_NEED)

@@ -46,8 +46,8 @@ class Fleet:
         return D.cpu_samples(self.session_ticks, self.session_ticks)
 
     def issues(self) -> DataFrame:
-        chains = L.chain_text(L.lock_chains(self.lock_waits), L.sessions_of(self.lock_waits))
-        locks = I.chain_issues(chains).unionByName(I.cycle_issues(L.lock_cycles(self.lock_rings)))
+        chains = L.chain_text(L.chain_totals(self.lock_waits), L.sessions_of(self.lock_waits))
+        locks = I.chain_issues(chains).unionByName(I.cycle_issues(L.cycle_groups(self.lock_rings)))
         return I.all_issues(I.long_transactions(self.transactions), locks, I.ddl_conflicts(self.processes, self.transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), self.processes)))
 
     def deadlock_reports(self) -> DataFrame:
@@ -228,7 +228,9 @@ def verdict_as_of(t: Fleet) -> DataFrame:
 
 # locks
 add("lock_chains", lambda t: L.lock_chains(t.lock_waits))
+add("lock_chain_totals", lambda t: L.chain_totals(t.lock_waits))
 add("lock_cycles", lambda t: L.lock_cycles(t.lock_rings))
+add("lock_cycle_groups", lambda t: L.cycle_groups(t.lock_rings))
 add("lock_tree", lambda t: L.lock_tree(t.lock_waits))
 
 
@@ -261,13 +263,15 @@ add("lock_type_buckets", lambda t: M.mdl_tables(t.metadata_locks).select(*M.TABL
 add("mdl_queue_position", lambda t: M.queue_positions(t.metadata_locks))
 add("mdl_holders", lambda t: M.holders(t.metadata_locks))
 add("mdl_blockers", lambda t: M.mdl_blockers(t.metadata_locks))
-add("mdl_table_detail", lambda t: M.queue_positions(t.metadata_locks).filter("object_name = '1-URGENT'").select(*M.TABLE_KEY, "pid", "lock_type", "position", "depth"))
+add("mdl_blocker_pairs", lambda t: M.blocker_pairs(t.metadata_locks, "shop", "1-URGENT"))
+add("mdl_table_detail", lambda t: M.table_detail(t.metadata_locks, "shop", "1-URGENT"))
 
 # issues
 add("long_transactions", lambda t: I.long_transactions(t.transactions).withColumn("details", F.to_json("details")).select("server_id", "snapshot_ts", "severity", "title", F.get_json_object("details", "$.thread_id").alias("thread_id"), F.get_json_object("details", "$.query").alias("query")))
 add("ddl_blocked", lambda t: I.ddl_blocked(t.processes, t.transactions).select("server_id", "snapshot_ts", "pid", "blockers", "severity"))
 add("ddl_blockers", lambda t: I.ddl_blocked(t.processes, t.transactions).select("server_id", "snapshot_ts", "pid", "db", "blockers"))
-add("dml_blocked_by_ddl", lambda t: I.dml_blocked_by_ddl(t.processes).select("server_id", "snapshot_ts", "db", "blocked_pid", "ddl_pid", "severity"))
+add("dml_blocked_by_ddl", lambda t: I.dml_blocked_by_ddl(t.processes).select("server_id", "snapshot_ts", "db", "blocked_pid", "ddls", "ddl_pid", "severity"))
+add("dml_ddl_pairs", lambda t: I.dml_ddl_pairs(t.processes, "P").select("server_id", "snapshot_ts", "blocked_pid", "ddl_pid"))
 add("deadlocks", lambda t: I.deadlocks(t.deadlock_reports(), t.processes))
 add("all_issues", lambda t: t.issues().groupBy("server_id", "snapshot_ts", "ordinal", "detector", "severity").agg(F.count("*").alias("issues")))
 add("issue_rows", lambda t: I.issue_rows(t.issues(), t.processes).select("server_id", "snapshot_ts", "detector", "severity", "n", "pid", "user_name", "query", "table_name", "age_s"))

@@ -79,7 +79,7 @@ def deadlock_participants(texts: DataFrame) -> DataFrame:
     keep = [c for c in texts.columns if c != "status_text"]
     section = F.regexp_extract("status_text", r"(?s)LATEST DETECTED DEADLOCK\n-+\n(.*?)(?:\n-{3,}\n[A-Z]|$)", 1)
     rows = texts.select(*keep, section.alias("s")).filter("s <> ''")
-    blocks = F.slice(F.split("s", r"(?=\*\*\* \(\d+\) TRANSACTION:)"), F.lit(2), F.lit(1000))
+    blocks = F.filter(F.split("s", r"(?=\*\*\* \(\d+\) TRANSACTION:)"), lambda b, i: i > 0)
     rows = rows.select(*keep, F.substring(F.regexp_extract("s", r"^\s*([^\n]*)", 1), 1, 19).alias("deadlock_ts"), F.posexplode(blocks).alias("n", "b"))
     part = lambda p: F.regexp_extract("b", p, 1)
     origin = part(r"(?:MySQL|MariaDB) thread id \d+, OS thread handle \S+, query id \d+ ([^\n]*)")

@@ -1,6 +1,8 @@
 """Telemetry operators on small hand-made relations, and streams against their batch forms."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from fleetlens.functions import text as txt
 from fleetlens.operators import deltas, health, issues, load, locks, mdl
 from fleetlens.plans import explain
 from fleetlens.queries import QUERIES
+from fleetlens.sources import assembly
 
 T0 = dt.datetime(2024, 1, 1)
 at = lambda s: T0 + dt.timedelta(seconds=s)
@@ -104,11 +107,39 @@ def test_metadata_blockers(spark):
     row = "server_id long, snapshot_ts timestamp, pid long, thread_id long, lock_type string, lock_status string, object_type string, object_schema string, object_name string, time_s long"
     lock = lambda pid, kind, status, s=1: (1, T0, pid, pid, kind, status, "TABLE", "db", "t", s)
     df = spark.createDataFrame([lock(1, "EXCLUSIVE", "PENDING", 9), lock(2, "SHARED_READ", "GRANTED"), lock(3, "SHARED_WRITE", "GRANTED"), lock(4, "SHARED_READ", "PENDING", 5), lock(5, "ODD", "PENDING", 7), lock(6, "SHARED_READ", "VICTIM"), lock(1, "SHARED_READ", "GRANTED")], row)
-    assert values(mdl.mdl_blockers(df).filter("waiting_pid = 1"), "blocking_pid") == [(2,), (3,)] and mdl.mdl_blockers(df).filter("waiting_pid = 4").count() == 0
-    assert values(mdl.mdl_blockers(df).filter("waiting_pid = 5"), "blocking_pid") == [(1,), (2,), (3,)]
+    pairs = mdl.blocker_pairs(df, "db", "t")
+    assert values(pairs.filter("waiting_pid = 1"), "blocking_pid") == [(2,), (3,)] and pairs.filter("waiting_pid = 4").count() == 0
+    assert values(pairs.filter("waiting_pid = 5"), "blocking_pid") == [(1,), (2,), (3,)]
+    assert values(mdl.table_detail(df, "db", "t"), "lock_status", "pid", "place") == [("GRANTED", 1, 1), ("GRANTED", 2, 2), ("GRANTED", 3, 3), ("PENDING", 1, 1), ("PENDING", 4, 3), ("PENDING", 5, 2)]
     assert values(mdl.queue_positions(df), "pid", "position", "depth") == [(1, 1, 3), (4, 3, 3), (5, 2, 3)]
 
 
+def test_blockers_are_counted_without_pairs(spark):
+    """Counts by lock type equal the pairs, with own locks of the same process, of the same thread and of thread 0."""
+    rng = random.Random(2)
+    row = "server_id long, snapshot_ts timestamp, pid long, thread_id long, lock_type string, lock_status string, object_type string, object_schema string, object_name string, time_s long"
+    kinds = [*mdl.BLOCKS, "ODD"]
+    rows = [(1, T0, rng.randrange(12), rng.randrange(8), rng.choice(kinds), rng.choice(["PENDING", "GRANTED", "GRANTED", "VICTIM"]), "TABLE", "db", "t", rng.randrange(9)) for _ in range(400)]
+    df = spark.createDataFrame(rows, row)
+    key = ("waiting_pid", "waiting_type", "holding_type")
+    want = Counter(values(mdl.blocker_pairs(df, "db", "t"), *key))
+    got = Counter()
+    for *k, n in values(mdl.mdl_blockers(df), *key, "blockers"):
+        got[tuple(k)] += n
+    assert got == want and want
+
+
+def test_ddl_of_a_database_is_listed_once(spark):
+    row = "server_id long, snapshot_ts timestamp, pid long, user_name string, host string, db string, command string, time_s long, state string, info string"
+    wait = issues.METADATA_WAIT
+    rows = [(1, T0, 1, "u", "h", "d", "Query", 5, wait, "ALTER TABLE a"), (1, T0, 2, "u", "h", "d", "Query", 50, "x", "drop table b"), (1, T0, 3, "u", "h", "d", "Query", 12, wait, "SELECT 1"), (1, T0, 4, "u", "h", "", "Query", 12, wait, "SELECT 1"), (1, at(1), 5, "u", "h", "d", "Query", 1, wait, "SELECT 1"), (1, T0, 6, "u", "h", "e", "Query", 90, wait, "CREATE TABLE c")]
+    procs = spark.createDataFrame(rows, row)
+    trx = procs.filter("pid in (1, 2, 3)").select("server_id", "snapshot_ts", "db", "pid")
+    assert values(issues.dml_blocked_by_ddl(procs), "blocked_pid", "ddls", "ddl_pid", "severity") == [(3, 2, 2, 2)]
+    assert values(issues.dml_ddl_pairs(procs, "d"), "blocked_pid", "ddl_pid") == [(3, 1), (3, 2)]
+    assert values(issues.ddl_blocked(procs, trx), "pid", "blockers", "severity") == [(1, "2, 3", 1), (6, "unknown", 2)]
+
+
 def test_deadlocks_reported_again_while_alive(spark):
     reports = spark.createDataFrame([(1, at(0), "d1", [5]), (1, at(1), "d1", [5]), (1, at(2), None, []), (1, at(3), "d1", [5]), (1, at(4), "d2", [6])], "server_id long, snapshot_ts timestamp, deadlock_ts string, participants array<long>")
     alive = spark.createDataFrame([(1, at(1), 5)], "server_id long, snapshot_ts timestamp, pid long")
@@ -158,6 +189,21 @@ def test_sql_text(spark, sql, table, label, safe):
     assert one(spark, txt.table_from_sql(c)) == table and one(spark, txt.query_label(F.lit(None).cast("string"), c)) == label and one(spark, txt.explain_safe(c)) == safe
 
 
+@pytest.mark.parametrize(("sql", "table"), [
+    ("", ""), ("SELECT 1", ""), ("SELECT * FROM users", "users"), ("SELECT * FROM `users`", "users"), ("SELECT * FROM `alice`.`inbox`", "alice.inbox"), ("SELECT * FROM alice.inbox", "alice.inbox"),
+    ("UPDATE `accounts` SET balance=balance+1", "accounts"), ("INSERT INTO `mydb`.`audit_log` VALUES (?)", "mydb.audit_log"), ("SELECT * FROM a JOIN `b`.`c` ON a.id=c.id", "a"), ("/* hint */ SELECT * FROM `alice`.`inbox`", "alice.inbox"),
+    ("BEGIN", ""), ("SELECT * FROM (SELECT 1) x JOIN y", "y"), ("delete from\n  s . t", "s.t"), ("SELECT a FROM t.", "t"), ("SELECT from", ""), ("FROM", ""), ("select 1 from\t`x`", "x"), ("perform t", ""), ("SELECT xfrom t", "t"),
+])
+def test_table_of_a_statement(spark, sql, table):
+    assert one(spark, txt.table_from_sql(F.lit(sql))) == table
+
+
+def test_every_participant_of_a_deadlock(spark):
+    text = "LATEST DETECTED DEADLOCK\n----\n2024-01-02 03:04:05 0x7f\n" + "".join(f"*** ({n}) TRANSACTION:\nTRANSACTION {n}, ACTIVE 3 sec\nMySQL thread id {n}, OS thread handle 1, query id 9 h u\nUPDATE t\n" for n in range(1, 1501))
+    got = assembly.deadlock_participants(spark.createDataFrame([(1, text), (2, "no section")], "server_id long, status_text string"))
+    assert values(got, "n", "thread_id") == [(n, n) for n in range(1, 1501)]
+
+
 @pytest.mark.parametrize(("sql", "tag"), [("/* service='a%2Cb,c',x=1 */ SELECT 1", "a,b,c"), ("/* service=plain */ S", "plain"), ("SELECT 1 /* service=late */", "prog"), ("/* service=open", "prog"), ("", "prog"), ("/*service=a,service=b*/", "b"), ("/*service=%zz*/", "%zz")])
 def test_app_tags(spark, sql, tag):
     assert one(spark, txt.app_tag(F.lit(sql), F.lit("prog"))) == tag
