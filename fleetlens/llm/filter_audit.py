@@ -34,13 +34,24 @@ def own_failures(text: Column) -> Column:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """The rows of (doc_id, hash, text, ...) whose text a row of smaller doc_id has too: a left semi join on hash, exact
-    text and smaller doc_id.
-
-    Only the smallest doc_id of a repeated text can decide, so the right side has one row a text, added up before the
-    shuffle; it is landed, so that Spark may split a hot text's rows on the left. A null doc_id is smaller than none."""
-    first = landed(rows.groupBy(F.col("hash").alias("__hash"), F.col("text").alias("__text")).agg(F.min("doc_id").alias("__first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first-copies")
-    return rows.join(first, (F.col("hash") == F.col("__hash")) & (F.col("text") == F.col("__text")) & (F.col("__first") < F.col("doc_id")), "left_semi")
+    """(doc_id, hash, part) of the rows of (doc_id, hash, text, part) whose text a row of smaller doc_id has too: a left
+    semi join on hash, exact text and smaller doc_id.
+
+    Only the smallest doc_id of a repeated text can decide. Texts are told apart in full where they are counted, once
+    and after they are added up in each task; where a hash stands for one text, which it nearly always does, the join
+    needs no text any more, so rows of a hot text are a few bytes that Spark may split. Where it stands for several,
+    the join compares them. A null doc_id is smaller than none."""
+    texts = landed(rows.groupBy("hash", "text").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).select("hash", "first", "n"), "distinct-texts")
+    by_hash = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("__first"), F.sum("n").alias("n")).withColumnRenamed("hash", "__hash")
+    first = landed(by_hash.filter("n > 1").drop("n"), "first-copies")
+    same, before = F.col("hash") == F.col("__hash"), F.col("__first") < F.col("doc_id")
+    alone = rows.select("doc_id", "hash", "part").join(first.filter("texts = 1"), same & before, "left_semi")
+    shared = first.filter("texts > 1").select("__hash")
+    if not shared.limit(1).count():
+        return alone
+    met = rows.join(shared, same, "left_semi")
+    least = landed(met.groupBy(F.col("hash").alias("__hash"), F.col("text").alias("__text")).agg(F.min("doc_id").alias("__first")), "first-copies")
+    return alone.unionByName(met.join(least, same & (F.col("text") == F.col("__text")) & before, "left_semi").select("doc_id", "hash", "part"))
 
 
 def failure_combinations(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ VOCABULARY = os.environ.get("FLEETLENS_BYTE_TOKENIZER", "/opt/tokenizers/byte_bp
 CUT = re.compile(r" (?=\S)(?<=\S )")
 #: Links that are expanded at once, and what a worker remembers of words (in links and characters).
 EXPANDED = 2_000_000
-REMEMBERED = 20_000_000
+REMEMBERED = 5_000_000
 #: Pairs of at least this share of all links (by document) are looked up in a table of at most so many rows.
 FREQUENT = 2**17
 
@@ -141,7 +141,7 @@ class Aligner:
             self.held += sum(map(len, words)) + 50 * n
             return
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        common = np.intersect1d(end_a, end_b)
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
         word_ends = np.cumsum([len(w.encode()) for w in words])
@@ -286,6 +286,7 @@ def with_counts(aligned: DataFrame, counts: DataFrame, width: int) -> DataFrame:
     shared = spark.sparkContext.broadcast((known.pair.to_numpy(np.int64), known.n.to_numpy(np.int64), top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _aligners.clear()  # this worker's, from the tasks before: that memory is for the next ones
         pairs, counted, top = shared.value
         for batch in batches:
             lists, links = batch.column("pairs"), batch.column("links").flatten().to_numpy()

@@ -3,6 +3,8 @@
 import re
 from itertools import permutations
 
+import pytest
+
 from fleetlens.llm import filter_audit as audit
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -66,6 +68,9 @@ def test_empty_tables(spark):
     assert report(spark, rows, []) == simulate(rows, []) and len(simulate(rows, [])) == 600
 
 
-def test_only_later_copies_fail_e(spark):
-    docs = spark.createDataFrame([(3, "t"), (1, "t"), (2, "t"), (2, "u"), (2, "u"), (None, "t")], "doc_id long, text string").selectExpr("*", "xxhash64(text) AS hash")
-    assert sorted(r.doc_id for r in audit.later_copies(docs).collect()) == [2, 3]
+@pytest.mark.parametrize("hash_", ["xxhash64(text)", "length(text) % 2", "0"])
+def test_only_later_copies_fail_e(spark, hash_):
+    """Also where a hash stands for several texts."""
+    rows = [(3, "t"), (1, "t"), (2, "t"), (2, "u"), (2, "u"), (None, "t"), (9, "vv"), (8, "vv"), (7, "ww"), (6, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", f"CAST({hash_} AS LONG) AS hash", "'' AS part")
+    assert sorted(r.doc_id for r in audit.later_copies(docs).collect()) == [2, 3, 6, 9]
