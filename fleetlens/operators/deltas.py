@@ -62,9 +62,12 @@ def digest_poll_audit(polls: DataFrame, digest_polls: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("seen"), *(F.count_if(F.col("outcome") == o).alias(n) for o, n in (("emit", "emitted"), ("reset", "resets"), ("seed", "seeded"))))
 
 
-def wait_outcomes(wait_polls: DataFrame) -> DataFrame:
-    """Every wait event of every poll with outcome and deltas; a delta may span polls that missed the event."""
-    polls = wait_polls.select("server_id", "poll_ts").distinct().withColumn("prev_poll_ts", F.lag("poll_ts").over(Window.partitionBy("server_id").orderBy("poll_ts")))
+def wait_outcomes(wait_polls: DataFrame, log: DataFrame) -> DataFrame:
+    """Every wait event of every poll with outcome and deltas; a delta may span polls that missed the event.
+
+    ``log`` are the successful polls (server_id, poll_ts), those without waits included: intervals are between them.
+    Rows of a poll that the log lacks are baselines and no more."""
+    polls = log.select("server_id", "poll_ts").distinct().withColumn("prev_poll_ts", F.lag("poll_ts").over(Window.partitionBy("server_id").orderBy("poll_ts")))
     rows = with_before(wait_polls.filter("count_star > 0 and event_name is not null and server_id is not null and poll_ts is not null"), ["server_id", "event_name"])
     rows = rows.withColumns({"seen_ts": F.col("before.poll_ts"), "pc": F.col("before.count_star"), "pt": F.col("before.sum_timer_wait")}).join(polls, ["server_id", "poll_ts"])
     outcome = F.when(F.col("seen_ts").isNull(), "seed").when((F.col("count_star") < F.col("pc")) | (F.col("sum_timer_wait") < F.col("pt")), "reset").otherwise("delta")
@@ -74,17 +77,19 @@ def wait_outcomes(wait_polls: DataFrame) -> DataFrame:
     )
 
 
-def wait_deltas(wait_polls: DataFrame) -> DataFrame:
-    rows = wait_outcomes(wait_polls).filter("outcome = 'delta'").groupBy("server_id", "poll_ts", "class")
+def wait_deltas(wait_polls: DataFrame, log: DataFrame) -> DataFrame:
+    """Class sums of each poll's wait deltas."""
+    rows = wait_outcomes(wait_polls, log).filter("outcome = 'delta'").groupBy("server_id", "poll_ts", "class")
     rows = rows.agg(F.max("interval_ns").alias("interval_ns"), F.sum("count_delta").alias("count_delta"), F.sum("timer_delta_ps").alias("timer_delta_ps"), F.bool_or("spans_gap").alias("spans_gap"))
     return rows.filter("count_delta <> 0 or timer_delta_ps <> 0")
 
 
-def wait_poll_audit(wait_polls: DataFrame) -> DataFrame:
-    rows = wait_outcomes(wait_polls)
-    counts = rows.groupBy("server_id", "poll_ts").agg(F.count("*").alias("seen"), F.count_if(F.col("outcome") == "seed").alias("seeded"), F.count_if(F.col("outcome") == "reset").alias("resets"))
-    emitted = wait_deltas(wait_polls).groupBy("server_id", "poll_ts").agg(F.count("*").alias("emitted"))
-    return counts.join(emitted, ["server_id", "poll_ts"], "left").withColumn("emitted", F.coalesce("emitted", F.lit(0)))
+def wait_poll_audit(wait_polls: DataFrame, log: DataFrame) -> DataFrame:
+    """Per successful poll what it saw, seeded and reset, and the classes it emitted; polls without waits have zeros."""
+    counts = wait_outcomes(wait_polls, log).groupBy("server_id", "poll_ts").agg(F.count("*").alias("seen"), F.count_if(F.col("outcome") == "seed").alias("seeded"), F.count_if(F.col("outcome") == "reset").alias("resets"))
+    emitted = wait_deltas(wait_polls, log).groupBy("server_id", "poll_ts").agg(F.count("*").alias("emitted"))
+    every = log.select("server_id", "poll_ts").distinct()
+    return every.join(counts, ["server_id", "poll_ts"], "left").join(emitted, ["server_id", "poll_ts"], "left").fillna(0, ["seen", "seeded", "resets", "emitted"])
 
 
 def executing_sessions(ticks: DataFrame) -> DataFrame:

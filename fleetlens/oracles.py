@@ -39,7 +39,7 @@ DERIVED = {
         OR sum_rows_sent < p_sum_rows_sent OR sum_lock_time < p_sum_lock_time THEN 'reset' WHEN count_star > p_count_star OR sum_timer_wait > p_sum_timer_wait THEN 'emit' ELSE 'idle' END AS outcome, CAST((epoch(d.poll_ts) - epoch(prev)) * 1000000000 AS BIGINT) AS interval_ns, {_DIFFS}
         FROM dlag d JOIN plog p ON d.server_id = p.server_id AND d.poll_ts = p.poll_ts""", ()),
     "dd": (("dout",), "SELECT * FROM dout WHERE outcome = 'emit'", ()),
-    "wlog": ((), "SELECT server_id, poll_ts, lag(poll_ts) OVER (PARTITION BY server_id ORDER BY poll_ts) AS prev FROM (SELECT DISTINCT server_id, poll_ts FROM wait_polls)", ("wait_polls",)),
+    "wlog": ((), "SELECT server_id, poll_ts, lag(poll_ts) OVER (PARTITION BY server_id ORDER BY poll_ts) AS prev FROM good_polls", ("good_polls",)),
     "wlag": ((), "SELECT *, lag(poll_ts) OVER k AS seen, lag(count_star) OVER k AS pc, lag(sum_timer_wait) OVER k AS pt FROM wait_polls WINDOW k AS (PARTITION BY server_id, event_name ORDER BY poll_ts)", ("wait_polls",)),
     "wout": (("wlog", "wlag"), f"""SELECT w.server_id, w.poll_ts, event_name, {_CLASS.format(e='event_name')} AS class, CASE WHEN seen IS NULL THEN 'seed' WHEN count_star < pc OR sum_timer_wait < pt THEN 'reset' ELSE 'delta' END AS outcome,
         CAST((epoch(w.poll_ts) - epoch(prev)) * 1000000000 AS BIGINT) AS interval_ns, seen < prev AS spans_gap, CAST(count_star - pc AS BIGINT) AS count_delta, CAST(sum_timer_wait - pt AS BIGINT) AS timer_delta_ps FROM wlag w JOIN wlog l ON w.server_id = l.server_id AND w.poll_ts = l.poll_ts""", ()),
@@ -112,7 +112,8 @@ oracle("rds_target", "SELECT server_id, host, CASE WHEN server_id % 2 = 0 THEN s
 oracle("digest_deltas", f"SELECT {_KEYS}, {_s('poll_ts')} AS poll_ts, digest_text, interval_ns, {', '.join(_COUNTERS.values())} FROM dd", "dd")
 oracle("digest_poll_audit", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, count(*) AS seen, count(*) FILTER (outcome = 'emit') AS emitted, count(*) FILTER (outcome = 'reset') AS resets, count(*) FILTER (outcome = 'seed') AS seeded FROM dout GROUP BY 1, 2", "dout")
 oracle("wait_deltas", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, class, interval_ns, count_delta, timer_delta_ps, spans_gap FROM wd", "wd")
-oracle("wait_poll_audit", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, count(*) AS seen, count(*) FILTER (outcome = 'seed') AS seeded, count(*) FILTER (outcome = 'reset') AS resets, (SELECT count(*) FROM wd WHERE wd.server_id = wout.server_id AND wd.poll_ts = wout.poll_ts) AS emitted FROM wout GROUP BY server_id, wout.poll_ts", "wd")
+oracle("wait_poll_audit", f"""SELECT server_id, {_s('g.poll_ts')} AS poll_ts, count(event_name) AS seen, count(*) FILTER (outcome = 'seed') AS seeded, count(*) FILTER (outcome = 'reset') AS resets, (SELECT count(*) FROM wd WHERE wd.server_id = g.server_id AND wd.poll_ts = g.poll_ts) AS emitted
+    FROM good_polls g LEFT JOIN wout USING (server_id, poll_ts) GROUP BY server_id, g.poll_ts""", "wd", "good_polls")
 oracle("aborted_clients_delta", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, aborted_clients, greatest(aborted_clients - lag(aborted_clients, 1, 0) OVER (PARTITION BY server_id ORDER BY hv.poll_ts), 0) AS aborted_delta FROM hv", "hv")
 oracle("cpu_samples", f"SELECT server_id, {_s('ts')} AS ts, cpu_observations, cpu_ticks FROM cpu", "cpu")
 oracle("executing_sessions", f"SELECT server_id, {_s('ts')} AS ts, processlist_id, digest, schema_name, app_tag, user_name, host, event_name, executing FROM ss", "ss")
@@ -245,7 +246,7 @@ _SNAPS = "SELECT server_id, snapshot_ts FROM processes UNION SELECT server_id, s
 _REPORTS = "SELECT server_id, snapshot_ts, CASE WHEN lo % 3 <> 0 THEN 't' || (lo // 1000) END AS deadlock_ts, [lo + CASE WHEN lo % 2 = 0 THEN 0 ELSE 1 END, hi + 1] AS participants FROM (SELECT server_id, snapshot_ts, min(pid) AS lo, max(pid) AS hi FROM processes GROUP BY 1, 2)"
 _DEAD = f"SELECT * FROM (SELECT *, last_value(deadlock_ts IGNORE NULLS) OVER (PARTITION BY server_id ORDER BY snapshot_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ts, EXISTS (SELECT 1 FROM processes p WHERE p.server_id = r.server_id AND p.snapshot_ts = r.snapshot_ts AND list_contains(r.participants, p.pid)) AS alive FROM ({_REPORTS}) r) WHERE deadlock_ts IS NOT NULL AND (last_ts IS NULL OR last_ts <> deadlock_ts OR alive)"
 oracle("deadlocks", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, deadlock_ts, array_to_string(participants, '>') AS participants, 2 AS severity FROM ({_DEAD})", "processes")
-oracle("stream_deadlocks", f"SELECT DISTINCT server_id, deadlock_ts FROM ({_REPORTS}) WHERE deadlock_ts IS NOT NULL", "processes")
+oracle("stream_deadlocks", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, deadlock_ts FROM (SELECT *, lag(deadlock_ts) OVER (PARTITION BY server_id ORDER BY snapshot_ts) AS before FROM ({_REPORTS}) WHERE deadlock_ts IS NOT NULL) WHERE before IS DISTINCT FROM deadlock_ts", "processes")
 _ISSUES = f"""SELECT server_id, snapshot_ts, 0 AS ordinal, 'long_transaction' AS detector, CASE WHEN age_s >= 300 THEN 2 ELSE 1 END AS severity FROM transactions WHERE age_s >= 30
     UNION ALL SELECT server_id, snapshot_ts, 1, 'lock_chain', severity FROM leaves UNION ALL SELECT server_id, snapshot_ts, 1, 'lock_chain', 2 FROM rings
     UNION ALL SELECT server_id, snapshot_ts, 2, 'ddl_conflict', CASE WHEN time_s >= 10 THEN 2 ELSE 1 END FROM pw WHERE ddl AND state = 'Waiting for table metadata lock'

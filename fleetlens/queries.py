@@ -163,8 +163,8 @@ add("rds_target", lambda t: S.rds_target(t.servers))
 # deltas and samples
 add("digest_deltas", lambda t: t.derived())
 add("digest_poll_audit", lambda t: D.digest_poll_audit(t.good_polls, t.digest_polls))
-add("wait_deltas", lambda t: D.wait_deltas(t.wait_polls))
-add("wait_poll_audit", lambda t: D.wait_poll_audit(t.wait_polls))
+add("wait_deltas", lambda t: D.wait_deltas(t.wait_polls, t.good_polls))
+add("wait_poll_audit", lambda t: D.wait_poll_audit(t.wait_polls, t.good_polls))
 add("aborted_clients_delta", lambda t: D.aborted_clients_delta(H.health_vitals(t.status_vars)).select("server_id", "poll_ts", "aborted_clients", "aborted_delta"))
 add("cpu_samples", lambda t: D.cpu_samples(t.session_ticks, t.session_ticks))
 add("executing_sessions", lambda t: t.samples())
@@ -183,17 +183,17 @@ add("rows_examined_per_sent", lambda t: A.statement_load(t.derived()).select("se
 add("top_sql_report", lambda t: A.top_sql(t.derived()).select("server_id", "rank", "digest", "calls", "aas", fmt.div(F.col("avg_latency_ns"), 1_000_000).alias("avg_latency_ms")))
 for _group in ("user_name", "host", "schema_name"):
     add("load_by_" + _group.removesuffix("_name"), lambda t, g=_group: A.load_by_group(t.samples(), g))
-add("load_by_class", lambda t: A.load_by_class(D.wait_deltas(t.wait_polls), t.cpu(), t.good_polls))
+add("load_by_class", lambda t: A.load_by_class(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls))
 
 
 @query
 def load_report(t: Fleet) -> DataFrame:
-    rows = A.load_by_class(D.wait_deltas(t.wait_polls), t.cpu(), t.good_polls)
+    rows = A.load_by_class(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls)
     entry = F.concat("class", F.lit("="), F.format_number("aas", 4))
     return rows.groupBy("server_id", "total").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("e")))), lambda x: x["e"]), ",").alias("classes"))
 
 
-add("load_trail", lambda t: A.load_trail(D.wait_deltas(t.wait_polls), t.cpu()))
+add("load_trail", lambda t: A.load_trail(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu()))
 add("busiest_tables", lambda t: A.busiest_tables(t.derived()))
 add("top_users_share", lambda t: A.top_users_share(t.samples()))
 add("digest_app_samples", lambda t: A.digest_app_samples(t.samples()))

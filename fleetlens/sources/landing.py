@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -34,22 +35,32 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_stream(df: DataFrame, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Land a relation and read it as a file stream."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    reader = df.sparkSession.readStream.schema(df.schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+def as_stream(df: DataFrame, name: str, time: str | None = None, parts: int = 1) -> DataFrame:
+    """Land a relation and read it as a file stream.
 
+    With ``time``, in ``parts`` appends by equal spans of that column and a last row of nulls one year later, which moves
+    the watermark past all others; a micro-batch reads the files of one append."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if time is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    rows = landed(df, f"{name}-rows")
+    first, last = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    if first is not None:
+        part = F.least(F.floor((F.unix_micros(time) - first) * parts / (last - first + 1)), F.lit(parts - 1))
+        for i in range(parts):
+            rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        end = spark.range(1).select(*(F.timestamp_micros(F.lit(last + 366 * 86_400_000_000)).alias(c) if c == time else F.lit(None).cast(k).alias(c) for c, k in df.dtypes))
+        end.coalesce(1).write.mode("append").parquet(path)
+    else:
+        rows.write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to the end of what has landed and read its result; in complete mode the last batch's."""
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream in append mode to the end of what has landed and read its result."""
     spark = stream.sparkSession
     out = shared_path(spark, f"{name}-out")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
-    if mode == "append":
-        running = writer.format("parquet").option("path", out).start()
-    else:
-        running = writer.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(out)).start()
-    running.awaitTermination()
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", shared_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
+    writer.format("parquet").option("path", out).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)

@@ -47,7 +47,11 @@ def test_digest_delta_seed_reset_and_absence(spark):
 def test_wait_delta_spans_gaps(spark):
     rows = [(0, "wait/io/file/a", 1, 10), (0, "wait/lock/x", 5, 5), (10, "wait/lock/x", 8, 9), (20, "wait/io/file/a", 101, 4_000_010), (20, "wait/lock/x", 8, 9)]
     df = spark.createDataFrame([(1, at(s), e, n, t) for s, e, n, t in rows], "server_id long, poll_ts timestamp, event_name string, count_star long, sum_timer_wait long")
-    assert values(deltas.wait_deltas(df), "class", "count_delta", "timer_delta_ps", "interval_ns", "spans_gap") == [("IO", 100, 4_000_000, 10**10, True), ("Lock", 3, 4, 10**10, False)]
+    polls = log(spark, 0, 10, 20)
+    assert values(deltas.wait_deltas(df, polls), "class", "count_delta", "timer_delta_ps", "interval_ns", "spans_gap") == [("IO", 100, 4_000_000, 10**10, True), ("Lock", 3, 4, 10**10, False)]
+    polls = log(spark, 0, 10, 15, 20, 30)  # the polls at 15 and 30 saw no waits
+    assert values(deltas.wait_deltas(df, polls), "class", "interval_ns", "spans_gap") == [("IO", 5 * 10**9, True), ("Lock", 10**10, False)]
+    assert values(deltas.wait_poll_audit(df, polls), "poll_ts", "seen", "seeded", "emitted") == [(at(0), 2, 2, 0), (at(10), 1, 0, 1), (at(15), 0, 0, 0), (at(20), 2, 0, 1), (at(30), 0, 0, 0)]
 
 
 def test_aborted_clients_and_retention(spark):
