@@ -37,8 +37,8 @@ def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     """Put every row of ``docs`` into a shard; rows of equal text form a group and stay together.
 
     Size is the UTF-8 length plus 16; tokens are runs between spaces. A group of over ``split_share`` of one shard's
-    bytes or rows is split by id into pieces below that share (there are at most 2 * shards / split_share such groups,
-    which bounds what is broadcast). Pieces are hashed into buckets; each bucket is packed by itself into ``shards``
+    bytes or rows is split by row number, landed with the rows, into pieces below that share (there are at most
+    2 * shards / split_share such groups, which bounds what is broadcast). Pieces are hashed into buckets; each bucket is packed by itself into ``shards``
     bins, and its bins are then packed, FAN_IN buckets at a time, until one packing remains. No task sees more than a
     bucket's groups or FAN_IN * shards bins.
 
@@ -49,7 +49,7 @@ def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = landed(
         docs.select(
-            F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.col(text_col).cast("binary")).alias("crc"),
+            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.col(text_col).cast("binary")).alias("crc"),
             (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + (F.length(text) > 0).cast("int")).cast("long").alias("tokens"), F.xxhash64(text).alias("text_key"),
         ),
         "shard-rows",
@@ -61,7 +61,7 @@ def pack_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
         "text_key", F.ceil(F.greatest(F.col("bytes") / most_bytes, F.col("n") / most_rows)).cast("long").alias("pieces")
     )
     buckets = max(1, -(-(whole[1] or 0) // rows_per_bucket))
-    pieced = rows.join(F.broadcast(hot), "text_key", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")), F.lit(0))).drop("pieces")
+    pieced = rows.join(F.broadcast(hot), "text_key", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("row"), F.col("pieces")), F.lit(0))).drop("pieces")
     pieced = pieced.withColumn("bucket", F.pmod(F.xxhash64("text_key", "piece"), F.lit(buckets)).cast("int"))
     items = pieced.groupBy("bucket", "text_key", "piece").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     placed = landed(

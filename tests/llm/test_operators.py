@@ -202,6 +202,15 @@ def test_shards(spark, odd, empty, count):
     assert sharding.pack_shards(empty, count).count() == 0
 
 
+def test_shards_of_a_hot_text_without_ids(spark):
+    """A text that half of all rows have, none of them with an id, is dealt out evenly."""
+    rows = [(None, "same text " * 15) for _ in range(2000)] + [(i, f"text number {i} " * 10) for i in range(2000)]
+    got = sharding.pack_shards(frame(spark, rows), 40).toPandas().groupby("shard")["size"].agg(["sum", "count"])
+    assert len(got) == 40 and got["sum"].max() <= 1.05 * got["sum"].mean() and got["sum"].min() >= 0.95 * got["sum"].mean()
+    slots = sharding.pack_shards(frame(spark, rows), 40).groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("m")).collect()
+    assert all(r.n == r.m + 1 for r in slots)
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.integers(-300, 300, (400, 16))

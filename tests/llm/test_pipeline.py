@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from fleetlens.llm import queries
 from fleetlens.llm.common import landed
@@ -47,6 +49,18 @@ def test_odd_documents(spark, data, tmp_path):
     assert out.count() == docs.count() > 20 and docs.groupBy("doc_id", "text").count().filter("count > 1").count() == 0
 
 
+@pytest.mark.parametrize("ids", [(5, None, None), (5, 7, 7), (None, 5, 5), (None, None, None), (9, 9, 9)])
+def test_near_copies_go_by_row(spark, data, ids):
+    """Null and repeated ids: the near copy goes, the unrelated text stays, and so does one of equal rows."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join([*words[:-1], "edit"]), " ".join(f"other{i}" for i in range(60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)] + [(ids[2], texts[2], "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()]
+    assert len(kept) == 2 and (ids[2], texts[2]) in kept
+    first = [(i, t) for i, t in zip(ids[:2], texts[:2], strict=True) if i is not None]
+    assert min(first)[0] in [i for i, _ in kept] if first else True
+
+
 def test_no_documents(spark, data, tmp_path):
     spark.read.parquet(f"{data}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -54,4 +68,4 @@ def test_no_documents(spark, data, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
