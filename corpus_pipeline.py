@@ -18,24 +18,33 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; ``lang`` becomes the predicted one. Null texts, texts without letters and texts of
-    which no language has LEAST_SCORE of the letters go."""
+    which no language has LEAST_SCORE of the letters go. A row counts by its text alone: equal texts have one fate, null
+    and repeated ids are rows like any other, an empty table gives an empty table."""
     model = fit(docs, F.lit(True))
     found = labelled(docs.select(*COLUMNS), model, with_spans=False)
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
-    groups = landed(jaccard_components(docs, 5, 80), "groups")
-    stay = groups.filter("doc_id <=> component_id").select("doc_id")
-    kept = docs.join(stay.distinct().withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*COLUMNS)
-    if stay.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """The document of smallest id of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more).
+
+    Groups are of rows, each known by a 64-bit hash of its columns, so null and repeated ids are no matter: a null id
+    comes after all others, and of rows that are alike in every column one stays. Texts without words stay. An empty
+    table gives an empty table."""
+    rows = docs.select(*COLUMNS).withColumn("__row", F.xxhash64(*COLUMNS))
+    groups = landed(jaccard_components(rows, 5, 80, id_col="__row"), "groups").select("__row", "component_id").distinct()
+    ids = landed(rows.groupBy("__row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
+    stay = landed(groups.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct(order.alias("o"), "n")).alias("s")).select("s.o.__row", "s.n"), "stay")
+    kept = rows.join(stay.select("__row"), "__row", "left_semi")
+    if stay.filter("n > 1").limit(1).count():  # rows alike in every column
+        kept = kept.dropDuplicates(["__row"])
+    return kept.select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of over 50 words that occur more than once; a document that was nothing else goes."""
+    """Documents without the passages of over 50 words that occur more than once; a document that was nothing else goes.
+    Equal texts lose what they share, so both go; ids are not looked at; an empty table gives an empty table."""
     found = without_repeats(docs.select(*COLUMNS), PASSAGE_WORDS, WORD)
     left = found.filter((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
     return left.select("doc_id", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text"), "lang", "source", "n_removed", "n_chars").withColumn(
@@ -44,7 +53,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Equal texts have one fate; null and repeated ids are rows like any other;
+    without documents or without benchmark items nothing goes."""
     return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
