@@ -23,8 +23,13 @@ def statement_load(deltas: DataFrame, sessions: DataFrame | None = None, app: st
         F.max("digest_text").alias("digest_text"), F.sum("exec_delta").alias("calls"), F.sum("timer_delta").alias("timer_ps"), F.sum("rows_examined_delta").alias("rows_examined"),
         F.sum("rows_sent_delta").alias("rows_sent"), F.sum("no_index_delta").alias("no_index_calls"), s.alias("seconds"),
     )
-    return out.filter("calls > 0").select(
-        "server_id", "schema_name", "digest", "digest_text", "calls", div(div(F.col("timer_ps"), F.col("calls")), 1000).alias("avg_latency_ns"), F.round(F.col("timer_ps") / 1e12 / F.col("seconds"), 6).alias("aas"),
+    return statement_columns(out, ["server_id", "schema_name", "digest"])
+
+
+def statement_columns(sums: DataFrame, key: list[str]) -> DataFrame:
+    """Rates and means of statements from their sums."""
+    return sums.filter("calls > 0").select(
+        *key, "digest_text", "calls", div(div(F.col("timer_ps"), F.col("calls")), 1000).alias("avg_latency_ns"), F.round(F.col("timer_ps") / 1e12 / F.col("seconds"), 6).alias("aas"),
         F.round(F.col("calls") / F.col("seconds"), 6).alias("calls_per_s"), F.round(F.col("rows_examined") / F.col("calls"), 6).alias("rows_per_call"), "rows_examined", "rows_sent", (F.col("no_index_calls") > 0).alias("no_idx"),
     )
 

@@ -110,6 +110,7 @@ oracle("cloud_metrics_latest", "SELECT instance, is_aurora, " + ", ".join(f"roun
 oracle("rds_target", "SELECT server_id, host, CASE WHEN server_id % 2 = 0 THEN split_part(host, '.', 1) ELSE '' END AS instance, CASE WHEN server_id % 2 = 0 THEN 'us-east-1' ELSE '' END AS region, server_id % 2 = 0 AS ok, CASE WHEN server_id % 2 = 0 THEN '' ELSE 'host is not an RDS endpoint' END AS reason FROM servers", "servers")
 
 oracle("digest_deltas", f"SELECT {_KEYS}, {_s('poll_ts')} AS poll_ts, digest_text, interval_ns, {', '.join(_COUNTERS.values())} FROM dd", "dd")
+ORACLES["digest_deltas_by_day"] = ORACLES["digest_deltas"]
 oracle("digest_poll_audit", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, count(*) AS seen, count(*) FILTER (outcome = 'emit') AS emitted, count(*) FILTER (outcome = 'reset') AS resets, count(*) FILTER (outcome = 'seed') AS seeded FROM dout GROUP BY 1, 2", "dout")
 oracle("wait_deltas", f"SELECT server_id, {_s('poll_ts')} AS poll_ts, class, interval_ns, count_delta, timer_delta_ps, spans_gap FROM wd", "wd")
 oracle("wait_poll_audit", f"""SELECT server_id, {_s('g.poll_ts')} AS poll_ts, count(event_name) AS seen, count(*) FILTER (outcome = 'seed') AS seeded, count(*) FILTER (outcome = 'reset') AS resets, (SELECT count(*) FROM wd WHERE wd.server_id = g.server_id AND wd.poll_ts = g.poll_ts) AS emitted
@@ -135,6 +136,20 @@ for _g in ("user_name", "host", "schema_name"):
 _CLASSES = "(VALUES ('CPU', 0), ('IO', 1), ('Lock', 2), ('Sync', 3), ('Network', 4), ('Other', 5)) c(class, ordinal)"
 _LOAD = f"SELECT s.server_id, c.class, c.ordinal, coalesce(a.aas, 0) AS raw, sum(coalesce(a.aas, 0)) OVER (PARTITION BY s.server_id) AS whole FROM (SELECT DISTINCT server_id FROM good_polls) s CROSS JOIN {_CLASSES} LEFT JOIN (SELECT server_id, class, sum(timer_delta_ps) / 1e12 / (sum(interval_ns) / 1e9) AS aas FROM wd GROUP BY 1, 2 UNION ALL SELECT server_id, 'CPU', sum(cpu_observations) / sum(cpu_ticks) FROM cpu GROUP BY 1) a ON a.server_id = s.server_id AND a.class = c.class"
 oracle("load_by_class", f"SELECT server_id, class, ordinal, round(raw, 6) AS aas, round(whole, 6) AS total FROM ({_LOAD})", "wd", "cpu", "good_polls")
+_WITHIN = "{x}.server_id = p.server_id AND {x}.{ts} BETWEEN p.poll_ts - INTERVAL 6 HOUR AND p.poll_ts"
+oracle("top_sql_of_days", """SELECT server_id, schema_name, digest, digest_text, calls, (timer_ps // calls) // 1000 AS avg_latency_ns, round(timer_ps / 1e12 / seconds, 6) AS aas, round(calls / seconds, 6) AS calls_per_s, round(rows_examined / calls, 6) AS rows_per_call, rows_examined, rows_sent, no_idx,
+    CAST(row_number() OVER (PARTITION BY server_id ORDER BY round(timer_ps / 1e12 / seconds, 6) DESC, schema_name, digest) AS INTEGER) AS rank FROM (
+    SELECT server_id, schema_name, digest, max(digest_text) AS digest_text, CAST(sum(exec_delta) AS BIGINT) AS calls, CAST(sum(timer_delta) AS BIGINT) AS timer_ps, CAST(sum(rows_examined_delta) AS BIGINT) AS rows_examined, CAST(sum(rows_sent_delta) AS BIGINT) AS rows_sent, sum(no_index_delta) > 0 AS no_idx, sum(interval_ns) / 1e9 AS seconds
+    FROM dd WHERE poll_ts >= TIMESTAMP '2024-01-10' AND poll_ts < TIMESTAMP '2024-01-13' GROUP BY 1, 2, 3 HAVING sum(exec_delta) > 0)""", "dd")
+oracle("top_sql_as_of", f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, CAST(row_number() OVER (PARTITION BY server_id, w.poll_ts ORDER BY aas DESC, schema_name, digest) AS INTEGER) AS rank, digest, calls, avg_latency_ns, aas, rows_examined, no_idx FROM (
+    SELECT p.server_id, p.poll_ts, schema_name, digest, CAST(sum(exec_delta) AS BIGINT) AS calls, CAST((sum(timer_delta) // sum(exec_delta)) // 1000 AS BIGINT) AS avg_latency_ns, round(sum(timer_delta) / 1e12 / (sum(interval_ns) / 1e9), 6) AS aas, CAST(sum(rows_examined_delta) AS BIGINT) AS rows_examined, sum(no_index_delta) > 0 AS no_idx
+    FROM good_polls p JOIN dd ON {_WITHIN.format(x='dd', ts='poll_ts')} GROUP BY 1, 2, 3, 4 HAVING sum(exec_delta) > 0) w QUALIFY rank <= 3""", "dd", "good_polls")
+oracle("load_by_user_as_of", f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, name, observations, ticks, round(observations / ticks, 6) AS aas FROM (SELECT p.server_id, p.poll_ts, CASE WHEN user_name = '' THEN '(unknown)' ELSE user_name END AS name, count(*) AS observations FROM good_polls p JOIN ss ON {_WITHIN.format(x='ss', ts='ts')} GROUP BY 1, 2, 3)
+    JOIN (SELECT p.server_id, p.poll_ts, count(DISTINCT ts) AS ticks FROM good_polls p JOIN ss ON {_WITHIN.format(x='ss', ts='ts')} GROUP BY 1, 2) USING (server_id, poll_ts)""", "ss", "good_polls")
+oracle("load_by_class_as_of", f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, class, ordinal, round(raw, 6) AS aas, round(sum(raw) OVER (PARTITION BY server_id, z.poll_ts), 6) AS total FROM (
+    SELECT *, coalesce(CASE WHEN class = 'CPU' THEN sum(top) OVER w / nullif(sum(bottom) OVER w, 0) ELSE CAST(sum(top) OVER w AS BIGINT) / 1e12 / (nullif(CAST(sum(bottom) OVER w AS BIGINT), 0) / 1e9) END, 0) AS raw FROM (SELECT g.server_id, g.poll_ts, c.class, c.ordinal, CASE WHEN c.class = 'CPU' THEN u.cpu_observations ELSE d.timer_delta_ps END AS top, CASE WHEN c.class = 'CPU' THEN u.cpu_ticks ELSE d.interval_ns END AS bottom
+        FROM good_polls g CROSS JOIN {_CLASSES} LEFT JOIN wd d ON d.server_id = g.server_id AND d.poll_ts = g.poll_ts AND d.class = c.class LEFT JOIN cpu u ON u.server_id = g.server_id AND u.ts = g.poll_ts)
+    WINDOW w AS (PARTITION BY server_id, class ORDER BY poll_ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)) z""", "wd", "cpu", "good_polls")
 oracle("load_trail", f"SELECT server_id, {_s('ts')} AS ts, aas, CAST(row_number() OVER (PARTITION BY server_id ORDER BY q.ts DESC) AS INTEGER) AS age FROM (SELECT server_id, ts, round(sum(aas), 6) AS aas FROM (SELECT server_id, poll_ts AS ts, timer_delta_ps / 1e12 / (interval_ns / 1e9) AS aas FROM wd UNION ALL SELECT server_id, ts, cpu_observations / cpu_ticks FROM cpu) GROUP BY 1, 2) q QUALIFY age <= 60", "wd", "cpu")
 oracle("busiest_tables", """SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY aas DESC, table_name) AS INTEGER) AS rank FROM (SELECT server_id, CASE digest WHEN 'click' THEN 'shop.clicks' WHEN 'view' THEN 'shop.views' WHEN 'error' THEN 'shop.errors' ELSE 'shop.purchases' END AS table_name, round(sum(aas), 5) AS aas, round(sum(calls_per_s), 5) AS calls_per_s
     FROM sl WHERE digest <> 'signup' GROUP BY 1, 2) QUALIFY rank <= 5""", "sl")

@@ -3,6 +3,7 @@ given as epoch seconds and paths as text, so that other engines' results compare
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,14 +18,18 @@ from fleetlens.operators import issues as I
 from fleetlens.operators import load as A
 from fleetlens.operators import locks as L
 from fleetlens.operators import mdl as M
+from fleetlens.operators import trailing as T
 from fleetlens.oracles import ORACLES as ORACLES
 from fleetlens.plans import explain as E
 from fleetlens.sources import assembly as S
+from fleetlens.sources import delta_table as B
 from fleetlens.sources.adapters import relation
+from fleetlens.sources.landing import landed, shared_path
 from fleetlens.streaming import streams as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 AS_OF = "2024-01-30 23:59:59"
+SIX_HOURS = 6 * 3600
 
 
 class Fleet:
@@ -184,6 +189,24 @@ add("top_sql_report", lambda t: A.top_sql(t.derived()).select("server_id", "rank
 for _group in ("user_name", "host", "schema_name"):
     add("load_by_" + _group.removesuffix("_name"), lambda t, g=_group: A.load_by_group(t.samples(), g))
 add("load_by_class", lambda t: A.load_by_class(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls))
+add("top_sql_as_of", lambda t: T.top_sql_as_of(t.derived(), t.good_polls, SIX_HOURS, limit=3).select("server_id", "poll_ts", "rank", "digest", "calls", "avg_latency_ns", "aas", "rows_examined", "no_idx"))
+add("load_by_user_as_of", lambda t: T.load_by_group_as_of(t.samples(), t.good_polls, "user_name", SIX_HOURS))
+add("load_by_class_as_of", lambda t: T.load_by_class_as_of(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls, SIX_HOURS))
+
+
+def delta_table(t: Fleet) -> str:
+    """The folder of a table of digest deltas: all days but the last at once, then the last one by itself."""
+    path = shared_path(t.spark, "delta-table")
+    polls, rows = landed(t.good_polls, "polls"), landed(t.digest_polls, "digest-polls")
+    last = polls.agg(F.to_date(F.max("poll_ts"))).first()[0]
+    before = F.to_date("poll_ts") < F.lit(last)
+    B.build(polls.filter(before), rows.filter(before), path)
+    B.add_day(t.spark, polls, rows, path, last)
+    return path
+
+
+add("digest_deltas_by_day", lambda t: t.spark.read.parquet(f"{delta_table(t)}/deltas").drop("day"))
+add("top_sql_of_days", lambda t: A.top_sql(B.deltas_between(t.spark, delta_table(t), dt.date(2024, 1, 10), dt.date(2024, 1, 12))))
 
 
 @query
