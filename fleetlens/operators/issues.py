@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.format import div, format_duration, parse_duration
+from fleetlens.functions.format import format_duration, parse_duration, severity_label, truncate_text
 from fleetlens.functions.text import is_ddl, query_label, table_from_sql, untableable_bucket
 
 SNAPSHOT = ["server_id", "snapshot_ts"]
 METADATA_WAIT = "Waiting for table metadata lock"
-ISSUE = [*SNAPSHOT, "detector", "severity", "title", "details"]
+ISSUE = [*SNAPSHOT, "detector", "severity", "title", "description", "details"]
 
 # Who and what is never killed.
 SYSTEM_USERS = ("system user", "event_scheduler", "slave_worker", "slave_io", "slave_sql")
@@ -33,7 +33,8 @@ def long_transactions(transactions: DataFrame, warn_s: int = 30, critical_s: int
     return rows.select(
         *SNAPSHOT, F.lit("long_transaction").alias("detector"), F.when(F.col("age_s") >= critical_s, 2).otherwise(1).alias("severity"),
         F.format_string("Transaction running for %s", format_duration(F.col("age_s"))).alias("title"),
-        details(thread_id=F.col("pid"), user=F.col("user_name"), host=F.col("host"), query=text, duration=format_duration(F.col("age_s"))).alias("details"),
+        F.format_string("Transaction of %s@%s has run for %s: %s", "user_name", "host", format_duration(F.col("age_s")), truncate_text(text, 100)).alias("description"),
+        details(thread_id=F.col("pid"), database=F.col("db"), user=F.col("user_name"), host=F.col("host"), query=text, duration=format_duration(F.col("age_s"))).alias("details"),
     )
 
 
@@ -81,9 +82,11 @@ def ddl_conflicts(processes: DataFrame, transactions: DataFrame, threshold_s: in
     two = dml_blocked_by_ddl(processes, threshold_s)
     return one.select(
         *SNAPSHOT, F.lit("ddl_conflict").alias("detector"), "severity", F.format_string("DDL blocked by metadata lock: %s", "info").alias("title"),
+        F.format_string("DDL of %s@%s on %s waits for a metadata lock for %d s: %s. May be blocked by %s", "user_name", "host", "db", "time_s", truncate_text(F.col("info"), 80), "blockers").alias("description"),
         details(ddl_pid=F.col("pid"), user=F.col("user_name"), host=F.col("host"), database=F.col("db"), query=F.col("info"), wait_seconds=F.col("time_s"), blockers=F.col("blockers")).alias("details"),
     ).unionByName(two.select(
         *SNAPSHOT, F.lit("ddl_conflict").alias("detector"), "severity", F.format_string("DML blocked by DDL: %s", "ddl_query").alias("title"),
+        F.format_string("Statement of %s@%s waits for %d s for %d DDL statements, the longest of them %d: %s", "user_name", "host", "time_s", "ddls", "ddl_pid", truncate_text(F.col("blocked_query"), 80)).alias("description"),
         details(blocked_pid=F.col("blocked_pid"), user=F.col("user_name"), host=F.col("host"), query=F.col("blocked_query"), wait_seconds=F.col("time_s"), longest_ddl=F.col("ddl_pid"), ddl_statements=F.col("ddls")).alias("details"),
     ))
 
@@ -101,7 +104,7 @@ def deadlocks(reports: DataFrame, processes: DataFrame) -> DataFrame:
 def deadlock_issues(found: DataFrame) -> DataFrame:
     n = F.size("participants")
     ids = F.map_from_arrays(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("trx"), i.cast("string"), F.lit("_thread_id"))), F.transform("participants", lambda p: p.cast("string")))
-    return found.filter(n > 0).select(*SNAPSHOT, F.lit("deadlock").alias("detector"), "severity", F.lit("Deadlock detected").alias("title"), F.map_concat(details(timestamp=F.col("deadlock_ts"), participants=n), ids).alias("details"))
+    return found.filter(n > 0).select(*SNAPSHOT, F.lit("deadlock").alias("detector"), "severity", F.lit("Deadlock detected").alias("title"), F.format_string("Deadlock at %s: %s", "deadlock_ts", F.array_join(F.transform("participants", lambda p: p.cast("string")), " <-> ")).alias("description"), F.map_concat(details(timestamp=F.col("deadlock_ts"), participants=n), ids).alias("details"))
 
 
 def chain_issues(chains: DataFrame) -> DataFrame:
@@ -109,14 +112,14 @@ def chain_issues(chains: DataFrame) -> DataFrame:
     what `locks.chain_text` adds."""
     number = F.col("chains") if "chains" in chains.columns else F.lit(None).cast("string")
     return chains.select(
-        *SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock chain detected (depth %d)", "depth").alias("title"),
+        *SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock chain detected (depth %d)", "depth").alias("title"), F.col("chain_text").alias("description"),
         details(chain_depth=F.col("depth"), root_blocker=F.col("root_blocker"), chain=F.col("chain_text"), root_query=F.col("root_query"), blocked_queries=F.col("blocked_queries"), lock_table=F.col("lock_table"), chains=number).alias("details"),
     )
 
 
 def cycle_issues(cycles: DataFrame) -> DataFrame:
     """One issue per row of ``cycles`` (`locks.cycle_groups`, or `locks.lock_cycles`)."""
-    return cycles.select(*SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock cycle detected (%d participants)", "participants").alias("title"), details(cycle_size=F.col("participants")).alias("details"))
+    return cycles.select(*SNAPSHOT, F.lit("lock_chain").alias("detector"), "severity", F.format_string("Lock cycle detected (%d participants)", "participants").alias("title"), F.concat(F.lit("Sessions wait for each other: "), F.array_join(F.transform("path", lambda p: p.cast("string")), " -> ")).alias("description"), details(cycle_size=F.col("participants")).alias("details"))
 
 
 def all_issues(*parts: DataFrame) -> DataFrame:
@@ -183,9 +186,15 @@ def long_open_transactions(processes: DataFrame, least_s: int = 30, limit: int =
     return rows.filter(F.col("rank") <= limit).select(*SNAPSHOT, "rank", "pid", "user_name", "time_s", label.alias("label"))
 
 
-def snapshot_report(counts: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row per snapshot with its counts, the highest severity's label and its issues, ready for write.json."""
-    from fleetlens.functions.format import severity_label
+def snapshot_report(counts: DataFrame, issues: DataFrame, servers: DataFrame) -> DataFrame:
+    """One row per snapshot with the server's version ('' if unknown), its counts, the highest severity's label and its
+    issues (detector, severity, title, description, details) in the detectors' order, ready for write.json."""
+    issue = F.struct("ordinal", "title", "description", "detector", severity_label(F.col("severity")).alias("severity"), F.map_entries("details").alias("entries"))
+    nested = issues.groupBy(*SNAPSHOT).agg(F.max("severity").alias("s"), F.array_sort(F.collect_list(issue)).alias("issues"))
+    told = F.transform("issues", lambda i: F.struct(i["detector"].alias("detector"), i["severity"].alias("severity"), i["title"].alias("title"), i["description"].alias("description"), F.map_from_entries(i["entries"]).alias("details")))
+    rows = counts.join(nested, SNAPSHOT, "left").join(servers.select("server_id", F.col("version").alias("server")), "server_id", "left")
+    return rows.withColumn("max_severity", severity_label(F.coalesce("s", F.lit(0)))).withColumn("issues", F.coalesce(told, F.array().cast(issues_type()))).withColumn("server", F.coalesce("server", F.lit(""))).drop("s")
 
-    nested = issues.groupBy(*SNAPSHOT).agg(F.max("severity").alias("s"), F.array_sort(F.collect_list(F.struct("ordinal", "severity", "title"))).alias("issues"))
-    return counts.join(nested, SNAPSHOT, "left").withColumn("max_severity", severity_label(F.coalesce("s", F.lit(0)))).drop("s")
+
+def issues_type() -> str:
+    return "array<struct<detector: string, severity: string, title: string, description: string, details: map<string, string>>>"

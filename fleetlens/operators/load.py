@@ -55,6 +55,15 @@ def load_by_class(waits: DataFrame, cpu: DataFrame, servers: DataFrame) -> DataF
     return rows.select("server_id", "class", "ordinal", F.round(F.coalesce("aas", F.lit(0.0)), 6).alias("aas"), F.round(F.sum(F.coalesce("aas", F.lit(0.0))).over(Window.partitionBy("server_id")), 6).alias("total"))
 
 
+def load_report(load: DataFrame, window_s: int | None = None) -> DataFrame:
+    """One row per server (and poll) of `load_by_class` rows: classes MAP<STRING,DOUBLE>, total and, for a trailing window,
+    its seconds; ready for write.json."""
+    key = [c for c in ("server_id", "poll_ts") if c in load.columns]
+    classes = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "class", "aas"))), lambda x: F.struct(x["class"], x["aas"])))
+    out = load.groupBy(*key).agg(classes.alias("classes"), F.max("total").alias("total"))
+    return out if window_s is None else out.withColumn("window_seconds", F.lit(window_s))
+
+
 def load_trail(waits: DataFrame, cpu: DataFrame, points: int = 60) -> DataFrame:
     """Total load at each poll time, the last ``points`` of each server."""
     timed = waits.select("server_id", F.col("poll_ts").alias("ts"), (F.col("timer_delta_ps") / 1e12 / (F.col("interval_ns") / 1e9)).alias("aas"))

@@ -146,10 +146,11 @@ oracle("top_sql_as_of", f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, CAST(r
     FROM good_polls p JOIN dd ON {_WITHIN.format(x='dd', ts='poll_ts')} GROUP BY 1, 2, 3, 4 HAVING sum(exec_delta) > 0) w QUALIFY rank <= 3""", "dd", "good_polls")
 oracle("load_by_user_as_of", f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, name, observations, ticks, round(observations / ticks, 6) AS aas FROM (SELECT p.server_id, p.poll_ts, CASE WHEN user_name = '' THEN '(unknown)' ELSE user_name END AS name, count(*) AS observations FROM good_polls p JOIN ss ON {_WITHIN.format(x='ss', ts='ts')} GROUP BY 1, 2, 3)
     JOIN (SELECT p.server_id, p.poll_ts, count(DISTINCT ts) AS ticks FROM good_polls p JOIN ss ON {_WITHIN.format(x='ss', ts='ts')} GROUP BY 1, 2) USING (server_id, poll_ts)""", "ss", "good_polls")
-oracle("load_by_class_as_of", f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, class, ordinal, round(raw, 6) AS aas, round(sum(raw) OVER (PARTITION BY server_id, z.poll_ts), 6) AS total FROM (
+_CLASS_AS_OF = f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, class, ordinal, round(raw, 6) AS aas, round(sum(raw) OVER (PARTITION BY server_id, z.poll_ts), 6) AS total FROM (
     SELECT *, coalesce(CASE WHEN class = 'CPU' THEN sum(top) OVER w / nullif(sum(bottom) OVER w, 0) ELSE CAST(sum(top) OVER w AS BIGINT) / 1e12 / (nullif(CAST(sum(bottom) OVER w AS BIGINT), 0) / 1e9) END, 0) AS raw FROM (SELECT g.server_id, g.poll_ts, c.class, c.ordinal, CASE WHEN c.class = 'CPU' THEN u.cpu_observations ELSE d.timer_delta_ps END AS top, CASE WHEN c.class = 'CPU' THEN u.cpu_ticks ELSE d.interval_ns END AS bottom
         FROM good_polls g CROSS JOIN {_CLASSES} LEFT JOIN wd d ON d.server_id = g.server_id AND d.poll_ts = g.poll_ts AND d.class = c.class LEFT JOIN cpu u ON u.server_id = g.server_id AND u.ts = g.poll_ts)
-    WINDOW w AS (PARTITION BY server_id, class ORDER BY poll_ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)) z""", "wd", "cpu", "good_polls")
+    WINDOW w AS (PARTITION BY server_id, class ORDER BY poll_ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)) z"""
+oracle("load_by_class_as_of", _CLASS_AS_OF, "wd", "cpu", "good_polls")
 oracle("load_trail", f"SELECT server_id, {_s('ts')} AS ts, aas, CAST(row_number() OVER (PARTITION BY server_id ORDER BY q.ts DESC) AS INTEGER) AS age FROM (SELECT server_id, ts, round(sum(aas), 6) AS aas FROM (SELECT server_id, poll_ts AS ts, timer_delta_ps / 1e12 / (interval_ns / 1e9) AS aas FROM wd UNION ALL SELECT server_id, ts, cpu_observations / cpu_ticks FROM cpu) GROUP BY 1, 2) q QUALIFY age <= 60", "wd", "cpu")
 oracle("busiest_tables", """SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY aas DESC, table_name) AS INTEGER) AS rank FROM (SELECT server_id, CASE digest WHEN 'click' THEN 'shop.clicks' WHEN 'view' THEN 'shop.views' WHEN 'error' THEN 'shop.errors' ELSE 'shop.purchases' END AS table_name, round(sum(aas), 5) AS aas, round(sum(calls_per_s), 5) AS calls_per_s
     FROM sl WHERE digest <> 'signup' GROUP BY 1, 2) QUALIFY rank <= 5""", "sl")
@@ -250,12 +251,16 @@ oracle("stream_cpu", f"SELECT server_id, {_s('ts')} AS ts, CAST(cpu_observations
 oracle("stream_load_window", f"SELECT server_id, {_s('ts')} - 3600 * k AS window_start, count(*) AS observations FROM ss CROSS JOIN range(0, 6) r(k) GROUP BY 1, 2", "ss")
 
 _IDS = "1700000000000 - coalesce((SELECT max(w.wait_ms) FROM lock_waits w WHERE w.waiting_pid = e.waiting_pid), 0)"
-oracle("lock_waits", """SELECT server_id, CAST(epoch(lock_waits.snapshot_ts) AS BIGINT) AS snapshot_ts, 't' || waiting_pid AS waiting_trx_id, waiting_pid, CASE WHEN waiting_pid % 2 = 0 THEN 'UPDATE t' || waiting_pid ELSE '' END AS waiting_query, 't' || blocking_pid AS blocking_trx_id, blocking_pid,
-    CASE WHEN blocking_pid % 2 = 0 THEN 'UPDATE t' || blocking_pid WHEN blocking_pid % 5 <> 0 THEN 'q' || blocking_pid ELSE '' END AS blocking_query, 'shop.t' || (blocking_pid % 3) AS lock_table, wait_ms, CASE WHEN waiting_pid % 5 <> 0 THEN 'u' || (waiting_pid % 4) ELSE '' END AS waiting_user, CASE WHEN waiting_pid % 5 <> 0 THEN 'h' ELSE '' END AS waiting_host,
+_SAID = "CASE WHEN {p}_pid % 7 <> 0 THEN {x} ELSE '' END"
+oracle("lock_waits", f"""SELECT server_id, CAST(epoch(lock_waits.snapshot_ts) AS BIGINT) AS snapshot_ts, 't' || waiting_pid AS waiting_trx_id, waiting_pid, CASE WHEN waiting_pid % 2 = 0 THEN 'UPDATE t' || waiting_pid ELSE '' END AS waiting_query, 't' || blocking_pid AS blocking_trx_id, blocking_pid,
+    CASE WHEN blocking_pid % 2 = 0 THEN 'UPDATE t' || blocking_pid ELSE {_SAID.format(p='blocking', x="'s' || blocking_pid || '/2'")} END AS blocking_query, CASE WHEN server_id % 2 = 0 THEN '`shop`.`t' || (blocking_pid % 3) || '`' ELSE 'shop.t' || (blocking_pid % 3) END AS lock_table,
+    CASE WHEN blocking_pid % 4 <> 0 THEN 'PRIMARY' ELSE '' END AS lock_index, 'X' AS lock_type, {_SAID.format(p='waiting', x="'ds' || waiting_pid")} AS waiting_digest, {_SAID.format(p='blocking', x="'ds' || blocking_pid")} AS blocking_digest, CAST(epoch(lock_waits.snapshot_ts) AS BIGINT) - (wait_ms + 999) // 1000 AS wait_started,
+    wait_ms, CASE WHEN waiting_pid % 5 <> 0 THEN 'u' || (waiting_pid % 4) ELSE '' END AS waiting_user, CASE WHEN waiting_pid % 5 <> 0 THEN 'h' ELSE '' END AS waiting_host,
     CASE WHEN blocking_pid % 5 <> 0 THEN 'u' || (blocking_pid % 4) ELSE '' END AS blocking_user, CASE WHEN blocking_pid % 5 <> 0 THEN 'h' ELSE '' END AS blocking_host FROM lock_waits""", "lock_waits")
 oracle("chain_text", """SELECT l.server_id, CAST(epoch(l.snapshot_ts) AS BIGINT) AS snapshot_ts, array_to_string(path, '>') AS path, root_label || ' -> ' || list_aggregate(list_transform(path[2:], lambda x: 'PID:' || x || '(w' || (x % 5) || '@h1) shop.t' || (x % 3) || ' [UPDATE t]'), 'string_agg', ' -> ') AS chain_text, 'DELETE t' AS root_query,
     array_to_string(list_transform(path[2:], lambda x: 'UPDATE t'), ', ') AS blocked_queries, 'shop.t' || (path[2] % 3) AS lock_table
     FROM leaves l JOIN (SELECT blocking_pid, arg_max('PID:' || blocking_pid || '(' || blocking_user || '@h2) ' || lock_table || ' [DELETE t]', blocking_user || lock_table) AS root_label FROM lock_waits GROUP BY 1) r ON r.blocking_pid = l.path[1]""", "leaves")
+oracle("load_report_as_of", f"SELECT server_id, poll_ts, string_agg(class || '=' || printf('%.6f', aas), ',' ORDER BY ordinal) AS classes, max(total) AS total, 21600 AS window_seconds FROM ({_CLASS_AS_OF}) GROUP BY server_id, poll_ts", "wd", "cpu", "good_polls")
 oracle("load_report", f"SELECT server_id, round(whole, 6) AS total, string_agg(class || '=' || printf('%.4f', round(round(raw, 6), 4)), ',' ORDER BY ordinal) AS classes FROM ({_LOAD}) GROUP BY server_id, whole", "wd", "cpu", "good_polls")
 _SNAPS = "SELECT server_id, snapshot_ts FROM processes UNION SELECT server_id, snapshot_ts FROM lock_waits UNION SELECT server_id, snapshot_ts FROM lock_rings"
 _REPORTS = "SELECT server_id, snapshot_ts, CASE WHEN lo % 3 <> 0 THEN 't' || (lo // 1000) END AS deadlock_ts, [lo + CASE WHEN lo % 2 = 0 THEN 0 ELSE 1 END, hi + 1] AS participants FROM (SELECT server_id, snapshot_ts, min(pid) AS lo, max(pid) AS hi FROM processes GROUP BY 1, 2)"
@@ -271,7 +276,7 @@ oracle("all_issues", f"SELECT server_id, {_s('snapshot_ts')} AS snapshot_ts, ord
 oracle("max_severity", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) AS severity FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings")
 _COUNT = "(SELECT count(*) FROM {t} x WHERE x.server_id = s.server_id AND x.snapshot_ts = s.snapshot_ts) AS {n}"
 oracle("snapshot_counts", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'metadata_locks', 'lock_waits'))}, {_COUNT.format(t='(' + _ISSUES + ')', n='issues')}, {_COUNT.format(t='(' + _DEAD + ')', n='deadlocks')} FROM ({_SNAPS}) s", "pw", "transactions", "metadata_locks", "leaves", "rings")
-oracle("snapshot_report", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'lock_waits'))}, ['INFO', 'WARNING', 'CRITICAL'][coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) + 1] AS max_severity, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='issues').replace(' AS issues', '')} AS INTEGER) AS issues FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings")
+oracle("snapshot_report", f"SELECT server_id, {_s('s.snapshot_ts')} AS snapshot_ts, coalesce((SELECT version FROM servers v WHERE v.server_id = s.server_id), '') AS server, {', '.join(_COUNT.format(t=t, n=t) for t in ('processes', 'transactions', 'lock_waits'))}, ['INFO', 'WARNING', 'CRITICAL'][coalesce((SELECT max(severity) FROM ({_ISSUES}) i WHERE i.server_id = s.server_id AND i.snapshot_ts = s.snapshot_ts), 0) + 1] AS max_severity, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='issues').replace(' AS issues', '')} AS INTEGER) AS issues, CAST({_COUNT.format(t='(SELECT * FROM (' + _ISSUES + ') WHERE severity = 2)', n='critical').replace(' AS critical', '')} AS INTEGER) AS critical, CAST({_COUNT.format(t='(' + _ISSUES + ')', n='described').replace(' AS described', '')} AS INTEGER) AS described FROM ({_SNAPS}) s", "pw", "transactions", "leaves", "rings", "servers")
 oracle("format_bytes", "SELECT id, CASE WHEN n >= 1073741824 THEN printf('%.1fGB', round(n / 1073741824, 1)) WHEN n >= 1048576 THEN printf('%.0fMB', round(n / 1048576)) WHEN n >= 1024 THEN printf('%.0fKB', round(n / 1024)) ELSE n || 'B' END AS text FROM (SELECT id, ms * id AS n FROM num)", "num")
 
 _PLAN = """concat('query_block{select_id=1}', chr(10), 'query_block/ordering_operation{using_filesort=', CASE WHEN p_partkey % 4 = 0 THEN 'true' ELSE 'false' END, '}', chr(10), 'query_block/ordering_operation/nested_loop{}', chr(10), 'query_block/ordering_operation/nested_loop/0000{}', chr(10),

@@ -118,14 +118,25 @@ def transactions(t: Fleet) -> DataFrame:
 
 @query
 def lock_waits(t: Fleet) -> DataFrame:
+    """Servers of even id land the tables of 5.7, the others those of 8.0."""
     edges = t.lock_waits
     at = ["server_id", "snapshot_ts"]
-    waits = edges.select(*at, F.concat(F.lit("t"), "waiting_pid").alias("waiting_trx_id"), F.concat(F.lit("t"), "blocking_pid").alias("blocking_trx_id"), F.concat(F.lit("l"), "blocking_pid").alias("blocking_lock_id"))
+    old, name = F.col("server_id") % 2 == 0, F.col("pid").cast("string")
+    waits = edges.select(*at, F.concat(F.lit("t"), "waiting_pid").alias("w"), F.concat(F.lit("t"), "blocking_pid").alias("b"), F.concat(F.lit("l"), "blocking_pid").alias("l"))
     nodes = edges.select(*at, F.col("waiting_pid").alias("pid"), "wait_ms").unionByName(edges.select(*at, F.col("blocking_pid").alias("pid"), F.lit(0).cast("long").alias("wait_ms"))).groupBy(*at, "pid").agg(F.max("wait_ms").alias("wait_ms"))
-    trx = nodes.select(*at, F.concat(F.lit("t"), "pid").alias("trx_id"), "pid", F.when(F.col("pid") % 2 == 0, F.concat(F.lit("UPDATE t"), "pid")).alias("trx_query"), F.timestamp_millis(F.unix_millis("snapshot_ts") - F.col("wait_ms")).alias("wait_started"))
-    locks = nodes.select(*at, F.concat(F.lit("l"), "pid").alias("lock_id"), F.lit("shop").alias("lock_schema"), F.concat(F.lit("t"), F.col("pid") % 3).alias("lock_name"))
-    procs = nodes.filter("pid % 5 <> 0").select(*at, "pid", F.concat(F.lit("u"), F.col("pid") % 4).alias("user_name"), F.lit("h").alias("host"), F.concat(F.lit("q"), "pid").alias("info"))
-    return S.lock_waits(waits, trx, locks, procs)
+    trx = nodes.select(*at, F.concat(F.lit("t"), name).alias("trx_id"), "pid", F.when(F.col("pid") % 2 == 0, F.concat(F.lit("UPDATE t"), name)).alias("trx_query"), F.timestamp_millis(F.unix_millis("snapshot_ts") - F.col("wait_ms")).alias("wait_started"))
+    locks = nodes.select(*at, F.concat(F.lit("l"), name).alias("lock_id"), F.concat(F.lit("t"), (F.col("pid") % 3).cast("string")).alias("n"), F.when(F.col("pid") % 4 != 0, "PRIMARY").alias("i"), F.lit("X").alias("lock_mode"))
+    waits, locks = S.lock_tables(
+        waits.filter(old).withColumnsRenamed({"w": "requesting_trx_id", "b": "blocking_trx_id", "l": "blocking_lock_id"}),
+        locks.filter(old).select(*at, "lock_id", F.concat(F.lit("`shop`.`"), "n", F.lit("`")).alias("lock_table"), F.col("i").alias("lock_index"), "lock_mode"),
+        waits.filter(~old).withColumnsRenamed({"w": "requesting_engine_transaction_id", "b": "blocking_engine_transaction_id", "l": "blocking_engine_lock_id"}),
+        locks.filter(~old).select(*at, F.col("lock_id").alias("engine_lock_id"), F.lit("shop").alias("object_schema"), F.col("n").alias("object_name"), F.col("i").alias("index_name"), "lock_mode"),
+    )
+    procs = nodes.filter("pid % 5 <> 0").select(*at, "pid", F.concat(F.lit("u"), (F.col("pid") % 4).cast("string")).alias("user_name"), F.lit("h").alias("host"))
+    threads = nodes.filter("pid % 7 <> 0").select(*at, "pid", (F.col("pid") + 40).alias("thread_id"))
+    statements = nodes.select(*at, (F.col("pid") + 40).alias("thread_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("event_id"), F.concat(F.lit("s"), name).alias("text"))
+    statements = statements.select(*at, "thread_id", "event_id", F.concat("text", F.lit("/"), F.col("event_id").cast("string")).alias("sql_text"), F.concat(F.lit("d"), "text").alias("digest_text"))
+    return S.lock_waits(waits, locks, trx, procs, threads, statements)
 
 
 add("processes", lambda t: S.processes(t.processes))
@@ -209,13 +220,14 @@ add("digest_deltas_by_day", lambda t: t.spark.read.parquet(f"{delta_table(t)}/de
 add("top_sql_of_days", lambda t: A.top_sql(B.deltas_between(t.spark, delta_table(t), dt.date(2024, 1, 10), dt.date(2024, 1, 12))))
 
 
-@query
-def load_report(t: Fleet) -> DataFrame:
-    rows = A.load_by_class(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls)
-    entry = F.concat("class", F.lit("="), F.format_number("aas", 4))
-    return rows.groupBy("server_id", "total").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", entry.alias("e")))), lambda x: x["e"]), ",").alias("classes"))
+def class_text(report: DataFrame, digits: int = 4) -> DataFrame:
+    """The map of classes as text, in the classes' order."""
+    entries = F.transform(F.array(*map(F.lit, txt.WAIT_CLASSES)), lambda c: F.concat(c, F.lit("="), F.format_number(F.try_element_at("classes", c), digits)))
+    return report.withColumn("classes", F.array_join(entries, ","))
 
 
+add("load_report", lambda t: class_text(A.load_report(A.load_by_class(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls))))
+add("load_report_as_of", lambda t: class_text(A.load_report(T.load_by_class_as_of(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu(), t.good_polls, SIX_HOURS), SIX_HOURS), 6))
 add("load_trail", lambda t: A.load_trail(D.wait_deltas(t.wait_polls, t.good_polls), t.cpu()))
 add("busiest_tables", lambda t: A.busiest_tables(t.derived()))
 add("top_users_share", lambda t: A.top_users_share(t.samples()))
@@ -308,7 +320,10 @@ add("snapshot_counts", lambda t: I.snapshot_counts(t.snapshots(), processes=t.pr
 @query
 def snapshot_report(t: Fleet) -> DataFrame:
     counts = I.snapshot_counts(t.snapshots(), processes=t.processes, transactions=t.transactions, lock_waits=t.lock_waits)
-    return I.snapshot_report(counts, t.issues()).select("server_id", "snapshot_ts", "processes", "transactions", "lock_waits", "max_severity", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"))
+    report = I.snapshot_report(counts, t.issues(), S.server_info(t.servers))
+    worst = F.size(F.filter("issues", lambda i: i["severity"] == "CRITICAL"))
+    told = F.size(F.filter("issues", lambda i: (i["description"] != "") & (F.size(i["details"]) > 0)))
+    return report.select("server_id", "snapshot_ts", "server", "processes", "transactions", "lock_waits", "max_severity", F.size("issues").alias("issues"), worst.alias("critical"), told.alias("described"))
 
 
 add("stream_report_log", lambda t: R.logged(snapshot_report(t)))

@@ -41,15 +41,40 @@ def transactions(processes: DataFrame, trx: DataFrame, threads: DataFrame, state
     return rows.select(*at, "pid", *(F.coalesce(c, F.lit("")).alias(c) for c in ("user_name", "host", "db", "command", "state")), F.coalesce("time_s", F.lit(0)).alias("time_s"), F.coalesce("trx_query", F.lit("")).alias("query"), F.coalesce("digest_text", F.lit("")).alias("digest_text"), "trx_id", "trx_state", started.alias("trx_started"), (F.unix_seconds("snapshot_ts") - F.unix_seconds(started)).alias("age_s"))
 
 
-def lock_waits(waits: DataFrame, trx: DataFrame, locks: DataFrame, processes: DataFrame) -> DataFrame:
-    """Edges: waits with both transactions, the blocking lock and both processes."""
+def lock_tables(old_waits: DataFrame, old_locks: DataFrame, new_waits: DataFrame, new_locks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Waits and locks of servers of both dialects under one set of names.
+
+    ``old_*`` are the tables of 5.7 (requesting_trx_id, blocking_trx_id, blocking_lock_id; lock_id, lock_table, lock_index,
+    lock_mode), ``new_*`` those of 8.0 (requesting_engine_transaction_id, blocking_engine_transaction_id,
+    blocking_engine_lock_id; engine_lock_id, object_schema, object_name, index_name, lock_mode). A server has one of them."""
+    at = ["server_id", "snapshot_ts"]
+    text = lambda c: F.coalesce(c, F.lit(""))
+    waits = old_waits.select(*at, F.col("requesting_trx_id").alias("waiting_trx_id"), "blocking_trx_id", "blocking_lock_id").unionByName(
+        new_waits.select(*at, F.col("requesting_engine_transaction_id").alias("waiting_trx_id"), F.col("blocking_engine_transaction_id").alias("blocking_trx_id"), F.col("blocking_engine_lock_id").alias("blocking_lock_id"))
+    )
+    locks = old_locks.select(*at, F.col("lock_id").alias("blocking_lock_id"), "lock_table", "lock_index", F.col("lock_mode").alias("lock_type")).unionByName(
+        new_locks.select(*at, F.col("engine_lock_id").alias("blocking_lock_id"), F.concat(text("object_schema"), F.lit("."), text("object_name")).alias("lock_table"), F.col("index_name").alias("lock_index"), F.col("lock_mode").alias("lock_type"))
+    )
+    return waits, locks
+
+
+def lock_waits(waits: DataFrame, locks: DataFrame, trx: DataFrame, processes: DataFrame, threads: DataFrame, statements: DataFrame) -> DataFrame:
+    """Edges: waits with both transactions, the blocking lock, both processes and both sessions' current statements.
+
+    ``waits`` and ``locks`` are those of `lock_tables`. A blocker that runs nothing shows the text of its thread's current
+    statement. A thread has one statement here, the latest by event_id."""
     at = ["server_id", "snapshot_ts"]
     side = lambda p: trx.select(*at, F.col("trx_id").alias(f"{p}_trx_id"), F.col("pid").alias(f"{p}_pid"), F.col("trx_query").alias(f"{p}_query"), F.col("wait_started").alias(f"{p}_since"))
-    who = lambda p: processes.select(*at, F.col("pid").alias(f"{p}_pid"), F.col("user_name").alias(f"{p}_user"), F.col("host").alias(f"{p}_host"), F.col("info").alias(f"{p}_info"))
-    rows = waits.join(side("waiting"), [*at, "waiting_trx_id"]).join(side("blocking"), [*at, "blocking_trx_id"]).join(locks.select(*at, F.col("lock_id").alias("blocking_lock_id"), F.concat_ws(".", "lock_schema", "lock_name").alias("lock_table")), [*at, "blocking_lock_id"])
-    rows = rows.join(who("waiting"), [*at, "waiting_pid"], "left").join(who("blocking"), [*at, "blocking_pid"], "left")
+    who = lambda p: processes.select(*at, F.col("pid").alias(f"{p}_pid"), F.col("user_name").alias(f"{p}_user"), F.col("host").alias(f"{p}_host"))
+    current = statements.groupBy(*at, "thread_id").agg(F.max_by(F.struct("sql_text", "digest_text"), "event_id").alias("s"))
+    said = threads.select(*at, "pid", "thread_id").join(current, [*at, "thread_id"]).groupBy(*at, "pid").agg(F.max_by("s", "thread_id").alias("s"))
+    says = lambda p: said.select(*at, F.col("pid").alias(f"{p}_pid"), F.col("s.sql_text").alias(f"{p}_text"), F.col("s.digest_text").alias(f"{p}_digest"))
+    rows = waits.join(side("waiting"), [*at, "waiting_trx_id"]).join(side("blocking"), [*at, "blocking_trx_id"]).join(locks, [*at, "blocking_lock_id"])
+    for p in ("waiting", "blocking"):
+        rows = rows.join(who(p), [*at, f"{p}_pid"], "left").join(says(p), [*at, f"{p}_pid"], "left")
     wait = F.coalesce(F.expr("div(timestampdiff(MICROSECOND, waiting_since, snapshot_ts), 1000)"), F.lit(0))
-    return rows.select(*at, "waiting_trx_id", "waiting_pid", F.coalesce("waiting_query", F.lit("")).alias("waiting_query"), "blocking_trx_id", "blocking_pid", F.coalesce("blocking_query", "blocking_info", F.lit("")).alias("blocking_query"), "lock_table", wait.alias("wait_ms"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("waiting_user", "waiting_host", "blocking_user", "blocking_host")))
+    texts = ("waiting_query", "waiting_digest", "waiting_user", "waiting_host", "blocking_digest", "blocking_user", "blocking_host", "lock_table", "lock_index", "lock_type")
+    return rows.select(*at, "waiting_trx_id", "waiting_pid", "blocking_trx_id", "blocking_pid", F.coalesce("blocking_query", "blocking_text", F.lit("")).alias("blocking_query"), *(F.coalesce(c, F.lit("")).alias(c) for c in texts), F.coalesce("waiting_since", "snapshot_ts").alias("wait_started"), wait.alias("wait_ms"))
 
 
 def processes(rows: DataFrame) -> DataFrame:
