@@ -96,6 +96,11 @@ oracle("health_vitals", f"SELECT * REPLACE ({_s('poll_ts')} AS poll_ts) FROM hv"
 _ROLE = "server_id, poll_s, CASE WHEN poll_s % 6 <> 0 THEN 'replica' ELSE 'standalone' END AS role, coalesce(lower(coalesce(nullif(new_io, ''), nullif(old_io, ''))) = 'yes' AND poll_s % 6 <> 0, false) AS io_running, coalesce(lower(new_sql) = 'yes' AND poll_s % 6 <> 0, false) AS sql_running, CASE WHEN poll_s % 6 <> 0 THEN coalesce(TRY_CAST(lag AS BIGINT), -1) ELSE -1 END AS lag_s, '' AS last_error, '' AS gtid_retrieved"
 oracle("replica_status", f"SELECT {_ROLE} FROM replica_rows", "replica_rows")
 oracle("replication_health", f"SELECT *, CASE WHEN lag_s > 30 THEN 2 WHEN lag_s > 5 OR NOT io_running OR NOT sql_running THEN 1 ELSE 0 END AS severity, lag_s >= 0 AS lag_known FROM (SELECT {_ROLE} FROM replica_rows) WHERE role = 'replica'", "replica_rows")
+_GTIDS = """SELECT server_id, poll_s, u, unnest(range(lo, hi + 1)) AS x FROM (SELECT server_id, poll_s, unnest([{u: 'aa', lo: 1, hi: poll_s + 20}, {u: 'aa', lo: poll_s + 30, hi: poll_s + 40}, {u: 'bb', lo: 1, hi: 5}], recursive := true) FROM replica_rows)
+    EXCEPT SELECT server_id, poll_s, u, unnest(range(lo, hi + 1)) FROM (SELECT server_id, poll_s, unnest([{u: 'aa', lo: 1, hi: poll_s}, {u: 'aa', lo: poll_s + 5, hi: poll_s + 12}, {u: 'bb', lo: CASE WHEN poll_s % 3 = 0 THEN 1 ELSE 2 END, hi: CASE WHEN poll_s % 3 = 0 THEN 9 ELSE 2 END}, {u: 'bb', lo: 4, hi: 4}, {u: 'aa', lo: poll_s + 1, hi: CASE WHEN poll_s % 5 = 0 THEN poll_s + 50 ELSE poll_s END}], recursive := true) FROM replica_rows)"""
+_GTID_RUNS = f"SELECT server_id, poll_s, u, min(x) AS lo, max(x) AS hi FROM (SELECT *, x - row_number() OVER (PARTITION BY server_id, poll_s, u ORDER BY x) AS g FROM ({_GTIDS})) GROUP BY server_id, poll_s, u, g"
+oracle("gtid_gap", f"""SELECT r.server_id, r.poll_s, CAST(coalesce(n, 0) AS BIGINT) AS missing, coalesce(gap, '') AS gap FROM replica_rows r LEFT JOIN (SELECT server_id, poll_s, sum(n) AS n, string_agg(u || ':' || t, ',' ORDER BY u) AS gap FROM (
+    SELECT server_id, poll_s, u, sum(hi - lo + 1) AS n, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '-' || hi END, ':' ORDER BY lo) AS t FROM ({_GTID_RUNS}) GROUP BY 1, 2, 3) GROUP BY 1, 2) m ON m.server_id = r.server_id AND m.poll_s = r.poll_s""", "replica_rows")
 oracle("innodb_status_metrics", "SELECT server_id, snapshot, CAST(regexp_extract(status_text, 'History list length (\\d+)', 1) AS BIGINT) AS history_length, CASE WHEN snapshot % 2 = 0 THEN 2 ELSE 1 END AS active, CASE WHEN snapshot % 2 = 0 THEN 1 ELSE 0 END AS lock_waits, snapshot * 10 AS trx_id_counter FROM status_texts", "status_texts")
 oracle("deadlock_participants", """SELECT server_id, snapshot, '2024-01-02 03:04:05' AS deadlock_ts, CAST(n AS INTEGER) AS n, CAST(snapshot + n AS VARCHAR) AS trx_id, snapshot % 1000 + n AS thread_id, 'localhost' AS host, 'root' AS user_name, 'shop.t' AS table_name, 'PRIMARY' AS index_name, 'X' AS lock_mode,
     'UPDATE t SET a = ' || CAST(snapshot + n AS VARCHAR) AS query FROM status_texts CROSS JOIN range(1, 3) r(n)""", "status_texts")

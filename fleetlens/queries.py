@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import format as fmt
 from fleetlens.functions import text as txt
 from fleetlens.operators import deltas as D
+from fleetlens.operators import gtid as G
 from fleetlens.operators import health as H
 from fleetlens.operators import issues as I
 from fleetlens.operators import load as A
@@ -51,7 +52,8 @@ class Fleet:
         return D.cpu_samples(self.session_ticks, self.session_ticks)
 
     def issues(self) -> DataFrame:
-        chains = L.chain_text(L.chain_totals(self.lock_waits), L.sessions_of(self.lock_waits))
+        waits = self.lock_waits
+        chains = L.chain_text(L.chain_totals(waits), L.sessions_of(waits))
         locks = I.chain_issues(chains).unionByName(I.cycle_issues(L.cycle_groups(self.lock_rings)))
         return I.all_issues(I.long_transactions(self.transactions), locks, I.ddl_conflicts(self.processes, self.transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), self.processes)))
 
@@ -152,6 +154,17 @@ def _replicas(t: Fleet) -> DataFrame:
 
 add("replica_status", lambda t: H.replica_status(_replicas(t)))
 add("replication_health", lambda t: H.replication_health(H.replica_status(_replicas(t))))
+
+
+@query
+def gtid_gap(t: Fleet) -> DataFrame:
+    k = F.col("poll_s")
+    span = lambda a, b: F.concat((k + a).cast("string"), F.lit("-"), (k + b).cast("string"))
+    source = F.concat(F.lit("AA:1-"), (k + 20).cast("string"), F.lit(":"), span(30, 40), F.lit(", bb:1-5"))
+    replica = F.concat(F.lit("aa:1-"), k.cast("string"), F.lit(":"), span(5, 10), F.lit(",aa:"), span(8, 12), F.when(k % 3 == 0, ",bb:1-9").otherwise(",bb:2:4"), F.when(k % 5 == 0, F.concat(F.lit(",aa:"), span(1, 50))).otherwise(""))
+    return G.gtid_gap(t.replica_rows.select("server_id", "poll_s", source.alias("source_set"), replica.alias("replica_set")), ["server_id", "poll_s"], "source_set", "replica_set")
+
+
 add("innodb_status_metrics", lambda t: S.innodb_status_metrics(t.status_texts))
 
 

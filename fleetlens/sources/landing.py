@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``, removed when the driver's Python ends; a temporary folder is set
-    where none is, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path under ``spark.checkpoint.dir``, removed when the driver's Python ends. Where that is unset, a temporary
+    folder is set for a session of one machine, as in tests; a cluster has to name one that all its machines share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="fleetlens-")
         spark.conf.set("spark.checkpoint.dir", root)
