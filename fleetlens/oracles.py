@@ -156,6 +156,12 @@ _CLASS_AS_OF = f"""SELECT server_id, {_s('poll_ts')} AS poll_ts, class, ordinal,
         FROM good_polls g CROSS JOIN {_CLASSES} LEFT JOIN wd d ON d.server_id = g.server_id AND d.poll_ts = g.poll_ts AND d.class = c.class LEFT JOIN cpu u ON u.server_id = g.server_id AND u.ts = g.poll_ts)
     WINDOW w AS (PARTITION BY server_id, class ORDER BY poll_ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)) z"""
 oracle("load_by_class_as_of", _CLASS_AS_OF, "wd", "cpu", "good_polls")
+# the sample of each rank itself, and the middle of its bucket
+_RANKED = "SELECT server_id, digest, latency_ns AS v, row_number() OVER (PARTITION BY server_id, digest ORDER BY latency_ns) AS r, count(*) OVER (PARTITION BY server_id, digest) AS n FROM latencies WHERE latency_ns >= 0"
+oracle("latency_percentiles", f"""SELECT server_id, digest, share, n, CAST((v // w) * w * 2 + w - 1 AS DOUBLE) / 2 AS value FROM (
+    SELECT server_id, digest, share, n, v, CASE WHEN v < 64 THEN 1 ELSE CAST(1 AS BIGINT) << (length(bin(v)) - 6) END AS w FROM ({_RANKED}), (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.95 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) AS s(share) WHERE r = greatest(CAST(ceil(share * n) AS BIGINT), 1))""", "latencies")
+oracle("unindexed_conditions", """SELECT digest, ts, 'query_block/ordering_operation/nested_loop/0001/table' AS path, 'dim' AS table_name, column_name, 'UNINDEXED_CONDITION' AS flag FROM (SELECT digest, ts, unnest(['a', 'c' || (ts % 4), 'd' || (ts % 3)]) AS column_name FROM plans)
+    WHERE column_name NOT IN (SELECT ['c', 'd'][server_id % 2 + 1] || (server_id // 8) FROM servers WHERE server_id % 3 = 0)""", "plans", "servers")
 oracle("load_trail", f"SELECT server_id, {_s('ts')} AS ts, aas, CAST(row_number() OVER (PARTITION BY server_id ORDER BY q.ts DESC) AS INTEGER) AS age FROM (SELECT server_id, ts, round(sum(aas), 6) AS aas FROM (SELECT server_id, poll_ts AS ts, timer_delta_ps / 1e12 / (interval_ns / 1e9) AS aas FROM wd UNION ALL SELECT server_id, ts, cpu_observations / cpu_ticks FROM cpu) GROUP BY 1, 2) q QUALIFY age <= 60", "wd", "cpu")
 oracle("busiest_tables", """SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY aas DESC, table_name) AS INTEGER) AS rank FROM (SELECT server_id, CASE digest WHEN 'click' THEN 'shop.clicks' WHEN 'view' THEN 'shop.views' WHEN 'error' THEN 'shop.errors' ELSE 'shop.purchases' END AS table_name, round(sum(aas), 5) AS aas, round(sum(calls_per_s), 5) AS calls_per_s
     FROM sl WHERE digest <> 'signup' GROUP BY 1, 2) QUALIFY rank <= 5""", "sl")

@@ -61,6 +61,24 @@ def plan_red_flags(plans: DataFrame, full_scan_rows: int = 1000, ratio: int = 10
     return rows.select(*_key(plans), "path", "table_name", "examined", "produced", F.explode(flags).alias("flag"))
 
 
+def condition_columns(plans: DataFrame) -> DataFrame:
+    """The columns that a table's attached condition names, each once: chains of backquoted names outside of string
+    literals; a chain that names another table is left out."""
+    nodes = plan_nodes(plans).filter("kind = 'table'").select(*_key(plans), "path", F.try_variant_get("node", "$.table_name", "string").alias("table_name"), F.try_variant_get("node", "$.attached_condition", "string").alias("condition"))
+    plain = F.regexp_replace("condition", r"'(?:[^'\\]|\\.|'')*'", "''")
+    chains = nodes.select(*_key(plans), "path", "table_name", F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"((?:`[^`]+`\s*\.\s*)*`[^`]+`)"), 1))).alias("chain"))
+    names = F.regexp_extract_all("chain", F.lit("`([^`]+)`"), 1)
+    own = (F.size(names) == 1) | (F.try_element_at(names, F.lit(-2)) == F.col("table_name"))
+    return chains.filter(own).select(*_key(plans), "path", "table_name", F.element_at(names, -1).alias("column_name")).distinct()
+
+
+def unindexed_conditions(plans: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Condition columns that no index starts with. ``indexes`` (table_name, column_name, seq_in_index, and server_id where
+    the plans have it)."""
+    on = [*(["server_id"] if "server_id" in indexes.columns and "server_id" in plans.columns else []), "table_name", "column_name"]
+    return condition_columns(plans).join(indexes.filter("seq_in_index = 1").select(*on), on, "left_anti").withColumn("flag", F.lit("UNINDEXED_CONDITION")).select(*_key(plans), "path", "table_name", "column_name", "flag")
+
+
 def plan_hash(plans: DataFrame) -> DataFrame:
     """SHA-256 of a plan's skeleton: its nodes and their canonical keys, without costs and row estimates."""
     keys = F.array_compact(F.array(*(F.when(F.try_variant_get("node", f"$.{k}", "variant").isNotNull(), F.concat(F.lit(k + "="), F.to_json(F.try_variant_get("node", f"$.{k}", "variant")))) for k in sorted(CANONICAL))))

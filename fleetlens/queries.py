@@ -19,6 +19,7 @@ from fleetlens.operators import issues as I
 from fleetlens.operators import load as A
 from fleetlens.operators import locks as L
 from fleetlens.operators import mdl as M
+from fleetlens.operators import percentiles as P
 from fleetlens.operators import trailing as T
 from fleetlens.oracles import ORACLES as ORACLES
 from fleetlens.plans import explain as E
@@ -247,6 +248,15 @@ add("top_users_share", lambda t: A.top_users_share(t.samples()))
 add("digest_app_samples", lambda t: A.digest_app_samples(t.samples()))
 add("class_app_load", lambda t: t.samples().groupBy("server_id", txt.wait_class(F.col("event_name")).alias("class"), "app_tag").agg(F.count("*").alias("observations")))
 
+
+
+@query
+def latency_percentiles(t: Fleet) -> DataFrame:
+    """Percentiles of each server's statements, from histograms of each hour that are merged."""
+    hours = P.histogram(t.latencies, ["server_id", "digest", "hour"], "latency_ns")
+    return P.percentiles(P.merged(hours, ["server_id", "digest"]), ["server_id", "digest"])
+
+
 # health
 add("health_ratios", lambda t: H.health_ratios(H.health_vitals(t.status_vars)).select("server_id", "poll_ts", "bp_hit", "running_ratio"))
 
@@ -346,6 +356,17 @@ add("long_open_transactions", lambda t: I.long_open_transactions(t.processes))
 # plans
 add("plan_nodes", lambda t: E.plan_nodes(t.plans).select("digest", "ts", "path", "kind"))
 add("plan_red_flags", lambda t: E.plan_red_flags(t.plans))
+
+
+@query
+def unindexed_conditions(t: Fleet) -> DataFrame:
+    """A condition on `dim` in every plan, and the indexes of four tables of that name's columns."""
+    condition = F.concat(F.lit("((`shop`.`dim`.`a` = 'x`b`') and (`shop`.`other`.`z` = `dim`.`c"), (F.col("ts") % 4).cast("string"), F.lit("`) and (`shop`.`dim`.`a` > 2) and (`d"), (F.col("ts") % 3).cast("string"), F.lit("` is not null))"))
+    plans = t.plans.withColumn("plan_json", F.replace("plan_json", F.lit('"table_name":"dim",'), F.concat(F.lit('"table_name":"dim","attached_condition":"'), condition, F.lit('",'))))
+    indexes = t.servers.select(F.lit("dim").alias("table_name"), F.concat(F.element_at(F.array(F.lit("c"), F.lit("d")), (F.col("server_id") % 2 + 1).cast("int")), F.floor(F.col("server_id") / 8).cast("string")).alias("column_name"), (F.col("server_id") % 3 + 1).alias("seq_in_index")).distinct()
+    return E.unindexed_conditions(plans, indexes)
+
+
 add("plan_hash", lambda t: E.plan_hash(t.plans))
 add("plan_flips", lambda t: E.plan_flips(E.plan_hash(t.plans)))
 add("explain_candidates", lambda t: E.explain_candidates(t.digest_polls, t.session_ticks.filter("digest <> 'view'").withColumn("timer_end", F.col("processlist_id"))))

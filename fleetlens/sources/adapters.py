@@ -48,6 +48,7 @@ RELATIONS: dict[str, str] = {
         CASE event_id % 3 WHEN 0 THEN '/* service=''checkout'',v=1 */ SELECT 1 FROM shop.carts' WHEN 1 THEN 'SELECT 2 FROM carts' ELSE '' END AS sql_text, event_id % 5 <> 0 AS executing,
         CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'idle' WHEN 2 THEN 'wait/io/file/x' ELSE 'wait/lock/table/x' END AS current_wait, CASE event_id % 2 WHEN 0 THEN 'worker' ELSE '' END AS program_name,
         CASE WHEN user_id % 10 = 0 THEN '' ELSE 'u' || CAST(user_id % 10 AS VARCHAR(10)) END AS user_name, '10.0.0.' || CAST(user_id % 7 AS VARCHAR(10)) AS host FROM events""",
+    "latencies": "SELECT user_id % 4 AS server_id, event_type AS digest, date_trunc('hour', ts) AS hour, CAST(round(value * 100) AS BIGINT) * (1 + event_id % 997) AS latency_ns FROM events",
     "processes": """SELECT o_custkey % 4 AS server_id, date_trunc('year', o_orderdate) AS snapshot_ts, o_orderkey AS pid, CASE o_custkey % 9 WHEN 0 THEN 'system user' WHEN 1 THEN 'Event_Scheduler' ELSE 'app' || CAST(o_custkey % 5 AS VARCHAR(10)) END AS user_name,
         '10.0.0.' || CAST(o_custkey % 7 AS VARCHAR(10)) || ':' || CAST(o_orderkey AS VARCHAR(20)) AS host, o_orderstatus AS db, CASE o_custkey % 13 WHEN 0 THEN 'Binlog Dump' ELSE 'Query' END AS command, o_orderkey % 60 AS time_s,
         CASE WHEN o_orderkey % 6 = 0 THEN 'Waiting for table metadata lock' WHEN o_orderkey % 6 = 1 THEN 'Waiting for master to send event' ELSE 'executing' END AS state,
