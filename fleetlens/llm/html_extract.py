@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +84,13 @@ def is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
 def events(page: str) -> Iterator[tuple[str, str | None, int, bool, tuple[int, str] | None]]:
     """(tag or '', text, node, dropped, new node's parent and tag): every tag and every run of text in page order."""
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, node, dropped, inside an article
+    open_tags: Counter = Counter()  # of the stack, so that it is searched only for what is there
     nodes, at, n = 1, 0, len(page)
+
+    def close_from(depth: int) -> None:
+        open_tags.subtract(s[0] for s in stack[depth:])
+        del stack[depth:]
+
     while at <= n:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else n]
@@ -101,17 +106,15 @@ def events(page: str) -> Iterator[tuple[str, str | None, int, bool, tuple[int, s
             continue
         tag = tag.lower()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            if open_tags[tag] > 0:
+                close_from(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
             yield tag, None, stack[-1][1], stack[-1][2], None
             continue
         if tag in CLOSES_P or tag in SAME:
             ends = SAME.get(tag, {"p"})
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(open_tags[e] > 0 for e in ends) else ():
                 if stack[depth][0] in ends:
-                    del stack[depth:]
+                    close_from(depth)
                     break
                 if stack[depth][0] in SCOPE or (tag in CLOSES_P and stack[depth][0] not in INLINE):
                     break
@@ -129,6 +132,7 @@ def events(page: str) -> Iterator[tuple[str, str | None, int, bool, tuple[int, s
             continue
         yield tag, None, nodes, dropped, (stack[-1][1], tag)
         stack.append((tag, nodes, dropped, inside or tag in ("article", "main")))
+        open_tags[tag] += 1
         nodes += 1
 
 
@@ -172,21 +176,18 @@ def extract(page: str | None, tags: dict[str, float] = DEFAULT_TAGS, other: floa
     if region is None:
         return ""
 
-    def above(node: int) -> list[int]:
-        out = []
-        while node >= 0:
-            out.append(node)
-            node = parent[node]
-        return out
-
+    # nodes are numbered as they open, so a node's descendants are the numbers from it up to its last one
+    last = list(range(len(parent)))
+    for node in range(len(parent) - 1, 0, -1):
+        last[parent[node]] = max(last[parent[node]], last[node])
     inside = [s[2] for s in seen[region[0] : region[1] + 1] if s[1] is not None and not s[3]]
-    first = above(inside[0])
-    common = set(first)
-    for a, b in pairwise(inside):
-        if a != b:
-            common &= set(above(b))
-    keeper = next((x for x in first if x in common and names[x] in ("article", "main")), None)
-    own = next((x for x in first if x in common and names[x] not in INLINE and names[x] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")), 0)
+    low, high, common, node = min(inside), max(inside), [], inside[0]
+    while node >= 0:
+        if node <= low and high <= last[node]:
+            common.append(node)
+        node = parent[node]
+    keeper = next((x for x in common if names[x] in ("article", "main")), None)
+    own = next((x for x in common if names[x] not in INLINE and names[x] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")), 0)
     whole = keeper if keeper is not None else own if names[own] not in ("body", "html", "") else None
     if whole is not None:
         member = {whole: True}
