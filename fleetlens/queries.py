@@ -38,11 +38,17 @@ class Fleet:
     """The telemetry relations of one folder, by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return relation(self.spark, self.sf_dir, name)
 
+    def once(self, name: str) -> DataFrame:
+        """A relation that several detectors read: derived once and landed."""
+        if name not in self.kept:
+            self.kept[name] = landed(relation(self.spark, self.sf_dir, name), name)
+        return self.kept[name]
+
     def derived(self) -> DataFrame:
         return D.digest_deltas(self.good_polls, self.digest_polls)
 
@@ -56,10 +62,11 @@ class Fleet:
         waits = self.lock_waits
         chains = L.chain_text(L.chain_totals(waits), L.sessions_of(waits))
         locks = I.chain_issues(chains).unionByName(I.cycle_issues(L.cycle_groups(self.lock_rings)))
-        return I.all_issues(I.long_transactions(self.transactions), locks, I.ddl_conflicts(self.processes, self.transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), self.processes)))
+        processes, transactions = self.once("processes"), self.once("transactions")
+        return I.all_issues(I.long_transactions(transactions), locks, I.ddl_conflicts(processes, transactions), I.deadlock_issues(I.deadlocks(self.deadlock_reports(), processes)))
 
     def deadlock_reports(self) -> DataFrame:
-        first = self.processes.groupBy("server_id", "snapshot_ts").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+        first = self.once("processes").groupBy("server_id", "snapshot_ts").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
         report = F.when(F.col("lo") % 3 != 0, F.concat(F.lit("t"), F.floor(F.col("lo") / 1000).cast("string")))
         return first.select("server_id", "snapshot_ts", report.alias("deadlock_ts"), F.array((F.col("lo") + F.when(F.col("lo") % 2 == 0, 0).otherwise(1)).alias("a"), F.col("hi") + 1).alias("participants"))
 
