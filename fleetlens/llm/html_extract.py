@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html as html_lib
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select body article main section div aside nav td th".split())
 
-# Elements and names that mark what is not the article.
+# Elements and names that mark what is not the article; names only until labelled pages say otherwise (see PRIORS).
 DROPPED = frozenset("head nav aside footer form button select input dialog menu svg canvas object embed audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar tablist".split())
 NAMES = frozenset(
@@ -42,168 +43,274 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"
 ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PART = re.compile(r"[a-z]+|\d+")
 WHITE = re.compile(r"\s+")
-
-WORD_SCORE = 1.0
+LABELLED = re.compile("<(?:article|main)", re.I)
+NEUTRAL = LAYOUT | CONTENT
+
+# Votes (for, against) that a word of a class or id starts with; the votes of labelled pages are added to them.
+PRIORS = {"boilerplate": (1.0, 4.0), "content": (4.0, 1.0), "layout": (1.0, 1.0), "unknown": (2.7, 1.0)}
+#: An element whose names weigh less than this is no part of the article.
+NAMES_DROP = -0.7
+#: The most features (tags, words of names, depths, link shares) that the learned scores keep, the frequent ones first.
+FEATURES = 50_000
+DEEPEST = 20
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 article main".split())
 DEFAULT_TAGS = {t: -0.2 for t in INLINE | {"p", "br"}} | {"a": -2.0, "li": -2.0, "ul": -3.0, "option": -3.0, "input": -3.0}
 DEFAULT_TAG = -1.0
 DROPPED_SCORE = -4.0
 
 
-def names_boilerplate(value: str) -> bool:
-    """Whether a class or id names boilerplate: one of its names is made of NAMES and words of layout alone, and none
-    names content. "ad-box" and "widget-left" do, "legal-news", "popular-science story" and "widget article-body" do not."""
-    found = False
+def name_words(value: str) -> Iterator[list[str]]:
+    """The words of each name in a class or id: "adBox main-text2" gives [ad, box] and [main, text]."""
     for name in value.split():
-        parts = [x for x in NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if not x.isdigit() and len(x) > 1]
-        if CONTENT.intersection(parts) and not NAMES.intersection(parts):
-            return False
-        found = found or (any(x in NAMES for x in parts) and all(x in NAMES or x in LAYOUT or x in CONTENT for x in parts))
-    return found
-
-
-@lru_cache(4096)
-def is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is boilerplate by its kind, role, names or being hidden."""
-    if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in ("html", "body"):
-        return False
-    for m in ATTR.finditer(attributes):
-        raw = m[2] or m[3] or m[4] or ""
-        key, value = m[1].lower(), raw.lower()
-        if key in ("class", "id") and names_boilerplate(raw):
-            if tag not in ("article", "main") or "comment" in value:
-                return True
-        elif (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def events(page: str) -> Iterator[tuple[str, str | None, int, bool, tuple[int, str] | None]]:
-    """(tag or '', text, node, dropped, new node's parent and tag): every tag and every run of text in page order."""
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, node, dropped, inside an article
-    open_tags: Counter = Counter()  # of the stack, so that it is searched only for what is there
-    nodes, at, n = 1, 0, len(page)
-
-    def close_from(depth: int) -> None:
-        open_tags.subtract(s[0] for s in stack[depth:])
-        del stack[depth:]
-
-    while at <= n:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text and not text.isspace():
-            yield "", text, stack[-1][1], stack[-1][2], None
-        elif text:
-            yield "", " ", stack[-1][1], True, None
-        if not m:
-            return
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if closing:
-            if open_tags[tag] > 0:
-                close_from(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
-            yield tag, None, stack[-1][1], stack[-1][2], None
-            continue
-        if tag in CLOSES_P or tag in SAME:
-            ends = SAME.get(tag, {"p"})
-            for depth in range(len(stack) - 1, 0, -1) if any(open_tags[e] > 0 for e in ends) else ():
-                if stack[depth][0] in ends:
-                    close_from(depth)
-                    break
-                if stack[depth][0] in SCOPE or (tag in CLOSES_P and stack[depth][0] not in INLINE):
-                    break
-        _, _, dropped, inside = stack[-1]
-        dropped = dropped or is_dropped(tag, attributes, inside)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            yield tag, None, stack[-1][1], dropped, None
-            at = end.end() if end else n
-            if not end:
+        words = NAME_PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        yield [x for x in words if not x.isdigit() and len(x) > 1]
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of repeated ones holds."""
+    out: dict[str, str] = {}
+    for m in ATTR.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+@dataclass
+class Scores:
+    """What the scan adds up. A tag costs ``tags`` (``other`` if unknown) and what its names weigh below 0; a word gains
+    1 / (1 + exp(-x)), x the sum of ``base`` and the log odds of its block's share of link words and depth. ``votes``
+    has (for, against) of words of names; each weighs the logarithm of for / against, PRIORS included."""
+
+    tags: dict[str, float] = field(default_factory=lambda: dict(DEFAULT_TAGS))
+    other: float = DEFAULT_TAG
+    votes: dict[str, tuple[int, int]] = field(default_factory=dict)
+    base: float = 4.0
+    links: tuple[float, ...] = (0.0, -1.0, -4.0, -7.0)
+    depths: dict[int, float] = field(default_factory=dict)
+    known: dict[tuple[str, str, bool], tuple[bool, float]] = field(default_factory=dict, repr=False)
+
+    def name_word(self, word: str) -> float:
+        prior = PRIORS["boilerplate" if word in NAMES else "content" if word in CONTENT else "layout" if word in LAYOUT else "unknown"]
+        got = self.votes.get(word, (0, 0))
+        return math.log((prior[0] + got[0]) / (prior[1] + got[1]))
+
+    def names(self, value: str) -> float:
+        """The weight of a class or id. Beside a word that weighs below 0 in one name, words of layout and of content
+        add nothing: "comment-text" is of a comment, while "legal-news" is news. A name of words that neither the
+        lists nor labelled pages know adds nothing either: "clearfix sidebar" is a sidebar."""
+        start = math.log(PRIORS["unknown"][0])
+        total = 0.0
+        for words in name_words(value):
+            weights = [(self.name_word(w), w) for w in words]
+            against = any(x < 0 for x, _ in weights)
+            if against:
+                total += sum(x for x, w in weights if x < 0 or w not in NEUTRAL)
+            else:
+                total += sum(x if w in NEUTRAL or w in NAMES else max(0.0, x - start) for x, w in weights)
+        return total
+
+    def element(self, tag: str, attributes: str, inside_article: bool) -> tuple[bool, float]:
+        """(whether an element is no part of the article by kind, role, being hidden or its names, what its names add to
+        the tag's cost). Forms are looked at by the page, see `Page.dropped`."""
+        key = tag, attributes, inside_article
+        if key not in self.known:
+            if len(self.known) >= 4096:
+                self.known.clear()
+            self.known[key] = self._element(*key)
+        return self.known[key]
+
+    def _element(self, tag: str, attributes: str, inside_article: bool) -> tuple[bool, float]:
+        if (tag in DROPPED and tag != "form") or (tag == "header" and not inside_article):
+            return True, 0.0
+        if not attributes or tag in ("html", "body"):
+            return False, 0.0
+        a = attributes_of(attributes)
+        style = a.get("style", "").lower()
+        if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", style):
+            return True, 0.0
+        names = " ".join(a[k] for k in ("class", "id") if k in a)
+        weight = self.names(names) if names else 0.0
+        may = tag not in ("article", "main") or "comment" in names.lower()
+        return may and weight < NAMES_DROP, max(-3.0, min(0.0, weight))
+
+    def word(self, links: int, depth: int) -> float:
+        x = self.base + self.links[links] + self.depths.get(depth, 0.0)
+        return max(0.02, 1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
+
+
+class Page:
+    """A page as its tags and runs of text in order, and its elements, numbered as they open: an element's descendants
+    are the numbers from its own up to ``last``."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.attributes = [-1], [""], [""]
+        self.events: list[tuple[str, str | None, int, bool]] = []  # tag or '', text, element, whether it opens there
+        self._parse(page)
+        n = len(self.parent)
+        self.n_words = [0] * n
+        for tag, text, node, _ in self.events:
+            if not tag:
+                self.n_words[node] += len(text.split())
+        self.last = list(range(n))
+        self.all_words, self.link_words = list(self.n_words), [0] * n
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            self.last[up] = max(self.last[up], self.last[i])
+            self.all_words[up] += self.all_words[i]
+            self.link_words[up] += self.all_words[i] if self.tag[i] == "a" else self.link_words[i]
+        self.block, self.depth, self.inside = [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            up, inline = self.parent[i], self.tag[i] in INLINE
+            self.block[i] = self.block[up] if inline else i
+            self.depth[i] = self.depth[up] if inline else min(DEEPEST, self.depth[up] + 1)
+            self.inside[i] = self.inside[up] or self.tag[i] in ("article", "main")
+
+    def links(self, node: int) -> int:
+        """The share of link words in an element's block, in quarters: 0 to 3."""
+        at = self.block[node]
+        return min(3, 4 * self.link_words[at] // max(1, self.all_words[at]))
+
+    def dropped(self, scores: Scores) -> tuple[list[bool], list[float]]:
+        """(whether each element is no part of the article, what its names add to the cost of its tag).
+
+        A form is dropped, unless it holds paragraphs or headings and over half of the words that are not dropped
+        otherwise: some frameworks put a whole page into one form."""
+        n = len(self.parent)
+        out, cost = [False] * n, [0.0] * n
+        for i in range(1, n):
+            drop, cost[i] = scores.element(self.tag[i], self.attributes[i], self.inside[self.parent[i]])
+            out[i] = drop or out[self.parent[i]]
+        if "form" in self.tag:
+            live, blocks = [0 if o else w for o, w in zip(out, self.n_words, strict=True)], [int(t in TEXT_BLOCKS) for t in self.tag]
+            for i in range(n - 1, 0, -1):
+                live[self.parent[i]] += live[i]
+                blocks[self.parent[i]] += blocks[i]
+            for i in range(1, n):
+                out[i] = out[i] or out[self.parent[i]] or (self.tag[i] == "form" and not (blocks[i] and 2 * live[i] > live[0]))
+        return out, cost
+
+    def _parse(self, page: str) -> None:
+        stack = [("", 0)]
+        open_tags: Counter = Counter()  # of the stack, so that it is searched only for what is there
+        add, at, n = self.events.append, 0, len(page)
+
+        def close_from(depth: int) -> None:
+            open_tags.subtract(s[0] for s in stack[depth:])
+            del stack[depth:]
+
+        while at <= n:
+            m = TAG.search(page, at)
+            text = page[at : m.start() if m else n]
+            if text:
+                add(("", text, stack[-1][1], False))
+            if not m:
                 return
-            continue
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in CLOSES_P and tag not in INLINE:
-            yield tag, None, stack[-1][1], dropped, None
-            continue
-        yield tag, None, nodes, dropped, (stack[-1][1], tag)
-        stack.append((tag, nodes, dropped, inside or tag in ("article", "main")))
-        open_tags[tag] += 1
-        nodes += 1
-
-
-def tag_counts(page: str) -> Counter:
-    """{(tag, inside)}: tags of a page that labels its own article (one article or main element), inside and outside it."""
-    counts: Counter = Counter()
-    parent, label = {0: -1}, {0: False}
-    marks = 0
-    for tag, text, node, _, new in events(page):
-        if new:
-            parent[node] = new[0]
-            mark = tag in ("article", "main") and not label[new[0]]
-            marks += mark
-            label[node] = label[new[0]] or mark
-        if tag:
-            counts[tag if len(tag) <= 20 else "other", label[node]] += 1
-    return counts if marks == 1 else Counter()
+            at = m.end()
+            closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if closing:
+                if open_tags[tag] > 0:
+                    close_from(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
+                add((tag, None, stack[-1][1], False))
+                continue
+            if tag in CLOSES_P or tag in SAME:
+                ends = SAME.get(tag, {"p"})
+                for depth in range(len(stack) - 1, 0, -1) if any(open_tags[e] > 0 for e in ends) else ():
+                    if stack[depth][0] in ends:
+                        close_from(depth)
+                        break
+                    if stack[depth][0] in SCOPE or (tag in CLOSES_P and stack[depth][0] not in INLINE):
+                        break
+            if tag in RAW:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                add((tag, None, stack[-1][1], False))
+                at = end.end() if end else n
+                if not end:
+                    return
+                continue
+            if tag in VOID or attributes.rstrip().endswith("/") and tag not in CLOSES_P and tag not in INLINE:
+                add((tag, None, stack[-1][1], False))
+                continue
+            node = len(self.parent)
+            self.parent.append(stack[-1][1])
+            self.tag.append(tag)
+            self.attributes.append(attributes)
+            add((tag, None, node, True))
+            stack.append((tag, node))
+            open_tags[tag] += 1
+
+
+def best_region(scores: Sequence[float], may_end: Sequence[bool]) -> tuple[int, int] | None:
+    """(first, last) of the contiguous run of maximum sum above 0 that ends where it may, by one scan; the earliest that
+    ends first of equals. None if no run is above 0."""
+    best, run, start, region = 0.0, 0.0, 0, None
+    for i, score in enumerate(scores):
+        run += score
+        if run <= 0:
+            run, start = 0.0, i + 1
+        elif run > best and may_end[i]:
+            best, region = run, (start, i)
+    return region
 
 
-def extract(page: str | None, tags: dict[str, float] = DEFAULT_TAGS, other: float = DEFAULT_TAG) -> str:
-    """The main text of a page, '' for null or where no word scores above zero."""
+def page_counts(page: str) -> Counter:
+    """{(kind, value, inside)}: what a page that labels its own article (one article or main element) says of features.
+
+    ``tag`` counts tags, ``links`` and ``depth`` words. ``name`` is one vote for each word of classes and ids: inside if
+    an element of that name lies in the article or around it, else outside. For a word of boilerplate such an element
+    has to hold half of the article's words, as adverts stand in articles, too."""
+    p = Page(page)
+    marks = [i for i in range(1, len(p.parent)) if p.tag[i] in ("article", "main") and not p.inside[p.parent[i]]]
+    counts: Counter = Counter()
+    if len(marks) != 1:
+        return counts
+    mark, end = marks[0], p.last[marks[0]]
+    for tag, text, node, _ in p.events:
+        inside = mark <= node <= end
+        if tag:
+            counts["tag", tag if len(tag) <= 20 else "other", inside] += 1
+        elif words := len(text.split()):
+            counts["links", str(p.links(node)), inside] += words
+            counts["depth", str(p.depth[node]), inside] += words
+    votes: dict[str, bool] = {}
+    for i, raw in enumerate(p.attributes):
+        if raw and p.tag[i] not in ("html", "body"):
+            a = attributes_of(raw)
+            held = p.all_words[mark] if i <= mark <= p.last[i] else p.all_words[i] if mark < i <= end else 0
+            for word in {w for k in ("class", "id") for words in name_words(a.get(k, "")) for w in words if len(w) <= 30}:
+                votes[word] = votes.get(word, False) or (2 * held >= p.all_words[mark] > 0 if word in NAMES else held > 0)
+    counts.update(("name", word, inside) for word, inside in votes.items())
+    return counts
+
+
+def extract(page: str | None, scores: Scores | None = None) -> str:
+    """The main text of a page, '' for null or where no run of words and tags scores above zero."""
     if not page:
         return ""
-    seen = list(events(page))
-    parent, names = {0: -1}, {0: ""}
-    best, run, start, region = 0.0, 0.0, 0, None
-    for i, (tag, text, node, dropped, new) in enumerate(seen):
-        if new:
-            parent[node], names[node] = new
+    scores = scores or Scores()
+    p = Page(page)
+    dropped, cost = p.dropped(scores)
+    gains: list[float] = []
+    for tag, text, node, opens in p.events:
         if tag:
-            score = DROPPED_SCORE if dropped else tags.get(tag, other)
-        elif dropped:
-            score = 0.0
+            gains.append(DROPPED_SCORE if dropped[node] else scores.tags.get(tag, scores.other) + (cost[node] if opens else 0.0))
         else:
-            score = WORD_SCORE * len(text.split())
-        run += score
-        if run <= 0:
-            run, start = 0.0, i + 1
-        elif run > best and text is not None and not dropped:
-            best, region = run, (start, i)
+            words = 0 if dropped[node] else len(text.split())
+            gains.append(words * scores.word(p.links(node), p.depth[node]) if words else 0.0)
+    region = best_region(gains, [not e[0] and not dropped[e[2]] for e in p.events])
     if region is None:
         return ""
-
-    # nodes are numbered as they open, so a node's descendants are the numbers from it up to its last one
-    last = list(range(len(parent)))
-    for node in range(len(parent) - 1, 0, -1):
-        last[parent[node]] = max(last[parent[node]], last[node])
-    inside = [s[2] for s in seen[region[0] : region[1] + 1] if s[1] is not None and not s[3]]
+    inside = [e[2] for e in p.events[region[0] : region[1] + 1] if not e[0] and not dropped[e[2]] and not e[1].isspace()]
     low, high, common, node = min(inside), max(inside), [], inside[0]
     while node >= 0:
-        if node <= low and high <= last[node]:
+        if node <= low and high <= p.last[node]:
             common.append(node)
-        node = parent[node]
-    keeper = next((x for x in common if names[x] in ("article", "main")), None)
-    own = next((x for x in common if names[x] not in INLINE and names[x] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")), 0)
-    whole = keeper if keeper is not None else own if names[own] not in ("body", "html", "") else None
-    if whole is not None:
-        member = {whole: True}
-
-        def within(node: int) -> bool:
-            path = []
-            while node not in member and node >= 0:
-                path.append(node)
-                node = parent[node]
-            got = member.get(node, False)
-            member.update(dict.fromkeys(path, got))
-            return got
-
-        seen = [s for s in seen if within(s[2])]
-    else:
-        seen = seen[region[0] : region[1] + 1]
+        node = p.parent[node]
+    keeper = next((x for x in common if p.tag[x] in ("article", "main")), None)
+    own = next((x for x in common if p.tag[x] not in INLINE and p.tag[x] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")), 0)
+    whole = keeper if keeper is not None else own if p.tag[own] not in ("body", "html", "") else None
+    seen = p.events[region[0] : region[1] + 1] if whole is None else [e for e in p.events if whole <= e[2] <= p.last[whole]]
     blocks, held = [], []
 
     def close() -> None:
@@ -212,9 +319,9 @@ def extract(page: str | None, tags: dict[str, float] = DEFAULT_TAGS, other: floa
             blocks.append(line)
         held.clear()
 
-    for tag, text, _, dropped, _ in seen:
+    for tag, text, node, _ in seen:
         if text is not None:
-            held.append(" " if dropped else text)
+            held.append(" " if dropped[node] else text)
         elif tag == "br":
             held.append(" ")
         elif tag not in INLINE:
@@ -223,41 +330,58 @@ def extract(page: str | None, tags: dict[str, float] = DEFAULT_TAGS, other: floa
     return "\n".join(blocks)
 
 
-def learned_tag_scores(pages: DataFrame, html_col: str = "html") -> tuple[dict[str, float], float]:
-    """Tag scores from every page that labels its own article: the rarer a tag is inside it, the more it costs.
+def learned_scores(pages: DataFrame, html_col: str = "html") -> Scores:
+    """Scores from every page that labels its own article. The rarer a tag is inside it, the more it costs; words gain by
+    the odds of their block's link share and depth, names weigh by votes of pages (see `page_counts`).
 
-    What comes to the driver is one row for each of at most 500 tags. Without labelled pages the defaults hold."""
+    What comes to the driver is one row for each of at most FEATURES features. Without labelled pages the defaults hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
             for page in b.column(0):
-                if (text := page.as_py()) and ("<article" in text or "<main" in text):
-                    total.update(tag_counts(text))
-        yield pa.RecordBatch.from_pydict({"tag": pa.array([k[0] for k in total], pa.string()), "inside": pa.array([k[1] for k in total], pa.bool_()), "n": pa.array(list(total.values()), pa.int64())})
-
-    counts = pages.select(F.col(html_col).cast("string")).mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "tag").limit(500).collect()
-    if not rows:
-        return DEFAULT_TAGS, DEFAULT_TAG
-    return {r["tag"]: round(-0.1 - 3.0 * (1 - (r["i"] + 1) / (r["n"] + 2)), 3) for r in rows} | {"br": -0.1}, DEFAULT_TAG
-
-
-def main_text(pages: DataFrame, html_col: str = "html", scores: tuple[dict[str, float], float] | None = None) -> DataFrame:
+                if (text := page.as_py()) and LABELLED.search(text):
+                    total.update(page_counts(text))
+            if len(total) > FEATURES:
+                yield rows(total)
+                total = Counter()
+        yield rows(total)
+
+    def rows(total: Counter) -> pa.RecordBatch:
+        kinds, values, sides = zip(*total, strict=True) if total else ((), (), ())
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string()), "inside": pa.array(sides, pa.bool_()), "n": pa.array(list(total.values()), pa.int64())})
+
+    counts = pages.select(F.col(html_col).cast("string")).mapInArrow(count, "kind string, value string, inside boolean, n long")
+    counts = counts.groupBy("kind", "value").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("n"))
+    found: dict[str, dict[str, tuple[int, int]]] = {"tag": {}, "name": {}, "links": {}, "depth": {}}
+    for r in counts.orderBy(F.desc("n"), "kind", "value").limit(FEATURES).collect():
+        found[r["kind"]][r["value"]] = r["i"], r["n"] - r["i"]
+    if not found["tag"]:
+        return Scores()
+    tags = {t: round(-0.1 - 3.0 * (1 - (i + 1) / (i + o + 2)), 3) for t, (i, o) in found["tag"].items()} | {"br": -0.1}
+    base = math.log((1 + sum(i for i, _ in found["links"].values())) / (1 + sum(o for _, o in found["links"].values())))
+    odds = lambda kind, value: math.log((1 + found[kind][value][0]) / (1 + found[kind][value][1])) - base if value in found[kind] else 0.0
+    return Scores(tags, DEFAULT_TAG, found["name"], base, tuple(odds("links", str(k)) for k in range(4)), {int(d): odds("depth", d) for d in found["depth"]})
+
+
+def main_text(pages: DataFrame, html_col: str = "html", scores: Scores | None = None) -> DataFrame:
     """Add ``text`` to ``pages``: the article of each page's whole html.
 
-    A page is a sequence of words (positive) and tags (negative, scores learned from pages that label their article);
-    one linear scan keeps the best-scoring contiguous region. The region grows to the element that holds all of it, so
-    that a closing one-word paragraph stays. Elements that are boilerplate by kind, role or name give no words.
+    A page is a sequence of words (positive) and tags (negative); one linear scan keeps the best-scoring contiguous
+    region. What tags cost, what words gain by the share of links and the depth of their block, and what the words of
+    classes and ids weigh is learned from pages that label their article. The region grows to the element that holds
+    all of it, so that a closing one-word paragraph stays. Elements that are boilerplate by kind, role, being hidden or
+    the weight of their names give no words.
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line end.
-    Null, empty or wordless html gives ''. Repeated rows give repeated results; a column named ``text`` is replaced."""
+    Null, empty or wordless html gives ''. Repeated rows give repeated results; a column named ``text`` is replaced.
+    A page's time grows with its length alone, whatever its nesting."""
     short_batches(pages.sparkSession)
-    tags, other = scores or learned_tag_scores(pages, html_col)
+    scores = scores or learned_scores(pages, html_col)
     kept = [c for c in pages.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(x.as_py(), tags, other) for x in b.column(b.num_columns - 1)]
+            texts = [extract(x.as_py(), scores) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
 
     given = pages.select(*kept, F.col(html_col).cast("string").alias("__html"))
@@ -268,6 +392,5 @@ def main_text(pages: DataFrame, html_col: str = "html", scores: tuple[dict[str,
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page; null and empty html give an empty text, repeated rows repeated results."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    scores = learned_tag_scores(pages)
-    out = main_text(pages, "html", scores)
+    out = main_text(pages, "html", learned_scores(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
