@@ -17,7 +17,7 @@ from fleetlens.llm.common import short_batches
 
 MODEL = os.environ.get("FLEETLENS_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
-UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+UNIT = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Bounds of what a worker keeps; the first ones stay, which have the frequent words.
@@ -54,14 +54,21 @@ def _fields(b: bytes) -> Iterator[tuple[int, int | float | bytes]]:
         yield key >> 3, value
 
 
+#: States of the normaliser: nothing came out yet, inside a word, white space that may be trailing is held back.
+START, INSIDE, GAP = 0, 1, 2
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback of a model, compiled for composition with an input.
 
-    The normaliser maps a space to SPACE and may put one in front. The piece lexicon is a trie: its final arcs give a
-    piece at its cost. A character that no piece covers goes to its bytes' pieces. In a unigram model a piece costs
-    minus its score. In a byte-pair model the lexicon is composed with an acceptor of pairs: piece y may follow x where
-    merging their characters best score first gives x, y again. As merges on both sides of a boundary that none
-    crosses are independent, exactly one path has only such pairs, and it is the model's segmentation."""
+    The normaliser's arcs read a character and write what the model makes of it: a space becomes SPACE (or nothing, where
+    the model drops white space at the ends and repeats of it), the first character may get a SPACE in front. They cost
+    nothing. The piece lexicon is a trie whose final arcs give a piece at its cost, minus its score, and a character that
+    no piece covers goes to its bytes' pieces. In a byte-pair model the score is the rank of the piece's merge, and the
+    lexicon is composed with an acceptor of pairs: piece y may follow x (at no cost, else never) where merging their
+    characters best score first gives x, y again. As merges on both sides of a boundary that none crosses are independent,
+    each string has exactly one path with such pairs only, and it is the model's segmentation. So the cheapest path of
+    this composition is the answer for both kinds of model; in a unigram one no acceptor restricts it."""
 
     def __init__(self, model: bytes):
         pieces, trainer, normalizer = [], {}, {}
@@ -79,7 +86,9 @@ class Transducer:
         self.prefix, self.trim, self.escape = bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)), bool(normalizer.get(5, 1))
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
         self.scores = {p: s for p, s, t in pieces if t == NORMAL}
-        self.inner_space = any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        self.mark = SPACE if self.escape else " "
+        self.inner_space = any(self.mark in p.lstrip(self.mark) for p in self.ids)
+        self.normaliser = self._normaliser()
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.unknown_cost = -(min(self.scores.values(), default=0.0) - 10.0)
@@ -90,16 +99,31 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = (p, (i,), -self.scores[p])
         self.out = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.encode() for p, _, t in pieces]
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.units: dict[tuple[str, int], tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.merges: dict[str, tuple] = {}
 
-    def normalized(self, text: str) -> str:
+    def _normaliser(self) -> dict[tuple[int, bool], tuple[int, str, bool]]:
+        """{(state, whether a space is read): (next state, what is written before the character, whether the character
+        is written)}; a space that is written is written as ``mark``."""
+        first = self.mark if self.prefix else ""
         if self.trim:
-            text = re.sub(" +", " ", text).strip(" ")
-        if text and self.prefix:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
+            return {
+                (START, True): (START, "", False), (INSIDE, True): (GAP, "", False), (GAP, True): (GAP, "", False),
+                (START, False): (INSIDE, first, True), (INSIDE, False): (INSIDE, "", True), (GAP, False): (INSIDE, self.mark, True),
+            }
+        return {(START, True): (INSIDE, first, True), (START, False): (INSIDE, first, True), (INSIDE, True): (INSIDE, "", True), (INSIDE, False): (INSIDE, "", True)}
+
+    def _tape(self, text: str, state: int = START) -> str:
+        """What the normaliser's arcs write for a text read from a state: its composition with the text is one chain."""
+        out, arcs, mark = [], self.normaliser, self.mark
+        for c in text:
+            state, before, kept = arcs[state, c == " "]
+            if before:
+                out.append(before)
+            if kept:
+                out.append(mark if c == " " else c)
+        return "".join(out)
 
     def _steps(self, piece: str) -> tuple[list[tuple[float, str, str]], bool]:
         """([(score, first part, last part after the merge)], whether the piece comes out): a byte-pair model's merges
@@ -155,61 +179,61 @@ class Transducer:
             arcs.insert(0, (i + 1, "", spelled, self.unknown_cost))
         return arcs
 
-    def shortest_path(self, text: str) -> tuple[int, ...]:
-        """The pieces on the cheapest path of the transducer composed with a normalised text."""
-        return self._only_path(text) if self.kind == BPE else self._cheapest_path(text)
-
-    def _cheapest_path(self, text: str) -> tuple[int, ...]:
-        best: list[tuple | None] = [(0.0, 0, ())] + [None] * len(text)
-        for i in range(len(text)):
-            for j, _, ids, weight in self._arcs(text, i):
-                if best[j] is None or best[i][0] + weight < best[j][0]:
-                    best[j] = (best[i][0] + weight, i, ids)
-        out, i = [], len(text)
-        while i:
-            _, i, ids = best[i]
-            out.append(ids)
+    def _follows(self, x: str, y: str) -> bool:
+        """The pair acceptor, with what a worker remembers of it; bytes follow and are followed by anything."""
+        ok = not (x and y) or self._may_follow(x, y)
+        if len(self.pairs) < CACHED_PAIRS:
+            self.pairs[x, y] = ok
+        return ok
+
+    def shortest_path(self, text: str, state: int = START) -> tuple[int, ...]:
+        """The ids on the cheapest path of the transducer composed with a text that is read from a normaliser's state.
+
+        A state of the composition is a place of the normaliser's chain, in a byte-pair model with the piece that ends
+        there. Places are in topological order, so one pass relaxes each arc once: paths' costs add, the least is kept,
+        the first of equals. Of the pairs only those of reached states are looked at, which are one for each place."""
+        tape, pairwise, pairs = self._tape(text, state), self.kind == BPE, self.pairs
+        n = len(tape)
+        best: list[list[tuple]] = [[] for _ in range(n + 1)]  # at each place states (cost, piece, ids, state before)
+        best[0].append((0.0, "", (), None))
+        for i in range(n):
+            here = best[i]
+            for j, piece, ids, weight in self._arcs(tape, i) if here else ():
+                found = None
+                for before in here:
+                    cost = before[0] + weight
+                    if found is None or cost < found[0]:
+                        ok = not pairwise or pairs.get((before[1], piece))
+                        if ok or (ok is None and self._follows(before[1], piece)):
+                            found = (cost, piece, ids, before)
+                if found is None:
+                    continue
+                there = best[j]
+                if pairwise or not there:
+                    there.append(found)
+                elif found[0] < there[0][0]:
+                    there[0] = found
+        out, at = [], min(best[n], key=lambda x: x[0])
+        while at:
+            out.append(at[2])
+            at = at[3]
         return tuple(chain.from_iterable(reversed(out)))
 
-    def _only_path(self, text: str) -> tuple[int, ...]:
-        """Depth first through the composition with the pair acceptor, which leaves one path; long pieces come first.
-        A state is a place and the piece that ends there; a state without a way on is not entered again."""
-        n, pairs, dead = len(text), self.pairs, set()
-        path: list[tuple] = [(0, "", (), self._arcs(text, 0))]
-        while path[-1][0] < n:
-            _, last, _, arcs = path[-1]
-            while arcs:
-                j, piece, ids, _ = arcs.pop()
-                if last and piece:
-                    ok = pairs.get((last, piece))
-                    if ok is None:
-                        ok = self._may_follow(last, piece)
-                        if len(pairs) < CACHED_PAIRS:
-                            pairs[last, piece] = ok
-                    if not ok:
-                        continue
-                if (j, piece) not in dead:
-                    path.append((j, piece, ids, self._arcs(text, j) if j < n else None))
-                    break
-            else:
-                at, piece, *_ = path.pop()
-                dead.add((at, piece))
-        return tuple(chain.from_iterable(p[2] for p in path))
-
     def encode(self, text: str) -> list[int]:
-        """Piece ids of a text. Where no piece has a SPACE inside, no path crosses from a word into the next SPACE, so
-        each unit (SPACE and what follows) is composed once and its path kept."""
-        text = self.normalized(text)
+        """Piece ids of a text. Where no piece has a space inside, no path crosses from a word into the next space, and
+        the normaliser's state before a space is known: so each unit (spaces or SPACE and what follows them) is composed once for
+        each state and its path kept."""
         if self.inner_space:
             return list(self.shortest_path(text))
-        units, out = self.units, []
+        units, out, state = self.units, [], START
         for u in UNIT.findall(text):
-            got = units.get(u)
+            got = units.get((u, state))
             if got is None:
-                got = self.shortest_path(u)
+                got = self.shortest_path(u, state)
                 if len(units) < CACHED_UNITS and len(u) <= 64:
-                    units[u] = got
+                    units[u, state] = got
             out.append(got)
+            state = INSIDE  # only the last unit can end with a space
         return list(chain.from_iterable(out))
 
     def decode(self, ids) -> str:
