@@ -63,6 +63,7 @@ def test_pairs_equal_merging(prefix, trim):
                 break
             parts[-due[1] : 2 - due[1]] = [parts[-due[1]] + parts[1 - due[1]]]
         assert [pieces[i - 1][0] for i in t.encode(text)] == parts, text
+        assert [pieces[i - 1][0] for i in t.cheapest_path(normal(text, prefix, trim))] == parts, text
 
 
 def test_marks_and_spaces_equal_the_library():
@@ -74,7 +75,7 @@ def test_marks_and_spaces_equal_the_library():
     rng = random.Random(1)
     for _ in range(3000):
         text = "".join(rng.choice(["a", "b", " ", "  ", "the", "▁", "é", "漢", "\n", "in", "g", "🎉", "1", " of "]) for _ in range(rng.randrange(14)))
-        assert t.encode(text) == reference.encode(text), text
+        assert t.encode(text) == list(t.cheapest_path(normal(text, t.prefix, t.trim))) == reference.encode(text), text
 
 
 def test_clashing_columns_and_long_texts(spark):
