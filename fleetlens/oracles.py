@@ -227,7 +227,7 @@ oracle("plan_red_flags", """WITH t AS (SELECT digest, ts, plan_json::JSON -> '$.
     UNION ALL SELECT digest, ts, 'query_block/ordering_operation', NULL, 0, 0, 'FILESORT' FROM p0 WHERE ts % 4 = 0""".replace("WITH t AS", "SELECT * FROM (WITH p0 AS (SELECT * FROM plans), t AS") + ")", "plans")
 
 _UNSAFE = "CASE WHEN sql_text IS NULL THEN 'no example' END"
-oracle("explain_candidates", f"SELECT d.server_id, d.digest, sql_text, schema_name, {_UNSAFE} AS skip_reason FROM (SELECT DISTINCT server_id, digest FROM digest_polls) d LEFT JOIN (SELECT server_id, digest, arg_max(sql_text, processlist_id) AS sql_text, arg_max(schema_name, processlist_id) AS schema_name FROM session_ticks WHERE sql_text <> '' AND digest <> 'view' GROUP BY 1, 2) e USING (server_id, digest)", "digest_polls", "session_ticks")
+oracle("explain_candidates", f"SELECT d.server_id, d.digest, sql_text, schema_name, {_UNSAFE} AS skip_reason FROM (SELECT DISTINCT server_id, digest FROM digest_polls) d LEFT JOIN (SELECT server_id, digest, arg_max(sql_text, processlist_id) AS sql_text, arg_max(schema_name, processlist_id) AS schema_name FROM session_ticks WHERE sql_text <> '' GROUP BY 1, 2) e USING (server_id, digest)", "digest_polls", "session_ticks")
 
 oracle("strip_sql_comments", "SELECT id, c AS stripped FROM clean", "clean")
 oracle("table_from_sql", "SELECT id, CASE WHEN t2 <> '' THEN t1 || '.' || t2 ELSE t1 END AS table_name FROM tab", "tab")

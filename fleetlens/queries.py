@@ -376,7 +376,7 @@ def unindexed_conditions(t: Fleet) -> DataFrame:
 
 add("plan_hash", lambda t: E.plan_hash(t.plans))
 add("plan_flips", lambda t: E.plan_flips(E.plan_hash(t.plans)))
-add("explain_candidates", lambda t: E.explain_candidates(t.digest_polls, t.session_ticks.filter("digest <> 'view'").withColumn("timer_end", F.col("processlist_id"))))
+add("explain_candidates", lambda t: E.explain_candidates(t.digest_polls, t.session_ticks.withColumn("timer_end", F.col("processlist_id"))))
 
 # scalar functions, each over all SQL texts or ids
 SCALARS = (
