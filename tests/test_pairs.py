@@ -4,8 +4,8 @@ import random
 
 import pytest
 
-from fleetlens.operators import mdl, pairs
-from tests.test_telemetry import at, values
+from fleetlens.operators import issues, mdl, pairs
+from tests.test_telemetry import T0, at, values
 
 AT = "server_id long, snapshot_ts timestamp, "
 LOCK = AT + "pid long, thread_id long, lock_type string, lock_status string, object_type string, object_schema string, object_name string, time_s long"
@@ -39,3 +39,14 @@ def test_requests_meet_only_holders_of_blocking_types(spark):
     plan = mdl.blocker_pairs(df, "db", "t")._jdf.queryExecution().optimizedPlan().toString()
     join = next(line for line in plan.splitlines() if "Join Inner" in line and "salt" in line)
     assert "kind" in join and "Generate" in plan
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_every_ddl_of_every_waiting_statement(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    wait = issues.METADATA_WAIT
+    rows = [(1, T0, i, "u", "h", "de"[i % 2], "Query", i, wait, "ALTER TABLE a" if i % 3 == 0 else "SELECT 1") for i in range(60)] + [(1, T0, 99, "u", "h", "", "Query", 1, wait, "SELECT 1")]
+    procs = spark.createDataFrame(rows, PROCESS)
+    want = [(a[5], a[2], b[2], 2 if a[7] >= 10 else 1) for a in rows for b in rows if a[5] and a[5] == b[5] and a[2] % 3 and not b[2] % 3 and b[2] < 99 and a[2] < 99]
+    assert values(issues.dml_ddl_pairs(procs), "db", "blocked_pid", "ddl_pid", "severity") == sorted(want)
+    assert values(issues.dml_ddl_pairs(procs, "d"), "blocked_pid", "ddl_pid") == sorted((b, c) for a, b, c, _ in want if a == "d")
