@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.operators import issues, mdl, pairs
+from fleetlens.queries import QUERIES
 from tests.test_telemetry import T0, at, values
 
 AT = "server_id long, snapshot_ts timestamp, "
@@ -50,3 +52,10 @@ def test_every_ddl_of_every_waiting_statement(spark, monkeypatch, block):
     want = [(a[5], a[2], b[2], 2 if a[7] >= 10 else 1) for a in rows for b in rows if a[5] and a[5] == b[5] and a[2] % 3 and not b[2] % 3 and b[2] < 99 and a[2] < 99]
     assert values(issues.dml_ddl_pairs(procs), "db", "blocked_pid", "ddl_pid", "severity") == sorted(want)
     assert values(issues.dml_ddl_pairs(procs, "d"), "blocked_pid", "ddl_pid") == sorted((b, c) for a, b, c, _ in want if a == "d")
+
+
+def test_registered_pairs_are_whole(spark, data):
+    one = QUERIES["mdl_blockers"](spark, data)
+    assert one.count() == QUERIES["mdl_blocker_counts"](spark, data).agg(F.sum("blockers")).first()[0] and "blocking_pid" in one.columns
+    two = QUERIES["dml_blocked_by_ddl"](spark, data)
+    assert two.count() == QUERIES["dml_ddl_counts"](spark, data).agg(F.sum("ddls")).first()[0]
