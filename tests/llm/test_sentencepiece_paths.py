@@ -84,3 +84,30 @@ def test_clashing_columns_and_long_texts(spark):
     got = {r.doc_id: r for r in sp.encoded(docs, sp.model_bytes(spark)).collect()}
     assert got[2].token_ids == [] and got[2].n_tokens == 0 and all(r.round_trip for r in got.values()) and got[1].token_ids != [7]
     assert got[3].n_tokens == len(got[3].token_ids) > 1000
+
+
+def test_short_units_are_composed_together(monkeypatch):
+    # many tapes at once give what one tape at a time gives, and few are left to be walked one by one
+    with open(sp.MODEL, "rb") as f:
+        data = f.read()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab the ing▁▁  \n\té中文🙂́.,0xzq") for _ in range(rng.randrange(60))) for _ in range(2000)] + ["", "x" * 300]
+    one, single = sp.Transducer(data), []
+    for text in texts:
+        units = sp.UNIT.findall(text)
+        single.append([i for k, u in enumerate(units) for i in one.shortest_path(u, sp.INSIDE if k else sp.START)])
+    t, walked = sp.Transducer(data), []
+    walk = t._finite_path
+    monkeypatch.setattr(t, "_finite_path", lambda tape: walked.append(tape) or walk(tape))
+    assert t.encode_all(texts) == single
+    assert len(walked) < 100
+
+
+@pytest.mark.parametrize(("prefix", "trim"), [(1, 1), (0, 0)])
+def test_batches_equal_cheapest_paths(prefix, trim):
+    # pieces whose own merges do not give them, a character that is no piece, and tapes without any piece
+    pieces = [(p, -float(i)) for i, p in enumerate(["ab", "▁a", "ba", "bac", "abb", "abab", "bab", "▁", "a", "b"])]
+    t = sp.Transducer(model(pieces, 2, prefix, trim))
+    rng = random.Random(6)
+    units = ["".join(rng.choice("abbac") for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    assert t._composed(units) == [t._finite_path(t._tape(u, sp.INSIDE)) for u in units]
