@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import U64, chunks, landed, mixed, short_batches, utf8, word_hashes
+from fleetlens.llm.common import U64, chunks, landed, mixed, released, short_batches, utf8, word_hashes
 from fleetlens.llm.graph import components
 
 FRAGMENTS = 5
@@ -254,22 +254,27 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     Null ids are rows like any other (component_id null if no linked row has an id); repeated ids and rows are
     allowed; component_id is the smallest id reached. Other columns are ignored. An empty table gives no rows."""
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = landed(texts.mapInArrow(_scan_sets(n), "id long, n long, sid long"), "sets")
     order = GlobalOrder(percent)
     often = texts.select("text").mapInArrow(_scan_counts(n, order.counted), "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_AT_LEAST).orderBy(F.desc("n"), "g").limit(HEAVY_MOST)
+    often = landed(often, "frequent")  # a collected plan would keep its shuffle's files
     frequent = often.toPandas()  # at most HEAVY_MOST pairs of numbers
     order.with_heavy(frequent["g"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
+    released(spark, often)  # here and below: the disk need not have the shuffles of two steps at a time
 
     length = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100).cast("long") + 1
     prefixes = texts.select("text").mapInArrow(_scan_prefixes(n, percent, order), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
     grams = prefixes.select("sid", "n", F.posexplode("prefix").alias("place", "g"))
-    light, common = grams.filter("g >= 0"), landed(grams.filter("g < 0"), "heavy")
+    light, heavy = grams.filter("g >= 0"), landed(grams.filter("g < 0"), "heavy")
+    released(spark)
     light = light.withColumn("size", F.count("*").over(Window.partitionBy("g"))).filter("size > 1")
-    sizes = common.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
-    common = common.join(F.broadcast(sizes), "g")  # one row for each of at most HEAVY_MOST n-grams
+    sizes = heavy.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+    common = heavy.join(F.broadcast(sizes), "g")  # one row for each of at most HEAVY_MOST n-grams
     shared = landed(light.unionByName(common.select(*light.columns)), "shared")
+    released(spark, heavy)
     rank = shared.groupBy("sid", "n").agg(F.sum("size").alias("rank")).select("sid", (F.col("rank") / length("n")).alias("rank"))
     hubs = shared.join(rank, "sid").groupBy("g").agg(F.max(F.struct("rank", "sid", "n")).alias("hub"))
 
@@ -295,8 +300,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     star = star.filter((4 * F.col("met") >= F.least(length("na"), length("nb"))) & (2 * F.least("na", "nb") >= F.greatest("na", "nb")))
     star = star.withColumn("like", F.floor(4 * F.col("met") / F.least(length("na"), length("nb"))))
     star = landed(star.groupBy("b").agg(F.max(F.struct("like", "rank", F.col("a"), "na", "nb")).alias("best")).select("best.a", "b", "best.na", "best.nb"), "pairs")
+    released(spark)
     linked = (100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))
-    star = landed(_overlaps(keyed, nodes, star, n, order).filter(2 * F.col("overlap") >= F.greatest("na", "nb")), "star")
+    checked = star
+    star = landed(_overlaps(keyed, nodes, checked, n, order).filter(2 * F.col("overlap") >= F.greatest("na", "nb")), "star")
+    released(spark, checked)
     links = landed(star.filter(linked).select("a", "b"), "links")
     found = components(links).withColumnRenamed("node", "sid")
 
@@ -308,7 +316,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     apart = F.concat(F.array_except("center_grams", "grams"), F.array_except("grams", "center_grams"))
     apart = _by_fragment(keyed, nodes, crowd.select("a", "b"), n, order).groupBy("a", "b").agg(F.flatten(F.collect_list(apart)).alias("apart"))
     crowd = landed(crowd.join(apart, ["a", "b"]), "crowd")
+    released(spark)
     cousins = landed(_cousins(crowd, percent), "links")
+    released(spark, crowd)
     if cousins.limit(1).count():
         links = landed(links.unionByName(cousins), "links")
         found = components(links).withColumnRenamed("node", "sid")
@@ -319,6 +329,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     parts = placed.groupBy("g", "label").agg(F.count("*").alias("size"), F.min("hub").alias("low"), F.max("hub").alias("high"))
     split = parts.groupBy("g").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("parts"), F.min("low").alias("low"), F.max("high").alias("high")).filter("parts > 1 and low <> high").select("g", "main")
     open_rows = landed(placed.join(split, "g"), "open")
+    released(spark, shared, star)
     minor = open_rows.filter("label <> main").select("g", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("hub").alias("hx"), F.col("place").alias("px"))
     pairs = minor.join(open_rows.select("g", "sid", "n", "label", "hub", "place", (F.col("label") == F.col("main")).alias("major")), "g")
     like = (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n")) & early("px", "nx", "n") & early("place", "n", "nx")
@@ -327,7 +338,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     pairs = pairs.select(F.least("x", "sid").alias("a"), F.greatest("x", "sid").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"))
     enough = F.col("met") >= slack(F.col("na"), F.col("nb")) + 1
     remaining = landed(pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).filter(enough).select("a", "b", "na", "nb"), "pairs")
+    released(spark, open_rows)
     more = landed(_overlaps(keyed, nodes, remaining, n, order).filter(linked).select("a", "b"), "links")
+    released(spark, remaining)
     if more.limit(1).count():
         found = components(links.unionByName(more)).withColumnRenamed("node", "sid")
 

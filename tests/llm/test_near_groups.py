@@ -50,3 +50,26 @@ def test_second_hubs_spare_pairs(spark, monkeypatch):
     want = {d: c for d, _, c in brute_components(rows, 3, 90)}
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows), 3, 90).collect()} == want
     assert sum(n for name, n in made if name == "cousins") <= 8 * len(rows)
+
+
+def test_steps_leave_no_tables_and_shuffles(spark, monkeypatch):
+    """What a step landed goes when nothing reads it any more, and shuffles are dropped between steps."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    rows = [(i, " ".join(base[:20] + [f"n{rng.randrange(9)}"] + base[21 : 70 + rng.randrange(3)])) for i in range(60)]
+    land, names, held = jaccard.landed, {}, []
+
+    def noted(df, name):
+        out = land(df, name)
+        names.setdefault(name, []).append(out.landed_at)
+        return out
+
+    release = jaccard.released
+    monkeypatch.setattr(jaccard, "landed", noted)
+    monkeypatch.setattr(jaccard, "released", lambda s, *tables: (held.append(len(names)), release(s, *tables)))
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert found == {d: c for d, _, c in brute_components(rows, 3, 90)}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(p))
+    assert [p for name in ("frequent", "heavy", "shared", "star", "pairs", "crowd", "open") for p in names[name] if there(p)] == []
+    assert len(held) >= 9
