@@ -7,7 +7,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ CUT = re.compile(r" (?=\S)(?<=\S )")
 #: Links that are expanded at once, and what a worker remembers of words (in links and characters).
 EXPANDED = 2_000_000
 REMEMBERED = 5_000_000
+#: The share of that which the first words may hold for good.
+FIRST = 0.6
 #: Pairs of at least this share of all links (by document) are looked up in a table of at most so many rows.
 FREQUENT = 2**17
 
@@ -72,11 +74,21 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - before, length)
 
 
+def _byte_ends(words: list[str]) -> np.ndarray:
+    """Where each word ends in the UTF-8 bytes of the joined words."""
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    return starts[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+
+
 def _merged(place: np.ndarray, pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal (place, pair) rows added up, in their order."""
     if not len(place):
         return place, pair, links
-    order = np.lexsort((pair, place))
+    if place.max() < 2**31 and pair.max() < 2**32:
+        order = np.argsort(place * 2**32 + pair)
+    else:
+        order = np.lexsort((pair, place))
     place, pair, links = place[order], pair[order], links[order]
     first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (pair[1:] != pair[:-1])])
     return place[first], pair[first], np.add.reduceat(links, first)
@@ -96,6 +108,7 @@ class Aligner:
         written = [[str(i).encode() for i in range(len(x.tokens))] for x in (self.a, self.b)]
         # what follows an id: a comma inside a side, else the mark of the side's end
         self.written = [w + s for side, end in zip(written, (b"|", b";"), strict=True) for s in (b",", end) for w in side]
+        self.size_written = np.array([len(w) for w in self.written], np.int64)
         self.by_words = self.a.cuts_at_words and self.b.cuts_at_words
         self._forget()
 
@@ -106,6 +119,18 @@ class Aligner:
         self.from_pair = np.zeros(1, np.int64)
         self.pair = self.links = np.zeros(0, np.int64)
         self.held = 0
+        self.first: tuple[int, int] | None = None  # how many words stay when memory is full, and what they hold
+
+    def _forget_late(self) -> None:
+        """Forget all but the first words, which have the frequent ones."""
+        if self.first is None:
+            self._forget()
+            return
+        n, self.held = self.first
+        self.known = dict(islice(self.known.items(), n))
+        self.groups = self.groups[:n]
+        self.counts, self.from_pair = self.counts[:n].copy(), self.from_pair[: n + 1].copy()
+        self.pair, self.links = self.pair[: self.from_pair[n]].copy(), self.links[: self.from_pair[n]].copy()
 
     def words(self, text: str) -> list[str]:
         """The words of space + text, each with its leading space."""
@@ -122,11 +147,13 @@ class Aligner:
 
     def learn(self, words: list[str]) -> None:
         """Encode and align new words: plain ones in one go, as neither tokenizer joins them, the others one by one."""
-        plain = [w for w in words if self.by_words and not w[-1].isspace() and not w[1].isspace() and SPACE not in w]
+        plain, others = [], []
+        for w in words:
+            (plain if self.by_words and (rest := w[1:]).strip() == rest != "" and SPACE not in w else others).append(w)
         got = self._encoded(plain) if plain else None
         if got:
             self._add(plain, *got)
-        for w in words if got is None else set(words).difference(plain):
+        for w in words if got is None else others:
             self._add([w], *(self._encoded([w]) or ((), ())))
 
     def _add(self, words: list[str], a: list[int], b: list[int]) -> None:
@@ -141,10 +168,14 @@ class Aligner:
             self.held += sum(map(len, words)) + 50 * n
             return
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        ends = np.zeros(end_a[-1] + 1, np.int8)  # both end with the words
+        ends[end_a] += 1
+        ends[end_b] += 1
+        common = np.flatnonzero(ends == 2)
+        before = np.cumsum(ends == 2) - (ends == 2)
+        group_a, group_b = before[end_a], before[end_b]
         in_a, in_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
-        word_ends = np.cumsum([len(w.encode()) for w in words])
+        word_ends = _byte_ends(words)
         of_group = np.searchsorted(word_ends, common)
         count = lambda weights: np.bincount(of_group, weights, n).astype(np.int64)
         self.counts = np.concatenate([self.counts, np.stack([np.ones(n, np.int64), count(in_a), count(in_b), count(None), count(in_a * in_b)], axis=1)])
@@ -156,10 +187,9 @@ class Aligner:
         row[at_a] = a + last_a * len(self.a.tokens)
         row[at_b] = b + 2 * len(self.a.tokens) + last_b * len(self.b.tokens)
         tokens_of_word = count(in_a) + count(in_b)
-        marks, at = list(map(self.written.__getitem__, row.tolist())), 0
-        for k in tokens_of_word.tolist():
-            self.groups.append(b"".join(marks[at : at + k]))
-            at += k
+        written = b"".join(map(self.written.__getitem__, row.tolist()))
+        to = np.cumsum(self.size_written[row])[np.cumsum(tokens_of_word) - 1].tolist()
+        self.groups += [written[i:j] for i, j in zip([0, *to], to, strict=False)]
         word, pair, links = self._pairs(a, b, in_a, in_b, of_group)
         self.from_pair = np.concatenate([self.from_pair, self.from_pair[-1] + np.searchsorted(word, np.arange(1, n + 1))])
         self.pair, self.links = np.concatenate([self.pair, pair]), np.concatenate([self.links, links])
@@ -185,12 +215,14 @@ class Aligner:
         """For each text (tokens of A and B, groups, links), the digest of the written groups; then the end of each
         text's distinct pairs, the pairs and their links. Texts that a tokenizer does not give back have nothing."""
         if self.held > REMEMBERED:
-            self._forget()
+            self._forget_late()
+        elif self.held < FIRST * REMEMBERED:
+            self.first = len(self.known), self.held
         of_text = [self.words(t) for t in texts]
         words = list(chain.from_iterable(of_text))
-        new = set(words).difference(self.known)
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
         if new:
-            self.learn(sorted(new))
+            self.learn(new)
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         n = np.array([len(w) for w in of_text])
         first = np.cumsum(n) - n

@@ -119,3 +119,18 @@ def test_forgotten_words_are_learned_again(files, monkeypatch):
     monkeypatch.setattr(ta, "REMEMBERED", 10)
     aligner = ta.Aligner(*files)
     assert [plain(aligner.align(p)) for p in parts] == want
+
+
+def test_first_words_stay_when_memory_is_full(files, monkeypatch):
+    # a worker that forgets between batches gives what one that remembers all gives, and keeps its first words
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdeé中") for _ in range(rng.randrange(1, 9))) for _ in range(40)) for _ in range(60)]
+    whole = ta.Aligner(*files)
+    want = [whole.align(texts[i : i + 5]) for i in range(0, 60, 5)]
+    monkeypatch.setattr(ta, "REMEMBERED", 30_000)
+    small = ta.Aligner(*files)
+    for i, rows in zip(range(0, 60, 5), want, strict=True):
+        for x, y in zip(small.align(texts[i : i + 5]), rows, strict=True):
+            assert list(map(str, x)) == list(map(str, y))
+    assert len(small.known) < len(whole.known)
+    assert set(small.words(texts[0])) <= set(small.known)
