@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,35 @@ def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+_held: dict = {}
+
+
+def held[T](key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, made when it is first asked for; one thing at a time."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Free what this Python worker keeps."""
+    if _held:
+        _held.clear()
+        gc.collect()  # parts of a model may know each other
+        pa.default_memory_pool().release_unused()
+
+
+def unburdened(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` in a worker that keeps nothing: Spark hands workers on from stage to stage, with all that they keep."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+
+    return scan
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import U64, chunks, landed, mixed, released, short_batches, utf8, word_hashes
+from fleetlens.llm.common import U64, chunks, landed, mixed, released, short_batches, unburdened, utf8, word_hashes
 from fleetlens.llm.graph import components
 
 FRAGMENTS = 5
@@ -169,7 +169,7 @@ def _by_fragment(texts: DataFrame, keys: DataFrame, pairs: DataFrame, n: int, or
     centers = pairs.select(F.col("a").alias("sid")).distinct().withColumn("center", F.lit(True))
     want = members.join(centers, "sid", "full").join(keys, "sid").select("key", "sid", F.coalesce("center", F.lit(False)).alias("center"), F.coalesce("centers", F.array().cast("array<bigint>")).alias("centers"))
     held = texts.join(want.hint("merge"), "key").select("key", "text", "sid", "center", "centers")
-    fragments = held.mapInArrow(_scan_fragments(n, order), "sid long, center boolean, centers array<long>, fragment int, grams array<long>")
+    fragments = held.mapInArrow(unburdened(_scan_fragments(n, order)), "sid long, center boolean, centers array<long>, fragment int, grams array<long>")
     left = fragments.select(F.explode("centers").alias("a"), F.col("sid").alias("b"), "fragment", "grams")
     right = fragments.filter("center").select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("center_grams"))
     return left.join(right.hint("merge"), ["a", "fragment"])
@@ -257,16 +257,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     spark = docs.sparkSession
     short_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = landed(texts.mapInArrow(_scan_sets(n), "id long, n long, sid long"), "sets")
+    rows = landed(texts.mapInArrow(unburdened(_scan_sets(n)), "id long, n long, sid long"), "sets")
     order = GlobalOrder(percent)
-    often = texts.select("text").mapInArrow(_scan_counts(n, order.counted), "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_AT_LEAST).orderBy(F.desc("n"), "g").limit(HEAVY_MOST)
+    often = texts.select("text").mapInArrow(unburdened(_scan_counts(n, order.counted)), "g long, n int").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY_AT_LEAST).orderBy(F.desc("n"), "g").limit(HEAVY_MOST)
     often = landed(often, "frequent")  # a collected plan would keep its shuffle's files
     frequent = often.toPandas()  # at most HEAVY_MOST pairs of numbers
     order.with_heavy(frequent["g"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
     released(spark, often)  # here and below: the disk need not have the shuffles of two steps at a time
 
     length = lambda c: F.col(c) - F.floor((percent * F.col(c) + 99) / 100).cast("long") + 1
-    prefixes = texts.select("text").mapInArrow(_scan_prefixes(n, percent, order), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
+    prefixes = texts.select("text").mapInArrow(unburdened(_scan_prefixes(n, percent, order)), "sid long, n long, prefix array<long>").filter("n > 0").dropDuplicates(["sid"])
     grams = prefixes.select("sid", "n", F.posexplode("prefix").alias("place", "g"))
     light, heavy = grams.filter("g >= 0"), landed(grams.filter("g < 0"), "heavy")
     released(spark)
@@ -293,7 +293,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     key = F.coalesce(F.col("id"), F.xxhash64("text"))
     nodes = rows.filter("n > 0 and id is not null").groupBy("sid").agg(F.min("id").alias("key"))
     if rows.filter("id is null and n > 0").limit(1).count():
-        nodes = texts.select(key.alias("id"), "text").mapInArrow(_scan_sets(n), "id long, n long, sid long").filter("n > 0").groupBy("sid").agg(F.min("id").alias("key"))
+        nodes = texts.select(key.alias("id"), "text").mapInArrow(unburdened(_scan_sets(n)), "id long, n long, sid long").filter("n > 0").groupBy("sid").agg(F.min("id").alias("key"))
     keyed = texts.select(key.alias("key"), "text")
 
     star = shared.join(hubs, "g").filter("sid <> hub.sid").groupBy(F.col("hub.sid").alias("a"), F.col("sid").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).agg(F.count("*").alias("met"), F.max("hub.rank").alias("rank"))

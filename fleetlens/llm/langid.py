@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import chunks, short_batches, utf8
+from fleetlens.llm.common import chunks, short_batches, unburdened, utf8
 
 BITS = 16
 GRAMS = (2, 4)
@@ -213,7 +213,7 @@ def fit(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col:
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "at": at, "n": held[at]})
 
-    got = rows.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInArrow(unburdened(count), "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     counts = np.zeros((len(langs), width))
     if len(langs):
@@ -279,7 +279,7 @@ def labelled(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in b.columns[: len(kept)]), *made], [*b.schema.names[: len(kept)], *names])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[: len(kept)])
-    return given.mapInArrow(run, head + "lang_pred string, score double" + (", lang_spans array<struct<lang: string, words: long, bytes: long>>" if with_spans else ""))
+    return given.mapInArrow(unburdened(run), head + "lang_pred string, score double" + (", lang_spans array<struct<lang: string, words: long, bytes: long>>" if with_spans else ""))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import short_batches
+from fleetlens.llm.common import chunks, held, short_batches, utf8
 from fleetlens.llm.fst_batches import FEW, PLACES, Lexicon
 
 MODEL = os.environ.get("FLEETLENS_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -302,14 +302,8 @@ class Transducer:
         return raw[1 if self.prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
 
 
-_compiled: dict[int, Transducer] = {}
-
-
 def _transducer(model: bytes) -> Transducer:
-    key = hash(model)
-    if key not in _compiled:
-        _compiled[key] = Transducer(model)
-    return _compiled[key]
+    return held(("transducer", hash(model)), lambda: Transducer(model))
 
 
 def model_bytes(spark: SparkSession, path: str = MODEL) -> bytes:
@@ -334,13 +328,13 @@ def encoded(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
         t = _transducer(shared.value)
         for b in batches:
             texts = b.column(b.num_columns - 1)
-            for at in range(0, b.num_rows, 500):
-                part = texts.slice(at, 500).to_pylist()
+            for at, to in chunks(utf8(texts)[1]):
+                part = texts.slice(at, to - at).to_pylist()
                 ids = t.encode_all([x or "" for x in part])
                 same = [t.decode(i) == (x or "") for i, x in zip(ids, part, strict=True)]
                 sizes = [len(i) for i in ids]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes))))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, 500) for c in b.columns[:-1]), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], [*b.schema.names[:-1], *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in b.columns[:-1]), lists, pa.array(sizes, pa.int64()), pa.array(same, pa.bool_())], [*b.schema.names[:-1], *names])
 
     given = docs.select(*kept, F.col(text_col).cast("string").alias("__text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])

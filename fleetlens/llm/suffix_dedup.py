@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import CHUNK_BYTES, SPACE, U64, SpanHash, chunks, landed, mixed, released, short_batches, utf8, word_spans
+from fleetlens.llm.common import CHUNK_BYTES, SPACE, U64, SpanHash, chunks, landed, mixed, released, short_batches, unburdened, utf8, word_spans
 
 MIN_BYTES = 400
 PASSAGE_WORDS = 51
@@ -260,7 +260,7 @@ def _hot_runs(held: DataFrame, length: int, unit: str) -> DataFrame:
     """(f1, f2, runs) of the fragments of anchors that have too many for one task: windows are dealt out by their hashes.
 
     All windows of a fragment hold its anchor, so its repeated ones cover one span, given as one run."""
-    windows = landed(held.mapInArrow(_hot_windows(length, unit), "h1 long, h2 long, f1 long, f2 long, n long, start int"), "hot-windows")
+    windows = landed(held.mapInArrow(unburdened(_hot_windows(length, unit)), "h1 long, h2 long, f1 long, f2 long, n long, start int"), "hot-windows")
     again = landed(windows.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2"), "hot-repeats")
     found = windows.filter("n = 1").join(again, ["h1", "h2"]).groupBy("f1", "f2").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     return found.select("f1", "f2", F.array(F.struct("first", "last")).alias("runs"))
@@ -278,7 +278,7 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = BYTE) -> DataFrame
     fragments of an anchor are compared by the column rounds, those of an anchor with more than HOT_PARTS by the hashes
     of their windows. 4. Repeated starts go back to all places of a fragment."""
     # scanned twice: what a scan finds is half the input's size, more than the shuffle that both uses need
-    found = texts.mapInArrow(_scan(length, unit), "k1 long, k2 long, start long, width int, off int, anchor long, f1 long, f2 long")
+    found = texts.mapInArrow(unburdened(_scan(length, unit)), "k1 long, k2 long, start long, width int, off int, anchor long, f1 long, f2 long")
     # landed, so that the join has a shuffle on either side and a hot anchor's rows can be dealt out
     twice = landed(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "repeated-anchors")
     shared = landed(found.join(twice, "anchor"), "shared-anchors")
@@ -295,10 +295,10 @@ def repeated_spans(texts: DataFrame, length: int, unit: str = BYTE) -> DataFrame
         wanted = compared.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("anchor", "f1", "f2", "n", "off", "width", F.col("at.start").alias("start"), (F.col("width") + length).alias("size"))).alias("wanted"))
         return texts.join(wanted.hint("merge"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
 
-    cut = landed(held(groups.filter(~hot)).mapInArrow(_cut(unit), "anchor long, f1 long, f2 long, off int, width int, bytes binary"), "fragment-texts")
+    cut = landed(held(groups.filter(~hot)).mapInArrow(unburdened(_cut(unit)), "anchor long, f1 long, f2 long, off int, width int, bytes binary"), "fragment-texts")
     released(texts.sparkSession)
     fragments = cut.repartition("anchor").sortWithinPartitions("anchor", "f1", "f2").select("anchor", "f1", "f2", "off", "width", "bytes")
-    runs = fragments.mapInArrow(_sort_columns(length, unit), "f1 long, f2 long, runs array<struct<first: int, last: int>>").filter("size(runs) > 0")
+    runs = fragments.mapInArrow(unburdened(_sort_columns(length, unit)), "f1 long, f2 long, runs array<struct<first: int, last: int>>").filter("size(runs) > 0")
     if groups.filter(hot).limit(1).count():
         runs = runs.unionByName(_hot_runs(held(groups.filter(hot)), length, unit))
     runs = runs.groupBy("f1", "f2").agg(F.max("runs").alias("runs"))
@@ -386,7 +386,7 @@ def without_repeats(docs: DataFrame, length: int = MIN_BYTES, unit: str = BYTE,
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], *made], [*b.schema.names[:-3], *names])
 
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields[:-3])
-    return joined.mapInArrow(run, head + ", ".join(f"{n} {'string' if n in ('kept_sha256', 'kept_text') else 'long'}" for n in names))
+    return joined.mapInArrow(unburdened(run), head + ", ".join(f"{n} {'string' if n in ('kept_sha256', 'kept_text') else 'long'}" for n in names))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
